@@ -8,7 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Whitespace as str.strip() and str.split() see it: Unicode spaces plus the four separators.
-SPACE = r"(?U)[\s\x1c-\x1f]"
+_BLANK = r"[\s\x1c-\x1f]"
+SPACE = f"(?U){_BLANK}"
 
 
 def col(c: Column | str) -> Column:
@@ -20,6 +21,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def record(**fields: Column) -> Column:
+    """A struct whose field names hold wherever the expression is used."""
+    return F.named_struct(*[x for name, value in fields.items() for x in (F.lit(name), value)])
+
+
 def any_of(conditions: list[Column]) -> Column:
     out = F.lit(False)
     for condition in conditions:
@@ -33,7 +39,7 @@ def blank_to_null(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """str.strip(): trim every kind of white space at both ends."""
-    return F.regexp_replace(col(c), rf"^{SPACE}+|{SPACE}+$".replace("|(?U)", "|"), "")
+    return F.regexp_replace(col(c), f"(?U)^{_BLANK}+|{_BLANK}+$", "")
 
 
 def squeeze(c: Column | str) -> Column:

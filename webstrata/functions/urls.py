@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webstrata.functions.expr import any_of, blank_to_null, col, let
+from webstrata.functions.expr import any_of, blank_to_null, col, let, record
 
 # The result must treat exactly these hosts as social networks.
 SOCIAL_DOMAINS = [
@@ -48,12 +48,12 @@ def _clean(url: Column) -> Column:
 def split_url(url: Column | str) -> Column:
     """struct(scheme, netloc, path, query, fragment); absent parts are empty strings."""
     def parts(u: Column) -> Column:
-        return F.struct(
-            F.lower(F.regexp_extract(u, _URL, 1)).alias("scheme"),
-            F.regexp_extract(u, _URL, 2).alias("netloc"),
-            F.regexp_extract(u, _URL, 3).alias("path"),
-            F.regexp_extract(u, _URL, 4).alias("query"),
-            F.regexp_extract(u, _URL, 5).alias("fragment"),
+        return record(
+            scheme=F.lower(F.regexp_extract(u, _URL, 1)),
+            netloc=F.regexp_extract(u, _URL, 2),
+            path=F.regexp_extract(u, _URL, 3),
+            query=F.regexp_extract(u, _URL, 4),
+            fragment=F.regexp_extract(u, _URL, 5),
         )
     url = col(url)
     return F.when(url.isNotNull(), let(_clean(url), parts))
@@ -138,7 +138,7 @@ def resolve_url(base: Column | str, href: Column | str, keep_fragment: bool = Fa
         )
 
     base, href = col(base), col(href)
-    bound = F.struct(split_url(base).alias("b"), split_url(href).alias("r"), href.alias("href"))
+    bound = record(b=split_url(base), r=split_url(href), href=href)
     return F.when(base.isNotNull() & href.isNotNull(), let(bound, resolve))
 
 
@@ -171,10 +171,10 @@ def _escape(text: Column) -> Column:
 def query_pairs(query: Column) -> Column:
     """array<struct<key,pos,value>> of a query string, decoded; a bare key has an empty value."""
     pieces = F.filter(F.split(query, "&"), lambda p: p != "")
-    return F.transform(pieces, lambda p, i: F.struct(
-        _unescape(F.substring_index(p, "=", 1)).alias("key"),
-        i.alias("pos"),
-        _unescape(F.when(p.contains("="), F.substr(p, F.instr(p, "=") + 1)).otherwise("")).alias("value"),
+    return F.transform(pieces, lambda p, i: record(
+        key=_unescape(F.substring_index(p, "=", 1)),
+        pos=i,
+        value=_unescape(F.when(p.contains("="), F.substr(p, F.instr(p, "=") + 1)).otherwise("")),
     ))
 
 
@@ -202,7 +202,7 @@ def normalize_url_hardened(url: Column | str, idn: bool = True) -> Column:
         return join_url(u["scheme"], name, F.regexp_replace(u["path"], r";[^/]*$", ""),
                         _canonical_query(u["query"]), F.lit(""))
 
-    return F.when(url.isNotNull(), let(F.struct(split_url(url).alias("u"), ascii_host.alias("ascii")), assemble))
+    return F.when(url.isNotNull(), let(record(u=split_url(url), ascii=ascii_host), assemble))
 
 
 def normalize_url_for_storage(url: Column | str) -> Column:
@@ -241,7 +241,7 @@ def classify_url(url: Column | str, base_domain: Column | str, from_hreflang: Co
         )
 
     url = col(url)
-    bound = F.struct(_without_www(host(url)).alias("name"), _without_www(base).alias("site"), linked.alias("linked"))
+    bound = record(name=_without_www(host(url)), site=_without_www(base), linked=linked)
     return F.when(url.isNotNull(), let(bound, relation))
 
 
@@ -263,19 +263,19 @@ def url_components(href: Column | str, base: Column | str) -> Column:
 
     def parts(u: Column) -> Column:
         bare = join_url(u["scheme"], u["netloc"], u["path"], F.lit(""), F.lit(""))
-        return F.struct(
-            bare.alias("bare"),
-            blank_to_null(u["fragment"]).alias("url_fragment"),
-            first_values(u["query"]).alias("url_parameters"),
-            (u["netloc"] != "").alias("is_absolute"),
+        return record(
+            bare=bare,
+            url_fragment=blank_to_null(u["fragment"]),
+            url_parameters=first_values(u["query"]),
+            is_absolute=u["netloc"] != "",
         )
 
     split = let(split_url(href), parts)
-    return let(split, lambda s: F.struct(
-        F.when(s["is_absolute"], s["bare"]).otherwise(resolve_url(base, s["bare"], keep_fragment=True)).alias("href"),
-        s["url_fragment"].alias("url_fragment"),
-        s["url_parameters"].alias("url_parameters"),
-        s["is_absolute"].alias("is_absolute"),
+    return let(split, lambda s: record(
+        href=F.when(s["is_absolute"], s["bare"]).otherwise(resolve_url(base, s["bare"], keep_fragment=True)),
+        url_fragment=s["url_fragment"],
+        url_parameters=s["url_parameters"],
+        is_absolute=s["is_absolute"],
     ))
 
 
