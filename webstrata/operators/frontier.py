@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webstrata.functions.scoring import priority_score
-from webstrata.functions.urls import host, in_scope, on_domains, path_or_root, under_prefix
+from webstrata.functions.urls import host, in_scope, on_domains, path, under_prefix
 from webstrata.operators.links import inlink_counts
 from webstrata.operators.robots import robots_verdict
 
@@ -187,7 +187,7 @@ def should_crawl(urls: DataFrame, rules: DataFrame, agent: str, allow_external:
     if domains:
         decision = decision.when(~on_domains("url", domains), external)
     if restriction:
-        decision = decision.when(internal & ~path_or_root("url").contains(restriction), external)
+        decision = decision.when(internal & ~path("url").contains(restriction), external)
     decision = (decision.when(F.col("classification").isin("internal", "network"), F.col("robots_allows"))
                 .when(F.col("classification") == "external", external).otherwise(F.lit(False)))
     return verdicts.select(*urls.columns, decision.alias("should_crawl"))

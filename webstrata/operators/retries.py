@@ -9,6 +9,8 @@ from webstrata.functions.expr import record
 from webstrata.functions.scoring import failure_reason, retryable
 from webstrata.operators.skew import join_unique
 
+FOREVER = 1e15   # seconds; keeps the sum of time and waiting time within a bigint
+
 
 def failed_urls(fetch_log: DataFrame, retry_delay: float = 1.0, backoff_factor: float = 2.0) -> DataFrame:
     """URLs that failed since their last success: the first failure has retry_count 0, each further
@@ -21,7 +23,8 @@ def failed_urls(fetch_log: DataFrame, retry_delay: float = 1.0, backoff_factor:
     ledger = open_failures.groupBy("url").agg(
         F.max_by("status", "_at").alias("status_code"), (F.count("*") - 1).alias("retry_count"),
         F.unix_seconds(F.min("ts")).alias("created_at"), F.unix_seconds(F.max("ts")).alias("last_retry_at"))
-    wait = F.floor(F.lit(retry_delay) * F.pow(F.lit(backoff_factor), F.col("retry_count"))).cast("bigint")
+    grown = F.lit(retry_delay) * F.pow(F.lit(backoff_factor), F.col("retry_count"))
+    wait = F.floor(F.least(grown, F.lit(FOREVER))).cast("bigint")
     return ledger.select(
         "url", "status_code", failure_reason("status_code").alias("failure_reason"), "retry_count",
         "created_at", "last_retry_at", (F.col("last_retry_at") + wait).alias("next_retry_at"))
