@@ -45,8 +45,7 @@ def _shingle_counts(texts: list[str]) -> tuple[list[str], list[tuple[np.ndarray,
     return shingles, [(np.searchsorted(distinct, k), c) for k, c in counted]
 
 
-@F.pandas_udf(T.LongType())
-def _simhash(words: pd.Series) -> pd.Series:
+def _simhash_batch(words: pd.Series) -> pd.Series:
     """Each distinct shingle of the batch is hashed once; a text adds up its shingles' bits."""
     out: list[int | None] = [None] * len(words)
     long = [(i, w) for i, w in enumerate(words) if w is not None and len(w) >= SHINGLE]
@@ -61,6 +60,10 @@ def _simhash(words: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="Int64")
 
 
+# Declared non-deterministic so that the optimizer evaluates it once per row.
+_simhash = F.pandas_udf(_simhash_batch, T.LongType()).asNondeterministic()
+
+
 def simhash(text: Column | str) -> Column:
     """64-bit SimHash as a signed bigint: md5 of 4-character shingles of the lower-cased word
     characters, weighted by count; a bit is set when more than half of the weight sets it."""

@@ -142,8 +142,7 @@ def resolve_url(base: Column | str, href: Column | str, keep_fragment: bool = Fa
     return F.when(base.isNotNull() & href.isNotNull(), let(bound, resolve))
 
 
-@F.pandas_udf(T.StringType())
-def _punycode(hosts: pd.Series) -> pd.Series:
+def _punycode_batch(hosts: pd.Series) -> pd.Series:
     import idna
 
     def encode(name: str | None) -> str | None:
@@ -158,6 +157,10 @@ def _punycode(hosts: pd.Series) -> pd.Series:
     return hosts.map(known, na_action="ignore")
 
 
+# Declared non-deterministic so that the optimizer neither repeats it nor moves it into filters.
+_punycode = F.pandas_udf(_punycode_batch, T.StringType()).asNondeterministic()
+
+
 def _unescape(text: Column) -> Column:
     """Percent- and plus-decoding that leaves stray percent signs alone."""
     return F.try_url_decode(F.regexp_replace(text, r"%(?![0-9A-Fa-f]{2})", "%25"))

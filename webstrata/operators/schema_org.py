@@ -66,8 +66,7 @@ def _stable(value):
     return value
 
 
-@F.pandas_udf(T.StructType([T.StructField("data", T.StringType()), T.StructField("hash", T.StringType())]))
-def _normalized(item: pd.Series, base: pd.Series) -> pd.DataFrame:
+def _normalize_batch(item: pd.Series, base: pd.Series) -> pd.DataFrame:
     """Item JSON with absolute URLs, and the SHA-256 of its canonical form."""
     rows = []
     for text, url in zip(item, base):
@@ -80,6 +79,11 @@ def _normalized(item: pd.Series, base: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["data", "hash"])
 
 
+# Declared non-deterministic so that the optimizer evaluates it once per row.
+_normalized = F.pandas_udf(_normalize_batch, T.StructType([
+    T.StructField("data", T.StringType()), T.StructField("hash", T.StringType())])).asNondeterministic()
+
+
 # ---- extraction ---------------------------------------------------------------------------
 
 def _short_type(name: Column) -> Column:

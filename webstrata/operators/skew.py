@@ -29,7 +29,8 @@ def join_unique(facts: DataFrame, dim: DataFrame, key: str, how: str = "left",
 
     The most frequent keys are found by a pre-aggregated count and broadcast (at most HOT_KEYS
     values). Their fact rows are salted over SPREAD tasks and only their dim rows are repeated
-    SPREAD times; every other key goes through the ordinary shuffle once.
+    SPREAD times; every other key goes through the ordinary shuffle once. Rows without a key are
+    spread as well.
     """
     if hot is None:
         hot = hottest(facts.groupBy(key).agg(F.count("*").alias("_n")), key, "_n")
@@ -37,7 +38,8 @@ def join_unique(facts: DataFrame, dim: DataFrame, key: str, how: str = "left",
     row_hash = F.xxhash64(*[c for c, t in facts.dtypes if "map<" not in t and "variant" not in t])
     is_hot = F.col("_hot_key").isNotNull()
     salted = facts.join(hot, facts[key] == hot["_hot_key"], "left").withColumn(
-        "_salt", F.when(is_hot, F.pmod(row_hash, F.lit(SPREAD))).otherwise(0).cast("int")).drop("_hot_key")
+        "_salt", F.when(is_hot | F.col(key).isNull(), F.pmod(row_hash, F.lit(SPREAD))).otherwise(0).cast("int")
+    ).drop("_hot_key")
     repeated = dim.join(hot, dim[key] == hot["_hot_key"], "left").withColumn(
         "_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SPREAD - 1)))
                            .otherwise(F.array(F.lit(0))))).drop("_hot_key")
