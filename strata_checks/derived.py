@@ -234,7 +234,7 @@ def with_derived(sql: str) -> str:
     def duck(text: str) -> str:
         return _fill(text, lambda items: f"unnest([{items}])", lambda t: t)
 
-    body = duck(sql).strip()
+    body = duck(sql).strip().replace("\\p<L>", "\\p{L}").replace("\\p<N>", "\\p{N}")
     ctes = ", ".join(f"{n} AS ({duck(DERIVED[n])})" for n in order)
     if not ctes:
         return body
