@@ -284,7 +284,7 @@ def _hreflang_edges_html(data: Data) -> DataFrame:
     return E.hreflang_edges_html(_rich_content(data))
 
 
-@check("newly_linked_urls", f"""SELECT DISTINCT href_url AS url, 'other' AS kind, CASE WHEN href_url LIKE 'https://www.example.org/%' THEN 'internal' ELSE 'network' END AS classification
+@check("newly_linked_urls", f"""SELECT DISTINCT href_url AS url, 'other' AS kind, CASE WHEN href_url LIKE 'https://www.example.org/%' THEN 'internal' WHEN href_url LIKE 'http%://%.example.org/%' THEN 'subdomain' ELSE 'network' END AS classification
     FROM ({HREFLANG}) AS h WHERE href_url NOT IN (SELECT url FROM {{urls}})""")
 def _newly_linked_urls(data: Data) -> DataFrame:
     targets = E.hreflang_edges_html(_rich_content(data)).select(F.col("href_url").alias("url"))
@@ -555,14 +555,14 @@ def _retry_stats(data: Data) -> DataFrame:
     return Rt.retry_stats(Rt.failed_urls(data.fetch_log, 3.0), LATE)
 
 
-CIRCUIT = """WITH RECURSIVE log AS (SELECT event_id, host, epoch_us(ts) AS at, status >= 500 OR status = 429 OR status = 0 AS failed, status BETWEEN 200 AND 499 AND status <> 429 AS ok,
+CIRCUIT = """WITH RECURSIVE log AS (SELECT event_id, host, epoch_us(ts) AS us, status >= 500 OR status = 429 OR status = 0 AS failed, status BETWEEN 200 AND 499 AND status <> 429 AS ok,
         row_number() OVER (PARTITION BY host ORDER BY ts, event_id) AS rn FROM {fetch_log}),
     walk AS (SELECT host, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS event_id, 'CLOSED' AS state_before, 'CLOSED' AS state, 0 AS fails, CAST(NULL AS BIGINT) AS last_failure FROM log WHERE rn = 1
         UNION ALL SELECT host, rn, event_id, seen, CASE WHEN seen = 'HALF_OPEN' AND ok THEN 'CLOSED' WHEN seen = 'HALF_OPEN' AND failed THEN 'OPEN'
             WHEN seen = 'CLOSED' AND failed AND fails + 1 >= 5 THEN 'OPEN' ELSE seen END, CASE WHEN ok AND seen <> 'OPEN' THEN 0 WHEN failed THEN fails + 1 ELSE fails END,
-            CASE WHEN failed THEN at ELSE last_failure END FROM (
-            SELECT l.host, l.rn, l.event_id, l.at, l.ok, l.failed, w.fails, w.last_failure,
-                CASE WHEN w.state = 'OPEN' AND l.at - w.last_failure > 60000000 THEN 'HALF_OPEN' ELSE w.state END AS seen
+            CASE WHEN failed THEN us ELSE last_failure END FROM (
+            SELECT l.host, l.rn, l.event_id, l.us, l.ok, l.failed, w.fails, w.last_failure,
+                CASE WHEN w.state = 'OPEN' AND l.us - w.last_failure > 60000000 THEN 'HALF_OPEN' ELSE w.state END AS seen
             FROM walk w JOIN log l ON l.host = w.host AND l.rn = w.rn + 1) AS s)
     SELECT event_id, host, state_before, state AS state_after FROM walk WHERE rn > 0"""
 
@@ -577,11 +577,11 @@ def _host_circuit_latest(data: Data) -> DataFrame:
     return Ho.host_circuit_latest(Ho.host_circuit(data.fetch_log)).select("host", "state")
 
 
-DELAY = """WITH RECURSIVE log AS (SELECT host, status, epoch_us(ts) AS at, row_number() OVER (PARTITION BY host ORDER BY ts, event_id) AS rn FROM {fetch_log}),
-    walk AS (SELECT host, CAST(0 AS BIGINT) AS rn, CAST(0.2 AS DOUBLE) AS delay, CAST(0 AS BIGINT) AS at FROM log WHERE rn = 1
+DELAY = """WITH RECURSIVE log AS (SELECT host, status, epoch_us(ts) AS us, row_number() OVER (PARTITION BY host ORDER BY ts, event_id) AS rn FROM {fetch_log}),
+    walk AS (SELECT host, CAST(0 AS BIGINT) AS rn, CAST(0.2 AS DOUBLE) AS delay, CAST(0 AS BIGINT) AS us FROM log WHERE rn = 1
         UNION ALL SELECT l.host, l.rn, CASE WHEN l.status IN (429, 502, 503, 504) THEN least(w.delay * 3, 10) WHEN l.status IN (408, 420, 423, 451) THEN least(w.delay * 1.5, 10)
-            WHEN l.status IN (200, 304) THEN greatest(w.delay * 0.9, 0.2) ELSE w.delay END, l.at FROM walk w JOIN log l ON l.host = w.host AND l.rn = w.rn + 1)
-    SELECT host, round(arg_max(delay, rn), 6) AS adaptive_delay, max(at) AS last_request, round(greatest(arg_max(delay, rn), CAST(length(host) AS DOUBLE) - 11), 6) AS current_delay FROM walk GROUP BY host"""
+            WHEN l.status IN (200, 304) THEN greatest(w.delay * 0.9, 0.2) ELSE w.delay END, l.us FROM walk w JOIN log l ON l.host = w.host AND l.rn = w.rn + 1)
+    SELECT host, round(arg_max(delay, rn), 6) AS adaptive_delay, max(us) AS last_request, round(greatest(arg_max(delay, rn), CAST(length(host) AS DOUBLE) - 11), 6) AS current_delay FROM walk GROUP BY host"""
 
 
 @check("host_delay", DELAY)

@@ -15,10 +15,11 @@ FOREVER = 1e15   # seconds; keeps the sum of time and waiting time within a bigi
 def failed_urls(fetch_log: DataFrame, retry_delay: float = 1.0, backoff_factor: float = 2.0) -> DataFrame:
     """URLs that failed since their last success: the first failure has retry_count 0, each further
     one adds 1 and multiplies the waiting time. A success (2xx) clears the URL."""
+    fetch_log = fetch_log.withColumn("ts", F.col("ts").cast("timestamp"))
     order = F.struct("ts", "event_id")
     ok = fetch_log.where(F.col("status").between(200, 299)).groupBy("url").agg(F.max(order).alias("_ok"))
     failures = fetch_log.where(retryable("status")).select(
-        "url", "status", F.col("ts"), "event_id", order.alias("_at"))
+        "url", "status", "ts", "event_id", order.alias("_at"))
     open_failures = join_unique(failures, ok, "url", "left").where("_ok is null or _at > _ok")
     ledger = open_failures.groupBy("url").agg(
         F.max_by("status", "_at").alias("status_code"), (F.count("*") - 1).alias("retry_count"),
