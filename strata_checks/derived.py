@@ -43,7 +43,7 @@ DERIVED = {
         (page_id * 11) % 60 AS internal_links_count, (page_id * 5) % 20 AS external_links_count,
         (page_id * 11) % 30 AS internal_links_unique_count, (page_id * 5) % 10 AS external_links_unique_count,
         page_id % 7 AS crawl_depth, md5(CAST(page_id % 40 AS STRING)) AS content_hash_sha256,
-        md5(CAST(page_id % 20 AS STRING)) AS content_hash_simhash, length(html) AS content_length
+        md5(CAST(page_id % 20 AS STRING)) AS content_hash_simhash, CAST(length(html) AS BIGINT) AS content_length
         FROM {pages} WHERE page_id % 8 < 5""",
     "internal_links": f"""SELECT page_id AS source_url_id, (page_id * 7 + k) % n AS target_url_id,
         (page_id * 7 + k) % n AS href_url_id,

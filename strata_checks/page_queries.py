@@ -129,8 +129,8 @@ def overview_of_snapshot(pages: DataFrame) -> DataFrame:
     arriving AS (SELECT regexp_extract(url, '^(https?://[^/]+)', 1) || href AS url, count(*) AS n, count(DISTINCT page_id) AS u FROM links GROUP BY 1)
     SELECT p.page_id, p.url, trim({decoded("regexp_extract(html, '<title>(.*?)</title>', 1)")}) AS title,
     trim({decoded("regexp_extract(html, '<h1>(.*?)</h1>', 1)")}) AS h1, regexp_extract(html, '<html lang="([^"]*)"', 1) AS html_lang,
-    {COUNTED} AS word_count, coalesce(out.n, 0) AS internal_links_count, 0 AS external_links_count,
-    coalesce(out.u, 0) AS internal_links_unique_count, 0 AS external_links_unique_count,
+    {COUNTED} AS word_count, coalesce(out.n, 0) AS internal_links_count, CAST(0 AS BIGINT) AS external_links_count,
+    coalesce(out.u, 0) AS internal_links_unique_count, CAST(0 AS BIGINT) AS external_links_unique_count,
     coalesce(arriving.n, 0) AS inlinks_count, coalesce(arriving.u, 0) AS inlinks_unique_count
     FROM pages p LEFT JOIN out ON out.page_id = p.page_id LEFT JOIN arriving ON arriving.url = p.url""")
 def _snapshot_overview(data: Data) -> DataFrame:
@@ -169,7 +169,7 @@ def _sitemap_kind(data: Data) -> DataFrame:
     return data.sitemap_files.select("sitemap_url", M.sitemap_kind(F.col("xml")).alias("kind"))
 
 
-@check("expand_sitemaps", """SELECT sitemap_url, parent, depth FROM (
+@check("expand_sitemaps", """SELECT sitemap_url, parent, CAST(depth AS BIGINT) AS depth FROM (
     SELECT 'https://' || host || '/map.xml' AS sitemap_url, CAST(NULL AS STRING) AS parent, 0 AS depth FROM {hosts} WHERE first_id % 4 <> 1
     UNION ALL SELECT 'https://' || host || '/sitemap.xml', NULL, 0 FROM {hosts} WHERE first_id % 4 = 1
     UNION ALL SELECT DISTINCT 'https://' || e.host || '/map-' || CAST(shard AS STRING) || '.xml', 'https://' || e.host || '/map.xml', 1
@@ -184,12 +184,12 @@ def _sitemap_urls(data: Data) -> DataFrame:
     return _plain(M.sitemap_urls(_seeds(data), data.sitemap_files))
 
 
-@check("sitemap_tables_sitemaps", f"""SELECT sitemap_url, count(*) AS total_urls_found, 77 AS discovered_at FROM ({ENTRY}) AS e GROUP BY sitemap_url""")
+@check("sitemap_tables_sitemaps", f"""SELECT sitemap_url, count(*) AS total_urls_found, CAST(77 AS BIGINT) AS discovered_at FROM ({ENTRY}) AS e GROUP BY sitemap_url""")
 def _sitemap_tables_sitemaps(data: Data) -> DataFrame:
     return M.sitemap_tables(M.parse_sitemaps(data.sitemap_files), 77)[0]
 
 
-@check("sitemap_tables_urls", f"""SELECT regexp_replace(url, '#.*$', '') AS url, sitemap_url, min(position) AS position, 77 AS discovered_at
+@check("sitemap_tables_urls", f"""SELECT regexp_replace(url, '#.*$', '') AS url, sitemap_url, min(position) AS position, CAST(77 AS BIGINT) AS discovered_at
     FROM ({ENTRY}) AS e GROUP BY 1, 2""")
 def _sitemap_tables_urls(data: Data) -> DataFrame:
     return M.sitemap_tables(M.parse_sitemaps(data.sitemap_files), 77)[1]
@@ -255,7 +255,7 @@ def _policy_header(probes: DataFrame) -> DataFrame:
     return probes.withColumn("headers", named)
 
 
-@check("parse_hsts", """SELECT base_domain, checked_at, CASE first_id % 4 WHEN 0 THEN 31536000 WHEN 1 THEN 300 END AS max_age,
+@check("parse_hsts", """SELECT base_domain, checked_at, CAST(CASE first_id % 4 WHEN 0 THEN 31536000 WHEN 1 THEN 300 END AS BIGINT) AS max_age,
     first_id % 4 IN (0, 2) AS include_subdomains, first_id % 4 IN (0, 1) AS preload, first_id % 4 = 0 AS max_age_ok,
     first_id % 4 <> 3 AS present FROM {hsts_probes} p JOIN {hosts} h ON h.host = p.base_domain WHERE probe = 'https'""")
 def _parse_hsts(data: Data) -> DataFrame:
@@ -267,7 +267,7 @@ HSTS = """SELECT host AS base_domain, 1000 + k AS checked_at, 'https://' || host
     CASE WHEN first_id % 5 = 4 THEN 500 ELSE 200 END AS https_status,
     CASE first_id % 4 WHEN 0 THEN 'max-age=31536000; includeSubDomains; preload' WHEN 1 THEN 'max-age="300"; preload'
         WHEN 2 THEN 'includeSubDomains; max-age=x' END AS hsts_header,
-    CASE first_id % 4 WHEN 0 THEN 31536000 WHEN 1 THEN 300 END AS hsts_max_age, first_id % 4 IN (0, 2) AS hsts_include_subdomains,
+    CAST(CASE first_id % 4 WHEN 0 THEN 31536000 WHEN 1 THEN 300 END AS BIGINT) AS hsts_max_age, first_id % 4 IN (0, 2) AS hsts_include_subdomains,
     first_id % 4 IN (0, 1) AS hsts_preload, first_id % 4 = 0 AS hsts_max_age_ok, 'http://' || host || '/' AS http_url,
     CASE WHEN first_id % 5 = 4 THEN 500 ELSE 200 END AS http_status, first_id % 3 <> 0 AS http_redirects_to_https,
     CASE WHEN first_id % 3 <> 0 THEN 'https://' || host || '/' END AS http_redirect_target,
@@ -299,7 +299,7 @@ check("hsts_checks", HSTS)(hsts_table)
 check("site_probe_checks", SPA)(spa_table)
 
 
-@check("stale_resources", """SELECT page_id, ttl FROM (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 60 WHEN 1 THEN 0 WHEN 2 THEN 3600
+@check("stale_resources", """SELECT page_id, CAST(ttl AS BIGINT) AS ttl FROM (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 60 WHEN 1 THEN 0 WHEN 2 THEN 3600
     WHEN 3 THEN 1000 WHEN 4 THEN 1000 ELSE 3600 END AS ttl FROM {pages}) AS t WHERE page_id * 10 > ttl""")
 def _stale_resources(data: Data) -> DataFrame:
     now = 1704067200 + 10_000

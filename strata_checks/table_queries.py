@@ -42,7 +42,7 @@ NOW = 1704067200 + 500_000
 def _read_pages(data: Data) -> DataFrame:
     listed = data.pages.where(F.col("url").contains("?")).select("url")
     pages = Rd.read_pages(data.spark, f"{data.sf_dir}/pages.parquet", listed)
-    return pages.select("page_id", "url", F.char_length("html").alias("html_length"))
+    return pages.select("page_id", "url", F.char_length("html").cast("bigint").alias("html_length"))
 
 
 @check("read_url_list_csv", "SELECT url FROM {pages}")
@@ -147,7 +147,7 @@ def _is_exact_duplicate(data: Data) -> DataFrame:
 
 @check("near_duplicate_pairs", f"""WITH s AS ({SIMHASH.replace("{L}", "<L>").replace("{N}", "<N>")}),
     g AS (SELECT simhash AS h, count(*) AS copies, min(doc_id) AS id FROM s GROUP BY 1)
-    SELECT a.id AS id1, b.id AS id2, a.copies AS copies1, b.copies AS copies2, bit_count(xor(a.h, b.h)) AS distance
+    SELECT a.id AS id1, b.id AS id2, a.copies AS copies1, b.copies AS copies2, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance
     FROM g a JOIN g b ON a.h < b.h AND bit_count(xor(a.h, b.h)) <= 3""")
 def _near_duplicate_pairs(data: Data) -> DataFrame:
     pairs = D.near_duplicate_pairs(_document_hashes(data), 0.95, id_column="doc_id")
@@ -157,8 +157,8 @@ def _near_duplicate_pairs(data: Data) -> DataFrame:
 # ---- upserts and derived tables -----------------------------------------------------------
 
 @check("upsert_urls", f"""SELECT url, CASE WHEN page_id % 3 = 0 THEN 'html' ELSE 'other' END AS kind, CASE WHEN page_id % 3 = 0 THEN 'internal' ELSE 'external' END AS classification,
-    CASE WHEN page_id % 2 = 0 THEN 'a' WHEN page_id % 3 = 0 THEN 'b' END AS discovered_from, CASE WHEN page_id % 4 <> 3 THEN 100 ELSE 200 END AS first_seen,
-    CASE WHEN page_id % 3 = 0 THEN 300 WHEN page_id % 4 = 3 THEN 200 ELSE 100 END AS last_seen FROM {{pages}} WHERE page_id % 4 <> 3 OR page_id % 3 = 0""")
+    CASE WHEN page_id % 2 = 0 THEN 'a' WHEN page_id % 3 = 0 THEN 'b' END AS discovered_from, CAST(CASE WHEN page_id % 4 <> 3 THEN 100 ELSE 200 END AS BIGINT) AS first_seen,
+    CAST(CASE WHEN page_id % 3 = 0 THEN 300 WHEN page_id % 4 = 3 THEN 200 ELSE 100 END AS BIGINT) AS last_seen FROM {{pages}} WHERE page_id % 4 <> 3 OR page_id % 3 = 0""")
 def _upsert_urls(data: Data) -> DataFrame:
     ids = F.col("page_id")
     origin = F.when(ids % 2 == 0, "a")
@@ -232,7 +232,7 @@ def _page_metadata(data: Data) -> DataFrame:
     return E.page_metadata(_fetches(data))
 
 
-@check("redirect_table", """SELECT url AS source_url, 'https://y.example.org/' || CAST(page_id AS STRING) AS target_url, CASE WHEN page_id % 6 = 0 THEN 2 ELSE 1 END AS chain_length,
+@check("redirect_table", """SELECT url AS source_url, 'https://y.example.org/' || CAST(page_id AS STRING) AS target_url, CAST(CASE WHEN page_id % 6 = 0 THEN 2 ELSE 1 END AS BIGINT) AS chain_length,
     CASE WHEN page_id % 5 = 0 THEN 304 ELSE 200 END AS final_status_code FROM {pages} WHERE page_id % 3 = 0""")
 def _redirect_table(data: Data) -> DataFrame:
     return E.redirect_table(_fetches(data)).drop("chain")
@@ -330,14 +330,14 @@ def _embedding_inputs(data: Data) -> DataFrame:
 
 
 @check("upsert_embeddings", """SELECT vec_id AS url_id, CASE WHEN vec_id % 2 = 0 THEN 'new' ELSE 'old' END AS model, CASE WHEN vec_id % 2 = 0 THEN 9 ELSE len(embedding) END AS text_length,
-    CASE WHEN vec_id % 2 = 0 THEN 2 ELSE 1 END AS created_at, CASE WHEN vec_id % 2 = 0 THEN 1 ELSE len(embedding) END AS dimensions FROM {embeddings}""")
+    CAST(CASE WHEN vec_id % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS created_at, CASE WHEN vec_id % 2 = 0 THEN 1 ELSE len(embedding) END AS dimensions FROM {embeddings}""")
 def _upsert_embeddings(data: Data) -> DataFrame:
     def rows(vectors, model: str, length, at: int) -> DataFrame:
         return data.embeddings.select(F.col("vec_id").alias("url_id"), vectors.alias("embedding"), F.lit(model).alias("model"),
                                       length.cast("bigint").alias("text_length"), F.lit(at).cast("bigint").alias("created_at"))
     old = rows(F.col("embedding"), "old", F.size("embedding"), 1)
     new = rows(F.array(F.lit(1.0).cast("float")), "new", F.lit(9), 2).where("url_id % 2 = 0")
-    return E.upsert_embeddings(old, new).withColumn("dimensions", F.size("embedding")).drop("embedding")
+    return E.upsert_embeddings(old, new).withColumn("dimensions", F.size("embedding").cast("bigint")).drop("embedding")
 
 
 def length_embedder(texts: list[str]) -> list[list[float]]:
@@ -358,7 +358,7 @@ def _embed(data: Data) -> DataFrame:
 
 
 @check("embed_counts", """SELECT count(*) FILTER (page_id NOT IN (SELECT vec_id * 3 FROM {embeddings})) AS processed,
-    count(*) FILTER (page_id IN (SELECT vec_id * 3 FROM {embeddings})) AS skipped, 0 AS errors FROM {pages}""")
+    count(*) FILTER (page_id IN (SELECT vec_id * 3 FROM {embeddings})) AS skipped, CAST(0 AS BIGINT) AS errors FROM {pages}""")
 def _embed_counts(data: Data) -> DataFrame:
     pages, embedded = _embedded(data)
     return E.embed_counts(embedded, pages)
@@ -480,13 +480,13 @@ def _frontier_scoring_stats(data: Data) -> DataFrame:
 
 @check("frontier_missing", """SELECT url_id, url, classification, kind, url_id IN (SELECT canonical_url_id FROM {canonical_urls}) AS is_canonical_target,
     url_id IN (SELECT href_url_id FROM {hreflang_html_head}) AS is_hreflang_target, url_id IN (SELECT source_url_id FROM {redirects}) AS is_redirect_source,
-    url_id IN (SELECT target_url_id FROM {redirects}) AS is_redirect_target, 0 AS depth FROM {urls}
+    url_id IN (SELECT target_url_id FROM {redirects}) AS is_redirect_target, CAST(0 AS BIGINT) AS depth FROM {urls}
     WHERE classification IN ('internal', 'network') AND url_id NOT IN (SELECT url_id FROM {frontier})""")
 def _frontier_missing(data: Data) -> DataFrame:
     return Fr.frontier_missing(data.urls, data.frontier, data.canonical_urls, data.hreflang_html_head, data.redirects)
 
 
-@check("frontier_from_hreflang", """SELECT DISTINCT href_url_id AS url_id, 0 AS depth FROM (SELECT href_url_id FROM {hreflang_html_head} UNION SELECT href_url_id FROM {hreflang_sitemap}) AS h
+@check("frontier_from_hreflang", """SELECT DISTINCT href_url_id AS url_id, CAST(0 AS BIGINT) AS depth FROM (SELECT href_url_id FROM {hreflang_html_head} UNION SELECT href_url_id FROM {hreflang_sitemap}) AS h
     WHERE href_url_id NOT IN (SELECT url_id FROM {frontier})""")
 def _frontier_from_hreflang(data: Data) -> DataFrame:
     return Fr.frontier_from_hreflang(data.frontier, data.hreflang_html_head, data.hreflang_sitemap)
@@ -496,7 +496,7 @@ SEARCH = """WITH RECURSIVE edges AS (SELECT source_url_id AS s, target_url_id AS
     allowed AS (SELECT url_id FROM {urls} WHERE classification IN ('internal', 'network')),
     search AS (SELECT url_id, 0 AS depth FROM allowed WHERE %s
         UNION SELECT e.t, search.depth + e.cost FROM search JOIN edges e ON e.s = search.url_id JOIN allowed a ON a.url_id = e.t WHERE search.depth + e.cost <= %d)
-    SELECT url_id, min(depth) AS depth FROM search GROUP BY url_id"""
+    SELECT url_id, CAST(min(depth) AS BIGINT) AS depth FROM search GROUP BY url_id"""
 
 
 def _crawlable(data: Data) -> DataFrame:
@@ -516,7 +516,7 @@ def _crawl_depth_seed_list(data: Data) -> DataFrame:
                           url_list=listed, list_is_seed=True).select("url_id", "depth")
 
 
-@check("crawl_depth_restricted", """SELECT url_id, 0 AS depth FROM {urls} WHERE classification IN ('internal', 'network') AND url LIKE '%?page=2%'""")
+@check("crawl_depth_restricted", """SELECT url_id, CAST(0 AS BIGINT) AS depth FROM {urls} WHERE classification IN ('internal', 'network') AND url LIKE '%?page=2%'""")
 def _crawl_depth_restricted(data: Data) -> DataFrame:
     listed = data.urls.where(F.col("url").contains("?page=2"))
     return Dp.crawl_depth(data.urls.where("url_id = 0"), data.internal_links, data.redirects, _crawlable(data),
@@ -614,7 +614,7 @@ def _stats_sql(keys: str, on_url: str, on_id: str) -> str:
     return (STATS.replace("{k}", keys).replace("{u}", on_url).replace("{f}", on_id)).replace("{{", "{").replace("}}", "}")
 
 
-@check("crawl_stats", _stats_sql("", "true", "true") + f""", (SELECT count(*) FROM ({FAILED}) AS x) AS failures, (SELECT sum(retry_count) FROM ({FAILED}) AS y) AS retries,
+@check("crawl_stats", _stats_sql("", "true", "true") + f""", (SELECT count(*) FROM ({FAILED}) AS x) AS failures, (SELECT CAST(sum(retry_count) AS BIGINT) FROM ({FAILED}) AS y) AS retries,
     (SELECT count(*) FROM {{content}}) / 50.0 AS pages_per_sec""")
 def _crawl_stats(data: Data) -> DataFrame:
     tables = {**data.tables("urls", "frontier", "content", "page_metadata"), "failed_urls": Rt.failed_urls(data.fetch_log, 3.0)}
@@ -778,7 +778,7 @@ def _commercial_summary(data: Data) -> DataFrame:
     return H.commercial_summary(_issues(data))
 
 
-@check("comparison_summary", f"""SELECT count(*) AS total_paths, sum(exists_on_origin) AS origin_paths, sum(exists_on_staging) AS staging_paths,
+@check("comparison_summary", f"""SELECT count(*) AS total_paths, CAST(sum(exists_on_origin) AS BIGINT) AS origin_paths, CAST(sum(exists_on_staging) AS BIGINT) AS staging_paths,
     count(*) FILTER (exists_on_origin = 1 AND exists_on_staging = 0) AS missing_in_staging, count(*) FILTER (exists_on_origin = 0 AND exists_on_staging = 1) AS new_in_staging FROM ({CMP}) AS c""")
 def _comparison_summary(data: Data) -> DataFrame:
     return H.comparison_summary(_compared(data))

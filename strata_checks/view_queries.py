@@ -185,7 +185,7 @@ VIEW_SQL = {
             WHERE u.classification IN ('internal', 'network')),
         so AS (SELECT count(DISTINCT us.url_id) AS total, count(DISTINCT c.url_id) AS crawled FROM {{url_sitemaps}} us LEFT JOIN {{content}} c ON c.url_id = us.url_id)
         SELECT ss.a AS sitemaps_scraped, ss.b AS urls_in_sitemaps, uc.internal AS internal_urls, uc.network AS network_urls, uc.external AS external_urls,
-        uc.social AS social_urls, cs.n AS total_crawled, cs.n AS status_200, 0 AS non_200, ca.has AS has_canonical, ca.total - ca.has AS no_canonical,
+        uc.social AS social_urls, cs.n AS total_crawled, cs.n AS status_200, CAST(0 AS BIGINT) AS non_200, ca.has AS has_canonical, ca.total - ca.has AS no_canonical,
         ix.yes AS indexable, ix.no AS non_indexable, sc.total - sc.listed AS internal_urls_not_in_sitemap, so.total - so.crawled AS sitemap_urls_not_crawled,
         round(cs.n * 100.0 / cs.n, 2) AS success_rate_percent, round(ca.has * 100.0 / ca.total, 2) AS canonical_coverage_percent,
         round(ix.yes * 100.0 / ix.total, 2) AS indexability_rate_percent, round(sc.listed * 100.0 / sc.total, 2) AS sitemap_coverage_percent
