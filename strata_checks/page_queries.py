@@ -15,6 +15,7 @@ from webstrata.operators import robots as R
 from webstrata.operators import schema_org as S
 from webstrata.operators import sitemaps as M
 from webstrata.operators.links import extract_links, inlink_counts, link_counts
+from webstrata.session import cut
 
 # Text of a page as SQL sees it: markup, scripts, styles and comments out, entities decoded.
 MARKUP = r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>"
@@ -326,6 +327,11 @@ def _source() -> Column:
     return F.shiftright("ordinal", 58).cast("int").alias("source")
 
 
+def _items(data: Data) -> DataFrame:
+    """Items of all pages, written once for the operators that read them more than once."""
+    return cut(S.extract_schema(data.rich_pages))
+
+
 @check("extract_schema", "SELECT url, format, type, position, source, severity, errors, errors = 0 AS is_valid FROM {schema_expected}")
 def _extract_schema(data: Data) -> DataFrame:
     items = S.extract_schema(data.rich_pages)
@@ -393,15 +399,20 @@ def _schema_main_entity(data: Data) -> DataFrame:
     ELSE 'related' END AS role FROM {{schema_expected}} e LEFT JOIN ({MAIN}) AS m
     ON m.url = e.url AND m.type = e.type AND m.position = e.position AND m.source = e.source""")
 def _schema_roles(data: Data) -> DataFrame:
-    return S.schema_roles(S.extract_schema(data.rich_pages)).select("url", "type", "position", _source(), "role")
+    return S.schema_roles(_items(data)).select("url", "type", "position", _source(), "role")
 
 
 @check("schema_stats", """SELECT 'total_schemas' AS measure, '' AS label, count(*) AS n FROM {schema_expected}
     UNION ALL SELECT 'format', format, count(*) FROM {schema_expected} GROUP BY format
     UNION ALL SELECT 'type', type, count(*) FROM {schema_expected} GROUP BY type
-    UNION ALL SELECT 'validity', CASE WHEN errors = 0 THEN 'valid' ELSE 'invalid' END, count(*) FROM {schema_expected} GROUP BY 2""")
+    UNION ALL SELECT 'validity', CASE WHEN errors = 0 THEN 'valid' ELSE 'invalid' END, count(*) FROM {schema_expected} GROUP BY 2
+    UNION ALL SELECT 'error', CASE type WHEN 'Product' THEN 'Product missing required ''offers'' property' WHEN 'Event' THEN 'Invalid URL format for pageUrl: bad'
+        WHEN 'VideoObject' THEN 'VideoObject embedUrl contains HTML entities that should be decoded' WHEN 'InvalidJSON' THEN 'JSON decode error'
+        WHEN 'BrokenJSON-LD' THEN 'Malformed JSON-LD: Invalid JSON syntax' WHEN 'BrokenMicrodata' THEN 'Malformed microdata: itemscope without valid itemtype'
+        ELSE 'Schema.org reference in comment without proper structure' END, count(*) FROM {schema_expected} WHERE errors > 0 GROUP BY 2
+    UNION ALL SELECT 'error', 'VideoObject uploadDate should be a valid ISO 8601 date string', count(*) FROM {schema_expected} WHERE type = 'VideoObject' HAVING count(*) > 0""")
 def _schema_stats(data: Data) -> DataFrame:
-    return S.schema_stats(S.extract_schema(data.rich_pages)).where("measure <> 'error'")
+    return S.schema_stats(S.extract_schema(data.rich_pages))
 
 
 @check("schema_instances", """SELECT type, CASE WHEN format IN ('json-ld', 'microdata', 'rdfa') THEN format ELSE 'json-ld' END AS format, count(DISTINCT
@@ -417,6 +428,6 @@ def _schema_instances(data: Data) -> DataFrame:
     m.url IS NULL AND e.type IN ('VideoObject', 'Organization') AS has_parent FROM {{schema_expected}} e LEFT JOIN ({MAIN}) AS m
     ON m.url = e.url AND m.type = e.type AND m.position = e.position AND m.source = e.source""")
 def _schema_references(data: Data) -> DataFrame:
-    refs = S.schema_references(S.extract_schema(data.rich_pages))
+    refs = S.schema_references(_items(data))
     return refs.select("url", "position", _source(), "is_main_entity", "property_name",
                        F.col("parent_ordinal").isNotNull().alias("has_parent"))

@@ -156,16 +156,17 @@ def _near_duplicate_pairs(data: Data) -> DataFrame:
 
 # ---- upserts and derived tables -----------------------------------------------------------
 
-@check("upsert_urls", f"""SELECT url, CASE WHEN page_id % 3 = 0 THEN 'html' ELSE 'other' END AS kind, CASE WHEN page_id % 3 = 0 THEN 'internal' ELSE 'external' END AS classification,
-    CASE WHEN page_id % 2 = 0 THEN 'a' WHEN page_id % 3 = 0 THEN 'b' END AS discovered_from, CAST(CASE WHEN page_id % 4 <> 3 THEN 100 ELSE 200 END AS BIGINT) AS first_seen,
-    CAST(CASE WHEN page_id % 3 = 0 THEN 300 WHEN page_id % 4 = 3 THEN 200 ELSE 100 END AS BIGINT) AS last_seen FROM {{pages}} WHERE page_id % 4 <> 3 OR page_id % 3 = 0""")
+@check("upsert_urls", """SELECT url, CASE WHEN seen THEN 'html' ELSE 'other' END AS kind, CASE WHEN seen THEN 'internal' ELSE 'external' END AS classification,
+    CASE WHEN url LIKE 'https:%' THEN 'a' WHEN seen THEN 'b' END AS discovered_from, CAST(CASE WHEN known THEN 100 ELSE 200 END AS BIGINT) AS first_seen,
+    CAST(CASE WHEN seen THEN 300 ELSE 100 END AS BIGINT) AS last_seen FROM (SELECT url, url LIKE '%?%' AS known, NOT url LIKE '%?%' OR url LIKE '%/en/%' AS seen FROM {pages}) AS p""")
 def _upsert_urls(data: Data) -> DataFrame:
-    ids = F.col("page_id")
-    origin = F.when(ids % 2 == 0, "a")
-    current = data.pages.where(ids % 4 != 3).select(
+    """The table knows URLs with parameters; the batch brings the others and all English pages, twice."""
+    known = F.col("url").contains("?")
+    origin = F.when(F.col("url").startswith("https:"), "a")
+    current = data.pages.where(known).select(
         "url", F.lit("other").alias("kind"), F.lit("external").alias("classification"), origin.alias("discovered_from"),
         F.lit(100).cast("bigint").alias("first_seen"), F.lit(100).cast("bigint").alias("last_seen"))
-    seen = data.pages.where(ids % 3 == 0)
+    seen = data.pages.where(~known | F.col("url").contains("/en/"))
     batch = seen.select("url", F.lit("other").alias("kind"), F.lit("external").alias("classification"), origin.alias("discovered_from"),
                         F.lit(200).alias("seen_at"), F.lit(1).alias("seq")).unionByName(
         seen.select("url", F.lit("html").alias("kind"), F.lit("internal").alias("classification"), F.lit("b").alias("discovered_from"),
@@ -336,7 +337,8 @@ def _upsert_embeddings(data: Data) -> DataFrame:
         return data.embeddings.select(F.col("vec_id").alias("url_id"), vectors.alias("embedding"), F.lit(model).alias("model"),
                                       length.cast("bigint").alias("text_length"), F.lit(at).cast("bigint").alias("created_at"))
     old = rows(F.col("embedding"), "old", F.size("embedding"), 1)
-    new = rows(F.array(F.lit(1.0).cast("float")), "new", F.lit(9), 2).where("url_id % 2 = 0")
+    new = rows(F.array(F.lit(1.0).cast("float")), "new", F.lit(9), 2).withColumn(
+        "created_at", F.when(F.col("url_id") % 2 == 0, 2).otherwise(0).cast("bigint"))
     return E.upsert_embeddings(old, new).withColumn("dimensions", F.size("embedding").cast("bigint")).drop("embedding")
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webstrata.operators.skew import join_unique
+from webstrata.operators.skew import hot_keys, join_unique
 from webstrata.session import cut
 
 
@@ -42,12 +42,13 @@ def crawl_depth(seeds: DataFrame, links: DataFrame, redirects: DataFrame | None
 
     edges = cut(links.where("target_url_id is not null and source_url_id <> target_url_id")
                 .select("source_url_id", "target_url_id").distinct())
-    hops = None if redirects is None else redirects.where("target_url_id is not null").select(
-        F.col("source_url_id").alias("url_id"), "target_url_id").distinct()
+    busy = cut(hot_keys(edges, "source_url_id"))
+    hops = None if redirects is None else cut(redirects.where("target_url_id is not null").select(
+        "source_url_id", "target_url_id").distinct())
 
     def step(level: DataFrame, pairs: DataFrame, cost: int) -> DataFrame:
         origin = level.select(F.col("url_id").alias("source_url_id"), "depth")
-        reached = join_unique(pairs, origin, "source_url_id", "inner")
+        reached = join_unique(pairs, origin, "source_url_id", "inner", busy)
         return enter(reached.select(F.col("target_url_id").alias("url_id"), (F.col("depth") + cost).alias("depth"),
                                     F.col("source_url_id").alias("parent_id")))
 
@@ -59,7 +60,7 @@ def crawl_depth(seeds: DataFrame, links: DataFrame, redirects: DataFrame | None
         parts = [level]
         while hops is not None and not tail.isEmpty():
             visited = reduce(DataFrame.unionByName, rounds + parts)
-            tail = _fresh(step(tail, hops.withColumnRenamed("url_id", "source_url_id"), 0), visited)
+            tail = _fresh(step(tail, hops, 0), visited)
             parts.append(tail)
         rounds.extend(parts)
         visited = reduce(DataFrame.unionByName, rounds)

@@ -15,7 +15,7 @@ from webstrata.functions import html as H
 from webstrata.functions.expr import blank_to_null, let, record
 from webstrata.functions.urls import resolve_url
 from webstrata.operators.pages import NODES, with_nodes
-from webstrata.operators.skew import join_unique
+from webstrata.operators.skew import hottest, join_unique
 
 # Keys that vary without making an item different.
 VOLATILE_KEYS = ["@id", "discovered_at", "created_at", "updated_at", "position", "url",
@@ -348,18 +348,26 @@ def _main_rank() -> Column:
     return F.coalesce(F.element_at(ranks, F.lower("type")), F.lit(len(MAIN_TYPES)))
 
 
+def _main_items(items: DataFrame) -> DataFrame:
+    best = F.min(F.struct(_main_rank().alias("rank"), "ordinal", "type", "content_hash"))
+    return items.groupBy("url").agg(best.alias("_m"), F.count("*").alias("items"))
+
+
 def schema_main_entity(items: DataFrame) -> DataFrame:
     """The item each page is mainly about: best type, then first on the page."""
-    best = items.groupBy("url").agg(F.min(F.struct(_main_rank().alias("rank"), "ordinal", "type", "content_hash")).alias("_m"))
-    return best.select("url", "_m.ordinal", "_m.type", "_m.content_hash")
+    return _main_items(items).select("url", "_m.ordinal", "_m.type", "_m.content_hash")
 
 
 def schema_roles(items: DataFrame) -> DataFrame:
-    """Every item with its `role`: main, property or related, and the main item's ordinal."""
-    main = schema_main_entity(items).select("url", F.col("ordinal").alias("main_ordinal"))
+    """Every item with its `role`: main, property or related, and the main item's ordinal.
+
+    `items` is read twice, so it should be a stored table rather than the extraction itself.
+    """
+    pages = _main_items(items)
+    main = pages.select("url", F.col("_m.ordinal").alias("main_ordinal"))
     is_main = F.col("ordinal") == F.col("main_ordinal")
     part = F.lower("type").isin([t.lower() for t in PROPERTY_TYPES])
-    return join_unique(items, main, "url", "inner").withColumn(
+    return join_unique(items, main, "url", "inner", hottest(pages, "url", "items")).withColumn(
         "role", F.when(is_main, "main").when(part, "property").otherwise("related"))
 
 

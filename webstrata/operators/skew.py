@@ -23,17 +23,23 @@ def hottest(counts: DataFrame, key: str, count: str, n: int = HOT_KEYS) -> DataF
             .select(F.col(key).alias("_hot_key")))
 
 
+def hot_keys(table: DataFrame, key: str) -> DataFrame:
+    """The most frequent values of a column, found by one pre-aggregated count. Taken from a stored
+    table this reads a single column; a frame derived from that table has the same hot keys."""
+    return hottest(table.groupBy(key).agg(F.count("*").alias("_n")), key, "_n")
+
+
 def join_unique(facts: DataFrame, dim: DataFrame, key: str, how: str = "left",
                 hot: DataFrame | None = None) -> DataFrame:
     """Join `facts` with `dim`, which has at most one row per `key`.
 
-    The most frequent keys are found by a pre-aggregated count and broadcast (at most HOT_KEYS
-    values). Their fact rows are salted over SPREAD tasks and only their dim rows are repeated
+    The most frequent keys are broadcast (at most HOT_KEYS values): `hot` if given, else counted
+    from `facts`, which then should be a stored table and not a long computation. Their fact rows are salted over SPREAD tasks and only their dim rows are repeated
     SPREAD times; every other key goes through the ordinary shuffle once. Rows without a key are
     spread as well.
     """
     if hot is None:
-        hot = hottest(facts.groupBy(key).agg(F.count("*").alias("_n")), key, "_n")
+        hot = hot_keys(facts, key)
     hot = F.broadcast(hot)
     row_hash = F.xxhash64(*[c for c, t in facts.dtypes if "map<" not in t and "variant" not in t])
     is_hot = F.col("_hot_key").isNotNull()

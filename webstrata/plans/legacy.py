@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from webstrata.operators import duplicates
 from webstrata.operators.skew import hottest, join_unique
-from webstrata.plans.views import Tables, _link_rows, _listed, _named, _with_url
+from webstrata.plans.views import Tables, _link_join, _link_rows, _listed, _named, _with_url
 
 
 def _links_legacy(t: Tables, classification: str) -> DataFrame:
@@ -22,9 +22,9 @@ def _links_legacy(t: Tables, classification: str) -> DataFrame:
     hrefs = t["urls"].select(F.col("url_id").alias("href_url_id"), F.col("url").alias("href"),
                              F.col("classification").alias("href_classification"))
     crawled = t["urls"].join(t["frontier"].select("url_id"), "url_id", "left_semi")
-    to_target = join_unique(rows, targets, "target_url_id", "inner")
-    on_page = join_unique(to_target, _named(crawled, "source_url_id", "source_url"), "source_url_id", "inner")
-    return join_unique(on_page, hrefs, "href_url_id", "left").select(
+    to_target = _link_join(t, rows, targets, "target_url_id")
+    on_page = _link_join(t, to_target, _named(crawled, "source_url_id", "source_url"), "source_url_id")
+    return _link_join(t, on_page, hrefs, "href_url_id", "left").select(
         "source_url", "target_url", "target_classification", "anchor_text",
         F.coalesce(F.col("anchor_text").startswith("[IMG:"), F.lit(False)).cast("int").alias("is_image"),
         "xpath", "href", "href_classification", F.col("fragment").alias("url_fragment"), "url_parameters",
@@ -151,8 +151,8 @@ def view_utm_links_legacy(t: Tables) -> DataFrame:
     rows = _link_rows(t).where(F.col("url_parameters").like("%utm_%")).select(
         "source_url_id", "href_url_id", "anchor_text", "url_parameters", "discovered_at")
     crawled = t["urls"].join(t["frontier"].select("url_id"), "url_id", "left_semi")
-    named = join_unique(rows, _named(crawled, "source_url_id", "source_url"), "source_url_id", "inner")
-    return join_unique(named, _named(t["urls"], "href_url_id", "target_url_original"), "href_url_id", "left").select(
+    named = _link_join(t, rows, _named(crawled, "source_url_id", "source_url"), "source_url_id")
+    return _link_join(t, named, _named(t["urls"], "href_url_id", "target_url_original"), "href_url_id", "left").select(
         "source_url", "target_url_original", "anchor_text", "url_parameters", "discovered_at")
 
 
@@ -163,7 +163,7 @@ def view_hubs_legacy(t: Tables) -> DataFrame:
     """
     per_child = t["internal_links"].groupBy("source_url_id", "target_url_id").agg(F.count("*").alias("_n"))
     children = t["urls"].select(F.col("url_id").alias("target_url_id"), F.col("classification").alias("_class"))
-    known = join_unique(per_child, children, "target_url_id", "inner")
+    known = _link_join(t, per_child, children, "target_url_id")
     per_class = known.groupBy("source_url_id", "_class").agg(F.sum("_n").alias("_n"))
     hubs = per_class.groupBy("source_url_id").agg(
         F.sum("_n").alias("child_count"), _listed("_class").alias("child_classifications")).where("child_count > 1")
@@ -178,7 +178,7 @@ def view_hub_children_legacy(t: Tables) -> DataFrame:
     """Distinct children of every hub, one row each."""
     pairs = t["internal_links"].groupBy("source_url_id", "target_url_id").agg(F.count("*").alias("_n"))
     children = _named(t["urls"], "target_url_id", "child_url")
-    known = join_unique(pairs, children, "target_url_id", "inner")
+    known = _link_join(t, pairs, children, "target_url_id")
     counts = known.groupBy("source_url_id").agg(F.sum("_n").alias("child_count")).where("child_count > 1")
     hubs = _named(t["urls"], "source_url_id", "hub_url").join(counts, "source_url_id")
     hot = hottest(counts, "source_url_id", "child_count")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from webstrata.functions.expr import blank_to_null, strip
 from webstrata.operators import duplicates
 from webstrata.operators.links import inlink_counts
-from webstrata.operators.skew import join_unique
+from webstrata.operators.skew import hot_keys, join_unique
 from webstrata.operators.tables import REDIRECT_STATUSES
 
 Tables = dict[str, DataFrame]
@@ -165,19 +165,25 @@ def _link_rows(t: Tables) -> DataFrame:
         {c: blank_to_null(c) for c in ("anchor_text", "fragment", "url_parameters")})
 
 
-def _from_internal(links: DataFrame, urls: DataFrame) -> DataFrame:
+def _link_join(t: Tables, links: DataFrame, dim: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join rows made of the link table with a frame unique by one of its ids; popular ids are
+    looked up in the stored table."""
+    return join_unique(links, dim, key, how, hot_keys(t["internal_links"], key))
+
+
+def _from_internal(t: Tables, links: DataFrame) -> DataFrame:
     """Links that stand on internal pages, with the page's URL."""
-    sources = urls.where("classification = 'internal'").select(
+    sources = t["urls"].where("classification = 'internal'").select(
         F.col("url_id").alias("source_url_id"), F.col("url").alias("source_url"))
-    return join_unique(links, sources, "source_url_id", "inner")
+    return _link_join(t, links, sources, "source_url_id")
 
 
 def _links_to(t: Tables, classification: str) -> DataFrame:
     """Links from internal pages to pages of a class, every occurrence."""
     targets = t["urls"].where(F.col("classification") == classification).select(
         F.col("url_id").alias("target_url_id"), F.col("url").alias("target_url"))
-    rows = join_unique(_link_rows(t).select(*LINK_IDS, "discovered_at"), targets, "target_url_id", "inner")
-    return _from_internal(rows, t["urls"]).select(
+    rows = _link_join(t, _link_rows(t).select(*LINK_IDS, "discovered_at"), targets, "target_url_id")
+    return _from_internal(t, rows).select(
         "source_url", "target_url", "anchor_text", "xpath", "fragment", "url_parameters", "discovered_at", *_flags())
 
 
@@ -213,7 +219,7 @@ def _targets(t: Tables, wanted: Column) -> DataFrame:
 def _judged_links(t: Tables, targets: DataFrame) -> DataFrame:
     """Distinct links from internal pages to `targets`, at their earliest discovery."""
     distinct = _link_rows(t).groupBy(*LINK_IDS).agg(F.min("discovered_at").alias("discovered_at"))
-    return _from_internal(join_unique(distinct, targets, "target_url_id", "inner"), t["urls"]).select(
+    return _from_internal(t, _link_join(t, distinct, targets, "target_url_id")).select(
         "source_url", "target_url", "anchor_text", "xpath", "fragment", "url_parameters", "discovered_at",
         *_flags(), "target_status_code", "target_is_self_canonical", "target_resolves")
 
@@ -249,8 +255,8 @@ def view_utm_links(t: Tables) -> DataFrame:
     """Links whose parameters mention `utm` followed by any character."""
     rows = _link_rows(t).where(F.col("url_parameters").like("%utm_%")).select(
         "source_url_id", "target_url_id", "anchor_text", "url_parameters", "discovered_at")
-    named = join_unique(rows, _named(t["urls"], "source_url_id", "source_url"), "source_url_id", "inner")
-    return join_unique(named, _named(t["urls"], "target_url_id", "target_url"), "target_url_id", "left").select(
+    named = _link_join(t, rows, _named(t["urls"], "source_url_id", "source_url"), "source_url_id")
+    return _link_join(t, named, _named(t["urls"], "target_url_id", "target_url"), "target_url_id", "left").select(
         "source_url", "target_url", "anchor_text", "url_parameters", "discovered_at")
 
 
@@ -283,7 +289,7 @@ def view_crawl_status(t: Tables) -> DataFrame:
 def _typed_references(t: Tables) -> DataFrame:
     instances = t["schema_instances"].withColumnRenamed("type", "schema_type")
     named = t["schema_references"].join(t["urls"].select("url_id", "url"), "url_id")
-    return join_unique(named, instances, "content_hash", "inner")
+    return join_unique(named, instances, "content_hash", "inner", hot_keys(t["schema_references"], "content_hash"))
 
 
 def view_schema_analysis(t: Tables) -> DataFrame:
