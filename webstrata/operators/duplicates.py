@@ -16,7 +16,8 @@ from webstrata.operators.skew import hottest, join_unique
 from webstrata.session import cut
 
 
-MAX_MASKS = 20_000   # bands that still fit a query plan
+LEVELS = 3            # how often a large bucket is split by bands
+MIDDLE_DISTANCE = 6   # most differing bits for which all changes are listed
 
 
 def _present(column: str) -> Column:
@@ -111,18 +112,39 @@ def _finer(mask: int, bands: int) -> list[int]:
     return [mask | sum(1 << b for b in free[a:z]) for a, z in zip(edges, edges[1:])]
 
 
+def _flipped(members: DataFrame, flips: int) -> DataFrame:
+    """Every member with every value (column `at`) that differs from it in at most `flips` free bits."""
+    bits = F.array(*[F.lit(_signed(1 << b)) for b in range(BITS)])
+    free = F.filter(bits, lambda bit: bit.bitwiseAND(F.col("mask")) == 0)
+    step = members.select("h", "mask", F.col("h").alias("at"), F.lit(-1).alias("last"))
+    out = step
+    for _ in range(flips):
+        step = step.select("h", "mask", "at", "last", F.posexplode(free).alias("place", "bit")).where(
+            "place > last").select("h", "mask", F.col("at").bitwiseXOR(F.col("bit")).alias("at"), F.col("place").alias("last"))
+        out = out.unionByName(step)
+    return out.select("h", "mask", "at")
+
+
+def _meet(left: DataFrame, right: DataFrame, on: list[str], distance: int) -> DataFrame:
+    """Pairs of hashes that meet on `on` and are near enough."""
+    joined = left.withColumnRenamed("h", "h1").join(right.withColumnRenamed("h", "h2"), on)
+    return joined.where((F.col("h1") < F.col("h2")) & (hamming("h1", "h2") <= distance)).select("h1", "h2")
+
+
 def near_duplicate_pairs(rows: DataFrame, threshold: float = 0.95, bucket: int = 512,
                          id_column: str = "id", hash_column: str = "simhash") -> DataFrame:
     """Pairs of different SimHash values at least `threshold` similar, exactly.
 
     Rows with equal hashes collapse first: a hash stands for its `copies` and its smallest id.
     Two hashes at most d bits apart agree on at least one of d + 1 bands of bits, so hashes meet
-    in one bucket per band. A bucket with more than `bucket` hashes is not compared as it is.
-    Its hashes still differ in at most d of the remaining bits, so bands of those bits split it
-    again, until buckets are small or so few bits remain that every pair is a result.
-
-    Each level multiplies the keys of a hash in a large bucket by d + 1, so low thresholds suit
-    small collections only; their results grow quadratically anyway.
+    in one bucket per band. A bucket with more than `bucket` hashes is not compared as it is: its
+    hashes still differ in at most d of the remaining bits, so bands of those bits split it again.
+
+    What is still large after LEVELS splits is dense. There two hashes meet in the middle: each
+    is written with every change of d // 2 and of d - d // 2 free bits, and near hashes share such
+    a value. Its cost is linear in the hashes and its groups are bounded by the number of changes.
+    Beyond MIDDLE_DISTANCE bits that list gets too long and such a bucket is compared directly;
+    at so low a threshold nearly all its pairs are results.
     """
     distance = int((1.0 - threshold) * BITS + 1e-9)
     if bucket < 8 * (distance + 1):
@@ -132,9 +154,7 @@ def near_duplicate_pairs(rows: DataFrame, threshold: float = 0.95, bucket: int =
 
     compared: list[DataFrame] = []
     members, masks = hashes.select("h", F.lit(0).cast("bigint").alias("mask")), [0]
-    while masks:
-        if len(masks) * (distance + 1) > MAX_MASKS:
-            raise ValueError("threshold too low for a collection of this size")
+    for level in range(1, LEVELS + 1):
         children = {m: _finer(m, distance + 1) for m in masks}
         choices = F.create_map(*[x for m, finer in children.items() for x in (
             F.lit(_signed(m)), F.array(*[F.lit(_signed(c)) for c in finer]))])
@@ -142,17 +162,20 @@ def near_duplicate_pairs(rows: DataFrame, threshold: float = 0.95, bucket: int =
             "h", F.struct("mask", F.col("h").bitwiseAND(F.col("mask")).alias("value")).alias("key"))
         sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
         sized = cut(join_unique(keyed, sizes, "key", "inner", hottest(sizes, "key", "size")))
+        direct = F.lit(level == LEVELS and distance > MIDDLE_DISTANCE)
         # With no more free bits than the distance allows, all members of a bucket are near.
-        decided = (F.col("size") <= bucket) | (BITS - F.bit_count("key.mask") <= distance)
+        decided = (F.col("size") <= bucket) | (BITS - F.bit_count("key.mask") <= distance) | direct
         small = sized.where(decided).select("key", "h")
-        left, right = small.alias("l"), small.alias("r")
-        compared.append(left.join(
-            right, (F.col("l.key") == F.col("r.key")) & (F.col("l.h") < F.col("r.h"))
-            & (hamming("l.h", "r.h") <= distance),
-        ).select(F.col("l.h").alias("h1"), F.col("r.h").alias("h2")))
+        compared.append(_meet(small, small, ["key"], distance))
         members = sized.where(~decided).select("h", F.col("key.mask").alias("mask"))
-        # Distinct masks only: at most (d + 1) per level, whatever the data.
+        # Distinct masks only: at most (d + 1) per mask of the level before, whatever the data.
         masks = [m % (1 << BITS) for (m,) in members.select("mask").distinct().collect()]
+        if not masks:
+            break
+    else:
+        near, far = _flipped(members, distance // 2), _flipped(members, distance - distance // 2)
+        compared.append(_meet(near, far, ["mask", "at"], distance))
+        compared.append(_meet(far, near, ["mask", "at"], distance))
 
     pairs = reduce(DataFrame.unionByName, compared).distinct()
     first, second = (hashes.select(F.col("h").alias(f"h{n}"), F.col("first_id").alias(f"id{n}"),
