@@ -12,6 +12,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from webstrata.sources.readers import spread
+
 BASE = ["events", "documents", "embeddings", "pages"]
 
 EPOCH = 1704067200
@@ -214,6 +216,10 @@ class Data:
         text = re.sub(r"<<(\w+)>>", r"{\1}", text.replace("{", "{{").replace("}", "}}"))
         return self.spark.sql(text, **{t: getattr(self, t) for t in set(_needs(sql))})
 
+    def parsed(self, name: str) -> DataFrame:
+        """A table about to be parsed or hashed, spread over all cores."""
+        return spread(getattr(self, name))
+
     def tables(self, *names: str) -> dict[str, DataFrame]:
         return {n: getattr(self, n) for n in names}
 

@@ -14,7 +14,8 @@ from webstrata.operators import pages as P
 from webstrata.operators import robots as R
 from webstrata.operators import schema_org as S
 from webstrata.operators import sitemaps as M
-from webstrata.operators.links import extract_links, inlink_counts, link_counts
+from webstrata.operators.extract import extract_pages
+from webstrata.operators.links import extract_links, inlink_counts, link_counts, links_of
 from webstrata.session import cut
 
 # Text of a page as SQL sees it: markup, scripts, styles and comments out, entities decoded.
@@ -47,7 +48,7 @@ COUNTED = f"length(regexp_replace(trim(regexp_replace({page_words('')}, '\\s+',
     {COUNTED} AS word_count, sha256({SPACED}) AS content_hash_sha256, length({SPACED}) AS content_length FROM {{rich_pages}}""")
 def _extract_content(data: Data) -> DataFrame:
     tag = F.when(F.col("page_id") % 2 == 0, F.create_map(F.lit("X-Robots-Tag"), F.lit("none, NOARCHIVE")))
-    content = P.extract_content(data.rich_pages.withColumn("headers", tag))
+    content = P.extract_content(data.parsed("rich_pages").withColumn("headers", tag))
     return content.select(
         "page_id", "title", "meta_description", F.array_join("h1_tags", "|").alias("h1"),
         F.array_join("h2_tags", "|").alias("h2"), F.array_join("html_meta_directives", "|").alias("meta_directives"),
@@ -58,7 +59,7 @@ def _extract_content(data: Data) -> DataFrame:
 
 @check("contentful", """SELECT page_id FROM {rich_pages} WHERE page_id % 8 < 5 AND page_id % 25 <> 24""")
 def _contentful(data: Data) -> DataFrame:
-    content = P.extract_content(data.rich_pages.select("page_id", "url", "html"))
+    content = P.extract_content(data.parsed("rich_pages").select("page_id", "url", "html"))
     turn = F.col("page_id") % 8
     fetched = content.withColumns({
         "status": F.when(turn == 5, 301).when(turn == 6, 404).when(turn == 7, 500).otherwise(200),
@@ -68,19 +69,19 @@ def _contentful(data: Data) -> DataFrame:
 
 @check("page_text", f"SELECT page_id, {SPACED} AS text FROM {{rich_pages}}")
 def _page_text(data: Data) -> DataFrame:
-    return P.page_text(data.rich_pages).select("page_id", "text")
+    return P.page_text(data.parsed("rich_pages")).select("page_id", "text")
 
 
 @check("clean_text", f"SELECT page_id, {SPACED} AS clean_text FROM {{pages}}")
 def _clean_text(data: Data) -> DataFrame:
-    return P.clean_text(data.pages).select("page_id", "clean_text")
+    return P.clean_text(data.parsed("pages")).select("page_id", "clean_text")
 
 
 @check("canonical_of", """SELECT page_id, CASE page_id % 4 WHEN 0 THEN regexp_extract(url, '^(https?://[^/]+)', 1) || '/c/' || CAST(page_id AS STRING)
     WHEN 1 THEN 'https://www.example.org/c/' || CAST(page_id AS STRING)
     WHEN 2 THEN regexp_extract(url, '^(https?:)', 1) || '//cdn.example.org/c/' || CAST(page_id AS STRING) END AS canonical_url FROM {pages}""")
 def _canonical_of(data: Data) -> DataFrame:
-    return P.canonical_of(data.rich_pages).select("page_id", "canonical_url")
+    return P.canonical_of(data.parsed("rich_pages")).select("page_id", "canonical_url")
 
 
 # Links of the shipped pages: one list item per link, so a link's place is that of the first equal item.
@@ -95,7 +96,7 @@ NAV_LINKS = f"""SELECT page_id, url, i - 1 AS position, {decoded("href")} AS hre
     trim(anchor_text) AS anchor_text, '/[document]/html/body/nav/ul/li' || CASE WHEN items > 1 THEN '[' || CAST(twin AS STRING) || ']' ELSE '' END || '/a' AS xpath
     FROM ({NAV_LINKS}) AS n""")
 def _extract_links(data: Data) -> DataFrame:
-    return extract_links(data.pages).select("page_id", "position", "original_href", "href", "anchor_text", "xpath")
+    return extract_links(data.parsed("pages")).select("page_id", "position", "original_href", "href", "anchor_text", "xpath")
 
 
 @check("extract_links_labels", """SELECT page_id, target_url, anchor_text, fragment, url_parameters FROM (
@@ -106,21 +107,22 @@ def _extract_links(data: Data) -> DataFrame:
         '[PATH: Data Sheet ' || CAST(page_id AS STRING) || '.Pdf]', '', '' FROM {pages}
     UNION ALL SELECT page_id, regexp_extract(url, '^(https?://[^/]+)', 1) || '/org/' || CAST(page_id AS STRING), 'x', '', '' FROM {pages} WHERE page_id % 2 = 1) AS l""")
 def _extract_links_labels(data: Data) -> DataFrame:
-    added = extract_links(data.rich_pages).where(~F.col("xpath").contains("/nav/"))
+    added = extract_links(data.parsed("rich_pages")).where(~F.col("xpath").contains("/nav/"))
     return added.select("page_id", "target_url", "anchor_text", "fragment", "url_parameters")
 
 
 def overview_of_snapshot(pages: DataFrame) -> DataFrame:
-    """Pages with what they say and how they are linked, straight from raw HTML."""
-    content = P.extract_content(pages.select("page_id", "url", "html")).select(
-        "page_id", "url", "title", F.get("h1_tags", F.lit(0)).alias("h1"), "html_lang", "word_count")
-    links = extract_links(pages.select("url", "html")).withColumn(
+    """Pages with what they say and how they are linked, straight from raw HTML, parsed once."""
+    extracted = cut(extract_pages(pages.select("page_id", "url", "html"), schema=False).select(
+        "page_id", "url", "title", F.get("h1_tags", F.lit(0)).alias("h1"), "html_lang", "word_count",
+        "links"))
+    links = links_of(extracted.select("url", "links")).withColumn(
         "classification", classify_url("target_url", host("source_url")))
     out = link_counts(links).withColumnRenamed("source_url", "url")
     arriving = inlink_counts(links).withColumnRenamed("target_url", "url")
     counts = ["internal_links_count", "external_links_count", "internal_links_unique_count",
               "external_links_unique_count", "inlinks_count", "inlinks_unique_count"]
-    return content.join(out, "url", "left").join(arriving, "url", "left").select(
+    return extracted.drop("links").join(out, "url", "left").join(arriving, "url", "left").select(
         "page_id", "url", "title", "h1", "html_lang", "word_count",
         *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts])
 
@@ -135,7 +137,7 @@ def overview_of_snapshot(pages: DataFrame) -> DataFrame:
     coalesce(arriving.n, 0) AS inlinks_count, coalesce(arriving.u, 0) AS inlinks_unique_count
     FROM pages p LEFT JOIN out ON out.page_id = p.page_id LEFT JOIN arriving ON arriving.url = p.url""")
 def _snapshot_overview(data: Data) -> DataFrame:
-    return overview_of_snapshot(data.pages)
+    return overview_of_snapshot(data.parsed("pages"))
 
 
 # ---- sitemaps -----------------------------------------------------------------------------
@@ -329,12 +331,12 @@ def _source() -> Column:
 
 def _items(data: Data) -> DataFrame:
     """Items of all pages, written once for the operators that read them more than once."""
-    return cut(S.extract_schema(data.rich_pages))
+    return cut(S.extract_schema(data.parsed("rich_pages")))
 
 
 @check("extract_schema", "SELECT url, format, type, position, source, severity, errors, errors = 0 AS is_valid FROM {schema_expected}")
 def _extract_schema(data: Data) -> DataFrame:
-    items = S.extract_schema(data.rich_pages)
+    items = S.extract_schema(data.parsed("rich_pages"))
     return items.select("url", "format", "type", "position", _source(), "severity",
                         F.size("validation_errors").alias("errors"), "is_valid")
 
@@ -349,26 +351,26 @@ def _extract_schema(data: Data) -> DataFrame:
     UNION ALL SELECT url, 'VideoObject', '{{"@type":"VideoObject","description":"D","duration":"PT1M","embedUrl":"http://v/?a&amp;b","image":"i","name":"V","uploadDate":"2024"}}' FROM {pages} WHERE page_id % 6 = 3
     UNION ALL SELECT url, 'InvalidJSON', NULL FROM {pages} WHERE page_id % 6 = 4) AS d""".replace("{{", "{").replace("}}", "}"))
 def _schema_jsonld_data(data: Data) -> DataFrame:
-    items = S.extract_schema(data.rich_pages, ["json-ld"])
+    items = S.extract_schema(data.parsed("rich_pages"), ["json-ld"])
     return items.select("url", "type", F.to_json(F.parse_json("parsed_data")).alias("data"))
 
 
 @check("schema_microdata_data", """SELECT url, '{"@type":"Organization","name":"Org ' || CAST(page_id AS STRING) || '","url":"'
     || regexp_extract(url, '^(https?://[^/]+)', 1) || '/org/' || CAST(page_id AS STRING) || '"}' AS data FROM {pages} WHERE page_id % 2 = 1""")
 def _schema_microdata_data(data: Data) -> DataFrame:
-    items = S.extract_schema(data.rich_pages, ["microdata"])
+    items = S.extract_schema(data.parsed("rich_pages"), ["microdata"])
     return items.select("url", F.to_json(F.parse_json("parsed_data")).alias("data"))
 
 
 @check("schema_rdfa_data", """SELECT url, '{"@type":"Person","name":"Pat ' || CAST(page_id AS STRING) || '"}' AS data FROM {pages} WHERE page_id % 3 = 1""")
 def _schema_rdfa_data(data: Data) -> DataFrame:
-    items = S.extract_schema(data.rich_pages, ["rdfa"])
+    items = S.extract_schema(data.parsed("rich_pages"), ["rdfa"])
     return items.select("url", F.to_json(F.parse_json("parsed_data")).alias("data"))
 
 
 @check("schema_broken", "SELECT url, format, type, position FROM {schema_expected} WHERE source >= 3")
 def _schema_broken(data: Data) -> DataFrame:
-    return S.extract_schema(data.rich_pages, ["broken"]).select("url", "format", "type", "position")
+    return S.extract_schema(data.parsed("rich_pages"), ["broken"]).select("url", "format", "type", "position")
 
 
 @check("schema_hash", """SELECT url, type, sha256(data) AS content_hash FROM (
@@ -379,7 +381,7 @@ def _schema_broken(data: Data) -> DataFrame:
     UNION ALL SELECT url, 'WebPage', '{"@type":"WebPage","name":"W"}' FROM {pages} WHERE page_id % 6 = 3
     UNION ALL SELECT url, 'VideoObject', '{"@type":"VideoObject","description":"D","duration":"PT1M","embedUrl":"http://v/?a&amp;b","image":"i","name":"V","uploadDate":"2024"}' FROM {pages} WHERE page_id % 6 = 3) AS d""")
 def _schema_hash(data: Data) -> DataFrame:
-    items = S.extract_schema(data.rich_pages, ["json-ld"]).where("content_hash is not null")
+    items = S.extract_schema(data.parsed("rich_pages"), ["json-ld"]).where("content_hash is not null")
     return items.select("url", "type", "content_hash")
 
 
@@ -391,7 +393,7 @@ MAIN = f"""SELECT url, type, position, source FROM (SELECT *, row_number() OVER
 
 @check("schema_main_entity", f"SELECT url, type, source FROM ({MAIN}) AS m")
 def _schema_main_entity(data: Data) -> DataFrame:
-    return S.schema_main_entity(S.extract_schema(data.rich_pages)).select("url", "type", _source())
+    return S.schema_main_entity(S.extract_schema(data.parsed("rich_pages"))).select("url", "type", _source())
 
 
 @check("schema_roles", f"""SELECT e.url, e.type, e.position, e.source, CASE WHEN m.url IS NOT NULL THEN 'main'
@@ -412,7 +414,7 @@ def _schema_roles(data: Data) -> DataFrame:
         ELSE 'Schema.org reference in comment without proper structure' END, count(*) FROM {schema_expected} WHERE errors > 0 GROUP BY 2
     UNION ALL SELECT 'error', 'VideoObject uploadDate should be a valid ISO 8601 date string', count(*) FROM {schema_expected} WHERE type = 'VideoObject' HAVING count(*) > 0""")
 def _schema_stats(data: Data) -> DataFrame:
-    return S.schema_stats(S.extract_schema(data.rich_pages))
+    return S.schema_stats(S.extract_schema(data.parsed("rich_pages")))
 
 
 @check("schema_instances", """SELECT type, CASE WHEN format IN ('json-ld', 'microdata', 'rdfa') THEN format ELSE 'json-ld' END AS format, count(DISTINCT
@@ -420,7 +422,7 @@ def _schema_stats(data: Data) -> DataFrame:
         WHEN type = 'BrokenCommentSchema' AND position = '0' AND page_id % 6 = 1 THEN 'p' || CAST(page_id AS STRING) ELSE 'shared' END) AS n
     FROM {schema_expected} GROUP BY 1, 2""")
 def _schema_instances(data: Data) -> DataFrame:
-    return S.schema_instances(S.extract_schema(data.rich_pages)).groupBy("type", "format").agg(F.count("*").alias("n"))
+    return S.schema_instances(S.extract_schema(data.parsed("rich_pages"))).groupBy("type", "format").agg(F.count("*").alias("n"))
 
 
 @check("schema_references", f"""SELECT e.url, CAST(split_part(e.position, '-', 1) AS BIGINT) AS position, e.source, m.url IS NOT NULL AS is_main_entity,

@@ -103,7 +103,7 @@ def _export_all_views(data: Data) -> DataFrame:
 
 @check("content_hashes", f"SELECT page_id, sha256({SPACED}) AS content_hash_sha256, length({SPACED}) AS content_length FROM {{pages}}")
 def _content_hashes(data: Data) -> DataFrame:
-    return P.content_hash_table(data.pages).select("page_id", "content_hash_sha256", "content_length")
+    return P.content_hash_table(data.parsed("pages")).select("page_id", "content_hash_sha256", "content_length")
 
 
 # SimHash spelled out: shingle counts, one 0/1 sum per bit, more than half of the weight.
@@ -116,7 +116,7 @@ SIMHASH = """SELECT doc_id, sum(CASE WHEN 2 * ones > total THEN CASE WHEN b = 63
 
 
 def _document_hashes(data: Data) -> DataFrame:
-    return data.documents.select("doc_id", Hs.simhash("text").alias("simhash"))
+    return data.parsed("documents").select("doc_id", Hs.simhash("text").alias("simhash"))
 
 
 check("simhash", SIMHASH.replace("{L}", "<L>").replace("{N}", "<N>"))(_document_hashes)
@@ -254,7 +254,7 @@ def _content_table(data: Data) -> DataFrame:
 
 def _rich_content(data: Data) -> DataFrame:
     tag = F.when(F.col("page_id") % 2 == 0, F.create_map(F.lit("X-Robots-Tag"), F.lit("none, NOARCHIVE")))
-    return P.extract_content(data.rich_pages.withColumn("headers", tag))
+    return P.extract_content(data.parsed("rich_pages").withColumn("headers", tag))
 
 
 @check("robots_directives", f"""SELECT url, source, directive, value FROM (
@@ -327,7 +327,7 @@ def _inlink_counts(data: Data) -> DataFrame:
     WHERE url_id NOT IN (SELECT vec_id * 3 FROM {{embeddings}}) AND text <> ''""")
 def _embedding_inputs(data: Data) -> DataFrame:
     existing = data.embeddings.select((F.col("vec_id") * 3).alias("url_id"))
-    return E.embedding_inputs(data.pages.select(F.col("page_id").alias("url_id"), "html"), existing)
+    return E.embedding_inputs(data.parsed("pages").select(F.col("page_id").alias("url_id"), "html"), existing)
 
 
 @check("upsert_embeddings", """SELECT vec_id AS url_id, CASE WHEN vec_id % 2 = 0 THEN 'new' ELSE 'old' END AS model, CASE WHEN vec_id % 2 = 0 THEN 9 ELSE len(embedding) END AS text_length,
@@ -347,7 +347,7 @@ def length_embedder(texts: list[str]) -> list[list[float]]:
 
 
 def _embedded(data: Data) -> tuple[DataFrame, DataFrame]:
-    pages = data.pages.select(F.col("page_id").alias("url_id"), "html")
+    pages = data.parsed("pages").select(F.col("page_id").alias("url_id"), "html")
     existing = data.embeddings.select((F.col("vec_id") * 3).alias("url_id"))
     return pages, E.embed(E.embedding_inputs(pages, existing), length_embedder)
 

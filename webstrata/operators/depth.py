@@ -11,10 +11,29 @@ from webstrata.operators.skew import hot_keys, join_unique
 from webstrata.session import cut
 
 
-def _fresh(found: DataFrame, visited: DataFrame) -> DataFrame:
-    """New nodes with their first discoverer, the smallest parent id."""
-    first = found.groupBy("url_id").agg(F.min("depth").alias("depth"), F.min("parent_id").alias("parent_id"))
-    return cut(first.join(visited.select("url_id"), "url_id", "left_anti"))
+def _redirect_ends(redirects: DataFrame, allowed: DataFrame | None) -> DataFrame:
+    """Per URL that redirects: every URL its chain leads to, each with the URL just before it.
+
+    One round per hop; only URLs of `allowed` are passed through.
+    """
+    hops = redirects.where("target_url_id is not null and source_url_id <> target_url_id").groupBy(
+        F.col("source_url_id").alias("at")).agg(F.min("target_url_id").alias("next"))
+    if allowed is not None:
+        hops = hops.join(allowed.select(F.col("url_id").alias("next")), "next", "left_semi")
+    hops = cut(hops)
+    chains = cut(hops.select(F.col("at").alias("url_id"), F.col("next").alias("end"), F.col("at").alias("via")))
+    found, tail = [chains], chains
+    while True:
+        onward = join_unique(tail.select("url_id", F.col("end").alias("at")), hops, "at", "inner").select(
+            "url_id", F.col("next").alias("end"), F.col("at").alias("via")).where("url_id <> end")
+        known = reduce(DataFrame.unionByName, found).select("url_id", "end")
+        tail = cut(onward.join(known, ["url_id", "end"], "left_anti"))
+        if tail.isEmpty():
+            break
+        found.append(tail)
+    # A chain is bounded by the hops a client follows, and so is this list.
+    return reduce(DataFrame.unionByName, found).groupBy("url_id").agg(
+        F.collect_list(F.struct(F.col("end").alias("target"), F.col("via").alias("parent"))).alias("ends"))
 
 
 def crawl_depth(seeds: DataFrame, links: DataFrame, redirects: DataFrame | None = None,
@@ -22,56 +41,62 @@ def crawl_depth(seeds: DataFrame, links: DataFrame, redirects: DataFrame | None
                 url_list: DataFrame | None = None, list_is_seed: bool = False) -> DataFrame:
     """(url_id, depth, parent_id) of every page reached from `seeds(url_id)`.
 
-    A click adds one to the depth, a redirect adds nothing. Only ids in `crawlable` are entered.
-    A `url_list(url_id)` alone restricts the crawl to its URLs and follows no links; with
-    `list_is_seed` its URLs are further seeds. `max_pages` ends the search after the level that
-    reaches it. One round per level; each round's result is written out, so lineage stays short.
+    A click adds one to the depth, a redirect adds nothing; of several discoverers in a round the
+    smallest id is the parent. Only ids in `crawlable` are entered. A `url_list(url_id)` alone
+    restricts the crawl to its URLs and follows no links; with `list_is_seed` its URLs are further
+    seeds. `max_pages` ends the search after the level that reaches it.
+
+    Redirects are resolved into the links once, so the search takes one round per level. Each
+    round is written out, which keeps lineage short.
     """
-    start = seeds.select("url_id")
-    if url_list is not None:
-        start = start.unionByName(url_list.select("url_id"))
-    allowed = crawlable.select("url_id").distinct() if crawlable is not None else None
+    allowed = None if crawlable is None else crawlable.select("url_id").distinct()
 
     def enter(found: DataFrame) -> DataFrame:
         return found if allowed is None else found.join(allowed, "url_id", "left_semi")
 
-    zero = start.distinct().select("url_id", F.lit(0).cast("bigint").alias("depth"),
-                                   F.lit(None).cast("bigint").alias("parent_id"))
     if url_list is not None and not list_is_seed:
-        return enter(zero.join(url_list.select("url_id").distinct(), "url_id", "left_semi"))
+        return enter(url_list.select("url_id").distinct()).select(
+            "url_id", F.lit(0).cast("bigint").alias("depth"), F.lit(None).cast("bigint").alias("parent_id"))
 
-    edges = cut(links.where("target_url_id is not null and source_url_id <> target_url_id")
-                .select("source_url_id", "target_url_id").distinct())
+    start = seeds.select("url_id")
+    if url_list is not None:
+        start = start.unionByName(url_list.select("url_id"))
+    start = enter(start.distinct()).select("url_id", F.lit(None).cast("bigint").alias("parent_id"))
+    pairs = enter(links.where("target_url_id is not null and source_url_id <> target_url_id").select(
+        "source_url_id", F.col("target_url_id").alias("url_id")).distinct())
+    pairs = pairs.withColumn("parent_id", F.col("source_url_id"))
+    if redirects is not None:
+        ends = cut(_redirect_ends(redirects, allowed))
+
+        def with_ends(found: DataFrame) -> DataFrame:
+            kept = [c for c in found.columns if c not in ("url_id", "parent_id")]
+            led = join_unique(found, ends, "url_id", "inner", hot_keys(links, "target_url_id")).select(
+                *kept, F.explode("ends").alias("_e")).select(*kept, "_e.target", "_e.parent")
+            return found.unionByName(led.withColumnsRenamed({"target": "url_id", "parent": "parent_id"}))
+
+        start, pairs = with_ends(start), with_ends(pairs)
+    edges = cut(pairs)
     busy = cut(hot_keys(edges, "source_url_id"))
-    hops = None if redirects is None else cut(redirects.where("target_url_id is not null").select(
-        "source_url_id", "target_url_id").distinct())
-
-    def step(level: DataFrame, pairs: DataFrame, cost: int) -> DataFrame:
-        origin = level.select(F.col("url_id").alias("source_url_id"), "depth")
-        reached = join_unique(pairs, origin, "source_url_id", "inner", busy)
-        return enter(reached.select(F.col("target_url_id").alias("url_id"), (F.col("depth") + cost).alias("depth"),
-                                    F.col("source_url_id").alias("parent_id")))
-
-    rounds: list[DataFrame] = []
-    level = cut(enter(zero))
-    for depth in range(max_depth + 1):
-        # Redirect targets belong to the same level; follow them until nothing new appears.
-        tail = level
-        parts = [level]
-        while hops is not None and not tail.isEmpty():
-            visited = reduce(DataFrame.unionByName, rounds + parts)
-            tail = _fresh(step(tail, hops, 0), visited)
-            parts.append(tail)
-        rounds.extend(parts)
-        visited = reduce(DataFrame.unionByName, rounds)
-        full = max_pages is not None and visited.count() >= max_pages
-        if depth == max_depth or full:
+
+    def settle(found: DataFrame, depth: int) -> DataFrame:
+        return found.groupBy("url_id").agg(F.min("parent_id").alias("parent_id")).select(
+            "url_id", F.lit(depth).cast("bigint").alias("depth"), "parent_id")
+
+    # A seed stays a seed even if another seed redirects to it.
+    first = start.groupBy("url_id").agg(
+        F.max(F.col("parent_id").isNull()).alias("_seed"), F.min("parent_id").alias("parent_id"))
+    level = cut(first.select("url_id", F.lit(0).cast("bigint").alias("depth"),
+                             F.when(~F.col("_seed"), F.col("parent_id")).alias("parent_id")))
+    rounds = [level]
+    for depth in range(1, max_depth + 1):
+        visited = reduce(DataFrame.unionByName, rounds).select("url_id")
+        if max_pages is not None and visited.count() >= max_pages:
             break
-        whole_level = reduce(DataFrame.unionByName, parts)
-        level = _fresh(step(whole_level, edges, 1), visited)
+        origin = level.select(F.col("url_id").alias("source_url_id"))
+        found = join_unique(edges, origin, "source_url_id", "inner", busy)
+        level = cut(settle(found, depth).join(visited, "url_id", "left_anti"))
         if level.isEmpty():
             break
+        rounds.append(level)
     reached = reduce(DataFrame.unionByName, rounds)
-    if max_pages is None:
-        return reached
-    return reached.orderBy("depth", "url_id").limit(max_pages)
+    return reached if max_pages is None else reached.orderBy("depth", "url_id").limit(max_pages)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webstrata.functions import html as H
-from webstrata.functions.expr import any_of, blank_to_null, strip
+from webstrata.functions.expr import any_of, blank_to_null, record, strip
 from webstrata.functions.urls import normalize_url_hardened, resolve_url, split_url
 from webstrata.operators.pages import NODES, with_nodes
 
@@ -55,19 +55,23 @@ def _anchor_text(link: Column) -> Column:
     )
 
 
-def extract_links(pages: DataFrame, idn: bool = True) -> DataFrame:
-    """One row per <a href>: where it points (normalized and as written), what it says, where it stands."""
-    parsed = with_nodes(pages)
-    carried = [c for c in parsed.columns if c != NODES]
+def found_links() -> Column:
+    """Links of a parsed page as an array: href, anchor text, xpath."""
     anchors = F.filter(H.elements(NODES, "a"), lambda e: H.attr(e, "href").isNotNull())
-    described = F.transform(anchors, lambda e: F.struct(
-        H.attr(e, "href").alias("href"), _anchor_text(e).alias("anchor_text"), e["xpath"].alias("xpath")))
-    rows = parsed.select(*carried, F.posexplode(described).alias("position", "_link")).select(
-        *carried, "position", "_link.*")
+    return F.transform(anchors, lambda e: record(
+        href=H.attr(e, "href"), anchor_text=_anchor_text(e), xpath=e["xpath"]))
+
+
+def links_of(pages: DataFrame, idn: bool = True) -> DataFrame:
+    """One row per link of pages (url, links): where it points, normalized and as written, what it
+    says, where it stands. Other columns are carried through."""
+    carried = [c for c in pages.columns if c not in ("url", "links")]
+    rows = pages.select("url", *carried, F.posexplode("links").alias("position", "_link")).select(
+        "url", *carried, "position", "_link.*")
     resolved = rows.withColumn("original_href", resolve_url("url", "href", keep_fragment=True))
     parts = split_url("original_href")
     return resolved.select(
-        *[c for c in carried if c != "url"],
+        *carried,
         F.col("url").alias("source_url"),
         F.col("position").cast("bigint").alias("position"),
         normalize_url_hardened("original_href", idn=idn).alias("target_url"),
@@ -77,6 +81,13 @@ def extract_links(pages: DataFrame, idn: bool = True) -> DataFrame:
     )
 
 
+def extract_links(pages: DataFrame, idn: bool = True) -> DataFrame:
+    """One row per <a href> of pages (url, html)."""
+    parsed = with_nodes(pages)
+    carried = [c for c in parsed.columns if c != NODES]
+    return links_of(parsed.select(*carried, found_links().alias("links")), idn)
+
+
 def link_table(links: DataFrame) -> DataFrame:
     """The link table: blank anchors, fragments and parameters become null, exact repeats collapse
     to their first discovery."""

@@ -67,11 +67,9 @@ def _clean_text() -> Column:
     return squeeze(H.document_text(NODES, ["noscript", "iframe"], " "))
 
 
-def extract_content(pages: DataFrame) -> DataFrame:
-    """Title, descriptions, headings, robots directives, canonical, hreflang, language, word
-    count and content hashes of every page."""
-    headers = F.col("headers") if "headers" in pages.columns else F.lit(None).cast("map<string,string>")
-    parsed = with_nodes(pages)
+def content_of(parsed: DataFrame, **more: Column) -> DataFrame:
+    """Content columns of parsed pages; `more` adds further expressions over the same nodes."""
+    headers = F.col("headers") if "headers" in parsed.columns else F.lit(None).cast("map<string,string>")
     carried = [c for c in parsed.columns if c not in (NODES, "headers")]
     title = _first("title")
     fields = parsed.select(
@@ -86,12 +84,19 @@ def extract_content(pages: DataFrame) -> DataFrame:
         _canonical_href().alias("canonical_url"),
         _language().alias("html_lang"),
         _alternates().alias("hreflang_urls"),
+        *[column.alias(name) for name, column in more.items()],
         _clean_text().alias("_clean"),
     )
     kept = [c for c in fields.columns if c != "_clean"]
     return fields.select(*kept, content_hashes(F.col("_clean")).alias("_h")).select(*kept, "_h.*")
 
 
+def extract_content(pages: DataFrame) -> DataFrame:
+    """Title, descriptions, headings, robots directives, canonical, hreflang, language, word
+    count and content hashes of every page."""
+    return content_of(with_nodes(pages))
+
+
 def contentful(pages: DataFrame) -> DataFrame:
     """Extracted pages worth keeping: status 200, html, and at least one of title, description, heading."""
     named = (F.coalesce("title", F.lit("")) != "") | (F.coalesce("meta_description", F.lit("")) != "")

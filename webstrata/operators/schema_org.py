@@ -268,18 +268,26 @@ def _broken() -> Column:
 SOURCES = {"json-ld": _jsonld, "microdata": _microdata, "rdfa": _rdfa, "broken": _broken}
 
 
-def extract_schema(pages: DataFrame, sources: list[str] | None = None) -> DataFrame:
-    """Structured data of pages (url, html): JSON-LD, microdata, RDFa and broken markup, or the
-    `sources` named; validated and hashed. Every page is parsed once."""
-    nodes = with_nodes(pages.select("url", "html"))
-    found = F.concat(*[SOURCES[name]() for name in sources or SOURCES])
-    items = nodes.select("url", F.explode(found).alias("_i")).select("url", "_i.*")
-    data = items.withColumn("_n", _normalized("item", "url"))
+def found_items(sources: list[str] | None = None) -> Column:
+    """Structured data of a parsed page as an array, from all sources or those named."""
+    return F.concat(*[SOURCES[name]() for name in sources or SOURCES])
+
+
+def items_of(pages: DataFrame) -> DataFrame:
+    """One row per item of pages (url, items), normalized, hashed and validated."""
+    rows = pages.select("url", F.explode("items").alias("_i")).select("url", "_i.*")
+    data = rows.withColumn("_n", _normalized("item", "url"))
     flat = data.select("url", "format", "type", "raw_data", F.col("_n.data").alias("parsed_data"), "position",
                        "ordinal", F.col("_n.hash").alias("content_hash"), "error")
     return schema_validate(flat).select("url", *ITEM_COLUMNS)
 
 
+def extract_schema(pages: DataFrame, sources: list[str] | None = None) -> DataFrame:
+    """Structured data of pages (url, html): JSON-LD, microdata, RDFa and broken markup, or the
+    `sources` named. Every page is parsed once."""
+    return items_of(with_nodes(pages.select("url", "html")).select("url", found_items(sources).alias("items")))
+
+
 # ---- validation ---------------------------------------------------------------------------
 
 def _lacks(data: Column, key: str) -> Column:

@@ -26,6 +26,13 @@ def read_pages(spark: SparkSession, path: str, urls: list[str] | DataFrame | Non
     return pages.join(urls.select("url").distinct(), "url", "left_semi")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a frame read from fewer files than there are cores, ahead of CPU-bound work such as
+    parsing. Larger inputs are left as their files split."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def read_url_list(spark: SparkSession, path: str, column: str = "url") -> DataFrame:
     """URLs from a CSV with a header, or from a text file with one URL per line.
 

@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from webstrata.operators.links import extract_links
-from webstrata.operators.pages import contentful, extract_content
+from webstrata.operators.extract import extract_pages
+from webstrata.operators.links import links_of
+from webstrata.operators.pages import contentful
+from webstrata.operators.schema_org import items_of
 from webstrata.operators.tables import (canonical_edges, hreflang_edges_html, page_metadata, redirect_table,
                                         split_not_modified)
+from webstrata.session import cut
 from webstrata.streaming.versions import write_batch
 
 
@@ -25,15 +28,16 @@ def ingest_batch(fetches: DataFrame, batch_id: int, out: str) -> None:
     write_batch(page_metadata(fetches), out, "page_metadata", batch_id)
     write_batch(fetches.select("url", "kind", F.col("fetched_at").alias("seen_at")), out, "urls", batch_id)
     pages = changed.where("kind = 'html' and html <> ''")
-    content = contentful(extract_content(pages.select(
+    extracted = cut(extract_pages(pages.select(
         F.col("final_url").alias("url"), "html", "headers", "status", "kind", "fetched_at")))
-    write_batch(content, out, "content", batch_id)
-    written = content.sparkSession.read.parquet(f"{out.rstrip('/')}/content/batch={batch_id}")
-    links = extract_links(pages.select(F.col("final_url").alias("url"), "html", "fetched_at"))
-    write_batch(links.withColumnRenamed("fetched_at", "discovered_at"), out, "internal_links", batch_id)
+    content = contentful(extracted)
+    write_batch(content.drop("links", "items"), out, "content", batch_id)
+    write_batch(links_of(extracted.select("url", "links", F.col("fetched_at").alias("discovered_at"))),
+                out, "internal_links", batch_id)
+    write_batch(items_of(content), out, "schema_items", batch_id)
     write_batch(redirect_table(fetches), out, "redirects", batch_id)
-    write_batch(canonical_edges(written), out, "canonical_urls", batch_id)
-    write_batch(hreflang_edges_html(written), out, "hreflang_html_head", batch_id)
+    write_batch(canonical_edges(content), out, "canonical_urls", batch_id)
+    write_batch(hreflang_edges_html(content), out, "hreflang_html_head", batch_id)
 
 
 def stream_ingest(pages_stream: DataFrame, out: str, checkpoint: str | None = None,
