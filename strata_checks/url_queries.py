@@ -8,9 +8,8 @@ from strata_checks.derived import Data
 from strata_checks.registry import check
 from webstrata.functions import urls as U
 from webstrata.functions.headers import essential_headers
-from webstrata.operators.frontier import scope_urls, should_crawl
 from webstrata.operators.robots import parse_robots
-from webstrata.operators.tables import canonicalize_urls
+from webstrata.operators.url_jobs import canonicalize_urls, classify_urls, scope_urls, should_crawl
 
 # Shapes of href a page can contain, built from its own links: how, and what they resolve to.
 HREFS = """SELECT page_id, url, i, href, raw, regexp_extract(url, '^(https?)', 1) AS scheme,
@@ -96,7 +95,7 @@ def _normalize_url_for_storage(data: Data):
     min(1000 + page_id) AS first_seen, max(1000 + page_id) AS last_seen FROM ({SPELLINGS}) AS s GROUP BY {CANONICAL}""")
 def _canonicalize_urls(data: Data):
     seen = _spellings(data).select("url", (F.col("page_id") + 1000).alias("seen_at"))
-    return canonicalize_urls(seen, U.normalize_url_hardened("url"))
+    return canonicalize_urls(seen)
 
 
 @check("classify_kind", """SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'sitemap' WHEN 1 THEN 'html'
@@ -119,6 +118,14 @@ def _classify_url(data: Data):
         url, "www.free-bets.example.com", F.col("page_id") % 2 == 1).alias("classification"))
 
 
+@check("classify_urls", r"""SELECT url, 'html' AS kind, CASE WHEN regexp_replace(host, '^www\.', '') = 'example.net' THEN 'internal'
+    WHEN host LIKE '%.example.net' THEN 'subdomain' ELSE 'external' END AS classification,
+    regexp_replace(regexp_replace(host, '^www\.', ''), '[^a-z0-9_]', '_', 'g') AS site FROM (SELECT url, regexp_extract(url, '://([^/]+)', 1) AS host FROM {pages}) AS p""")
+def _classify_urls(data: Data):
+    typed = data.pages.select("url", F.lit("text/html").alias("content_type"))
+    return classify_urls(typed, "example.net").drop("content_type")
+
+
 @check("site_key", r"""SELECT url, regexp_replace(regexp_replace(lower(regexp_extract(url, '://([^/]+)', 1)), '^www\.', ''),
     '[^a-z0-9_]', '_', 'g') AS site FROM {pages}""")
 def _site_key(data: Data):

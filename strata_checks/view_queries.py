@@ -74,6 +74,17 @@ def _overview_sql(hreflang: str) -> str:
     WHERE u.classification IN ('internal', 'network') AND u.url NOT LIKE '%#%'"""
 
 
+def _overview_legacy_sql() -> str:
+    """The overview text with the older rules for fragments, redirects and the page's own language."""
+    sql = _overview_sql("hreflang_sitemap").replace(" AND u.url NOT LIKE '%#%'", "").replace(
+        "CASE WHEN pm.initial_status_code IN (301, 302, 303, 307, 308) THEN rd.url END", "rd.url").replace(
+        "(SELECT min(h.language_code) FROM {hreflang_sitemap} h WHERE h.url_id = u.url_id AND h.href_url_id = u.url_id AND h.language_code <> 'x-default') AS self_hreflang_language",
+        """(SELECT min(h.language_code) FROM {hreflang_sitemap} h JOIN {urls} w ON w.url_id = h.href_url_id WHERE h.url_id = u.url_id AND h.language_code <> 'x-default'
+            AND (w.url = u.url OR w.url = u.url || '/' OR u.url = w.url || '/')) AS self_hreflang""")
+    head, body = sql.split("SELECT u.url, coalesce", 1)
+    return f"{head}SELECT {', '.join(L.OVERVIEW_COLUMNS)} FROM (SELECT u.url, coalesce{body}) AS o"
+
+
 JUDGED = """SELECT s.url AS source_url, t.url AS target_url, l.anchor_text, l.xpath, l.fragment, l.url_parameters, min(l.discovered_at) AS discovered_at,
     CASE WHEN l.anchor_text IS NULL THEN 1 ELSE 0 END AS is_image, CASE WHEN l.fragment IS NOT NULL THEN 1 ELSE 0 END AS has_fragment,
     CASE WHEN l.url_parameters IS NOT NULL THEN 1 ELSE 0 END AS has_parameters,
@@ -120,6 +131,7 @@ HASH_STATS = """SELECT count(*) AS total_pages, count(content_hash_sha256) AS pa
 
 VIEW_SQL = {
     "view_crawl_overview": _overview_sql("hreflang_sitemap"),
+    "view_crawl_overview_legacy": _overview_legacy_sql(),
     "view_links_internal": INTERNAL,
     "view_links_external": EXTERNAL,
     "view_links_invalid_content": INVALID,

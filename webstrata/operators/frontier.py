@@ -10,9 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webstrata.functions.scoring import priority_score
-from webstrata.functions.urls import host, in_scope, on_domains, path, under_prefix
+from webstrata.functions.urls import in_scope
 from webstrata.operators.links import inlink_counts
-from webstrata.operators.robots import robots_verdict
 
 COLUMNS = ["url_id", "depth", "parent_id", "status", "enqueued_at", "updated_at",
            "priority_score", "sitemap_priority", "reset_count"]
@@ -165,37 +164,3 @@ def frontier_from_hreflang(frontier: DataFrame, html: DataFrame, sitemap: DataFr
     targets = html.select("href_url_id").unionByName(sitemap.select("href_url_id")).distinct()
     return targets.select(F.col("href_url_id").alias("url_id")).where("url_id is not null").join(
         frontier.select("url_id"), "url_id", "left_anti").withColumn("depth", F.lit(0).cast("bigint"))
-
-
-def should_crawl(urls: DataFrame, rules: DataFrame, agent: str, allow_external: bool = False,
-                 excludes: list[str] | None = None, restriction: str = "", domains: list[str] | None = None,
-                 url_list: DataFrame | None = None) -> DataFrame:
-    """`should_crawl` for every URL (url, classification). With a `url_list`, only its URLs are crawled.
-
-    Rules in order: excluded paths, allowed domains, path restriction of internal URLs, robots
-    for internal and network URLs; social and subdomain URLs never, external ones if allowed.
-    """
-    if url_list is not None:
-        listed = url_list.select("url").distinct().withColumn("_listed", F.lit(True))
-        return urls.join(listed, "url", "left").select(
-            *urls.columns, F.coalesce("_listed", F.lit(False)).alias("should_crawl"))
-    verdicts = robots_verdict(urls, rules, agent)
-    internal, external = F.col("classification") == "internal", F.lit(allow_external)
-    decision = F.when(F.lit(False), F.lit(False))
-    if excludes:
-        decision = decision.when(under_prefix("url", excludes), F.lit(False))
-    if domains:
-        decision = decision.when(~on_domains("url", domains), external)
-    if restriction:
-        decision = decision.when(internal & ~path("url").contains(restriction), external)
-    decision = (decision.when(F.col("classification").isin("internal", "network"), F.col("robots_allows"))
-                .when(F.col("classification") == "external", external).otherwise(F.lit(False)))
-    return verdicts.select(*urls.columns, decision.alias("should_crawl"))
-
-
-def scope_urls(urls: DataFrame, base_host: str, excludes: list[str] | None = None, restriction: str = "",
-               domains: list[str] | None = None) -> DataFrame:
-    """Every URL with its scope verdicts."""
-    return urls.select(
-        *urls.columns, (host("url") == base_host).alias("same_host"),
-        in_scope("url", excludes, restriction, domains).alias("in_scope"))

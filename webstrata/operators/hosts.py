@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webstrata.operators.skew import chunked, running, running_count
-from webstrata.session import cut
+from webstrata.session import cut_in_order
 
 ORDER = ["at", "event_id"]
 
@@ -134,7 +134,7 @@ def host_delay(fetch_log: DataFrame, robots_delays: DataFrame | None = None, ini
     """
     timed = _timed(fetch_log)
     ranged = timed.repartitionByRange("host", *ORDER).sortWithinPartitions("host", *ORDER)
-    ordered = cut(ranged.select("host", "status", "at", F.spark_partition_id().alias("chunk")))
+    ordered = cut_in_order(ranged.select("host", "status", "at", F.spark_partition_id().alias("chunk")))
     folded = ordered.select("host", "status", "chunk").mapInPandas(
         _delay_steps(base, increase, decrease, cap), "host string, chunk int, factor double, low double, high double")
     chunks = folded.groupBy("host").agg(F.array_sort(F.collect_list(

@@ -49,17 +49,6 @@ def upsert_urls(current: DataFrame, batch: DataFrame) -> DataFrame:
     )
 
 
-def canonicalize_urls(urls: DataFrame, normalized: Column) -> DataFrame:
-    """Collapse spelling variants: one row per canonical URL with the number of variants and rows
-    and the first and last time any of them was seen. `urls` has url and seen_at."""
-    spelled = urls.select(normalized.alias("canonical_url"), "url", "seen_at")
-    variants = spelled.groupBy("canonical_url", "url").agg(
-        F.count("*").alias("_n"), F.min("seen_at").alias("_first"), F.max("seen_at").alias("_last"))
-    return variants.groupBy("canonical_url").agg(
-        F.count("*").alias("variants"), F.sum("_n").alias("occurrences"),
-        F.min("_first").alias("first_seen"), F.max("_last").alias("last_seen"))
-
-
 def dictionary_extend(values: DataFrame, column: str, existing: DataFrame | None = None) -> DataFrame:
     """The dictionary (id, value) with the values of `column` it lacks; new ids follow the largest one,
     in value order."""

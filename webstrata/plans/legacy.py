@@ -9,7 +9,29 @@ from pyspark.sql import functions as F
 
 from webstrata.operators import duplicates
 from webstrata.operators.skew import hottest, join_unique
-from webstrata.plans.views import Tables, _link_join, _link_rows, _listed, _named, _with_url
+from webstrata.plans.views import Tables, _link_join, _link_rows, _listed, _named, _with_url, overview
+
+
+OVERVIEW_COLUMNS = [
+    "url", "crawl_status", "status_code", "indexable", "indexability_reason", "type", "classification", "title",
+    "meta_description", "h1_1", "h1_2", "h1_count", "h2_tags", "h2_count", "word_count", "html_lang",
+    "internal_links_count", "external_links_count", "internal_links_unique_count", "external_links_unique_count",
+    "crawl_depth", "inlinks_count", "inlinks_unique_count", "robots_txt_allows", "html_meta_allows",
+    "http_header_allows", "robots_txt_directives", "html_meta_directives", "http_header_directives",
+    "canonical_urls", "canonical_sources", "redirect_destination_url", "self_hreflang"]
+
+
+def view_crawl_overview_legacy(t: Tables) -> DataFrame:
+    """The overview with URLs that carry fragments, every recorded redirect, and the page's own
+    language found even if the two URLs differ by a trailing slash."""
+    named = t["hreflang_sitemap"].where("language_code <> 'x-default'").select(
+        "url_id", "href_url_id", "language_code").join(
+        _named(t["urls"], "href_url_id", "_href"), "href_url_id").join(_named(t["urls"], "url_id", "_own"), "url_id")
+    own = F.regexp_replace("_own", "/$", "") == F.regexp_replace("_href", "/$", "")
+    languages = named.where(own).groupBy("url_id").agg(F.min("language_code").alias("self_hreflang_language"))
+    none = {"hreflang_count": F.lit(None).cast("bigint"), "x_default_hreflang_url": F.lit(None).cast("string")}
+    full = overview(t, languages.withColumns(none), with_fragments=True, any_redirect=True)
+    return full.withColumnRenamed("self_hreflang_language", "self_hreflang").select(*OVERVIEW_COLUMNS)
 
 
 def _links_legacy(t: Tables, classification: str) -> DataFrame:
@@ -199,7 +221,7 @@ def view_content_hash_stats_legacy(t: Tables) -> DataFrame:
 
 
 LEGACY_VIEWS = {f.__name__: f for f in (
-    view_links_internal_legacy, view_links_network_legacy, view_links_external_legacy,
+    view_crawl_overview_legacy, view_links_internal_legacy, view_links_network_legacy, view_links_external_legacy,
     view_links_subdomain_legacy, view_sitemap_statistics_legacy, view_schema_analysis_legacy,
     view_schema_hierarchy_legacy, view_crawl_status_legacy, view_utm_links_legacy, view_hubs_legacy,
     view_hub_children_legacy, view_exact_duplicates_legacy, view_near_duplicates_legacy,

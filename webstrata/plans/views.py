@@ -34,7 +34,7 @@ def _listed(column: Column | str) -> Column:
 
 def _canonicals(t: Tables) -> DataFrame:
     """Per page: its declared canonicals, which a page head bounds to a handful."""
-    edges = t["canonical_urls"].select("url_id", "canonical_url_id", "source").distinct()
+    edges = t["canonical_urls"].select("url_id", "canonical_url_id", "source")
     named = edges.join(_named(t["urls"], "canonical_url_id", "canonical"), "canonical_url_id", "left")
     return named.groupBy("url_id").agg(
         _listed("canonical").alias("canonical_urls"), _listed("source").alias("canonical_sources"),
@@ -65,19 +65,22 @@ def _schema_summary(t: Tables) -> DataFrame:
         F.count_if(main).alias("main_schema_count"), F.count("*").alias("total_schema_count"))
 
 
-def view_crawl_overview(t: Tables, hreflang_source: str = "sitemap") -> DataFrame:
-    """Everything known about each internal or network page."""
-    urls = t["urls"].where(F.col("classification").isin("internal", "network") & ~F.col("url").like("%#%"))
+def overview(t: Tables, alternates: DataFrame, with_fragments: bool = False, any_redirect: bool = False) -> DataFrame:
+    """Internal and network pages joined with everything known about them. All satellites meet on
+    url_id, so the URL table is shuffled once."""
+    urls = t["urls"].where(F.col("classification").isin("internal", "network"))
+    if not with_fragments:
+        urls = urls.where(~F.col("url").like("%#%"))
+    redirected = F.lit(True) if any_redirect else F.col("initial_status_code").isin(REDIRECT_STATUSES)
     frontier = t["frontier"].select("url_id", F.col("status").alias("_status"), "enqueued_at", "updated_at")
     metadata = t["page_metadata"].select(
         "url_id", F.col("initial_status_code").alias("status_code"), "fetched_at",
-        F.when(F.col("initial_status_code").isin(REDIRECT_STATUSES), F.col("redirect_destination_url_id"))
-        .alias("_destination"))
+        F.when(redirected, F.col("redirect_destination_url_id")).alias("_destination"))
     inlinks = inlink_counts(t["internal_links"], "source_url_id", "target_url_id").withColumnRenamed(
         "target_url_id", "url_id")
     joined = urls.select("url_id", "url", "kind", "classification", "first_seen", "last_seen")
     for satellite in (frontier, t["content"], metadata, t["indexability"], _canonicals(t),
-                      _alternates(t, hreflang_source), _schema_summary(t), inlinks):
+                      alternates, _schema_summary(t), inlinks):
         joined = joined.join(satellite, "url_id", "left")
     joined = joined.join(_named(t["urls"], "_destination", "redirect_destination_url"), "_destination", "left")
 
@@ -117,6 +120,12 @@ def view_crawl_overview(t: Tables, hreflang_source: str = "sitemap") -> DataFram
         "first_seen", "last_seen", "fetched_at", "enqueued_at", "updated_at")
 
 
+def view_crawl_overview(t: Tables, hreflang_source: str = "sitemap") -> DataFrame:
+    """Everything known about each internal or network page; alternates from sitemaps or from page
+    heads (`html`)."""
+    return overview(t, _alternates(t, hreflang_source))
+
+
 def view_hubs(t: Tables) -> DataFrame:
     """Pages with more than 50 outgoing links, largest first."""
     total = F.col("internal_links_count") + F.col("external_links_count")
