@@ -23,8 +23,8 @@ MARKUP = r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>"
 
 
 def decoded(text: str) -> str:
-    for entity, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&amp;", "&")):
-        text = f"replace({text}, '{entity}', '{char}')"
+    for entity, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&amp;?", "&")):
+        text = f"regexp_replace({text}, '{entity}', '{char}', 'g')"
     return text
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webstrata.functions.expr import record
@@ -38,12 +38,11 @@ def retry_ready(failed: DataFrame, now: int, max_retries: int = 3) -> DataFrame:
 
 
 def retry_stats(failed: DataFrame, now: int) -> DataFrame:
-    """Counts as rows (measure, label, n): all failed, by status, by retry count, due now. One pass."""
-    def label(measure: str, value: Column) -> Column:
-        return record(measure=F.lit(measure), label=value.cast("string"))
-
-    due = F.col("next_retry_at") <= now
-    labels = F.array_compact(F.array(
-        label("total_failed", F.lit("")), label("by_status", F.col("status_code")),
-        label("by_retry_count", F.col("retry_count")), F.when(due, label("ready_for_retry", F.lit("")))))
-    return failed.select(F.explode(labels).alias("_l")).groupBy("_l.measure", "_l.label").agg(F.count("*").alias("n"))
+    """Counts as rows (measure, label, n): all failed, by status, by retry count, due now."""
+    totals = failed.agg(F.count("*").alias("total_failed"), F.count_if(F.col("next_retry_at") <= now).alias("ready_for_retry"))
+    whole = totals.select(F.explode(F.array(*[
+        record(measure=F.lit(m), label=F.lit(""), n=F.col(m)) for m in ("total_failed", "ready_for_retry")])).alias("_r")).select("_r.*")
+    labels = F.array(record(measure=F.lit("by_status"), label=F.col("status_code").cast("string")),
+                     record(measure=F.lit("by_retry_count"), label=F.col("retry_count").cast("string")))
+    parts = failed.select(F.explode(labels).alias("_l")).groupBy("_l.measure", "_l.label").agg(F.count("*").alias("n"))
+    return whole.unionByName(parts)
