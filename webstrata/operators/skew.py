@@ -52,12 +52,6 @@ def join_unique(facts: DataFrame, dim: DataFrame, key: str, how: str = "left",
     return salted.join(repeated, [key, "_salt"], how).drop("_salt")
 
 
-def with_group_counts(rows: DataFrame, key: str, count: str) -> DataFrame:
-    """Every row with the number of rows that share its `key`."""
-    counts = rows.groupBy(key).agg(F.count("*").alias(count))
-    return join_unique(rows, counts, key, "inner", hottest(counts, key, count))
-
-
 def chunked(rows: DataFrame, key: str, order: list[str], partitions: int | None = None) -> DataFrame:
     """`rows` cut into ordered chunks of bounded size, as column `chunk`.
 
