@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from hashlib import md5
 
 import numpy as np
@@ -15,6 +16,7 @@ from webstrata.functions.expr import blank_to_null, col
 
 SHINGLE = 4
 BITS = 64
+LETTERS_AT_ONCE = 1 << 21
 
 
 def _md5_bits(shingles: list[str]) -> np.ndarray:
@@ -45,17 +47,28 @@ def _shingle_counts(texts: list[str]) -> tuple[list[str], list[tuple[np.ndarray,
     return shingles, [(np.searchsorted(distinct, k), c) for k, c in counted]
 
 
-def _simhash_batch(words: pd.Series) -> pd.Series:
-    """Each distinct shingle of the batch is hashed once; a text adds up its shingles' bits."""
-    out: list[int | None] = [None] * len(words)
-    long = [(i, w) for i, w in enumerate(words) if w is not None and len(w) >= SHINGLE]
+def _portions(words: pd.Series) -> Iterator[list[tuple[int, str]]]:
+    """Whole texts long enough to have shingles, with their places, about LETTERS_AT_ONCE at a time."""
+    portion, letters = [], 0
     for i, w in enumerate(words):
-        if w is not None and len(w) < SHINGLE:
-            out[i] = _fold(np.ones(1, np.int64), _md5_bits([w]))
-    if long:
-        shingles, counted = _shingle_counts([w for _, w in long])
+        if w is not None and len(w) >= SHINGLE:
+            portion.append((i, w))
+            letters += len(w)
+            if letters >= LETTERS_AT_ONCE:
+                yield portion
+                portion, letters = [], 0
+    if portion:
+        yield portion
+
+
+def _simhash_batch(words: pd.Series) -> pd.Series:
+    """Each distinct shingle of a portion is hashed once; a text adds up its shingles' bits."""
+    out: list[int | None] = [
+        _fold(np.ones(1, np.int64), _md5_bits([w])) if w is not None and len(w) < SHINGLE else None for w in words]
+    for portion in _portions(words):
+        shingles, counted = _shingle_counts([w for _, w in portion])
         bits = _md5_bits(shingles)
-        for (i, _), (places, counts) in zip(long, counted):
+        for (i, _), (places, counts) in zip(portion, counted):
             out[i] = _fold(counts, bits[places])
     return pd.Series(out, dtype="Int64")
 

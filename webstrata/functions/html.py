@@ -30,6 +30,8 @@ MARKED_TAGS = frozenset("script style template rt rp noscript iframe".split())
 # Text that never counts as the text of an enclosing element.
 HIDDEN = ["comment", "script", "style", "template", "rt", "rp"]
 
+PAGES_AT_ONCE = 64
+
 _ELEMENT = pa.struct([
     ("id", pa.int32()), ("parent", pa.int32()), ("last", pa.int32()), ("tag", pa.string()),
     ("attrs", pa.map_(pa.string(), pa.string())),
@@ -148,7 +150,10 @@ def nodes_of(html: str) -> dict:
 
 
 def _parse_batch(html: pa.Array) -> pa.Array:
-    return pa.array([None if h is None else nodes_of(h) for h in html.to_pylist()], type=_NODES)
+    """A few pages at a time become Python objects, so a batch of large pages stays compact."""
+    parts = [pa.array([None if h is None else nodes_of(h) for h in html.slice(start, PAGES_AT_ONCE).to_pylist()],
+                      type=_NODES) for start in range(0, len(html), PAGES_AT_ONCE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], type=_NODES)
 
 
 # Non-deterministic only to the optimizer, which then evaluates it exactly once per row.

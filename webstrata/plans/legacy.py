@@ -71,16 +71,22 @@ def view_links_subdomain_legacy(t: Tables) -> DataFrame:
 
 def view_sitemap_statistics_legacy(t: Tables) -> DataFrame:
     """Per sitemap: URLs, first and last discovery, and where they stand in the frontier. A sitemap
-    without URLs counts as one URL outside the frontier."""
-    places = t["sitemaps"].select("sitemap_id", "sitemap_url").join(
-        t["url_sitemaps"].select("sitemap_id", "url_id", "discovered_at"), "sitemap_id", "left")
-    stated = places.join(t["frontier"].select("url_id", "status"), "url_id", "left")
-    return stated.groupBy("sitemap_url").agg(
+    without URLs counts as one URL outside the frontier.
+
+    Places are counted per sitemap before they meet the sitemaps, so a sitemap that lists most
+    URLs is one row there.
+    """
+    stated = t["url_sitemaps"].select("sitemap_id", "url_id", "discovered_at").join(
+        t["frontier"].select("url_id", "status"), "url_id", "left")
+    counts = stated.groupBy("sitemap_id").agg(
         F.count("*").alias("total_urls"), F.count_distinct("url_id").alias("unique_urls"),
         F.min("discovered_at").alias("first_discovered"), F.max("discovered_at").alias("last_discovered"),
         F.count_if(F.col("status") == "done").alias("crawled_urls"),
         F.count_if(F.col("status") == "queued").alias("queued_urls"),
         F.count_if(F.col("status").isNull()).alias("not_in_frontier"))
+    whole = {"total_urls": 1, "unique_urls": 0, "crawled_urls": 0, "queued_urls": 0, "not_in_frontier": 1}
+    return t["sitemaps"].select("sitemap_id", "sitemap_url").join(counts, "sitemap_id", "left").withColumns(
+        {c: F.coalesce(c, F.lit(n).cast("bigint")) for c, n in whole.items()}).drop("sitemap_id")
 
 
 def view_schema_analysis_legacy(t: Tables) -> DataFrame:

@@ -12,6 +12,8 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Pages are large rows: small Arrow batches keep Python workers small.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 

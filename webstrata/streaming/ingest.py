@@ -1,8 +1,8 @@
 """Incremental ingest: a stream of fetched pages becomes the crawl tables.
 
-The stream has url, final_url, status, kind, headers, html, chain and fetched_at. Each micro-batch
-is extracted by the same operators a batch job uses and written to its own folder, so a
-replayed batch replaces its earlier attempt.
+The stream has url, final_url, status, kind, headers, html, chain and fetched_at. Pages are parsed
+inside the streaming query, whose plan is built once; each micro-batch then only distributes what
+was extracted, into folders of its own, so a replayed batch replaces its earlier attempt.
 """
 
 from __future__ import annotations
@@ -15,24 +15,32 @@ from webstrata.operators.extract import extract_pages
 from webstrata.operators.links import links_of
 from webstrata.operators.pages import contentful
 from webstrata.operators.schema_org import items_of
-from webstrata.operators.tables import (canonical_edges, hreflang_edges_html, page_metadata, redirect_table,
-                                        split_not_modified)
+from webstrata.operators.tables import canonical_edges, hreflang_edges_html, page_metadata, redirect_table
 from webstrata.session import cut
 from webstrata.streaming.versions import write_batch
 
 
-def ingest_batch(fetches: DataFrame, batch_id: int, out: str) -> None:
-    """Write what one batch of fetches contributes: pages and urls first, then content, links and
-    redirects, then edges from page heads. Unchanged pages (304) only refresh their metadata."""
-    _, changed = split_not_modified(fetches)
+def extracted_fetches(fetches: DataFrame) -> DataFrame:
+    """Fetches with their pages parsed. Unchanged answers (304) and other kinds of resources keep
+    their row but are not parsed."""
+    readable = (F.col("kind") == "html") & (F.col("status") != 304)
+    return extract_pages(fetches.select(
+        F.col("url").alias("requested_url"), F.col("final_url").alias("url"), "status", "kind", "chain", "fetched_at",
+        "headers", F.col("headers").alias("response_headers"), F.when(readable, F.col("html")).alias("html")))
+
+
+def ingest_batch(extracted: DataFrame, batch_id: int, out: str) -> None:
+    """Write what one batch of extracted fetches contributes: pages and urls first, then content,
+    links, items and redirects, then edges from page heads."""
+    batch = cut(extracted)
+    fetches = batch.select(F.col("requested_url").alias("url"), F.col("url").alias("final_url"), "status", "kind", "chain",
+                           "fetched_at", F.col("response_headers").alias("headers"))
+    pages = batch.drop("requested_url", "chain", "response_headers")
+    content = contentful(pages)
     write_batch(page_metadata(fetches), out, "page_metadata", batch_id)
     write_batch(fetches.select("url", "kind", F.col("fetched_at").alias("seen_at")), out, "urls", batch_id)
-    pages = changed.where("kind = 'html' and html <> ''")
-    extracted = cut(extract_pages(pages.select(
-        F.col("final_url").alias("url"), "html", "headers", "status", "kind", "fetched_at")))
-    content = contentful(extracted)
     write_batch(content.drop("links", "items"), out, "content", batch_id)
-    write_batch(links_of(extracted.select("url", "links", F.col("fetched_at").alias("discovered_at"))),
+    write_batch(links_of(pages.select("url", "links", F.col("fetched_at").alias("discovered_at"))),
                 out, "internal_links", batch_id)
     write_batch(items_of(content), out, "schema_items", batch_id)
     write_batch(redirect_table(fetches), out, "redirects", batch_id)
@@ -44,6 +52,6 @@ def stream_ingest(pages_stream: DataFrame, out: str, checkpoint: str | None = No
                   available_now: bool = True) -> StreamingQuery:
     """Start the ingest. With `available_now` it processes what is there and stops."""
     place = checkpoint or f"{out.rstrip('/')}/_checkpoint"
-    writer = pages_stream.writeStream.option("checkpointLocation", place).foreachBatch(
+    writer = extracted_fetches(pages_stream).writeStream.option("checkpointLocation", place).foreachBatch(
         lambda batch, batch_id: ingest_batch(batch, batch_id, out))
     return (writer.trigger(availableNow=True) if available_now else writer).start()
