@@ -149,7 +149,7 @@ VIEW_SQL = {
         JOIN {schema_instances} s ON s.content_hash = r.content_hash
         LEFT JOIN {schema_references} p ON p.url_id = r.url_id AND p.ordinal = r.parent_ordinal
         LEFT JOIN {schema_instances} ps ON ps.content_hash = p.content_hash""",
-    "view_crawl_status": """SELECT status, count(*) AS "count", avg(priority_score) AS avg_priority, min(enqueued_at) AS oldest_enqueued,
+    "view_crawl_status": """SELECT status, count(*) AS "count", round(avg(priority_score), 9) AS avg_priority, min(enqueued_at) AS oldest_enqueued,
         max(updated_at) AS last_updated FROM {frontier} GROUP BY status""",
     "view_utm_links": """SELECT s.url AS source_url, t.url AS target_url, l.anchor_text, l.url_parameters, l.discovered_at FROM {internal_links} l
         JOIN {urls} s ON s.url_id = l.source_url_id LEFT JOIN {urls} t ON t.url_id = l.target_url_id WHERE l.url_parameters LIKE '%utm_%'""",
@@ -220,9 +220,20 @@ VIEW_SQL = {
     "view_content_hash_stats_legacy": HASH_STATS.replace("{m}", "content_length").replace("{{", "{").replace("}}", "}"),
 }
 
-for _name, _view in R.ALL_VIEWS.items():
+# Averages of doubles depend on the order of addition, so they are compared to nine places.
+ROUNDED = {"view_crawl_status": ["avg_priority"]}
+
+
+def _registered(name: str):
+    def build(data: Data) -> DataFrame:
+        view = R.ALL_VIEWS[name](crawl_tables(data))
+        return view.withColumns({c: F.round(c, 9) for c in ROUNDED[name]}) if name in ROUNDED else view
+    return build
+
+
+for _name in R.ALL_VIEWS:
     if _name in VIEW_SQL:
-        check(_name, VIEW_SQL[_name])(lambda data, view=_view: view(crawl_tables(data)))
+        check(_name, VIEW_SQL[_name])(_registered(_name))
 
 
 @check("view_crawl_overview_html_hreflang", _overview_sql("hreflang_html_head"))

@@ -49,5 +49,4 @@ def squeeze(c: Column | str) -> Column:
 
 def word_count(c: Column | str) -> Column:
     """Number of white-space separated tokens."""
-    squeezed = squeeze(c)
-    return F.when(squeezed == "", F.lit(0)).otherwise(F.size(F.split(squeezed, " "))).cast("bigint")
+    return F.regexp_count(col(c), F.lit(f"(?U)[^{_BLANK[1:-1]}]+")).cast("bigint")

@@ -23,7 +23,7 @@ def _parsed(files: DataFrame) -> DataFrame:
 
 def sitemap_kind(xml: Column) -> Column:
     """`sitemap_index` or `sitemap` by the root element."""
-    root = F.lower(F.regexp_extract(xml, r"(?s)^(?:\s|﻿|<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*>)*<([\w:.-]+)", 1))
+    root = F.lower(F.regexp_extract(xml, r"(?s)^(?:\s|\uFEFF|<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*>)*<([\w:.-]+)", 1))
     return F.when(root.endswith("sitemapindex"), "sitemap_index").otherwise("sitemap")
 
 
