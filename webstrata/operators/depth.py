@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webstrata.operators.skew import hot_keys, join_unique
+from webstrata.operators.skew import hot_keys, join_unique, repeated, salted
 from webstrata.session import cut
 
 
@@ -75,8 +76,11 @@ def crawl_depth(seeds: DataFrame, links: DataFrame, redirects: DataFrame | None
             return found.unionByName(led.withColumnsRenamed({"target": "url_id", "parent": "parent_id"}))
 
         start, pairs = with_ends(start), with_ends(pairs)
-    edges = cut(pairs)
-    busy = cut(hot_keys(edges, "source_url_id"))
+    busy = cut(hot_keys(links, "source_url_id"))
+    # Kept partitioned by source: each level then moves only itself, not the links. A lost copy is
+    # rebuilt from the written table.
+    edges = cut(salted(pairs, "source_url_id", busy)).repartition("source_url_id", "_salt").persist(
+        StorageLevel.DISK_ONLY)
 
     def settle(found: DataFrame, depth: int) -> DataFrame:
         return found.groupBy("url_id").agg(F.min("parent_id").alias("parent_id")).select(
@@ -92,11 +96,12 @@ def crawl_depth(seeds: DataFrame, links: DataFrame, redirects: DataFrame | None
         visited = reduce(DataFrame.unionByName, rounds).select("url_id")
         if max_pages is not None and visited.count() >= max_pages:
             break
-        origin = level.select(F.col("url_id").alias("source_url_id"))
-        found = join_unique(edges, origin, "source_url_id", "inner", busy)
+        origin = repeated(level.select(F.col("url_id").alias("source_url_id")), "source_url_id", busy)
+        found = edges.join(origin, ["source_url_id", "_salt"])
         level = cut(settle(found, depth).join(visited, "url_id", "left_anti"))
         if level.isEmpty():
             break
         rounds.append(level)
+    edges.unpersist()
     reached = reduce(DataFrame.unionByName, rounds)
     return reached if max_pages is None else reached.orderBy("depth", "url_id").limit(max_pages)

@@ -29,27 +29,34 @@ def hot_keys(table: DataFrame, key: str) -> DataFrame:
     return hottest(table.groupBy(key).agg(F.count("*").alias("_n")), key, "_n")
 
 
+def salted(facts: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """Facts with a `_salt` that spreads rows of hot keys, and rows without a key, over SPREAD values."""
+    hot = F.broadcast(hot)
+    row_hash = F.xxhash64(*[c for c, t in facts.dtypes if "map<" not in t and "variant" not in t])
+    spread = F.col("_hot_key").isNotNull() | F.col(key).isNull()
+    return facts.join(hot, facts[key] == hot["_hot_key"], "left").withColumn(
+        "_salt", F.when(spread, F.pmod(row_hash, F.lit(SPREAD))).otherwise(0).cast("int")).drop("_hot_key")
+
+
+def repeated(dim: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """Dimension rows with every `_salt` their facts may have: SPREAD copies of hot keys, one of others."""
+    hot = F.broadcast(hot)
+    salts = F.when(F.col("_hot_key").isNotNull(), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
+    return dim.join(hot, dim[key] == hot["_hot_key"], "left").withColumn("_salt", F.explode(salts)).drop("_hot_key")
+
+
 def join_unique(facts: DataFrame, dim: DataFrame, key: str, how: str = "left",
                 hot: DataFrame | None = None) -> DataFrame:
     """Join `facts` with `dim`, which has at most one row per `key`.
 
     The most frequent keys are broadcast (at most HOT_KEYS values): `hot` if given, else counted
-    from `facts`, which then should be a stored table and not a long computation. Their fact rows are salted over SPREAD tasks and only their dim rows are repeated
-    SPREAD times; every other key goes through the ordinary shuffle once. Rows without a key are
-    spread as well.
+    from `facts`, which then should be a stored table and not a long computation. Their fact rows
+    are salted over SPREAD tasks and only their dim rows are repeated SPREAD times; every other
+    key goes through the ordinary shuffle once. Rows without a key are spread as well.
     """
     if hot is None:
         hot = hot_keys(facts, key)
-    hot = F.broadcast(hot)
-    row_hash = F.xxhash64(*[c for c, t in facts.dtypes if "map<" not in t and "variant" not in t])
-    is_hot = F.col("_hot_key").isNotNull()
-    salted = facts.join(hot, facts[key] == hot["_hot_key"], "left").withColumn(
-        "_salt", F.when(is_hot | F.col(key).isNull(), F.pmod(row_hash, F.lit(SPREAD))).otherwise(0).cast("int")
-    ).drop("_hot_key")
-    repeated = dim.join(hot, dim[key] == hot["_hot_key"], "left").withColumn(
-        "_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SPREAD - 1)))
-                           .otherwise(F.array(F.lit(0))))).drop("_hot_key")
-    return salted.join(repeated, [key, "_salt"], how).drop("_salt")
+    return salted(facts, key, hot).join(repeated(dim, key, hot), [key, "_salt"], how).drop("_salt")
 
 
 def chunked(rows: DataFrame, key: str, order: list[str], partitions: int | None = None) -> DataFrame:
