@@ -65,6 +65,17 @@ def test_near_duplicate_pairs_are_exact(spark, threshold, distance, bucket):
     assert first.copies1 == 2 and first.id1 == hashes.index(copied)
 
 
+def test_large_collections_start_at_finer_bands(spark, monkeypatch):
+    assert [len(m) for m, _ in (D._first_masks(10**3, 3, 512), D._first_masks(10**9, 3, 512))] == [4, 16]
+    assert D._first_masks(10**10, 3, 512)[1] == 2
+    hashes = clustered_hashes()
+    rows = spark.createDataFrame(list(enumerate(hashes)), "id long, simhash long")
+    finer = D._first_masks(10**9, 3, 512)
+    monkeypatch.setattr(D, "_first_masks", lambda *_: finer)
+    want = sum(((a ^ b) & (2**64 - 1)).bit_count() <= 3 for i, a in enumerate(hashes) for b in hashes[i + 1:])
+    assert D.near_duplicate_pairs(rows, 0.95, 32).count() == want
+
+
 def test_copies_are_listed_once_per_member(spark):
     rows = spark.createDataFrame([(i, f"u{i:03d}", "same" if i % 3 == 0 else f"h{i}", "s", i) for i in range(90)],
                                  "url_id long, url string, content_hash_sha256 string, content_hash_simhash string, word_count long")

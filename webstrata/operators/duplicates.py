@@ -112,6 +112,15 @@ def _finer(mask: int, bands: int) -> list[int]:
     return [mask | sum(1 << b for b in free[a:z]) for a, z in zip(edges, edges[1:])]
 
 
+def _first_masks(hashes: int, distance: int, bucket: int) -> tuple[list[int], int]:
+    """Masks to start from and their level. Levels whose buckets would be too large even if the
+    hashes were spread evenly are skipped."""
+    masks, level = _finer(0, distance + 1), 1
+    while level < LEVELS and hashes >> (BITS - len(_free_bits(masks[0]))) > bucket:
+        masks, level = [f for m in masks for f in _finer(m, distance + 1)], level + 1
+    return masks, level
+
+
 def _flipped(members: DataFrame, flips: int) -> DataFrame:
     """Every member with every value (column `at`) that differs from it in at most `flips` free bits."""
     bits = F.array(*[F.lit(_signed(1 << b)) for b in range(BITS)])
@@ -153,12 +162,14 @@ def near_duplicate_pairs(rows: DataFrame, threshold: float = 0.95, bucket: int =
         F.count("*").alias("copies"), F.min(id_column).alias("first_id")))
 
     compared: list[DataFrame] = []
-    members, masks = hashes.select("h", F.lit(0).cast("bigint").alias("mask")), [0]
-    for level in range(1, LEVELS + 1):
-        children = {m: _finer(m, distance + 1) for m in masks}
-        choices = F.create_map(*[x for m, finer in children.items() for x in (
-            F.lit(_signed(m)), F.array(*[F.lit(_signed(c)) for c in finer]))])
-        keyed = members.select("h", F.explode(F.element_at(choices, F.col("mask"))).alias("mask")).select(
+    masks, first_level = _first_masks(hashes.count(), distance, bucket)
+    members = hashes.select("h", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"))
+    for level in range(first_level, LEVELS + 1):
+        if level > first_level:
+            choices = F.create_map(*[x for m in masks for x in (
+                F.lit(_signed(m)), F.array(*[F.lit(_signed(c)) for c in _finer(m, distance + 1)]))])
+            members = members.select("h", F.explode(F.element_at(choices, F.col("mask"))).alias("mask"))
+        keyed = members.select(
             "h", F.struct("mask", F.col("h").bitwiseAND(F.col("mask")).alias("value")).alias("key"))
         sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
         sized = cut(join_unique(keyed, sizes, "key", "inner", hottest(sizes, "key", "size")))
