@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Whitespace as str.strip() and str.split() see it: Unicode spaces plus the four separators.
@@ -50,3 +50,10 @@ def squeeze(c: Column | str) -> Column:
 def word_count(c: Column | str) -> Column:
     """Number of white-space separated tokens."""
     return F.regexp_count(col(c), F.lit(f"(?U)[^{_BLANK[1:-1]}]+")).cast("bigint")
+
+
+def instant(df: DataFrame, column: str) -> Column:
+    """A time column as an instant. Times without a zone count as UTC, whatever the session's zone."""
+    if dict(df.dtypes)[column] == "timestamp_ntz":
+        return F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(column)).cast("timestamp")
+    return F.col(column).cast("timestamp")

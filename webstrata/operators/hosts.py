@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webstrata.functions.expr import instant
 from webstrata.operators.skew import chunked, running, running_count
 from webstrata.session import cut_in_order
 
@@ -25,7 +26,7 @@ SPEED_UP = [200, 304]
 
 def _timed(log: DataFrame) -> DataFrame:
     """Event time as microseconds, for exact differences."""
-    return log.select("event_id", "host", "status", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return log.select("event_id", "host", "status", F.unix_micros(instant(log, "ts")).alias("at"))
 
 
 def is_failure(status: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webstrata.functions.expr import record
+from webstrata.functions.expr import instant, record
 from webstrata.functions.scoring import failure_reason, retryable
 from webstrata.operators.skew import join_unique
 
@@ -15,7 +15,7 @@ FOREVER = 1e15   # seconds; keeps the sum of time and waiting time within a bigi
 def failed_urls(fetch_log: DataFrame, retry_delay: float = 1.0, backoff_factor: float = 2.0) -> DataFrame:
     """URLs that failed since their last success: the first failure has retry_count 0, each further
     one adds 1 and multiplies the waiting time. A success (2xx) clears the URL."""
-    fetch_log = fetch_log.withColumn("ts", F.col("ts").cast("timestamp"))
+    fetch_log = fetch_log.withColumn("ts", instant(fetch_log, "ts"))
     order = F.struct("ts", "event_id")
     ok = fetch_log.where(F.col("status").between(200, 299)).groupBy("url").agg(F.max(order).alias("_ok"))
     failures = fetch_log.where(retryable("status")).select(

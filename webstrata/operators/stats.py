@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from webstrata.functions.expr import instant
 from webstrata.functions.urls import site_key
 
 METRICS = ["urls_total", "frontier_done", "frontier_queued", "frontier_pending", "pages_written",
@@ -70,7 +71,7 @@ def _interval(at: Column, seconds: int) -> Column:
 
 def crawl_rate(fetch_log: DataFrame, seconds: int = 60) -> DataFrame:
     """Per interval: new pages, pages per second, and how many of the URLs seen so far are done."""
-    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    at = F.unix_seconds(instant(fetch_log, "ts"))
     log = fetch_log.select("url", "status", _interval(at, seconds).alias("interval_start"))
     good = F.col("status") == 200
     pages = log.groupBy("interval_start").agg(F.count_if(good).alias("pages"))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webstrata.functions.expr import instant
+
 
 def crawl_rate_stream(fetch_log: DataFrame, seconds: int = 60, watermark: str = "10 minutes") -> DataFrame:
     """New pages and pages per second per interval. An interval is final once the watermark passes it."""
-    timed = fetch_log.select(F.col("ts").cast("timestamp").alias("ts"), "status").withWatermark("ts", watermark)
+    timed = fetch_log.select(instant(fetch_log, "ts").alias("ts"), "status").withWatermark("ts", watermark)
     pages = F.count_if(F.col("status") == 200)
     return timed.groupBy(F.window("ts", f"{seconds} seconds").alias("w")).agg(pages.alias("pages")).select(
         F.unix_seconds("w.start").alias("interval_start"), "pages",
