@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from webstrata.functions.html import nodes_of
@@ -44,9 +46,16 @@ def test_links_are_normalized_and_kept_as_written(spark):
 
 
 def test_xpath_of_equal_siblings_is_that_of_the_first():
-    nodes = nodes_of("<ul><li><a href=/x>t</a></li><li><a href='/x'>t</a></li><li>z</li></ul>")
-    paths = [e["xpath"] for e in nodes["elements"] if e["tag"] == "li"]
-    assert paths == ["/[document]/ul/li[1]", "/[document]/ul/li[1]", "/[document]/ul/li[3]"]
+    nodes = nodes_of("<ul><li><a href=/x>t</a></li><li><a href='/x'>t</a></li><li>z<a>u</a></li><li><a>u</a>z</li></ul>")
+    paths = [e["xpath"] for e in nodes["elements"] if e["tag"] == "a"]
+    assert paths == ["/[document]/ul/li[1]/a", "/[document]/ul/li[1]/a", "/[document]/ul/li[3]/a", "/[document]/ul/li[4]/a"]
+
+
+def test_deeply_nested_pages_parse_in_linear_time():
+    start = time.perf_counter()
+    nodes = nodes_of("<p>x<b>" * 40_000 + "<a href=/>z</a></i>")
+    assert len(nodes["elements"]) == 80_001 and nodes["elements"][0]["last"] == 80_000
+    assert time.perf_counter() - start < 10
 
 
 def test_unclosed_elements_nest_and_void_elements_close():

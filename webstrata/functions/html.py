@@ -5,11 +5,12 @@ batch of flat nodes out. All extraction rules are Column expressions over those
 
 Elements are numbered in document order. `last` is the number of an element's last
 descendant, so "inside" is a range test; `texts[first_text:end_text]` are its text pieces.
-Unclosed elements nest until an enclosing element closes.
+Unclosed elements nest until an enclosing element closes. Only links carry their xpath.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -27,6 +28,9 @@ VOID_TAGS = frozenset(
 # Elements whose text is tracked apart from the page text.
 MARKED_TAGS = frozenset("script style template rt rp noscript iframe".split())
 
+# Elements in which white space between tags is kept as it is.
+VERBATIM_TAGS = frozenset(["pre", "textarea"])
+
 # Text that never counts as the text of an enclosing element.
 HIDDEN = ["comment", "script", "style", "template", "rt", "rp"]
 
@@ -59,38 +63,49 @@ NODES = T.StructType([
 
 
 class _NodeList(HTMLParser):
-    """Collects elements and text pieces of one document."""
+    """Collects elements and text pieces of one document, in time linear in its length."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.elements: list[dict] = []
         self.texts: list[dict] = []
-        self.open: list[dict] = []
         self.pending: list[str] = []
+        # Open elements with the marked element they are in and whether white space counts there.
+        self.open: list[tuple[dict, str, bool]] = []
+        self.open_tags: Counter = Counter()
+        # Per element, in order: its own text pieces and the numbers of its children.
+        self.content: list[list] = []
+
+    def add_text(self, text: str, within: str) -> None:
+        self.texts.append({"text": text, "within": within})
+        if self.open:
+            self.content[self.open[-1][0]["id"]].append((text, within))
 
     def flush(self) -> None:
         text = "".join(self.pending)
         self.pending.clear()
-        if not text:
-            return
-        tags = [e["tag"] for e in self.open]
-        if not text.strip() and not {"pre", "textarea"}.intersection(tags):
-            text = "\n" if "\n" in text else " "
-        within = next((t for t in reversed(tags) if t in MARKED_TAGS), "")
-        self.texts.append({"text": text, "within": within})
+        if text:
+            within, verbatim = self.open[-1][1:] if self.open else ("", False)
+            if not verbatim and not text.strip():
+                text = "\n" if "\n" in text else " "
+            self.add_text(text, within)
 
     def close_top(self) -> None:
-        element = self.open.pop()
+        element, _, _ = self.open.pop()
+        self.open_tags[element["tag"]] -= 1
         element["last"], element["end_text"] = len(self.elements) - 1, len(self.texts)
 
     def handle_starttag(self, tag, attrs) -> None:
         self.flush()
-        element = {
-            "id": len(self.elements), "parent": self.open[-1]["id"] if self.open else -1, "tag": tag,
-            "attrs": [(k, v or "") for k, v in dict(attrs).items()], "first_text": len(self.texts),
-        }
+        parent, within, verbatim = self.open[-1] if self.open else ({"id": -1}, "", False)
+        element = {"id": len(self.elements), "parent": parent["id"], "tag": tag,
+                   "attrs": [(k, v or "") for k, v in dict(attrs).items()], "first_text": len(self.texts)}
+        if self.open:
+            self.content[parent["id"]].append(element["id"])
         self.elements.append(element)
-        self.open.append(element)
+        self.content.append([])
+        self.open.append((element, tag if tag in MARKED_TAGS else within, verbatim or tag in VERBATIM_TAGS))
+        self.open_tags[tag] += 1
         if tag in VOID_TAGS:
             self.close_top()
 
@@ -101,8 +116,8 @@ class _NodeList(HTMLParser):
 
     def handle_endtag(self, tag) -> None:
         self.flush()
-        if any(e["tag"] == tag for e in self.open):
-            while self.open[-1]["tag"] != tag:
+        if self.open_tags[tag]:
+            while self.open[-1][0]["tag"] != tag:
                 self.close_top()
             self.close_top()
 
@@ -111,36 +126,45 @@ class _NodeList(HTMLParser):
 
     def handle_comment(self, data) -> None:
         self.flush()
-        self.texts.append({"text": data, "within": "comment"})
+        self.add_text(data, "comment")
 
     def finish(self) -> dict:
         self.close()
         self.flush()
         while self.open:
             self.close_top()
-        self.add_xpaths()
+        self.add_link_paths()
         return {"elements": self.elements, "texts": self.texts}
 
-    def add_xpaths(self) -> None:
-        """Positions only where a parent has several children of a tag; equal twins share the first one's."""
-        twins: dict[tuple, list] = {}
-        content: dict[int, list] = {}
+    def steps(self) -> list[str]:
+        """Each element's step of a path: its tag, with a position if its parent has several of
+        that tag. Equal twins share the position of the first one."""
+        shapes: list[int] = [0] * len(self.elements)
         for e in reversed(self.elements):
-            inner = tuple(reversed(content.pop(e["id"], [])))
-            pieces = tuple((t["text"], t["within"]) for t in self.texts[e["first_text"]:e["end_text"]])
-            shape = hash((e["tag"], tuple(sorted(e["attrs"])), pieces, inner))
-            content.setdefault(e["parent"], []).append(shape)
-            twins.setdefault((e["parent"], e["tag"]), []).append(shape)
-        for shapes in twins.values():
-            shapes.reverse()
-        seen: dict[tuple, int] = {}
-        paths = {-1: "/[document]"}
+            inner = tuple(shapes[c] if isinstance(c, int) else c for c in self.content[e["id"]])
+            shapes[e["id"]] = hash((e["tag"], tuple(sorted(e["attrs"])), inner))
+        siblings: dict[tuple, list[int]] = {}
+        for e in self.elements:
+            siblings.setdefault((e["parent"], e["tag"]), []).append(e["id"])
+        steps = [e["tag"] for e in self.elements]
+        for ids in siblings.values():
+            if len(ids) > 1:
+                first: dict[int, int] = {}
+                for place, i in enumerate(ids, 1):
+                    steps[i] += f"[{first.setdefault(shapes[i], place)}]"
+        return steps
+
+    def add_link_paths(self) -> None:
+        steps = self.steps()
         for e in self.elements:
-            group = (e["parent"], e["tag"])
-            shapes, place = twins[group], seen.get(group, 0)
-            seen[group] = place + 1
-            step = f"{e['tag']}[{shapes.index(shapes[place]) + 1}]" if len(shapes) > 1 else e["tag"]
-            e["xpath"] = paths[e["id"]] = f"{paths[e['parent']]}/{step}"
+            if e["tag"] == "a":
+                path, at = [], e
+                while True:
+                    path.append(steps[at["id"]])
+                    if at["parent"] < 0:
+                        break
+                    at = self.elements[at["parent"]]
+                e["xpath"] = "/[document]/" + "/".join(reversed(path))
 
 
 def nodes_of(html: str) -> dict:
