@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from strata_checks.derived import Data
 from strata_checks.table_queries import _fetches
 from webstrata.operators import hosts as Ho
+from webstrata.operators.extract import extract_fetches
 from webstrata.streaming import hosts as Sh
 from webstrata.streaming import ingest as In
 from webstrata.streaming import versions as Vs
@@ -31,7 +32,7 @@ def test_replayed_ingest_batch_replaces_itself(spark, sf, tmp_path):
     out = str(tmp_path / "tables")
     half = F.col("page_id") < 25
     for batch_id, batch in ((0, fetches.where(half)), (1, fetches.where(~half)), (1, fetches.where(~half))):
-        In.ingest_batch(In.extracted_fetches(batch), batch_id, out)
+        In.ingest_batch(extract_fetches(batch), batch_id, out)
     content = Vs.read_batches(spark, out, "content")
     assert content.count() == fetches.where("status = 200").count()
     links = Vs.of_latest_batch(Vs.read_batches(spark, out, "internal_links"), "source_url")

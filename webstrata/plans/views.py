@@ -18,6 +18,10 @@ from webstrata.operators.tables import REDIRECT_STATUSES
 
 Tables = dict[str, DataFrame]
 
+CONTENT = ["url_id", "title", "meta_description", "h1_tags", "h2_tags", "word_count", "html_lang", "internal_links_count",
+           "external_links_count", "internal_links_unique_count", "external_links_unique_count", "crawl_depth",
+           "content_hash_sha256", "content_hash_simhash", "content_length"]
+
 LINK_IDS = ["source_url_id", "target_url_id", "anchor_text", "xpath", "fragment", "url_parameters"]
 
 
@@ -79,7 +83,7 @@ def overview(t: Tables, alternates: DataFrame, with_fragments: bool = False, any
     inlinks = inlink_counts(t["internal_links"], "source_url_id", "target_url_id").withColumnRenamed(
         "target_url_id", "url_id")
     joined = urls.select("url_id", "url", "kind", "classification", "first_seen", "last_seen")
-    for satellite in (frontier, t["content"], metadata, t["indexability"], _canonicals(t),
+    for satellite in (frontier, t["content"].select(*CONTENT), metadata, t["indexability"], _canonicals(t),
                       alternates, _schema_summary(t), inlinks):
         joined = joined.join(satellite, "url_id", "left")
     joined = joined.join(_named(t["urls"], "_destination", "redirect_destination_url"), "_destination", "left")

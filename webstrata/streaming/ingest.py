@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from webstrata.operators.extract import extract_pages
+from webstrata.operators.extract import extract_fetches
 from webstrata.operators.links import links_of
 from webstrata.operators.pages import contentful
 from webstrata.operators.schema_org import items_of
@@ -20,15 +20,6 @@ from webstrata.session import cut
 from webstrata.streaming.versions import write_batch
 
 
-def extracted_fetches(fetches: DataFrame) -> DataFrame:
-    """Fetches with their pages parsed. Unchanged answers (304) and other kinds of resources keep
-    their row but are not parsed."""
-    readable = (F.col("kind") == "html") & (F.col("status") != 304)
-    return extract_pages(fetches.select(
-        F.col("url").alias("requested_url"), F.col("final_url").alias("url"), "status", "kind", "chain", "fetched_at",
-        "headers", F.col("headers").alias("response_headers"), F.when(readable, F.col("html")).alias("html")))
-
-
 def ingest_batch(extracted: DataFrame, batch_id: int, out: str) -> None:
     """Write what one batch of extracted fetches contributes: pages and urls first, then content,
     links, items and redirects, then edges from page heads."""
@@ -52,6 +43,6 @@ def stream_ingest(pages_stream: DataFrame, out: str, checkpoint: str | None = No
                   available_now: bool = True) -> StreamingQuery:
     """Start the ingest. With `available_now` it processes what is there and stops."""
     place = checkpoint or f"{out.rstrip('/')}/_checkpoint"
-    writer = extracted_fetches(pages_stream).writeStream.option("checkpointLocation", place).foreachBatch(
+    writer = extract_fetches(pages_stream).writeStream.option("checkpointLocation", place).foreachBatch(
         lambda batch, batch_id: ingest_batch(batch, batch_id, out))
     return (writer.trigger(availableNow=True) if available_now else writer).start()
