@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 
 from webstrata.functions import html as H
 from webstrata.functions.expr import blank_to_null, let, record
-from webstrata.functions.urls import resolve_url
 from webstrata.operators.pages import NODES, with_nodes
 from webstrata.operators.skew import hottest, join_unique
 
@@ -49,12 +48,15 @@ ITEM_COLUMNS = ["format", "type", "raw_data", "parsed_data", "position", "ordina
 
 # ---- the JSON step ------------------------------------------------------------------------
 
-def _absolute(value, base: str):
-    """Site-relative string values of objects made absolute, at any depth."""
+def _absolute(value, base: str, in_lists: bool):
+    """Site-relative string values of objects made absolute, at any depth; strings that stand in a
+    list only if `in_lists`."""
+    if isinstance(value, str):
+        return urljoin(base, value) if value.startswith("/") else value
+    if isinstance(value, list):
+        return [_absolute(i, base, in_lists) if in_lists or isinstance(i, dict) else i for i in value]
     if isinstance(value, dict):
-        return {k: urljoin(base, v) if isinstance(v, str) and v.startswith("/") else
-                [_absolute(i, base) if isinstance(i, dict) else i for i in v] if isinstance(v, list) else
-                _absolute(v, base) for k, v in value.items()}
+        return {k: _absolute(v, base, in_lists) for k, v in value.items()}
     return value
 
 
@@ -66,11 +68,12 @@ def _stable(value):
     return value
 
 
-def _normalize_batch(item: pd.Series, base: pd.Series) -> pd.DataFrame:
-    """Item JSON with absolute URLs, and the SHA-256 of its canonical form."""
+def _normalize_batch(item: pd.Series, base: pd.Series, fmt: pd.Series) -> pd.DataFrame:
+    """Item JSON with absolute URLs, and the SHA-256 of its canonical form. Repeated properties of
+    annotated markup are lists of values, each of which may be relative."""
     rows = []
-    for text, url in zip(item, base):
-        data = _absolute(json.loads(text), url) if text is not None else None
+    for text, url, kind in zip(item, base, fmt):
+        data = _absolute(json.loads(text), url, kind != "json-ld") if text is not None else None
         if not data:
             rows.append((None, None))
             continue
@@ -112,14 +115,13 @@ def _property_value(prop: Column) -> Column:
     """What an annotated element says: a media source, a link, a content attribute, a date or its text."""
     text = H.stripped_text_of(NODES, prop)
     blank = F.lit("")
-    value = (
+    return (
         F.when(prop["tag"].isin("img", "audio", "video", "source"), F.coalesce(H.attr(prop, "src"), blank))
         .when(prop["tag"] == "a", F.coalesce(H.attr(prop, "href"), blank))
         .when(prop["tag"] == "meta", F.coalesce(H.attr(prop, "content"), blank))
         .when(prop["tag"] == "time", F.coalesce(H.attr(prop, "datetime"), text))
         .otherwise(text)
     )
-    return let(value, lambda v: F.when(v.startswith("/"), resolve_url(F.col("url"), v, True)).otherwise(v))
 
 
 def _annotated_json(item: Column, type_attr: str, prop_attr: str) -> Column:
@@ -276,7 +278,7 @@ def found_items(sources: list[str] | None = None) -> Column:
 def items_of(pages: DataFrame) -> DataFrame:
     """One row per item of pages (url, items), normalized, hashed and validated."""
     rows = pages.select("url", F.explode("items").alias("_i")).select("url", "_i.*")
-    data = rows.withColumn("_n", _normalized("item", "url"))
+    data = rows.withColumn("_n", _normalized("item", "url", "format"))
     flat = data.select("url", "format", "type", "raw_data", F.col("_n.data").alias("parsed_data"), "position",
                        "ordinal", F.col("_n.hash").alias("content_hash"), "error")
     return schema_validate(flat).select("url", *ITEM_COLUMNS)
