@@ -37,85 +37,101 @@ def crawl_tables(data: Data) -> dict[str, DataFrame]:
     return {**data.tables(*NAMES), "indexability": indexability_table(data)}
 
 
-def _overview_sql(hreflang: str) -> str:
+def _first_true(*cases: tuple[str, str]) -> str:
+    """The label of the first condition that holds, else null."""
+    return "coalesce(" + ", ".join(f"if({condition}, '{label}', NULL)" for condition, label in cases) + ")"
+
+
+def _headings(column: str) -> str:
+    return f"[trim(h) FOR h IN coalesce(c.{column}, []) IF trim(h) <> '']"
+
+
+def _overview_sql(hreflang: str, legacy: bool = False) -> str:
+    """Pages with one pre-grouped relation per kind of fact. The legacy form keeps URLs with
+    fragments and every redirect, and forgives a trailing slash in the page's own language."""
+    reason = _first_true(("NOT i.robots_txt_allows", "blocked by robots.txt"), ("NOT i.html_meta_allows", "blocked by meta robots"),
+                         ("NOT i.http_header_allows", "blocked by HTTP headers"), ("m.initial_status_code <> 200", "not 200 status"),
+                         ("can.elsewhere", "not self canonical"), ("true", "unknown reason"))
+    same_page = "rtrim(a.url, '/') = rtrim(b.url, '/')" if legacy else "h.href_url_id = h.url_id"
+    shown = {
+        "url": "u.url", "crawl_status": "coalesce(f.status, 'unknown')", "status_code": "m.initial_status_code",
+        "indexable": "i.overall_indexable", "indexability_reason": f"if(NOT i.overall_indexable, {reason}, NULL)",
+        "type": "u.kind", "classification": "u.classification", "title": "c.title", "meta_description": "c.meta_description",
+        "h1_1": f"{_headings('h1_tags')}[1]", "h1_2": f"{_headings('h1_tags')}[2]", "h1_count": f"len({_headings('h1_tags')})",
+        "h2_tags": f"nullif(array_to_string({_headings('h2_tags')}, ', '), '')", "h2_count": f"len({_headings('h2_tags')})",
+        **{n: f"c.{n}" for n in ("word_count", "html_lang", "internal_links_count", "external_links_count",
+                                 "internal_links_unique_count", "external_links_unique_count", "crawl_depth")},
+        "inlinks_count": "coalesce(inl.n, 0)", "inlinks_unique_count": "coalesce(inl.pages, 0)",
+        **{n: f"i.{n}" for n in ("robots_txt_allows", "html_meta_allows", "http_header_allows")},
+        **{n: f"coalesce(i.{n}, '')" for n in ("robots_txt_directives", "html_meta_directives", "http_header_directives")},
+        "canonical_urls": "can.targets", "canonical_sources": "can.sources",
+        "redirect_destination_url": "d.url" if legacy else "if(m.initial_status_code IN (301, 302, 303, 307, 308), d.url, NULL)",
+    }
+    if legacy:
+        shown["self_hreflang"] = "own.language"
+    else:
+        shown.update({
+            "self_hreflang_language": "own.language", "hreflang_count": "coalesce(alt.n, 0)", "x_default_hreflang_url": "def.url",
+            "main_schema_types": "sch.types", "main_schema_count": "coalesce(sch.mains, 0)", "total_schema_count": "coalesce(sch.n, 0)",
+            **{n: f"c.{n}" for n in ("content_hash_sha256", "content_hash_simhash", "content_length")},
+            "first_seen": "u.first_seen", "last_seen": "u.last_seen", "fetched_at": "m.fetched_at",
+            "enqueued_at": "f.enqueued_at", "updated_at": "f.updated_at"})
+    columns = ", ".join(f"{value} AS {name}" for name, value in shown.items())
+    fragments = "" if legacy else "AND NOT contains(u.url, '#')"
     return f"""WITH i AS ({INDEXABILITY}),
-    inl AS (SELECT target_url_id, count(*) AS n, count(DISTINCT source_url_id) AS u FROM {{internal_links}} GROUP BY 1),
-    can AS (SELECT c.url_id, string_agg(DISTINCT t.url, ',' ORDER BY t.url) AS urls, string_agg(DISTINCT c.source, ',') AS sources
-        FROM {{canonical_urls}} c LEFT JOIN {{urls}} t ON t.url_id = c.canonical_url_id GROUP BY 1)
-    SELECT u.url, coalesce(f.status, 'unknown') AS crawl_status, pm.initial_status_code AS status_code, i.overall_indexable AS indexable,
-    CASE WHEN i.overall_indexable = false THEN CASE WHEN i.robots_txt_allows = false THEN 'blocked by robots.txt'
-        WHEN i.html_meta_allows = false THEN 'blocked by meta robots' WHEN i.http_header_allows = false THEN 'blocked by HTTP headers'
-        WHEN pm.initial_status_code <> 200 THEN 'not 200 status'
-        WHEN EXISTS (SELECT 1 FROM {{canonical_urls}} x WHERE x.url_id = u.url_id AND x.canonical_url_id <> u.url_id) THEN 'not self canonical'
-        ELSE 'unknown reason' END END AS indexability_reason,
-    u.kind AS type, u.classification, c.title, c.meta_description,
-    [trim(x) FOR x IN c.h1_tags IF trim(x) <> ''][1] AS h1_1,
-    [trim(x) FOR x IN c.h1_tags IF trim(x) <> ''][2] AS h1_2,
-    coalesce(len([x FOR x IN c.h1_tags IF trim(x) <> '']), 0) AS h1_count,
-    nullif(array_to_string([trim(x) FOR x IN c.h2_tags IF trim(x) <> ''], ', '), '') AS h2_tags,
-    coalesce(len([x FOR x IN c.h2_tags IF trim(x) <> '']), 0) AS h2_count,
-    c.word_count, c.html_lang, c.internal_links_count, c.external_links_count, c.internal_links_unique_count,
-    c.external_links_unique_count, c.crawl_depth, coalesce(inl.n, 0) AS inlinks_count, coalesce(inl.u, 0) AS inlinks_unique_count,
-    i.robots_txt_allows, i.html_meta_allows, i.http_header_allows, coalesce(i.robots_txt_directives, '') AS robots_txt_directives,
-    coalesce(i.html_meta_directives, '') AS html_meta_directives, coalesce(i.http_header_directives, '') AS http_header_directives,
-    can.urls AS canonical_urls, can.sources AS canonical_sources,
-    CASE WHEN pm.initial_status_code IN (301, 302, 303, 307, 308) THEN rd.url END AS redirect_destination_url,
-    (SELECT min(h.language_code) FROM {{{hreflang}}} h WHERE h.url_id = u.url_id AND h.href_url_id = u.url_id AND h.language_code <> 'x-default') AS self_hreflang_language,
-    (SELECT count(*) FROM {{{hreflang}}} h WHERE h.url_id = u.url_id) AS hreflang_count,
-    (SELECT min(t.url) FROM {{{hreflang}}} h JOIN {{urls}} t ON t.url_id = h.href_url_id WHERE h.url_id = u.url_id AND h.language_code = 'x-default') AS x_default_hreflang_url,
-    (SELECT string_agg(DISTINCT s.type, ',' ORDER BY s.type) FROM {{schema_references}} r JOIN {{schema_instances}} s ON s.content_hash = r.content_hash
-        WHERE r.url_id = u.url_id AND r.is_main_entity) AS main_schema_types,
-    (SELECT count(*) FROM {{schema_references}} r WHERE r.url_id = u.url_id AND r.is_main_entity) AS main_schema_count,
-    (SELECT count(*) FROM {{schema_references}} r WHERE r.url_id = u.url_id) AS total_schema_count,
-    c.content_hash_sha256, c.content_hash_simhash, c.content_length, u.first_seen, u.last_seen, pm.fetched_at, f.enqueued_at, f.updated_at
-    FROM {{urls}} u LEFT JOIN {{frontier}} f ON f.url_id = u.url_id LEFT JOIN {{content}} c ON c.url_id = u.url_id
-    LEFT JOIN {{page_metadata}} pm ON pm.url_id = u.url_id LEFT JOIN i ON i.url_id = u.url_id LEFT JOIN can ON can.url_id = u.url_id
-    LEFT JOIN inl ON inl.target_url_id = u.url_id LEFT JOIN {{urls}} rd ON rd.url_id = pm.redirect_destination_url_id
-    WHERE u.classification IN ('internal', 'network') AND u.url NOT LIKE '%#%'"""
-
-
-def _overview_legacy_sql() -> str:
-    """The overview text with the older rules for fragments, redirects and the page's own language."""
-    sql = _overview_sql("hreflang_sitemap").replace(" AND u.url NOT LIKE '%#%'", "").replace(
-        "CASE WHEN pm.initial_status_code IN (301, 302, 303, 307, 308) THEN rd.url END", "rd.url").replace(
-        "(SELECT min(h.language_code) FROM {hreflang_sitemap} h WHERE h.url_id = u.url_id AND h.href_url_id = u.url_id AND h.language_code <> 'x-default') AS self_hreflang_language",
-        """(SELECT min(h.language_code) FROM {hreflang_sitemap} h JOIN {urls} w ON w.url_id = h.href_url_id WHERE h.url_id = u.url_id AND h.language_code <> 'x-default'
-            AND (w.url = u.url OR w.url = u.url || '/' OR u.url = w.url || '/')) AS self_hreflang""")
-    head, body = sql.split("SELECT u.url, coalesce", 1)
-    return f"{head}SELECT {', '.join(L.OVERVIEW_COLUMNS)} FROM (SELECT u.url, coalesce{body}) AS o"
-
-
-JUDGED = """SELECT s.url AS source_url, t.url AS target_url, l.anchor_text, l.xpath, l.fragment, l.url_parameters, min(l.discovered_at) AS discovered_at,
-    CASE WHEN l.anchor_text IS NULL THEN 1 ELSE 0 END AS is_image, CASE WHEN l.fragment IS NOT NULL THEN 1 ELSE 0 END AS has_fragment,
-    CASE WHEN l.url_parameters IS NOT NULL THEN 1 ELSE 0 END AS has_parameters,
-    coalesce(pm.initial_status_code, (SELECT min(r.initial_status_code) FROM {page_metadata} r WHERE r.final_url_id = t.url_id)) AS target_status_code,
-    CASE WHEN EXISTS (SELECT 1 FROM {canonical_urls} c WHERE c.url_id = t.url_id AND c.canonical_url_id = t.url_id) THEN 1 ELSE 0 END AS target_is_self_canonical,
-    CASE WHEN pm.url_id IS NOT NULL AND (pm.final_url_id IS NULL OR pm.final_url_id = t.url_id) THEN 1
-        WHEN EXISTS (SELECT 1 FROM {page_metadata} r WHERE r.final_url_id = t.url_id) THEN 1 ELSE 0 END AS target_resolves
-    FROM {internal_links} l JOIN {urls} s ON s.url_id = l.source_url_id LEFT JOIN {urls} t ON t.url_id = l.target_url_id
-    LEFT JOIN {page_metadata} pm ON pm.url_id = t.url_id WHERE s.classification = 'internal' AND %s
-    GROUP BY s.url, t.url, t.url_id, l.anchor_text, l.xpath, l.fragment, l.url_parameters, pm.initial_status_code, pm.url_id, pm.final_url_id"""
-INTERNAL = JUDGED % """(t.classification = 'internal' OR t.classification IS NULL)
-    AND (pm.url_id IS NOT NULL OR EXISTS (SELECT 1 FROM {page_metadata} r WHERE r.final_url_id = t.url_id))"""
-EXTERNAL = JUDGED % "t.classification = 'external'"
-INVALID = f"""SELECT *, CASE WHEN target_resolves = 0 THEN 'redirects' WHEN target_is_self_canonical = 0 THEN 'not self-canonical'
-    WHEN target_status_code <> 200 THEN 'non-200 status' ELSE 'unknown issue' END AS invalid_reason
-    FROM (SELECT * FROM ({INTERNAL}) AS a UNION ALL SELECT * FROM ({EXTERNAL}) AS b) AS x
-    WHERE target_status_code IS NOT NULL AND (target_resolves = 0 OR target_is_self_canonical = 0 OR target_status_code <> 200)"""
-FLAGGED = """SELECT s.url AS source_url, t.url AS target_url, l.anchor_text, l.xpath, l.fragment, l.url_parameters, l.discovered_at,
-    CASE WHEN l.anchor_text IS NULL THEN 1 ELSE 0 END AS is_image, CASE WHEN l.fragment IS NOT NULL THEN 1 ELSE 0 END AS has_fragment,
-    CASE WHEN l.url_parameters IS NOT NULL THEN 1 ELSE 0 END AS has_parameters
-    FROM {internal_links} l JOIN {urls} s ON s.url_id = l.source_url_id LEFT JOIN {urls} t ON t.url_id = l.target_url_id
-    WHERE s.classification = 'internal' AND t.classification = '%s'"""
-LEGACY_LINKS = """SELECT s.url AS source_url, t.url AS target_url, t.classification AS target_classification, l.anchor_text,
-    CASE WHEN l.anchor_text LIKE '[IMG:%%' THEN 1 ELSE 0 END AS is_image, l.xpath, {extra}l.fragment AS url_fragment, l.url_parameters, l.discovered_at
-    FROM {{internal_links}} l JOIN {{urls}} s ON s.url_id = l.source_url_id JOIN {{frontier}} f ON f.url_id = s.url_id
-    LEFT JOIN {{urls}} t ON t.url_id = l.target_url_id LEFT JOIN {{urls}} h ON h.url_id = l.href_url_id WHERE t.classification = '{cls}'"""
+    inl AS (SELECT target_url_id AS url_id, count(*) AS n, count(DISTINCT source_url_id) AS pages FROM {{internal_links}} GROUP BY ALL),
+    can AS (SELECT c.url_id, string_agg(DISTINCT t.url, ',' ORDER BY t.url) AS targets, string_agg(DISTINCT c.source, ',' ORDER BY c.source) AS sources,
+        bool_or(c.canonical_url_id <> c.url_id) AS elsewhere FROM {{canonical_urls}} c LEFT JOIN {{urls}} t ON t.url_id = c.canonical_url_id GROUP BY ALL),
+    alt AS (SELECT url_id, count(*) AS n FROM {{{hreflang}}} GROUP BY ALL),
+    own AS (SELECT h.url_id, min(h.language_code) AS language FROM {{{hreflang}}} h JOIN {{urls}} a ON a.url_id = h.url_id JOIN {{urls}} b ON b.url_id = h.href_url_id
+        WHERE h.language_code <> 'x-default' AND {same_page} GROUP BY ALL),
+    def AS (SELECT h.url_id, min(t.url) AS url FROM {{{hreflang}}} h JOIN {{urls}} t ON t.url_id = h.href_url_id WHERE h.language_code = 'x-default' GROUP BY ALL),
+    sch AS (SELECT r.url_id, count(*) AS n, count(*) FILTER (r.is_main_entity) AS mains, string_agg(DISTINCT s.type, ',' ORDER BY s.type) FILTER (r.is_main_entity) AS types
+        FROM {{schema_references}} r JOIN {{schema_instances}} s USING (content_hash) GROUP BY ALL)
+    SELECT {columns} FROM {{urls}} u LEFT JOIN {{frontier}} f USING (url_id) LEFT JOIN {{content}} c USING (url_id) LEFT JOIN {{page_metadata}} m USING (url_id)
+    LEFT JOIN i USING (url_id) LEFT JOIN inl USING (url_id) LEFT JOIN can USING (url_id) LEFT JOIN alt USING (url_id) LEFT JOIN own USING (url_id)
+    LEFT JOIN def USING (url_id) LEFT JOIN sch USING (url_id) LEFT JOIN {{urls}} d ON d.url_id = m.redirect_destination_url_id
+    WHERE u.classification IN ('internal', 'network') {fragments}"""
+
+
+LINK_FLAGS = "(l.anchor_text IS NULL)::INT AS is_image, (l.fragment IS NOT NULL)::INT AS has_fragment, (l.url_parameters IS NOT NULL)::INT AS has_parameters"
+FROM_INTERNAL = "JOIN {urls} s ON s.url_id = l.source_url_id AND s.classification = 'internal'"
+
+# What is known of each possible target: its own answer, or that of pages which redirect to it.
+TARGETS = """SELECT u.url_id, u.url, coalesce(u.classification, 'internal') AS classification, coalesce(own.status, arriving.status) AS target_status_code,
+    (u.url_id IN (SELECT url_id FROM {canonical_urls} WHERE canonical_url_id = url_id))::INT AS target_is_self_canonical,
+    (arriving.url_id IS NOT NULL OR coalesce(own.stays, false))::INT AS target_resolves, arriving.url_id IS NOT NULL OR own.url_id IS NOT NULL AS crawled
+    FROM {urls} u LEFT JOIN (SELECT url_id, initial_status_code AS status, coalesce(final_url_id = url_id, true) AS stays FROM {page_metadata}) AS own USING (url_id)
+    LEFT JOIN (SELECT final_url_id AS url_id, min(initial_status_code) AS status FROM {page_metadata} WHERE final_url_id IS NOT NULL GROUP BY ALL) AS arriving USING (url_id)"""
+
+
+def _judged(where: str) -> str:
+    return f"""SELECT s.url AS source_url, t.url AS target_url, l.anchor_text, l.xpath, l.fragment, l.url_parameters, l.discovered_at, {LINK_FLAGS},
+    t.target_status_code, t.target_is_self_canonical, t.target_resolves
+    FROM (SELECT source_url_id, target_url_id, anchor_text, xpath, fragment, url_parameters, min(discovered_at) AS discovered_at FROM {{internal_links}} GROUP BY ALL) AS l
+    {FROM_INTERNAL} JOIN ({TARGETS}) AS t ON t.url_id = l.target_url_id WHERE {where}"""
+
+
+INTERNAL = _judged("t.classification = 'internal' AND t.crawled")
+EXTERNAL = _judged("t.classification = 'external'")
+WRONG = _first_true(("target_resolves = 0", "redirects"), ("target_is_self_canonical = 0", "not self-canonical"), ("target_status_code <> 200", "non-200 status"))
+INVALID = f"""SELECT *, {WRONG} AS invalid_reason FROM ({_judged("t.classification = 'external' OR (t.classification = 'internal' AND t.crawled)")}) AS x
+    WHERE target_status_code IS NOT NULL AND {WRONG} IS NOT NULL"""
+
+
+def _flagged(classification: str) -> str:
+    return f"""SELECT s.url AS source_url, t.url AS target_url, l.anchor_text, l.xpath, l.fragment, l.url_parameters, l.discovered_at, {LINK_FLAGS}
+    FROM {{internal_links}} l {FROM_INTERNAL} JOIN {{urls}} t ON t.url_id = l.target_url_id AND t.classification = '{classification}'"""
+
+
 HREF = "h.url AS href, h.classification AS href_classification, "
 
 
-def _legacy_links(cls: str, extra: str = HREF) -> str:
-    return LEGACY_LINKS.replace("{extra}", extra).replace("{cls}", cls).replace("{{", "{").replace("}}", "}").replace("%%", "%")
+def _legacy_links(classification: str, extra: str = HREF) -> str:
+    return f"""SELECT s.url AS source_url, t.url AS target_url, t.classification AS target_classification, l.anchor_text,
+    coalesce(starts_with(l.anchor_text, '[IMG:'), false)::INT AS is_image, l.xpath, {extra}l.fragment AS url_fragment, l.url_parameters, l.discovered_at
+    FROM {{internal_links}} l JOIN {{urls}} t ON t.url_id = l.target_url_id AND t.classification = '{classification}' JOIN {{urls}} s ON s.url_id = l.source_url_id
+    LEFT JOIN {{urls}} h ON h.url_id = l.href_url_id WHERE l.source_url_id IN (SELECT url_id FROM {{frontier}})"""
 
 
 GROUPED = """SELECT u.url, c.url_id, c.{h} AS h, c.word_count, c.content_length, c.content_hash_sha256 AS sha, count(*) OVER (PARTITION BY c.{h}) AS n,
@@ -131,12 +147,12 @@ HASH_STATS = """SELECT count(*) AS total_pages, count(content_hash_sha256) AS pa
 
 VIEW_SQL = {
     "view_crawl_overview": _overview_sql("hreflang_sitemap"),
-    "view_crawl_overview_legacy": _overview_legacy_sql(),
+    "view_crawl_overview_legacy": _overview_sql("hreflang_sitemap", legacy=True),
     "view_links_internal": INTERNAL,
     "view_links_external": EXTERNAL,
     "view_links_invalid_content": INVALID,
-    "view_links_network": FLAGGED % "network",
-    "view_links_subdomain": FLAGGED % "subdomain",
+    "view_links_network": _flagged("network"),
+    "view_links_subdomain": _flagged("subdomain"),
     "view_sitemap_statistics": """SELECT s.sitemap_url, s.total_urls_found, s.is_sitemap_index, s.discovered_at, count(us.url_id) AS urls_processed,
         count(DISTINCT u.classification) AS classification_count, string_agg(DISTINCT u.classification, ',' ORDER BY u.classification) AS classifications
         FROM {sitemaps} s LEFT JOIN {url_sitemaps} us ON us.sitemap_id = s.sitemap_id LEFT JOIN {urls} u ON u.url_id = us.url_id
@@ -164,28 +180,24 @@ VIEW_SQL = {
     "view_links_network_legacy": _legacy_links("network"),
     "view_links_external_legacy": _legacy_links("external"),
     "view_links_subdomain_legacy": _legacy_links("subdomain", ""),
-    "view_sitemap_statistics_legacy": """SELECT s.sitemap_url, count(*) AS total_urls, count(DISTINCT us.url_id) AS unique_urls,
-        min(us.discovered_at) AS first_discovered, max(us.discovered_at) AS last_discovered,
-        count(CASE WHEN f.status = 'done' THEN 1 END) AS crawled_urls, count(CASE WHEN f.status = 'queued' THEN 1 END) AS queued_urls,
-        count(CASE WHEN f.status IS NULL THEN 1 END) AS not_in_frontier FROM {sitemaps} s LEFT JOIN {url_sitemaps} us ON us.sitemap_id = s.sitemap_id
-        LEFT JOIN {frontier} f ON f.url_id = us.url_id GROUP BY s.sitemap_url""",
-    "view_schema_analysis_legacy": """SELECT u.url, s.type AS main_entity_type, s.raw_data AS main_entity_data, s.is_valid AS main_entity_valid,
-        s.validation_errors AS main_entity_errors, s.severity AS main_entity_severity, r.position AS main_entity_position,
-        r.discovered_at AS main_entity_discovered_at, (SELECT count(*) FROM {schema_references} x WHERE x.url_id = u.url_id) AS total_schema_count,
-        (SELECT count(*) FROM {schema_references} x WHERE x.url_id = u.url_id AND x.is_main_entity) AS main_entity_count,
-        (SELECT count(*) FROM {schema_references} x WHERE x.url_id = u.url_id AND NOT x.is_main_entity) AS related_entity_count,
-        (SELECT string_agg(DISTINCT y.type, ',' ORDER BY y.type) FROM {schema_references} x JOIN {schema_instances} y ON y.content_hash = x.content_hash
-            WHERE x.url_id = u.url_id) AS all_schema_types,
-        (SELECT string_agg(DISTINCT x.property_name, ',' ORDER BY x.property_name) FROM {schema_references} x WHERE x.url_id = u.url_id) AS property_names
-        FROM {urls} u LEFT JOIN {schema_references} r ON r.url_id = u.url_id AND r.is_main_entity LEFT JOIN {schema_instances} s ON s.content_hash = r.content_hash
-        WHERE u.url_id IN (SELECT url_id FROM {schema_references})""",
-    "view_schema_hierarchy_legacy": """SELECT u.url, s.type AS schema_type, s.raw_data AS schema_data, s.is_valid, s.validation_errors, s.severity, r.position,
-        r.is_main_entity, r.property_name, r.parent_ordinal, ps.type AS parent_entity_type, ps.raw_data AS parent_entity_data,
-        (SELECT count(*) FROM {schema_references} c WHERE c.url_id = r.url_id AND c.parent_ordinal = r.ordinal) AS child_count,
-        (SELECT count(*) FROM {schema_references} c WHERE c.url_id = r.url_id AND c.parent_ordinal = r.parent_ordinal AND c.ordinal <> r.ordinal) AS sibling_count
-        FROM {schema_references} r JOIN {urls} u ON u.url_id = r.url_id JOIN {schema_instances} s ON s.content_hash = r.content_hash
-        LEFT JOIN {schema_references} p ON p.url_id = r.url_id AND p.ordinal = r.parent_ordinal
-        LEFT JOIN {schema_instances} ps ON ps.content_hash = p.content_hash""",
+    "view_sitemap_statistics_legacy": """WITH placed AS (SELECT us.sitemap_id, us.url_id, us.discovered_at, f.status FROM {url_sitemaps} us LEFT JOIN {frontier} f USING (url_id)),
+        tallied AS (SELECT sitemap_id, count(*) AS n, count(DISTINCT url_id) AS pages, min(discovered_at) AS a, max(discovered_at) AS z,
+            count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'queued') AS queued, count(*) FILTER (status IS NULL) AS outside FROM placed GROUP BY ALL)
+        SELECT s.sitemap_url, coalesce(n, 1) AS total_urls, coalesce(pages, 0) AS unique_urls, a AS first_discovered, z AS last_discovered, coalesce(done, 0) AS crawled_urls,
+        coalesce(queued, 0) AS queued_urls, coalesce(outside, 1) AS not_in_frontier FROM {sitemaps} s LEFT JOIN tallied USING (sitemap_id)""",
+    "view_schema_analysis_legacy": """WITH typed AS (SELECT * FROM {schema_references} r JOIN {schema_instances} USING (content_hash)),
+        totals AS (SELECT url_id, count(*) AS n, count(*) FILTER (is_main_entity) AS mains, string_agg(DISTINCT type, ',' ORDER BY type) AS types,
+            string_agg(DISTINCT property_name, ',' ORDER BY property_name) AS names FROM typed GROUP BY ALL)
+        SELECT u.url, m.type AS main_entity_type, m.raw_data AS main_entity_data, m.is_valid AS main_entity_valid, m.validation_errors AS main_entity_errors,
+        m.severity AS main_entity_severity, m.position AS main_entity_position, m.discovered_at AS main_entity_discovered_at, n AS total_schema_count,
+        mains AS main_entity_count, n - mains AS related_entity_count, types AS all_schema_types, names AS property_names
+        FROM totals JOIN {urls} u USING (url_id) LEFT JOIN (SELECT * FROM typed WHERE is_main_entity) AS m USING (url_id)""",
+    "view_schema_hierarchy_legacy": """WITH typed AS (SELECT * FROM {schema_references} r JOIN {schema_instances} USING (content_hash)),
+        below AS (SELECT url_id, parent_ordinal AS ordinal, count(*) AS n FROM typed WHERE parent_ordinal IS NOT NULL GROUP BY ALL)
+        SELECT u.url, e.type AS schema_type, e.raw_data AS schema_data, e.is_valid, e.validation_errors, e.severity, e.position, e.is_main_entity, e.property_name,
+        e.parent_ordinal, p.type AS parent_entity_type, p.raw_data AS parent_entity_data, coalesce(kids.n, 0) AS child_count, coalesce(peers.n - 1, 0) AS sibling_count
+        FROM typed e JOIN {urls} u USING (url_id) LEFT JOIN typed p ON p.url_id = e.url_id AND p.ordinal = e.parent_ordinal
+        LEFT JOIN below kids ON kids.url_id = e.url_id AND kids.ordinal = e.ordinal LEFT JOIN below peers ON peers.url_id = e.url_id AND peers.ordinal = e.parent_ordinal""",
     "view_crawl_status_legacy": f"""WITH i AS ({INDEXABILITY}),
         ss AS (SELECT count(DISTINCT s.sitemap_id) AS a, count(*) AS b FROM {{sitemaps}} s JOIN {{url_sitemaps}} us ON us.sitemap_id = s.sitemap_id),
         uc AS (SELECT count(*) FILTER (classification = 'internal') AS internal, count(*) FILTER (classification = 'network') AS network,
