@@ -9,7 +9,6 @@ from strata_checks.derived import Data
 from strata_checks.page_queries import HSTS, SPA, hsts_table, spa_table
 from strata_checks.registry import check
 from webstrata.operators import tables as E
-from webstrata.plans import legacy as L
 from webstrata.plans import registry as R
 from webstrata.plans import views as V
 

@@ -2,7 +2,8 @@
 
 The state of all hosts is a small versioned table. A micro-batch is folded by the same chunked
 operators as a batch job, starting from the state its predecessor wrote, so a busy host is
-spread over tasks here too and a replayed batch starts from the same state.
+spread over tasks here too and a replayed batch starts from the same state. Event ids are not
+negative, and events that arrive after a later batch was folded count from that batch's state on.
 """
 
 from __future__ import annotations
