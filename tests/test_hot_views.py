@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from strata_checks.derived import Data
 from strata_checks.run import compare
 from strata_checks.view_queries import NAMES, VIEW_SQL
+from webstrata.operators import skew
 from webstrata.plans.registry import ALL_VIEWS
 from webstrata.session import cut
 
@@ -50,7 +51,8 @@ def hot(spark, sf):
 
 
 @pytest.mark.parametrize("name", VIEWS)
-def test_view_with_hot_keys(hot, name):
+def test_view_with_hot_keys(hot, name, monkeypatch):
+    monkeypatch.setattr(skew, "ROWS_PER_SALT", 20)
     tables, db = hot
     sql = re.sub(r"\{(\w+)\}", r"\1", VIEW_SQL[name])
     assert compare(db, sql, ALL_VIEWS[name](tables)) is None

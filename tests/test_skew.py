@@ -10,7 +10,8 @@ def hot_events(spark, n=3000):
     return spark.range(n).select("id", key.alias("key"), (F.col("id") * 7919 % 1000).alias("at"), (F.col("id") * 31 % 97).alias("v"))
 
 
-def test_join_equals_the_plain_join(spark):
+def test_join_equals_the_plain_join(spark, monkeypatch):
+    monkeypatch.setattr(skew, "ROWS_PER_SALT", 100)
     facts = hot_events(spark)
     dim = facts.where("key is not null").groupBy("key").agg(F.sum("v").alias("total"))
     for how in ("inner", "left"):
@@ -19,15 +20,19 @@ def test_join_equals_the_plain_join(spark):
         assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
-def test_hot_rows_are_spread(spark):
+def test_hot_rows_are_spread_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(skew, "ROWS_PER_SALT", 100)
     facts = hot_events(spark)
-    dim = facts.groupBy("key").agg(F.count("*").alias("n"))
-    plan = skew.join_unique(facts, dim, "key")._jdf.queryExecution().optimizedPlan().toString()
-    assert "_salt" in plan
+    hot = skew.hot_keys(facts, "key")
+    parts = {r.key: r.n for r in skew.salted(facts, "key", hot).groupBy("key").agg(F.count_distinct("_salt").alias("n")).collect()}
+    assert parts["hot"] == 20 and parts["k3"] == 1 and parts[None] > 20
+    copies = {r.key: r.n for r in skew.repeated(facts.select("key").distinct(), "key", hot).groupBy("key").agg(
+        F.count("*").alias("n")).collect()}
+    assert copies["hot"] == 20 and copies["k3"] == 1
 
 
 def test_hot_keys_are_bounded(spark):
-    many = spark.range(5000).select((F.col("id") % 2000).alias("k"))
+    many = spark.range(20_000).select((F.col("id") % 9000).alias("k"))
     assert skew.hot_keys(many, "k").count() == skew.HOT_KEYS
 
 

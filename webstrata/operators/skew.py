@@ -13,14 +13,17 @@ from pyspark.sql.window import Window
 
 from webstrata.session import cut
 
-HOT_KEYS = 256   # a key outside the 256 largest holds less than 1/256 of the rows
-SPREAD = 64      # tasks a hot key is spread over
+HOT_KEYS = 4096          # a key outside the 4096 largest holds less than 1/4096 of the rows
+ROWS_PER_SALT = 250_000  # rows of one key that may stay together
+MAX_SALTS = 16_384       # parts one key is cut into at most
 
 
 def hottest(counts: DataFrame, key: str, count: str, n: int = HOT_KEYS) -> DataFrame:
-    """The `n` most frequent keys: a top-n, so at most `n` rows whatever the input."""
+    """The `n` most frequent keys, a top-n and so at most `n` rows whatever the input, and the
+    number of salts each needs for its rows."""
+    salts = F.least(F.ceil(F.col(count) / F.lit(ROWS_PER_SALT)), F.lit(MAX_SALTS)).cast("int")
     return (counts.where(F.col(key).isNotNull()).orderBy(F.col(count).desc(), key).limit(n)
-            .select(F.col(key).alias("_hot_key")))
+            .select(F.col(key).alias("_hot_key"), salts.alias("_salts")))
 
 
 def hot_keys(table: DataFrame, key: str) -> DataFrame:
@@ -30,19 +33,19 @@ def hot_keys(table: DataFrame, key: str) -> DataFrame:
 
 
 def salted(facts: DataFrame, key: str, hot: DataFrame) -> DataFrame:
-    """Facts with a `_salt` that spreads rows of hot keys, and rows without a key, over SPREAD values."""
+    """Facts with a `_salt` that spreads rows of hot keys, and rows without a key."""
     hot = F.broadcast(hot)
     row_hash = F.xxhash64(*[c for c, t in facts.dtypes if "map<" not in t and "variant" not in t])
-    spread = F.col("_hot_key").isNotNull() | F.col(key).isNull()
+    salts = F.when(F.col(key).isNull(), F.lit(MAX_SALTS)).otherwise(F.coalesce("_salts", F.lit(1)))
     return facts.join(hot, facts[key] == hot["_hot_key"], "left").withColumn(
-        "_salt", F.when(spread, F.pmod(row_hash, F.lit(SPREAD))).otherwise(0).cast("int")).drop("_hot_key")
+        "_salt", F.when(salts > 1, F.pmod(row_hash, salts)).otherwise(0).cast("int")).drop("_hot_key", "_salts")
 
 
 def repeated(dim: DataFrame, key: str, hot: DataFrame) -> DataFrame:
-    """Dimension rows with every `_salt` their facts may have: SPREAD copies of hot keys, one of others."""
+    """Dimension rows once per `_salt` their facts may have."""
     hot = F.broadcast(hot)
-    salts = F.when(F.col("_hot_key").isNotNull(), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
-    return dim.join(hot, dim[key] == hot["_hot_key"], "left").withColumn("_salt", F.explode(salts)).drop("_hot_key")
+    salts = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    return dim.join(hot, dim[key] == hot["_hot_key"], "left").withColumn("_salt", F.explode(salts)).drop("_hot_key", "_salts")
 
 
 def join_unique(facts: DataFrame, dim: DataFrame, key: str, how: str = "left",
@@ -50,9 +53,9 @@ def join_unique(facts: DataFrame, dim: DataFrame, key: str, how: str = "left",
     """Join `facts` with `dim`, which has at most one row per `key`.
 
     The most frequent keys are broadcast (at most HOT_KEYS values): `hot` if given, else counted
-    from `facts`, which then should be a stored table and not a long computation. Their fact rows
-    are salted over SPREAD tasks and only their dim rows are repeated SPREAD times; every other
-    key goes through the ordinary shuffle once. Rows without a key are spread as well.
+    from `facts`, which then should be a stored table and not a long computation. The fact rows of
+    a hot key are cut into as many parts as its count asks for and only its dim row is repeated;
+    every other key goes through the ordinary shuffle once. Rows without a key are spread as well.
     """
     if hot is None:
         hot = hot_keys(facts, key)
