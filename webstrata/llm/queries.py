@@ -66,3 +66,38 @@ def op5_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     from webstrata.llm.decontamination import contamination
 
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from webstrata.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from webstrata.llm.records import encode_to_records
+
+    return encode_to_records(_table(spark, sf_dir, "documents"))
+
+
+@query()
+def op9_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from webstrata.llm.token_counts import token_counts
+
+    return token_counts(_table(spark, sf_dir, "documents"))
+
+
+@query()
+def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from webstrata.llm.pii import find_pii
+
+    return find_pii(_table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_ngram_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from webstrata.llm.jaccard import jaccard_classes
+
+    return jaccard_classes(_table(spark, sf_dir, "documents")).drop("text_key")
