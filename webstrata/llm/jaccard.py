@@ -156,7 +156,7 @@ def band_keys(own: np.ndarray, band: Band, number: int) -> np.ndarray:
     segment = ((spread >> np.uint64(20)) % np.uint64(m)).astype(np.int64)
     sums, sizes = np.zeros(m, np.uint64), np.bincount(segment, minlength=m)
     np.add.at(sums, segment, _mix(own + _ODD[1]))
-    base = _mix(np.arange(m, dtype=np.uint64) * _ODD[0] + np.uint64(number + 1) * _ODD[1])
+    base = _mix(np.arange(m, dtype=np.uint64) * _ODD[0] + np.full(m, number + 1, np.uint64) * _ODD[1])
     if not band.deletions:
         light = sizes < 2
         kept = ~light if light.sum() <= band.skipped else np.ones(m, bool)

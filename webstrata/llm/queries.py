@@ -101,3 +101,23 @@ def op7_ngram_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from webstrata.llm.jaccard import jaccard_classes
 
     return jaccard_classes(_table(spark, sf_dir, "documents")).drop("text_key")
+
+
+@query()
+def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from webstrata.llm.warc import derivatives
+
+    return derivatives(_table(spark, sf_dir, "pages"))
+
+
+@query()
+def op6_convolutional_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from webstrata.llm import toxicity
+
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score(docs.select("doc_id", "text", "lang"), model).select(
+        "doc_id", (toxicity.fold(F.col("doc_id")) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        toxicity.rejected(model).alias("rejected"))
