@@ -144,7 +144,7 @@ def responses(pages: DataFrame, key_col: str = "page_id", url_col: str = "url",
 
     body = F.coalesce(name(html_col), F.lit(""))
     headers = F.array(F.struct(F.lit("Content-Type").alias("name"), F.lit("text/html; charset=utf-8").alias("value")),
-                      F.struct(F.lit("Content-Length"), F.octet_length(body).cast("string")))
+                      F.struct(F.lit("Content-Length").alias("name"), F.octet_length(body).cast("string").alias("value")))
     return pages.select(ident(name(key_col).cast("string"), name(url_col)).alias("record_id"), name(url_col).alias("target_uri"),
                         F.lit(date).alias("date"), F.lit("HTTP/1.1 200 OK").alias("status_line"), headers.alias("headers"), body.alias("body"))
 
