@@ -93,11 +93,11 @@ DERIVED = {
     # ---- two crawls of one site ----
     "origin": """SELECT page_id AS url_id, 'https://example.com/p/' || CAST(page_id AS STRING) AS url, 'internal' AS classification,
         'T' || CAST(page_id % 30 AS STRING) AS title, CASE WHEN page_id % 7 <> 0 THEN 'H' || CAST(page_id % 9 AS STRING) END AS h1,
-        CAST(NULL AS STRING) AS meta_description, (page_id * 37) % 1500 AS word_count FROM {pages} WHERE page_id % 5 <> 4""",
+        CASE WHEN page_id % 4 <> 0 THEN 'D' || CAST(page_id % 11 AS STRING) END AS meta_description, (page_id * 37) % 1500 AS word_count FROM {pages} WHERE page_id % 5 <> 4""",
     "staging": """SELECT page_id AS url_id, 'https://staging.example.com/p/' || CAST(page_id AS STRING) AS url,
         'internal' AS classification, 'T' || CAST(page_id % 29 AS STRING) AS title,
         CASE WHEN page_id % 6 <> 0 THEN 'H' || CAST(page_id % 9 AS STRING) END AS h1,
-        CAST(NULL AS STRING) AS meta_description, (page_id * 37) % 1501 AS word_count FROM {pages} WHERE page_id % 4 <> 3""",
+        CASE WHEN page_id % 6 <> 0 THEN 'D' || CAST(page_id % 22 AS STRING) END AS meta_description, (page_id * 37) % 1501 AS word_count FROM {pages} WHERE page_id % 4 <> 3""",
     "moved": """SELECT 'https://example.com/p/' || CAST(page_id AS STRING) AS source_url,
         'https://example.com/p/' || CAST(page_id + 1 AS STRING) AS target_url FROM {pages} WHERE page_id % 9 = 0""",
     "origin_links": """SELECT 'https://example.com/p/' || CAST(page_id AS STRING) AS source_url,
@@ -153,6 +153,12 @@ DERIVED = {
         || CASE WHEN page_id % 3 = 1 THEN '<div vocab="https://schema.org/" typeof="Person"><b property="name">Pat ' || CAST(page_id AS STRING) || '</b></div>' ELSE '' END
         || CASE WHEN page_id % 7 = 0 THEN '<div itemscope>untyped</div>' ELSE '' END
         || CASE WHEN page_id % 7 = 1 THEN '<!-- see https://schema.org/Thing -->' ELSE '' END || '<footer>') AS html FROM {pages}""",
+    # Markup no parser takes, and text that is nearly JSON.
+    "dirty_pages": """SELECT page_id, url, '<html><head><title>T' || CAST(page_id AS STRING) || '</title><script type="application/ld+json">'
+        || CASE page_id % 8 WHEN 0 THEN '{"@type":"Product","name":"a","offers":1};' WHEN 1 THEN '{"@type":"A"}{"@type":"B"}'
+            WHEN 2 THEN '{"@type":"A","@type":"Person"}' WHEN 3 THEN '{"@type":"Person","age":NaN}' WHEN 4 THEN '[{"@type":"A"}] x'
+            WHEN 5 THEN repeat('[', 100000) WHEN 6 THEN '{"@type":{"a":1}}' ELSE '{"@type":["Person"],"name":"n"}' END
+        || '</script></head><body><![foo[ x ]]><h1>H</h1>' || CASE WHEN page_id % 3 = 0 THEN '<![ x' ELSE '</body></html>' END AS html FROM {pages}""",
     "schema_expected": """
         SELECT url, page_id, 'json-ld' AS format, 'Article' AS type, '0' AS position, 0 AS source, 'info' AS severity, 0 AS errors FROM {pages} WHERE page_id % 6 = 0
         UNION ALL SELECT url, page_id, 'json-ld', 'Product', '0', 0, 'error', 1 FROM {pages} WHERE page_id % 6 = 1
@@ -218,7 +224,7 @@ class Data:
 
     def parsed(self, name: str) -> DataFrame:
         """A table about to be parsed or hashed, spread over all cores."""
-        return spread(getattr(self, name))
+        return spread(getattr(self, name), self.spark.sparkContext.defaultParallelism)
 
     def tables(self, *names: str) -> dict[str, DataFrame]:
         return {n: getattr(self, n) for n in names}

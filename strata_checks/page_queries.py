@@ -326,7 +326,7 @@ def _conditional_headers(data: Data) -> DataFrame:
 # ---- structured data ----------------------------------------------------------------------
 
 def _source() -> Column:
-    return F.shiftright("ordinal", 58).cast("int").alias("source")
+    return F.col("ordinal.source").alias("source")
 
 
 def _items(data: Data) -> DataFrame:
@@ -356,21 +356,47 @@ def _schema_jsonld_data(data: Data) -> DataFrame:
 
 
 @check("schema_microdata_data", """SELECT url, '{"@type":"Organization","name":"Org ' || CAST(page_id AS STRING) || '","url":"'
-    || regexp_extract(url, '^(https?://[^/]+)', 1) || '/org/' || CAST(page_id AS STRING) || '"}' AS data FROM {pages} WHERE page_id % 2 = 1""")
+    || regexp_extract(url, '^(https?://[^/]+)', 1) || '/org/' || CAST(page_id AS STRING) || '"}' AS data,
+    '<div itemscope itemtype="https://schema.org/Organization"><span itemprop="name"> Org ' || CAST(page_id AS STRING)
+    || ' </span><a itemprop="url" href="/org/' || CAST(page_id AS STRING) || '">x</a></div>' AS raw_data FROM {pages} WHERE page_id % 2 = 1""")
 def _schema_microdata_data(data: Data) -> DataFrame:
     items = S.extract_schema(data.parsed("rich_pages"), ["microdata"])
-    return items.select("url", F.to_json(F.parse_json("parsed_data")).alias("data"))
+    return items.select("url", F.to_json(F.parse_json("parsed_data")).alias("data"), "raw_data")
 
 
-@check("schema_rdfa_data", """SELECT url, '{"@type":"Person","name":"Pat ' || CAST(page_id AS STRING) || '"}' AS data FROM {pages} WHERE page_id % 3 = 1""")
+@check("schema_rdfa_data", """SELECT url, '{"@type":"Person","name":"Pat ' || CAST(page_id AS STRING) || '"}' AS data,
+    '<div vocab="https://schema.org/" typeof="Person"><b property="name">Pat ' || CAST(page_id AS STRING) || '</b></div>' AS raw_data
+    FROM {pages} WHERE page_id % 3 = 1""")
 def _schema_rdfa_data(data: Data) -> DataFrame:
     items = S.extract_schema(data.parsed("rich_pages"), ["rdfa"])
-    return items.select("url", F.to_json(F.parse_json("parsed_data")).alias("data"))
+    return items.select("url", F.to_json(F.parse_json("parsed_data")).alias("data"), "raw_data")
 
 
-@check("schema_broken", "SELECT url, format, type, position FROM {schema_expected} WHERE source >= 3")
+@check("schema_broken", """SELECT url, format, type, position, CASE type WHEN 'BrokenJSON-LD' THEN '{"@context":"https://schema.org","@type": oops}'
+    WHEN 'BrokenMicrodata' THEN '<div itemscope>untyped</div>' ELSE CASE WHEN page_id % 6 = 1 AND position = '0'
+        THEN '{"@type":"http://schema.org/Product","name":"P' || CAST(page_id AS STRING) || '"}' ELSE ' see https://schema.org/Thing ' END END AS raw_data
+    FROM {schema_expected} WHERE source >= 3""")
 def _schema_broken(data: Data) -> DataFrame:
-    return S.extract_schema(data.parsed("rich_pages"), ["broken"]).select("url", "format", "type", "position")
+    return S.extract_schema(data.parsed("rich_pages"), ["broken"]).select("url", "format", "type", "position", "raw_data")
+
+
+@check("dirty_pages_schema", """SELECT url, CASE WHEN page_id % 8 IN (0, 1, 4) THEN 'InvalidJSON' WHEN page_id % 8 IN (5, 6) THEN 'ParseError' ELSE 'Person' END AS type,
+    '0' AS position, CASE WHEN page_id % 8 IN (2, 3, 7) THEN 0 ELSE 1 END AS errors,
+    CASE page_id % 8 WHEN 2 THEN '{"@type": "Person"}' WHEN 3 THEN '{"@type": "Person", "age": NaN}' WHEN 7 THEN '{"@type": ["Person"], "name": "n"}' END AS data
+    FROM {pages}""")
+def _dirty_pages_schema(data: Data) -> DataFrame:
+    items = S.extract_schema(data.parsed("dirty_pages"), ["json-ld"])
+    return items.select("url", "type", "position", F.size("validation_errors").alias("errors"), F.col("parsed_data").alias("data"))
+
+
+@check("dirty_pages_content", "SELECT page_id, 'T' || CAST(page_id AS STRING) AS title, 'H' AS h1 FROM {pages}")
+def _dirty_pages_content(data: Data) -> DataFrame:
+    return P.extract_content(data.parsed("dirty_pages")).select("page_id", "title", F.array_join("h1_tags", "|").alias("h1"))
+
+
+@check("parse_errors", "SELECT url, '' AS error FROM {pages} WHERE page_id < 0")
+def _parse_errors(data: Data) -> DataFrame:
+    return P.parse_errors(data.parsed("dirty_pages"))
 
 
 @check("schema_hash", """SELECT url, type, sha256(data) AS content_hash FROM (

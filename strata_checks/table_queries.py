@@ -122,10 +122,11 @@ def _document_hashes(data: Data) -> DataFrame:
 check("simhash", SIMHASH.replace("{L}", "<L>").replace("{N}", "<N>"))(_document_hashes)
 
 
-@check("simhash_round_trip", """SELECT doc_id, md5(text) = md5(text) AS same FROM {documents}""")
+@check("simhash_round_trip", """SELECT doc_id, true AS same, 64 AS bits FROM {documents}""")
 def _simhash_round_trip(data: Data) -> DataFrame:
     decimal = _document_hashes(data).withColumn("decimal", Hs.simhash_decimal("simhash"))
-    return decimal.select("doc_id", (Hs.simhash_bits("decimal") == F.col("simhash")).alias("same"))
+    return decimal.select("doc_id", (Hs.simhash_bits("decimal") == F.col("simhash")).alias("same"),
+                          (F.bit_count(F.col("simhash")) + F.bit_count(F.bitwise_not("simhash"))).alias("bits"))
 
 
 EMBEDDED_BITS = """SELECT vec_id, CAST(label AS BIGINT) * 7919 + vec_id AS a, CAST(label AS BIGINT) * 7919 AS b FROM {embeddings}"""
@@ -720,8 +721,8 @@ def _view_url_moves(data: Data) -> DataFrame:
     return H.view_url_moves(_compared(data))
 
 
-@check("view_content_differences", f"""SELECT *, CASE WHEN title_match <> 'Match' OR h1_match <> 'Match' OR meta_description_match <> 'Match' OR word_count_match <> 'Match'
-    THEN 'Content differences detected' ELSE 'No content differences' END AS overall_content_status
+@check("view_content_differences", f"""SELECT *, CASE WHEN title_match NOT IN ('Match', 'Both Missing') OR h1_match NOT IN ('Match', 'Both Missing')
+    OR meta_description_match NOT IN ('Match', 'Both Missing') OR word_count_match NOT IN ('Match', 'Both Missing') THEN 'Content differences detected' ELSE 'No content differences' END AS overall_content_status
     FROM (SELECT path, {FIELDS} FROM ({CMP}) AS c WHERE exists_on_origin = 1 AND exists_on_staging = 1) AS d""")
 def _content_differences(data: Data) -> DataFrame:
     return H.view_content_differences(_compared(data))
@@ -792,7 +793,7 @@ def _staging_seeds(data: Data) -> DataFrame:
     return H.staging_seeds(data.urls, data.frontier, "therin.example.net", "staging.example.net")
 
 
-@check("crawl_side", """SELECT u.url_id, u.url, u.classification, c.title, c.h1_tags[1] AS h1, CAST(NULL AS STRING) AS meta_description, coalesce(c.word_count, 0) AS word_count
+@check("crawl_side", """SELECT u.url_id, u.url, u.classification, c.title, c.h1_tags[1] AS h1, c.meta_description, coalesce(c.word_count, 0) AS word_count
     FROM {urls} u JOIN {frontier} f ON f.url_id = u.url_id LEFT JOIN {content} c ON c.url_id = u.url_id WHERE f.status = 'done'""")
 def _crawl_side(data: Data) -> DataFrame:
     return H.crawl_side(data.urls, data.frontier, data.content)
@@ -807,7 +808,8 @@ def _stream(data: Data, table: str) -> DataFrame:
 
 @check("stream_ingest", f"""SELECT 'content' AS table_name, count(*) AS n FROM {{pages}} WHERE page_id % 5 <> 0
     UNION ALL SELECT 'internal_links', CAST(sum(len(regexp_extract_all(html, '<a href='))) AS BIGINT) FROM {{pages}} WHERE page_id % 5 <> 0
-    UNION ALL SELECT 'page_metadata', count(*) FROM {{pages}} UNION ALL SELECT 'redirects', count(*) FROM {{pages}} WHERE page_id % 3 = 0""")
+    UNION ALL SELECT 'page_metadata', count(*) FROM {{pages}} WHERE page_id % 5 <> 0
+    UNION ALL SELECT 'redirects', count(*) FROM {{pages}} WHERE page_id % 3 = 0 AND page_id % 5 <> 0""")
 def _stream_ingest(data: Data) -> DataFrame:
     class Streamed:
         pages = _stream(data, "pages")

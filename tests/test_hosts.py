@@ -118,3 +118,5 @@ def test_failures_count_since_the_last_success_and_stay_finite(spark):
     a = got["a"]
     assert (a.status_code, a.retry_count, a.next_retry_at - a.last_retry_at) == (500, 1, 2)
     assert got["c"].retry_count == 1499 and got["c"].failure_reason == "Connection/timeout error"
+    assert got["c"].next_retry_at is None        # beyond any time a bigint of seconds can state
+    assert {r.url: r.next_retry_at - r.last_retry_at for r in Rt.failed_urls(frame(spark, rows), 1.0, 2.0, max_delay=60.0).collect()}["c"] == 60

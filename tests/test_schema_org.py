@@ -66,3 +66,32 @@ def test_roles_instances_and_references(items):
     main = next(r for r in refs if r.is_main_entity)
     assert {r.property_name for r in refs if r.parent_ordinal == main.ordinal} == {"videoobject", "organization"}
     assert all(r.parent_ordinal is not None for r in S.schema_references(items, related_parent=True).collect() if not r.is_main_entity)
+
+
+def items_from(spark, *blocks):
+    html = "".join(f'<script type="application/ld+json">{b}</script>' for b in blocks)
+    rows = S.extract_schema(spark.createDataFrame([("https://e.com/", html)], "url string, html string"), ["json-ld"]).orderBy("ordinal").collect()
+    return [(r.type, r.position, r.parsed_data) for r in rows]
+
+
+@pytest.mark.parametrize("block,want", [
+    ('{"@type":"Product"};', [("InvalidJSON", "0", None)]),
+    ('{"@type":"A"}{"@type":"B"}', [("InvalidJSON", "0", None)]),
+    ('[{"@type":"A"}] x', [("InvalidJSON", "0", None)]),
+    ('{"@type":"A","@type":"B"}', [("B", "0", '{"@type": "B"}')]),
+    ('{"@type":"A","n":NaN,"m":[-Infinity]}', [("A", "0", '{"@type": "A", "n": NaN, "m": [-Infinity]}')]),
+    ('[{"b":1,"@type":"A","a":"\\ud800"}]', [("A", "0", '{"b": 1, "@type": "A", "a": "\\ud800"}')]),
+    ('{"@type":"\\ud800"}', [("?", "0", '{"@type": "\\ud800"}')]),
+    ('{"@type":5}', [("ParseError", "0", None)]), ("[" * 100_000, [("ParseError", "0", None)]), ("7", []), ("{}", [("Unknown", "0", None)]),
+    ('[{"@type":"A"},{"@type":{}},{"@type":"B"}]', [("A", "0", '{"@type": "A"}'), ("ParseError", "0", None)]),
+    ('{"@type":"A","n":' + "1" * 5000 + "}", [("ParseError", "0", None)]),
+])
+def test_odd_blocks_end_no_job(spark, block, want):
+    assert items_from(spark, block) == want
+
+
+def test_whole_elements_tell_broken_items_apart(spark):
+    pages = spark.createDataFrame([("https://e.com/1", "<div itemscope><b>one</b></div>"), ("https://e.com/2", "<div itemscope><b>two</div>"),
+                                   ("https://e.com/3", "<p itemscope>left open <i>x")], "url string, html string")
+    found = S.schema_instances(S.extract_schema(pages)).collect()
+    assert sorted(r.raw_data for r in found) == ["<div itemscope><b>one</b></div>", "<div itemscope><b>two</div>", "<p itemscope>left open <i>x"]

@@ -68,3 +68,27 @@ def test_every_view_of_a_crawl_can_be_built(tables):
     assert len(built) >= 30
     for name, df in built.items():
         assert df.count() >= 0, name
+
+
+def test_unchanged_answers_keep_the_page(spark):
+    hop = "struct<url:string,status:int,headers:map<string,string>>"
+    kind, base = {"Content-Type": "text/html"}, "https://site.org"
+
+    def fetch(path, html, status, at):
+        return (base + path, base + path, status, kind, html, [(base + path, status, {})], at)
+
+    def page(title):
+        return PAGE.format(t=title, c="/a")
+
+    rows = [fetch("/a", page("Kept"), 200, 10), fetch("/a", None, 304, 20), fetch("/b", None, 304, 30),
+            fetch("/c", page("One"), 200, 40), fetch("/c", page("Two"), 200, 40), fetch("/d", page("Old"), 200, 50),
+            fetch("/d", "<title>gone</title>", 404, 60)]
+    schema = f"url string, final_url string, status int, headers map<string,string>, html string, chain array<{hop}>, fetched_at long"
+    seen = []
+    for parts, order in ((1, rows), (4, rows[::-1])):
+        t = crawl_tables(spark.createDataFrame(order, schema).repartition(parts), "site.org", "strata")
+        overview = build_views(t, ["view_crawl_overview"])["view_crawl_overview"]
+        seen.append({r.url.removeprefix(base): (r.title, r.status_code) for r in overview.where("crawl_status = 'done'").collect()})
+        assert {r.url.removeprefix(base): r.last_seen for r in t["urls"].collect()}["/a"] == 20
+    assert seen[0] == seen[1] and seen[0]["/a"] == ("Kept", 200) and seen[0]["/b"] == (None, 304)
+    assert seen[0]["/c"] in (("One", 200), ("Two", 200)) and seen[0]["/d"] == (None, 404)

@@ -39,6 +39,28 @@ def test_replayed_ingest_batch_replaces_itself(spark, sf, tmp_path):
     assert links.groupBy("source_url", "position").count().where("count > 1").count() == 0
 
 
+def test_pages_change_between_batches(spark, tmp_path):
+    """A page that loses its links keeps none of the old ones, and an unchanged answer changes nothing."""
+    out, kind = str(tmp_path / "t"), {"Content-Type": "text/html"}
+    schema = ("url string, final_url string, status int, kind string, headers map<string,string>, html string, "
+              "chain array<struct<url:string,status:int,headers:map<string,string>>>, fetched_at long")
+
+    def batch(number, *rows):
+        frame = spark.createDataFrame([(u, u, s, "html", kind, h, [(u, s, {})], number) for u, s, h in rows], schema)
+        In.ingest_batch(extract_fetches(frame), number, out)
+
+    linked = '<title>{}</title><a href="/x">x</a>'
+    batch(0, ("http://h/a", 200, linked.format("a0")), ("http://h/b", 200, linked.format("b0")))
+    batch(1, ("http://h/a", 200, "<title>a1</title>"), ("http://h/b", 304, None))
+    batch(2, ("http://h/c", 200, linked.format("c2")))
+    versions = Vs.read_batches(spark, out, "page_metadata").select(F.col("url").alias("source_url"), "batch")
+    links = Vs.of_latest_batch(Vs.read_batches(spark, out, "internal_links"), "source_url", versions)
+    assert sorted(r.source_url for r in links.collect()) == ["http://h/b", "http://h/c"]
+    content = Vs.current(Vs.read_batches(spark, out, "content"), ["url"])
+    assert {r.url[-1]: r.title for r in content.collect()} == {"a": "a1", "b": "b0", "c": "c2"}
+    assert {r.url[-1]: r.final_status_code for r in Vs.current(Vs.read_batches(spark, out, "page_metadata"), ["url"]).collect()} == dict.fromkeys("abc", 200)
+
+
 def test_later_batches_win(spark, tmp_path):
     out = str(tmp_path / "t")
     Vs.write_batch(spark.createDataFrame([("a", 1), ("b", 1)], "k string, v int"), out, "x", 0)

@@ -5,11 +5,14 @@ batch of flat nodes out. All extraction rules are Column expressions over those
 
 Elements are numbered in document order. `last` is the number of an element's last
 descendant, so "inside" is a range test; `texts[first_text:end_text]` are its text pieces.
-Unclosed elements nest until an enclosing element closes. Only links carry their xpath.
+Unclosed elements nest until an enclosing element closes. Only links carry their xpath. `start`
+and `end` are an element's place in the source, in characters; a page that cannot be parsed has
+no nodes and says why in `error`.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from html.parser import HTMLParser
 
@@ -40,9 +43,10 @@ _ELEMENT = pa.struct([
     ("id", pa.int32()), ("parent", pa.int32()), ("last", pa.int32()), ("tag", pa.string()),
     ("attrs", pa.map_(pa.string(), pa.string())),
     ("first_text", pa.int32()), ("end_text", pa.int32()), ("xpath", pa.string()),
+    ("start", pa.int32()), ("end", pa.int32()),
 ])
 _TEXT = pa.struct([("text", pa.string()), ("within", pa.string())])
-_NODES = pa.struct([("elements", pa.list_(_ELEMENT)), ("texts", pa.list_(_TEXT))])
+_NODES = pa.struct([("elements", pa.list_(_ELEMENT)), ("texts", pa.list_(_TEXT)), ("error", pa.string())])
 
 NODES = T.StructType([
     T.StructField("elements", T.ArrayType(T.StructType([
@@ -54,11 +58,14 @@ NODES = T.StructType([
         T.StructField("first_text", T.IntegerType()),
         T.StructField("end_text", T.IntegerType()),
         T.StructField("xpath", T.StringType()),
+        T.StructField("start", T.IntegerType()),
+        T.StructField("end", T.IntegerType()),
     ]))),
     T.StructField("texts", T.ArrayType(T.StructType([
         T.StructField("text", T.StringType()),
         T.StructField("within", T.StringType()),
     ]))),
+    T.StructField("error", T.StringType()),
 ])
 
 
@@ -75,6 +82,26 @@ class _NodeList(HTMLParser):
         self.open_tags: Counter = Counter()
         # Per element, in order: its own text pieces and the numbers of its children.
         self.content: list[list] = []
+        self.source = ""
+        self.line_starts = [0]
+
+    def parse(self, source: str) -> dict:
+        self.source = source
+        self.line_starts += [m.end() for m in re.finditer("\n", source)]
+        self.feed(source)
+        return self.finish()
+
+    def place(self) -> int:
+        """Where in the source the piece at hand begins."""
+        line, column = self.getpos()
+        return self.line_starts[line - 1] + column
+
+    def parse_marked_section(self, i, report=1) -> int:
+        """A marked section is a comment up to the next >, or to the end of the page."""
+        end = self.rawdata.find(">", i + 3)
+        end = len(self.rawdata) if end < 0 else end
+        self.handle_comment(self.rawdata[i + 2:end])
+        return min(end + 1, len(self.rawdata))
 
     def add_text(self, text: str, within: str) -> None:
         self.texts.append({"text": text, "within": within})
@@ -90,16 +117,16 @@ class _NodeList(HTMLParser):
                 text = "\n" if "\n" in text else " "
             self.add_text(text, within)
 
-    def close_top(self) -> None:
+    def close_top(self, end: int) -> None:
         element, _, _ = self.open.pop()
         self.open_tags[element["tag"]] -= 1
-        element["last"], element["end_text"] = len(self.elements) - 1, len(self.texts)
+        element["last"], element["end_text"], element["end"] = len(self.elements) - 1, len(self.texts), end
 
     def handle_starttag(self, tag, attrs) -> None:
         self.flush()
         parent, within, verbatim = self.open[-1] if self.open else ({"id": -1}, "", False)
         element = {"id": len(self.elements), "parent": parent["id"], "tag": tag,
-                   "attrs": [(k, v or "") for k, v in dict(attrs).items()], "first_text": len(self.texts)}
+                   "attrs": [(k, v or "") for k, v in dict(attrs).items()], "first_text": len(self.texts), "start": self.place()}
         if self.open:
             self.content[parent["id"]].append(element["id"])
         self.elements.append(element)
@@ -107,19 +134,27 @@ class _NodeList(HTMLParser):
         self.open.append((element, tag if tag in MARKED_TAGS else within, verbatim or tag in VERBATIM_TAGS))
         self.open_tags[tag] += 1
         if tag in VOID_TAGS:
-            self.close_top()
+            self.close_top(self.after_tag())
+
+    def after_tag(self) -> int:
+        """Where the start tag at hand ends."""
+        return self.place() + len(self.get_starttag_text() or "")
 
     def handle_startendtag(self, tag, attrs) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID_TAGS:
-            self.handle_endtag(tag)
+            self.close_tag(tag, self.after_tag())
 
     def handle_endtag(self, tag) -> None:
+        self.close_tag(tag, self.source.find(">", self.place()) + 1 or len(self.source))
+
+    def close_tag(self, tag: str, end: int) -> None:
+        """Close the innermost element of this tag, which ends at `end`; those inside it end before."""
         self.flush()
         if self.open_tags[tag]:
             while self.open[-1][0]["tag"] != tag:
-                self.close_top()
-            self.close_top()
+                self.close_top(self.place())
+            self.close_top(end)
 
     def handle_data(self, data) -> None:
         self.pending.append(data)
@@ -132,9 +167,9 @@ class _NodeList(HTMLParser):
         self.close()
         self.flush()
         while self.open:
-            self.close_top()
+            self.close_top(len(self.source))
         self.add_link_paths()
-        return {"elements": self.elements, "texts": self.texts}
+        return {"elements": self.elements, "texts": self.texts, "error": None}
 
     def steps(self) -> list[str]:
         """Each element's step of a path: its tag, with a position if its parent has several of
@@ -168,9 +203,11 @@ class _NodeList(HTMLParser):
 
 
 def nodes_of(html: str) -> dict:
-    parser = _NodeList()
-    parser.feed(html)
-    return parser.finish()
+    """The nodes of a page. What the parser cannot take is told in `error` and ends no job."""
+    try:
+        return _NodeList().parse(html)
+    except Exception as e:
+        return {"elements": [], "texts": [], "error": f"{type(e).__name__}: {e}"}
 
 
 def _parse_batch(html: pa.Array) -> pa.Array:
@@ -203,6 +240,11 @@ def has_token(value: Column, token: str) -> Column:
     return F.array_contains(F.split(value, f"{SPACE}+"), token)
 
 
+def source_of(html: Column | str, element: Column) -> Column:
+    """An element as it stands in the page."""
+    return F.substr(col(html), element["start"] + 1, element["end"] - element["start"])
+
+
 def inside(nodes: Column | str, element: Column) -> Column:
     """Descendants of `element`."""
     return F.slice(col(nodes)["elements"], element["id"] + 2, element["last"] - element["id"])

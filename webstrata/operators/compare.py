@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webstrata.functions.urls import path_or_root, to_staging
+from webstrata.operators.skew import join_unique
 
 FIELDS = ["title", "h1", "meta_description", "word_count"]
 
@@ -18,11 +19,11 @@ def staging_seeds(urls: DataFrame, frontier: DataFrame, origin: str, staging: st
 
 
 def crawl_side(urls: DataFrame, frontier: DataFrame, content: DataFrame) -> DataFrame:
-    """What one crawl knows of each crawled URL: title, first h1, word count."""
+    """What one crawl knows of each crawled URL: title, first h1, description, word count."""
     done = urls.join(frontier.where("status = 'done'").select("url_id"), "url_id", "left_semi")
-    details = content.select("url_id", "title", F.get("h1_tags", F.lit(0)).alias("h1"), "word_count")
-    return done.select("url_id", "url", "classification").join(details, "url_id", "left").withColumns({
-        "meta_description": F.lit(None).cast("string"), "word_count": F.coalesce("word_count", F.lit(0))})
+    details = content.select("url_id", "title", F.get("h1_tags", F.lit(0)).alias("h1"), "meta_description", "word_count")
+    return done.select("url_id", "url", "classification").join(details, "url_id", "left").withColumn(
+        "word_count", F.coalesce("word_count", F.lit(0)))
 
 
 def _by_path(side: DataFrame, prefix: str) -> DataFrame:
@@ -40,7 +41,8 @@ def url_moves(origin: DataFrame, redirects: DataFrame, staging: DataFrame) -> Da
     moved = origin.select("url_id", F.col("url").alias("source_url")).join(
         redirects.select("source_url", "target_url"), "source_url")
     hops = moved.select(path_or_root("source_url").alias("path"), "url_id", path_or_root("target_url").alias("to_path"))
-    return hops.join(paths, "to_path", "left_semi").groupBy("path").agg(
+    # Many pages may move to one.
+    return join_unique(hops, paths, "to_path", "inner").groupBy("path").agg(
         F.max_by("to_path", F.struct("url_id", "to_path")).alias("moved_to_path"))
 
 
@@ -102,11 +104,11 @@ def view_crawl_overview_comparison(cmp: DataFrame) -> DataFrame:
 
 
 def view_content_differences(cmp: DataFrame) -> DataFrame:
-    """Paths on both sides, and whether any field differs."""
+    """Paths on both sides, and whether any field differs; what both sides lack does not."""
     overview = view_crawl_overview_comparison(cmp.where("exists_on_origin = 1 and exists_on_staging = 1"))
     differs = F.lit(False)
     for f in FIELDS:
-        differs = differs | (F.col(f"{f}_match") != "Match")
+        differs = differs | ~F.col(f"{f}_match").isin("Match", "Both Missing")
     kept = [x for f in FIELDS for x in (f"origin_{f}", f"staging_{f}", f"{f}_match")]
     return overview.select("path", *kept, F.when(differs, "Content differences detected").otherwise(
         "No content differences").alias("overall_content_status"))

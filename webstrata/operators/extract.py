@@ -21,7 +21,7 @@ def extract_pages(pages: DataFrame, links: bool = True, schema: bool = True) ->
         more["links"] = found_links()
     if schema:
         more["items"] = found_items()
-    return content_of(with_nodes(pages), **more)
+    return content_of(with_nodes(pages, source=schema), **more)
 
 
 def extract_fetches(fetches: DataFrame) -> DataFrame:

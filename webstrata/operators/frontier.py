@@ -50,16 +50,17 @@ def frontier_enqueue(frontier: DataFrame, children: DataFrame, now: int) -> Data
 def frontier_next(frontier: DataFrame, urls: DataFrame, k: int) -> DataFrame:
     """The next k URLs: highest priority, then longest waiting, then lowest id, with their parent's URL.
 
-    The top k is taken from the frontier alone; only its k rows are then looked up, broadcast.
+    The top k is taken from the frontier alone; only its k rows are then looked up. Whether they are
+    broadcast is left to their size.
     """
     top = frontier.where("status = 'queued'").orderBy(
         F.desc("priority_score"), F.asc("enqueued_at"), F.asc("url_id")).limit(k).select(
         "url_id", "depth", "parent_id", "priority_score", "enqueued_at")
-    named = urls.select("url_id", "url").join(F.broadcast(top), "url_id")
+    named = urls.select("url_id", "url").join(top, "url_id")
     parents = urls.select(F.col("url_id").alias("parent_id"), F.col("url").alias("parent_url")).join(
-        F.broadcast(top.select("parent_id").distinct()), "parent_id", "left_semi")
+        top.select("parent_id").distinct(), "parent_id", "left_semi")
     # Both sides now have at most k rows.
-    return named.join(F.broadcast(parents), "parent_id", "left").select(
+    return named.join(parents, "parent_id", "left").select(
         "url_id", "url", "depth", "parent_url", "priority_score", "enqueued_at")
 
 

@@ -15,13 +15,19 @@ from webstrata.functions.hashing import content_hashes
 from webstrata.functions.headers import header
 from webstrata.functions.urls import resolve_url
 
-NODES = "_nodes"
+NODES, SOURCE = "_nodes", "_source"
 
 
-def with_nodes(pages: DataFrame) -> DataFrame:
-    """Replace `html` by its parsed nodes."""
+def with_nodes(pages: DataFrame, source: bool = False) -> DataFrame:
+    """Replace `html` by its parsed nodes; with `source` the text itself stays, under another name."""
     carried = [c for c in pages.columns if c != "html"]
-    return pages.select(*carried, H.html_nodes("html").alias(NODES))
+    return pages.select(*carried, *([F.col("html").alias(SOURCE)] if source else []), H.html_nodes("html").alias(NODES))
+
+
+def parse_errors(pages: DataFrame) -> DataFrame:
+    """Pages that could not be parsed, and why; every other operator takes them as pages without nodes."""
+    parsed = with_nodes(pages.select("url", "html"))
+    return parsed.select("url", F.col(NODES)["error"].alias("error")).where("error is not null")
 
 
 def _first(tag: str, test=None) -> Column:
@@ -70,7 +76,7 @@ def _clean_text() -> Column:
 def content_of(parsed: DataFrame, **more: Column) -> DataFrame:
     """Content columns of parsed pages; `more` adds further expressions over the same nodes."""
     headers = F.col("headers") if "headers" in parsed.columns else F.lit(None).cast("map<string,string>")
-    carried = [c for c in parsed.columns if c not in (NODES, "headers")]
+    carried = [c for c in parsed.columns if c not in (NODES, SOURCE, "headers")]
     title = _first("title")
     fields = parsed.select(
         *carried,

@@ -9,12 +9,12 @@ from webstrata.functions.expr import instant, record
 from webstrata.functions.scoring import failure_reason, retryable
 from webstrata.operators.skew import join_unique
 
-FOREVER = 1e15   # seconds; keeps the sum of time and waiting time within a bigint
 
-
-def failed_urls(fetch_log: DataFrame, retry_delay: float = 1.0, backoff_factor: float = 2.0) -> DataFrame:
+def failed_urls(fetch_log: DataFrame, retry_delay: float = 1.0, backoff_factor: float = 2.0,
+                max_delay: float | None = None) -> DataFrame:
     """URLs that failed since their last success: the first failure has retry_count 0, each further
-    one adds 1 and multiplies the waiting time. A success (2xx) clears the URL."""
+    one adds 1 and multiplies the waiting time, up to `max_delay` seconds if given. A success (2xx)
+    clears the URL. A time beyond what a bigint of seconds can state is null: such a URL is never due."""
     fetch_log = fetch_log.withColumn("ts", instant(fetch_log, "ts"))
     order = F.struct("ts", "event_id")
     ok = fetch_log.where(F.col("status").between(200, 299)).groupBy("url").agg(F.max(order).alias("_ok"))
@@ -25,10 +25,11 @@ def failed_urls(fetch_log: DataFrame, retry_delay: float = 1.0, backoff_factor:
         F.max_by("status", "_at").alias("status_code"), (F.count("*") - 1).alias("retry_count"),
         F.unix_seconds(F.min("ts")).alias("created_at"), F.unix_seconds(F.max("ts")).alias("last_retry_at"))
     grown = F.lit(retry_delay) * F.pow(F.lit(backoff_factor), F.col("retry_count"))
-    wait = F.floor(F.least(grown, F.lit(FOREVER))).cast("bigint")
+    wait = grown if max_delay is None else F.least(grown, F.lit(max_delay))
+    due = F.when(F.col("last_retry_at") + wait < F.lit(float(1 << 63)), F.col("last_retry_at") + F.floor(wait).cast("bigint"))
     return ledger.select(
         "url", "status_code", failure_reason("status_code").alias("failure_reason"), "retry_count",
-        "created_at", "last_retry_at", (F.col("last_retry_at") + wait).alias("next_retry_at"))
+        "created_at", "last_retry_at", due.alias("next_retry_at"))
 
 
 def retry_ready(failed: DataFrame, now: int, max_retries: int = 3) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from webstrata.functions import html as H
 from webstrata.functions.expr import blank_to_null, let, record
-from webstrata.operators.pages import NODES, with_nodes
+from webstrata.operators.pages import NODES, SOURCE, with_nodes
 from webstrata.operators.skew import hottest, join_unique
 
 # Keys that vary without making an item different.
@@ -68,23 +68,89 @@ def _stable(value):
     return value
 
 
-def _normalize_batch(item: pd.Series, base: pd.Series, fmt: pd.Series) -> pd.DataFrame:
-    """Item JSON with absolute URLs, and the SHA-256 of its canonical form. Repeated properties of
-    annotated markup are lists of values, each of which may be relative."""
-    rows = []
-    for text, url, kind in zip(item, base, fmt):
-        data = _absolute(json.loads(text), url, kind != "json-ld") if text is not None else None
-        if not data:
-            rows.append((None, None))
-            continue
-        canonical = json.dumps(_stable(data), sort_keys=True, separators=(",", ":"))
-        rows.append((json.dumps(data), hashlib.sha256(canonical.encode()).hexdigest()))
-    return pd.DataFrame(rows, columns=["data", "hash"])
+def _finished(data, base: str, in_lists: bool) -> tuple[str | None, str | None]:
+    """Item JSON with absolute URLs, and the SHA-256 of its canonical form; none for an empty item."""
+    data = _absolute(data, base, in_lists)
+    if not data:
+        return None, None
+    canonical = json.dumps(_stable(data), sort_keys=True, separators=(",", ":"))
+    return json.dumps(data), hashlib.sha256(canonical.encode()).hexdigest()
+
+
+def _type_of(data: dict) -> str:
+    kind = data.get("@type", "Unknown")
+    kind = str(kind[0]) if isinstance(kind, list) and kind else kind
+    if not isinstance(kind, str):
+        raise TypeError("@type is neither a name nor a list of names")
+    # A lone surrogate cannot be stored.
+    return kind.replace("https://schema.org/", "").replace("http://schema.org/", "").encode("utf-8", "replace").decode()
+
+
+def _members(data):
+    """The objects of a block with their places: (value, place in a list, place in a @graph)."""
+    for j, value in enumerate(data) if isinstance(data, list) else [(None, data)]:
+        if isinstance(value, dict):
+            graph = value.get("@graph")
+            if isinstance(graph, list):
+                yield from ((g, j, k) for k, g in enumerate(graph) if isinstance(g, dict))
+            else:
+                yield value, j, None
+
+
+def _read_block(text: str, base: str, place: int) -> list[dict]:
+    """Items of one JSON-LD block. Text that is no JSON is one InvalidJSON item; whatever else goes wrong
+    ends the block with a ParseError item and leaves the items before it."""
+    try:
+        block = json.loads(text)
+    except json.JSONDecodeError:
+        return [{"type": "InvalidJSON", "error": "JSON decode error"}]
+    except Exception as e:
+        return [{"type": "ParseError", "error": f"Parse error: {type(e).__name__}"}]
+    out = []
+    try:
+        for value, j, k in _members(block):
+            data, digest = _finished(value, base, in_lists=False)
+            position = str(place if j is None else place * 100 + j) + ("" if k is None else f"-{k}")
+            out.append({"type": _type_of(value), "data": data, "hash": digest, "position": position, "j": j or 0, "k": k or 0})
+    except Exception as e:
+        out.append({"type": "ParseError", "error": f"Parse error: {type(e).__name__}"})
+    return out
+
+
+def _is_json(text: str) -> bool:
+    try:
+        json.loads(text)
+    except Exception:
+        return False
+    return True
+
+
+def _read_found(kind: str, text: str | None, base: str, place: int) -> list[dict]:
+    if kind == "block":
+        return _read_block(text, base, place)
+    if kind == "unless json":
+        return [] if _is_json(text) else [{}]
+    if kind == "none":
+        return [{}]
+    try:      # annotated markup: repeated properties are lists of values, each of which may be relative
+        data, digest = _finished(json.loads(text), base, in_lists=True)
+        return [{"data": data, "hash": digest}]
+    except Exception as e:
+        return [{"type": "ParseError", "error": f"Parse error: {type(e).__name__}"}]
+
+
+_READ = T.StructType([T.StructField(c, T.StringType()) for c in ("type", "data", "hash", "position", "error")]
+                     + [T.StructField(c, T.LongType()) for c in ("j", "k")])
+_NOTHING = dict.fromkeys(_READ.names)
+
+
+def _read_batch(kind: pd.Series, text: pd.Series, base: pd.Series, place: pd.Series) -> pd.Series:
+    """What each found piece of markup holds. One reader decides what is JSON, and no text ends the job."""
+    return pd.Series([[{**_NOTHING, "j": 0, "k": 0, **x} for x in _read_found(*row)] for row in zip(kind, text, base, place)])
 
 
 # Declared non-deterministic so that the optimizer evaluates it once per row.
-_normalized = F.pandas_udf(_normalize_batch, T.StructType([
-    T.StructField("data", T.StringType()), T.StructField("hash", T.StringType())])).asNondeterministic()
+_read = F.pandas_udf(_read_batch, T.ArrayType(_READ)).asNondeterministic()
 
 
 # ---- extraction ---------------------------------------------------------------------------
@@ -93,10 +159,9 @@ def _short_type(name: Column) -> Column:
     return F.regexp_replace(name, r"https?://schema\.org/", "")
 
 
-def _start_tag(element: Column) -> Column:
-    attributes = F.transform(F.map_entries(element["attrs"]), lambda a: F.concat(
-        F.lit(" "), a["key"], F.lit('="'), a["value"], F.lit('"')))
-    return F.concat(F.lit("<"), element["tag"], F.array_join(attributes, ""), F.lit(">"))
+def _element(element: Column) -> Column:
+    """The whole element as it stands in the page."""
+    return H.source_of(SOURCE, element)
 
 
 def _with(tag_or_attribute: str, by_tag: bool = False) -> Column:
@@ -147,21 +212,20 @@ def _annotated_json(item: Column, type_attr: str, prop_attr: str) -> Column:
     return let(pairs, assemble)
 
 
-def _item(source: int, a: Column, fmt: str, kind: Column, raw: Column, position: Column,
-          item: Column | None = None, error: str | None = None, j=0, k=0) -> Column:
-    """One found item. `ordinal` sorts the items of a page: by source, then as they appear."""
-    place = (F.lit(source << 58) + a.cast("bigint") * F.lit(1 << 38)
-             + F.lit(j).cast("bigint") * F.lit(1 << 19) + F.lit(k).cast("bigint"))
+def _item(source: int, a: Column, fmt: str, kind: Column, raw: Column, reads: str = "none",
+          text: Column | None = None, error: str | None = None) -> Column:
+    """One found piece of markup: where it stands (`source`, then place among its like), what it is
+    and how `_read` is to take its text."""
     none = F.lit(None).cast("string")
-    return record(format=F.lit(fmt), type=kind, raw_data=raw, item=none if item is None else item,
-                  position=position, ordinal=place, error=none if error is None else F.lit(error))
+    return record(format=F.lit(fmt), type=kind, raw_data=raw, source=F.lit(source), place=a.cast("bigint"), reads=F.lit(reads),
+                  text=none if text is None else text, error=none if error is None else F.lit(error))
 
 
 def _annotated(fmt: str, source: int, scope_attr: str, type_attr: str, prop_attr: str) -> Column:
     scopes = F.transform(_with(scope_attr), lambda e, i: record(e=e, i=i))
     typed = F.filter(scopes, lambda s: F.coalesce(H.attr(s["e"], type_attr), F.lit("")) != "")
     return F.transform(typed, lambda s: _item(
-        source, s["i"], fmt, _short_type(H.attr(s["e"], type_attr)), _start_tag(s["e"]), s["i"].cast("string"),
+        source, s["i"], fmt, _short_type(H.attr(s["e"], type_attr)), _element(s["e"]), "item",
         _annotated_json(s["e"], type_attr, prop_attr)))
 
 
@@ -173,51 +237,16 @@ def _rdfa() -> Column:
     return _annotated("rdfa", 2, "typeof", "typeof", "property")
 
 
-def _is_list(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value).startswith("ARRAY"), F.lit(False))
-
-
-def _is_object(value: Column) -> Column:
-    return F.schema_of_variant(value).startswith("OBJECT")
-
-
-def _jsonld_type(value: Column) -> Column:
-    kind = F.try_variant_get(value, "$['@type']", "variant")
-    first = F.try_variant_get(value, "$['@type'][0]", "string")
-    return _short_type(F.when(kind.isNull(), "Unknown").when(_is_list(kind), first).otherwise(
-        F.try_variant_get(value, "$['@type']", "string")))
+def _blocks() -> Column:
+    """JSON-LD blocks, numbered."""
+    return F.transform(F.filter(_with("script", by_tag=True), lambda e: H.attr(e, "type") == LD_JSON),
+                       lambda e, i: record(i=i, raw=H.stripped_text_of(NODES, e)))
 
 
 def _jsonld() -> Column:
-    """Items of JSON-LD blocks: an object, the objects of a list, or those of a @graph."""
-    blocks = F.transform(
-        F.filter(_with("script", by_tag=True), lambda e: H.attr(e, "type") == LD_JSON),
-        lambda e, i: record(i=i, raw=H.stripped_text_of(NODES, e)))
-    parsed = F.transform(F.filter(blocks, lambda b: b["raw"] != ""),
-                         lambda b: record(i=b["i"], raw=b["raw"], json=F.try_parse_json(b["raw"])))
-
-    def of_value(b: Column, v: Column, j: Column, many: Column) -> Column:
-        graph = F.try_variant_get(v, "$['@graph']", "variant")
-        place = F.when(many, b["i"] * 100 + j).otherwise(b["i"]).cast("string")
-        # A block that is one object keeps its text, hence the order of its keys.
-        whole = F.when(many, F.to_json(v)).otherwise(b["raw"])
-        single = F.array(_item(0, b["i"], "json-ld", _jsonld_type(v), b["raw"], place, whole, j=j))
-        members = F.transform(graph.cast("array<variant>"), lambda g, k: record(g=g, k=k))
-        listed = F.transform(F.filter(members, lambda m: _is_object(m["g"])), lambda m: _item(
-            0, b["i"], "json-ld", _jsonld_type(m["g"]), b["raw"],
-            F.concat(place, F.lit("-"), m["k"].cast("string")), F.to_json(m["g"]), j=j, k=m["k"]))
-        return F.when(_is_list(graph), listed).otherwise(single)
-
-    def of_block(b: Column) -> Column:
-        many = _is_list(b["json"])
-        values = F.when(many, b["json"].cast("array<variant>")).otherwise(F.array(b["json"]))
-        objects = F.filter(F.transform(values, lambda v, j: record(v=v, j=j)), lambda x: _is_object(x["v"]))
-        invalid = F.array(_item(0, b["i"], "json-ld", F.lit("InvalidJSON"), b["raw"], b["i"].cast("string"),
-                                error="JSON decode error"))
-        found = F.flatten(F.transform(objects, lambda x: of_value(b, x["v"], x["j"], many)))
-        return F.when(b["json"].isNull(), invalid).otherwise(found)
-
-    return F.flatten(F.transform(parsed, of_block))
+    """JSON-LD blocks with text; an object, the objects of a list or those of a @graph are read from each."""
+    return F.transform(F.filter(_blocks(), lambda b: b["raw"] != ""), lambda b: _item(
+        0, b["i"], "json-ld", F.lit("Unknown"), b["raw"], "block", b["raw"]))
 
 
 def _broken() -> Column:
@@ -233,18 +262,18 @@ def _broken() -> Column:
 
     def report(found: Column, source: int, fmt: str, kind: str, raw, error: str) -> Column:
         return F.transform(found, lambda s: _item(
-            source, s["i"], fmt, F.lit(kind), raw(s["e"]), s["i"].cast("string"), error=error))
+            source, s["i"], fmt, F.lit(kind), raw(s["e"]), error=error))
 
     scripts = numbered(_with("script", by_tag=True))
-    blocks = numbered(F.filter(_with("script", by_tag=True), lambda e: H.attr(e, "type") == LD_JSON))
     scoped, typed, metas = numbered(_with("itemscope")), numbered(_with("typeof")), numbered(_with("meta", by_tag=True))
     strings = numbered(F.filter(F.col(NODES)["texts"], lambda t: t["text"].contains("schema.org")))
 
     def meta_text(e: Column) -> Column:
         return F.coalesce(*[blank_to_null(H.attr(e, a)) for a in ("content", "property", "name")], F.lit(""))
 
-    unreadable = F.filter(blocks, lambda s: let(content(s["e"]), lambda c: c.contains("@context") & c.contains("@type")
-                          & (c.contains("schema.org") | c.contains("Schema.org")) & F.try_parse_json(c).isNull()))
+    # Kept only if they turn out to be no JSON.
+    suspects = F.filter(_blocks(), lambda b: b["raw"].contains("@context") & b["raw"].contains("@type")
+                        & (b["raw"].contains("schema.org") | b["raw"].contains("Schema.org")))
     untyped = F.filter(scoped, lambda s: ~value(s["e"], "itemtype").contains("schema.org"))
     unbound = F.filter(typed, lambda s: (value(s["e"], "typeof") == "") | (
         ~value(s["e"], "typeof").contains("schema.org") & ~value(s["e"], "vocab").contains("schema.org")))
@@ -252,13 +281,15 @@ def _broken() -> Column:
     in_text = F.filter(strings, lambda s: s["e"]["text"].rlike(SCHEMA_URL))
     stray = F.filter(scripts, lambda s: let(content(s["e"]), lambda c: c.contains("@context") | c.contains("@type"))
                      & ~value(s["e"], "type").contains(LD_JSON))
+    # The error texts are fixed values.
     return F.concat(
-        report(unreadable, 3, "json-ld", "BrokenJSON-LD", content, "Malformed JSON-LD: Invalid JSON syntax"),
-        report(untyped, 4, "microdata", "BrokenMicrodata", _start_tag,
+        F.transform(suspects, lambda b: _item(3, b["i"], "json-ld", F.lit("BrokenJSON-LD"), b["raw"], "unless json", b["raw"],
+                                              error="Malformed JSON-LD: Invalid JSON syntax")),
+        report(untyped, 4, "microdata", "BrokenMicrodata", _element,
                "Malformed microdata: itemscope without valid itemtype"),
-        report(unbound, 5, "rdfa", "BrokenRDFa", _start_tag,
+        report(unbound, 5, "rdfa", "BrokenRDFa", _element,
                "Malformed RDFa: typeof without valid schema.org vocab"),
-        report(in_meta, 6, "meta", "BrokenMetaSchema", _start_tag,
+        report(in_meta, 6, "meta", "BrokenMetaSchema", _element,
                "Schema.org reference in meta tag without proper structure"),
         report(in_text, 7, "comment", "BrokenCommentSchema", lambda t: t["text"],
                "Schema.org reference in comment without proper structure"),
@@ -276,18 +307,25 @@ def found_items(sources: list[str] | None = None) -> Column:
 
 
 def items_of(pages: DataFrame) -> DataFrame:
-    """One row per item of pages (url, items), normalized, hashed and validated."""
-    rows = pages.select("url", F.explode("items").alias("_i")).select("url", "_i.*")
-    data = rows.withColumn("_n", _normalized("item", "url", "format"))
-    flat = data.select("url", "format", "type", "raw_data", F.col("_n.data").alias("parsed_data"), "position",
-                       "ordinal", F.col("_n.hash").alias("content_hash"), "error")
+    """One row per item of pages (url, items), normalized, hashed and validated.
+
+    `ordinal` sorts the items of a page: by source, then as they appear.
+    """
+    found = pages.select("url", F.explode("items").alias("_i")).select("url", "_i.*")
+    rows = found.withColumn("_n", F.explode(_read("reads", "text", "url", "place")))
+    flat = rows.select(
+        "url", "format", F.coalesce("_n.type", "type").alias("type"), "raw_data", F.col("_n.data").alias("parsed_data"),
+        F.coalesce("_n.position", F.col("place").cast("string")).alias("position"),
+        F.struct("source", "place", "_n.j", "_n.k").alias("ordinal"), F.col("_n.hash").alias("content_hash"),
+        F.coalesce("_n.error", "error").alias("error"))
     return schema_validate(flat).select("url", *ITEM_COLUMNS)
 
 
 def extract_schema(pages: DataFrame, sources: list[str] | None = None) -> DataFrame:
     """Structured data of pages (url, html): JSON-LD, microdata, RDFa and broken markup, or the
     `sources` named. Every page is parsed once."""
-    return items_of(with_nodes(pages.select("url", "html")).select("url", found_items(sources).alias("items")))
+    parsed = with_nodes(pages.select("url", "html"), source=True)
+    return items_of(parsed.select("url", found_items(sources).alias("items")))
 
 
 # ---- validation ---------------------------------------------------------------------------
@@ -310,7 +348,9 @@ def schema_validate(items: DataFrame) -> DataFrame:
     The severity is that of the last rule broken in the order the rules are listed; the two
     soft rules at the end only raise it from info.
     """
-    data, kind = F.try_parse_json("parsed_data"), F.lower("type")
+    # NaN and Infinity are numbers to the reader of items, but not to this one.
+    plain = F.regexp_replace("parsed_data", r"(?<=[:,] |\[)(-?Infinity|NaN)(?=[,\]}])", '"$1"')
+    data, kind = F.coalesce(F.try_parse_json("parsed_data"), F.try_parse_json(plain)), F.lower("type")
     video = kind == "videoobject"
     missing = [(f"{label} missing required '{key}' property", (kind == name) & _lacks(data, key))
                for name, (label, keys) in REQUIRED.items() for key in keys]
@@ -322,6 +362,7 @@ def schema_validate(items: DataFrame) -> DataFrame:
         (F.schema_of_variant(upload) != "STRING") | (F.char_length(upload.cast("string")) < 10))
     no_image = video & ~_has(data, "thumbnailUrl") & ~_has(data, "image")
     no_duration = video & ~_has(data, "duration")
+    # The error texts.
     rules = missing + [
         ("VideoObject embedUrl contains HTML entities that should be decoded", escaped),
         ("VideoObject embedUrl should be a valid HTTP/HTTPS URL", foreign),

@@ -22,11 +22,16 @@ from webstrata.operators.skew import dense_index, join_unique
 REDIRECT_STATUSES = [301, 302, 303, 307, 308]
 
 
+def row_digest(columns: list[str]) -> Column:
+    """A hash of a row's content, to put rows in an order that does not depend on where they lie."""
+    return F.xxhash64(F.to_json(F.struct(*columns)))
+
+
 def upsert_latest(current: DataFrame, batch: DataFrame, key: str, order: str) -> DataFrame:
-    """One row per key: the one with the greatest `order`; a batch row wins a tie."""
+    """One row per key: the one with the greatest `order`; a batch row wins a tie, then the content decides."""
     both = current.withColumn("_new", F.lit(0)).unionByName(batch.withColumn("_new", F.lit(1)))
     rest = [c for c in current.columns if c != key]
-    latest = F.max_by(F.struct(*rest), F.struct(order, "_new"))
+    latest = F.max_by(F.struct(*rest), F.struct(F.col(order), F.col("_new"), row_digest(rest)))
     return both.groupBy(key).agg(latest.alias("_row")).select(key, "_row.*").select(*current.columns)
 
 
@@ -85,13 +90,14 @@ def page_metadata(fetches: DataFrame) -> DataFrame:
 
 
 def redirect_table(fetches: DataFrame) -> DataFrame:
-    """Redirects: fetches with more than one hop; the last fetch of a source wins."""
+    """Redirects: fetches with more than one hop; the last fetch of a source wins, among equal times its content decides."""
     hops = F.size("chain")
     rows = fetches.where(hops > 1).select(
         F.col("url").alias("source_url"), "fetched_at",
         F.struct(F.col("final_url").alias("target_url"), "chain", (hops - 1).cast("bigint").alias("chain_length"),
                  F.col("status").alias("final_status_code")).alias("_r"))
-    return rows.groupBy("source_url").agg(F.max_by("_r", "fetched_at").alias("_r")).select("source_url", "_r.*")
+    last = F.struct(F.col("fetched_at"), row_digest(["_r"]))
+    return rows.groupBy("source_url").agg(F.max_by("_r", last).alias("_r")).select("source_url", "_r.*")
 
 
 def content_table(content: DataFrame, redirects: DataFrame) -> DataFrame:
@@ -165,6 +171,18 @@ def indexability(verdicts: DataFrame, metadata: DataFrame, canonicals: DataFrame
         .when(~F.col("is_self_canonical"), F.lit(False)).otherwise(allowed).alias("overall_indexable"))
 
 
+def winning_fetches(fetches: DataFrame, key: str = "url") -> DataFrame:
+    """One fetch per key: the last that brought an answer of its own; an unchanged answer (304) only stands
+    where there is nothing else. Fetches of one time are told apart by their content.
+
+    The choice is made on times and hashes; only the fetches chosen are then read in full.
+    """
+    rest = [c for c in fetches.columns if c not in (key, "html")]
+    told = fetches.withColumn("_at", F.struct(F.coalesce(F.col("status") != 304, F.lit(True)), F.col("fetched_at"), row_digest(rest), F.xxhash64("html")))
+    best = told.groupBy(key).agg(F.max("_at").alias("_best"))
+    return told.join(best, key).where("_at = _best").drop("_at", "_best").dropDuplicates([key])
+
+
 def split_not_modified(fetches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(unchanged, to process): answers 304 are done without extraction."""
     unchanged = F.coalesce(F.col("status") == 304, F.lit(False))

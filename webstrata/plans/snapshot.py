@@ -31,10 +31,11 @@ def url_id(url: Column | str) -> Column:
     return F.xxhash64(url)
 
 
-def _latest(rows: DataFrame, key: str) -> DataFrame:
-    """The row fetched last for each key."""
+def _latest(rows: DataFrame, key: str, told: list[str]) -> DataFrame:
+    """The row fetched last for each key; among equal times the columns `told` decide."""
     rest = [c for c in rows.columns if c != key]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "fetched_at").alias("_r")).select(key, "_r.*")
+    last = F.struct(F.col("fetched_at"), E.row_digest(told))
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), last).alias("_r")).select(key, "_r.*")
 
 
 def _known_urls(mentions: list[DataFrame], base_domain: str) -> DataFrame:
@@ -61,17 +62,19 @@ def crawl_tables(fetches: DataFrame, base_domain: str, agent: str, robots_files:
     """The tables of one crawl from its fetches (url, final_url, status, headers, html, chain,
     fetched_at), robots files (domain, body) and sitemap files (sitemap_url, xml).
 
-    Depth counts from `seeds(url)`, by default the home page, and from sitemap URLs.
+    Depth counts from `seeds(url)`, by default the home page, and from sitemap URLs. Of several
+    fetches of a URL the last one counts, but an unchanged answer (304) only moves `last_seen`: the
+    page keeps the content, links and status of the fetch before.
     """
     spark = fetches.sparkSession
     stored = fetches.withColumns({
         "url": normalize_url_for_storage("url"), "final_url": normalize_url_for_storage("final_url"),
         "kind": classify_kind(header("headers", "content-type"), "final_url")})
-    pages = cut(_latest(extract_fetches(stored), "requested_url"))
+    pages = cut(extract_fetches(E.winning_fetches(stored)))
     fetched = pages.select(F.col("requested_url").alias("url"), F.col("url").alias("final_url"), "status", "kind", "chain",
                            "fetched_at", F.col("response_headers").alias("headers"))
     metadata, redirects = E.page_metadata(fetched), E.redirect_table(fetched)
-    content = cut(_latest(contentful(pages).drop("requested_url", "chain", "response_headers"), "url"))
+    content = cut(_latest(contentful(pages).drop("chain", "response_headers"), "url", ["requested_url"]).drop("requested_url"))
     links = cut(link_table(links_of(pages.select("url", "links", F.col("fetched_at").alias("discovered_at")))))
     items = cut(S.items_of(content))
     canonicals, alternates = E.canonical_edges(content), E.hreflang_edges_html(content)
@@ -88,8 +91,8 @@ def crawl_tables(fetches: DataFrame, base_domain: str, agent: str, robots_files:
 
     zero = F.lit(None)
     urls = cut(_known_urls([
-        _mentioned(fetched, "url", F.col("fetched_at"), F.col("kind")),
-        _mentioned(fetched, "final_url", F.col("fetched_at"), F.col("kind")),
+        _mentioned(stored, "url", F.col("fetched_at"), F.col("kind")),
+        _mentioned(stored, "final_url", F.col("fetched_at"), F.col("kind")),
         _mentioned(metadata, "redirect_destination_url", F.col("fetched_at")),
         _mentioned(links, "target_url", F.col("discovered_at")),
         _mentioned(canonicals, "canonical_url", zero),

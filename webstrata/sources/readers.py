@@ -8,29 +8,24 @@ from pyspark.sql import functions as F
 from webstrata.functions.expr import strip
 from webstrata.functions.urls import to_staging
 
-INLINE_URLS = 100   # longer lists are joined instead of written into the filter
-
 
 def read_pages(spark: SparkSession, path: str, urls: list[str] | DataFrame | None = None) -> DataFrame:
     """The page snapshot without pages that have no HTML; only `urls` if given.
 
-    A short list becomes a pushed-down filter, a frame (column url) a semi join.
+    A list becomes a pushed-down filter; a long one should be given as a frame (column url), which
+    is a semi join.
     """
     pages = spark.read.parquet(path).where("html is not null and html <> ''")
     if urls is None:
         return pages
     if isinstance(urls, list):
-        if len(urls) <= INLINE_URLS:
-            return pages.where(F.col("url").isin(urls))
-        urls = spark.createDataFrame([(u,) for u in urls], "url string")
+        return pages.where(F.col("url").isin(urls))
     return pages.join(urls.select("url").distinct(), "url", "left_semi")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a frame read from fewer files than there are cores, ahead of CPU-bound work such as
-    parsing. Larger inputs are left as their files split."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+def spread(df: DataFrame, partitions: int) -> DataFrame:
+    """Spread a frame read from few files over `partitions`, ahead of CPU-bound work such as parsing."""
+    return df.repartition(partitions)
 
 
 def read_url_list(spark: SparkSession, path: str, column: str = "url") -> DataFrame:

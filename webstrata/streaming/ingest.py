@@ -22,14 +22,18 @@ from webstrata.streaming.versions import write_batch
 
 def ingest_batch(extracted: DataFrame, batch_id: int, out: str) -> None:
     """Write what one batch of extracted fetches contributes: pages and urls first, then content,
-    links, items and redirects, then edges from page heads."""
-    batch = cut(extracted)
+    links, items and redirects, then edges from page heads.
+
+    An unchanged answer (304) is only a sighting of its URL; the page stays as an earlier batch wrote it.
+    """
+    seen = cut(extracted)
+    batch = seen.where(F.coalesce(F.col("status") != 304, F.lit(True)))
     fetches = batch.select(F.col("requested_url").alias("url"), F.col("url").alias("final_url"), "status", "kind", "chain",
                            "fetched_at", F.col("response_headers").alias("headers"))
     pages = batch.drop("requested_url", "chain", "response_headers")
     content = contentful(pages)
     write_batch(page_metadata(fetches), out, "page_metadata", batch_id)
-    write_batch(fetches.select("url", "kind", F.col("fetched_at").alias("seen_at")), out, "urls", batch_id)
+    write_batch(seen.select(F.col("requested_url").alias("url"), "kind", F.col("fetched_at").alias("seen_at")), out, "urls", batch_id)
     write_batch(content.drop("links", "items"), out, "content", batch_id)
     write_batch(links_of(pages.select("url", "links", F.col("fetched_at").alias("discovered_at"))),
                 out, "internal_links", batch_id)

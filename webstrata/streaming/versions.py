@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webstrata.operators.tables import row_digest
+
 
 def write_batch(df: DataFrame, out: str, table: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{out.rstrip('/')}/{table}/batch={batch_id}")
@@ -15,16 +17,20 @@ def read_batches(spark: SparkSession, out: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{out.rstrip('/')}/{table}")
 
 
-def current(batches: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows the latest batch wrote for each key."""
+def current(batches: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """The row the latest batch wrote for each key; within a batch the last by `order`, then by content."""
     rest = [c for c in batches.columns if c not in keys]
-    latest = F.max_by(F.struct(*rest), "batch")
+    latest = F.max_by(F.struct(*rest), F.struct("batch", *(order or []), row_digest(rest)))
     return batches.groupBy(*keys).agg(latest.alias("_r")).select(*keys, "_r.*").drop("batch")
 
 
-def of_latest_batch(batches: DataFrame, key: str) -> DataFrame:
-    """All rows of a key from the latest batch that wrote it, for tables with several rows per key."""
-    last = batches.groupBy(key).agg(F.max("batch").alias("batch"))
+def of_latest_batch(batches: DataFrame, key: str, versions: DataFrame | None = None) -> DataFrame:
+    """All rows of a key from the latest batch that wrote it, for tables with several rows per key.
+
+    A page that no longer has any rows (links, items) writes none: `versions` (key, batch) then says
+    which batch wrote the page last, so that rows of earlier versions do not come back.
+    """
+    last = (batches if versions is None else versions).groupBy(key).agg(F.max("batch").alias("batch"))
     return batches.join(last, [key, "batch"], "left_semi").drop("batch")
 
 
