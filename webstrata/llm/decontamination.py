@@ -1,12 +1,12 @@
 """Benchmark decontamination by winnowing.
 
-A window of L words has L - k + 1 hashes of k words; its fingerprint is the least of them. Sliding windows that follow
-each other mostly share their fingerprint, so a document keeps about two fingerprints per L - k + 2 words. A window
-that occurs in both texts has the same fingerprint in both, which guarantees that every shared span of L words or more
-is found. Fingerprints of the documents meet those of the benchmark in a broadcast join of bounded size; hits are then
-extended: the windows behind a shared fingerprint are compared word by word.
+A window of L words has L - k + 1 hashes of k words; its fingerprint is the least of them. A window that occurs in both
+texts has the same fingerprint in both, which guarantees that every shared span of L words or more is found. The
+fingerprints of a document's sliding windows meet those of the benchmark in a broadcast join of bounded size, in the
+stage that computes them; hits are then extended: the windows behind a shared fingerprint are compared word by word.
 
-Native DataFrame functions throughout, one pass over the texts per block of the benchmark.
+Native DataFrame functions throughout, one pass over the texts per length of window (one, unless the benchmark has items
+shorter than a window) and block of the benchmark.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from webstrata.session import cut
 
 #: Words of a window.
 WINDOW = 10
-#: Fingerprints broadcast at a time: 16 bytes each, so well below 100 MB.
+#: Fingerprints broadcast at a time: one million of 8 bytes, so well below 100 MB.
 BLOCK = 1_000_000
 #: Everything in ASCII that is neither a letter nor a digit parts words.
 SEPARATORS = "".join(chr(c) for c in range(128) if chr(c) not in string.ascii_letters + string.digits)
@@ -39,49 +39,34 @@ def _gram(length: int) -> int:
     return (length + 1) // 2
 
 
-def _window_fingerprints(df: DataFrame, length: int, out: str) -> DataFrame:
-    """Column `out`: the fingerprint of every window of `length` words, from the word hashes `h` and their number `n`."""
-    k = _gram(length)
-    spread = length - k
-    grams = F.transform(F.slice("h", 1, F.greatest(F.col("n") - (k - 1), F.lit(0))),
-                        lambda x, i: F.xxhash64(x, *[F.get("h", i + j) for j in range(1, k)]))
-    least = F.col("_g") if spread == 0 else F.transform(
-        F.slice("_g", 1, F.greatest(F.col("n") - (length - 1), F.lit(0))),
-        lambda x, i: F.least(x, *[F.get("_g", i + j) for j in range(1, spread + 1)]))
-    return df.withColumn("_g", grams).withColumn(out, least).drop("_g")
-
-
-def _runs(fingerprints: str, length: int) -> Column:
-    """(length, start, print, count): runs of neighbouring windows with one fingerprint."""
-    starts = F.filter(F.transform(F.col(fingerprints), lambda x, i: F.when(
-        (i == 0) | (x != F.get(F.col(fingerprints), i - 1)), F.struct(i.alias("start"), x.alias("print")))),
-        lambda s: s.isNotNull())
-    return F.transform(starts, lambda s: F.struct(F.lit(length).alias("length"), s["start"].alias("start"), s["print"].alias("print")))
+def _fingerprints(df: DataFrame, length: int, out: str) -> DataFrame:
+    """Column `out`: the fingerprint of every window of `length` words of `w`."""
+    def sliding(column: str, width: int, of) -> Column:
+        return F.transform(F.slice(column, 1, F.greatest(F.size(column) - (width - 1), F.lit(0))),
+                           lambda x, i: of(x, *[F.get(column, i + j) for j in range(1, width)]))
 
-
-def _with_hashes(df: DataFrame) -> DataFrame:
-    return df.withColumn("n", F.size("w")).withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
+    k = _gram(length)
+    df = df.withColumn("_h", F.transform("w", lambda x: F.xxhash64(x)))
+    df = df.withColumn("_grams", sliding("_h", k, F.xxhash64)).drop("_h")
+    least = F.col("_grams") if length == k else sliding("_grams", length - k + 1, F.least)
+    return df.withColumn(out, least).drop("_grams")
 
 
-def benchmark_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+def benchmark_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame | None:
     """(length, print, window, item): every window of every item; an item of fewer words is one window."""
-    items = cut(_with_hashes(benchmark.select(name(id_col).cast("string").alias("item"), words(name(text_col)).alias("w")))
-                .where("n > 0").drop("h"))
+    items = cut(benchmark.select(name(id_col).cast("string").alias("item"), words(name(text_col)).alias("w"))
+                .withColumn("length", F.least(F.size("w"), F.lit(window))).where("length > 0"))
+    # At most `window` numbers.
+    lengths = [r[0] for r in items.select("length").distinct().orderBy("length").collect()]
     out = None
-    for length in _lengths(items, window):
-        own = items.where(F.least("n", F.lit(window)) == length).withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
-        one = _window_fingerprints(own, length, "f").select(
-            F.lit(length).alias("length"), "item", "w", F.posexplode("f").alias("at", "print")).select(
+    for length in lengths:
+        one = _fingerprints(items.where(F.col("length") == length), length, "f").select(
+            "length", "item", "w", F.posexplode(F.concat("f", F.array().cast("array<bigint>"))).alias("at", "print")).select(
             "length", "print", F.array_join(F.slice("w", F.col("at") + 1, length), " ").alias("window"), "item")
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def _lengths(items: DataFrame, window: int) -> list[int]:
-    """The window lengths that occur: `window`, and those of shorter items. At most `window` numbers."""
-    return [r[0] for r in items.select(F.least("n", F.lit(window)).alias("length")).distinct().orderBy("length").collect()]
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block: int = BLOCK,
                   key: Column | None = None) -> DataFrame:
@@ -101,33 +86,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         return _report(base.withColumns({"n_hit": F.lit(0), "items": F.array().cast("array<string>")}), id_col, key)
     windows = cut(prepared.distinct())
     prints = cut(windows.select("length", "print").distinct())
-    blocks = max(1, -(-prints.count() // block))
-    lengths = [r[0] for r in prints.select("length").distinct().orderBy("length").collect()]
+    sizes = prints.groupBy("length").count().orderBy("length").collect()         # at most `window` rows
+    passes = [(length, part, -(-n // block)) for length, n in sizes for part in range(-(-n // block))]
 
-    hashed = _with_hashes(texts)
-    for length in lengths:
-        hashed = _window_fingerprints(hashed, length, f"f{length}")
-    # Every document also sends one mark of its own, so that documents without hits stay in the same pass.
-    mark = F.array(F.struct(F.lit(0).alias("length"), F.lit(-1).alias("start"), F.lit(0).cast("bigint").alias("print")))
-    runs = hashed.select("rid", "id", "key", "n", "w", *[F.size(f"f{x}").alias(f"s{x}") for x in lengths],
-                         F.concat(*[_runs(f"f{x}", x) for x in lengths], mark).alias("runs"))
     found = None
-    for b in range(blocks):
-        mine = F.pmod(F.col("print"), F.lit(blocks)) == b
-        known = prints.where(mine).select(F.col("length").alias("l"), F.col("print").alias("p"))
-        # The next run of the same length starts where this one ends; windows up to there are compared.
-        spread = runs.select("rid", "id", "key", "n", "w", F.explode(_with_ends(lengths)).alias("run"))
-        hits = spread.join(F.broadcast(known), (F.col("run.length") == F.col("l")) & (F.col("run.print") == F.col("p")), "left")
-        hits = hits.where(F.col("p").isNotNull() | ((F.col("run.start") < 0) & F.lit(b == 0)))
-        extended = hits.select("rid", "id", "key", "n", F.col("run.length").alias("length"), F.explode(F.when(
-            F.col("run.start") < 0, F.array(F.struct(F.lit(-1).alias("at"), F.lit(None).cast("string").alias("window"))))
-            .otherwise(F.transform(F.sequence(F.col("run.start"), F.col("run.stop") - 1), lambda at: F.struct(
-                at.alias("at"), F.array_join(F.slice("w", at + 1, F.col("run.length")), " ").alias("window"))))).alias("x"))
-        exact = windows.where(mine).select(F.col("length").alias("l"), F.col("window").alias("known")).distinct()
-        out = (extended.select("rid", "id", "key", "n", "length", "x.at", "x.window")
-               .join(exact, (F.col("length") == F.col("l")) & (F.col("window") == F.col("known")), "left")
-               .where("known is not null or at < 0").drop("l", "known"))
-        found = out if found is None else found.unionByName(out)
+    for number, (length, part, parts) in enumerate(passes):
+        mine = (F.col("length") == length) & (F.pmod(F.col("print"), F.lit(parts)) == part)
+        known = prints.where(mine).select(F.col("print").alias("p"))
+        exact = windows.where(mine).select(F.col("window").alias("known")).distinct()
+        # In the first pass every document also sends one row of its own, behind those of its windows.
+        own_row = F.lit(number == 0) & (F.col("at") == F.col("s"))
+        one = (_fingerprints(texts, length, "f").select("rid", "id", "key", F.size("w").alias("n"), "w", F.size("f").alias("s"),
+                                                        F.posexplode(F.concat("f", F.array(F.lit(0).cast("bigint")))).alias("at", "print"))
+               .join(F.broadcast(known), F.col("print") == F.col("p"), "left").where((F.col("p").isNotNull() & (F.col("at") < F.col("s"))) | own_row)
+               .select("rid", "id", "key", "n", F.lit(length).alias("length"), F.when(F.col("at") < F.col("s"), F.col("at")).otherwise(-1).alias("at"),
+                       F.when(F.col("at") < F.col("s"), F.array_join(F.slice("w", F.col("at") + 1, length), " ")).alias("window"))
+               .join(exact, F.col("window") == F.col("known"), "left").where("known is not null or at < 0").drop("known"))
+        found = one if found is None else found.unionByName(one)
     found = cut(found)
 
     order = Window.partitionBy("rid").orderBy("at", "length")
@@ -144,18 +119,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                                        "items": F.coalesce("items", F.array().cast("array<string>"))}), id_col, key)
 
 
-def _with_ends(lengths: list[int]) -> Column:
-    """`runs` with `stop`: the start of the next run of that length, or the number of windows."""
-    def stop(run: Column, i: Column) -> Column:
-        following = F.get("runs", i + 1)
-        last = F.lit(0)
-        for length in lengths:
-            last = F.when(run["length"] == length, F.col(f"s{length}")).otherwise(last)
-        return F.when(following["length"] == run["length"], following["start"]).otherwise(last)
-    return F.transform("runs", lambda run, i: F.struct(run["length"].alias("length"), run["start"].alias("start"),
-                                                       run["print"].alias("print"), stop(run, i).alias("stop")))
-
-
 def _report(df: DataFrame, id_col: str, key: Column | None) -> DataFrame:
     out = df.select(F.col("id").alias(id_col), F.col("n").cast("bigint").alias("n_words"), F.col("n_hit").cast("bigint").alias("n_hit"),
                     F.size("items").cast("bigint").alias("n_items"),
