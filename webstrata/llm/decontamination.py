@@ -93,14 +93,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for number, (length, part, parts) in enumerate(passes):
         mine = (F.col("length") == length) & (F.pmod(F.col("print"), F.lit(parts)) == part)
         known = prints.where(mine).select(F.col("print").alias("p"))
-        exact = windows.where(mine).select(F.col("window").alias("known")).distinct()
-        # In the first pass every document also sends one row of its own, behind those of its windows.
+        exact = cut(windows.where(mine).select(F.col("window").alias("known")).distinct())
+        # In the first pass every document also sends one row of its own, behind those of its windows. It joins nothing,
+        # and a key of its own, which no window has, keeps such rows from meeting in one task.
         own_row = F.lit(number == 0) & (F.col("at") == F.col("s"))
         one = (_fingerprints(texts, length, "f").select("rid", "id", "key", F.size("w").alias("n"), "w", F.size("f").alias("s"),
                                                         F.posexplode(F.concat("f", F.array(F.lit(0).cast("bigint")))).alias("at", "print"))
                .join(F.broadcast(known), F.col("print") == F.col("p"), "left").where((F.col("p").isNotNull() & (F.col("at") < F.col("s"))) | own_row)
                .select("rid", "id", "key", "n", F.lit(length).alias("length"), F.when(F.col("at") < F.col("s"), F.col("at")).otherwise(-1).alias("at"),
-                       F.when(F.col("at") < F.col("s"), F.array_join(F.slice("w", F.col("at") + 1, length), " ")).alias("window"))
+                       F.when(F.col("at") < F.col("s"), F.array_join(F.slice("w", F.col("at") + 1, length), " "))
+                       .otherwise(F.concat(F.lit(" "), F.col("rid").cast("string"))).alias("window"))
                .join(exact, F.col("window") == F.col("known"), "left").where("known is not null or at < 0").drop("known"))
         found = one if found is None else found.unionByName(one)
     found = cut(found)
