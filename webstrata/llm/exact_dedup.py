@@ -40,7 +40,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     unique = probed.where(~F.col("maybe")).select("row", F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"),
                                                   F.lit(True).alias("kept"), "key")
     possible = cut(probed.where("maybe").select("row", "id", "key", "rid"))     # pins the row numbers
-    groups = possible.groupBy("key").agg(F.max(F.struct("id", "rid")).alias("best"), F.count("*").alias("group_size"))
+    # Written, so that the join below deals out both sides anew and a group's rows can be split.
+    groups = cut(possible.groupBy("key").agg(F.max(F.struct("id", "rid")).alias("best"), F.count("*").alias("group_size")))
     repeated = possible.join(groups, "key").select(
         "row", F.col("best.id").alias("keep_id"), "group_size", (F.col("best.rid") == F.col("rid")).alias("kept"), "key")
     results = ("keep_id", "group_size", "kept")
