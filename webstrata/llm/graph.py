@@ -21,7 +21,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(now)
     for _ in range(MAX_ROUNDS):
-        now = cut(_small_star(_large_star(now)))
+        now = cut(_small_star(cut(_large_star(now))))
         state, before = _state(now), state
         if state == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
@@ -36,11 +36,11 @@ def _state(edges: DataFrame) -> tuple:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+    least = cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")))
     return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = cut(edges.groupBy("a").agg(F.min("b").alias("m")))
     moved = edges.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
