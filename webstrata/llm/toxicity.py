@@ -1,6 +1,6 @@
 """A convolutional text classifier in numpy.
 
-A word's vector is the mean of hashed embeddings: one for the word and one for each of its beginnings of 3 to 6 letters
+A word's vector is the mean of hashed embeddings: one for the word and one for each of its beginnings of 4 to 7 letters
 and endings of 3 and 4, so unseen forms of known stems have a meaning too. Filters of several widths slide over the words; the largest answer of
 each filter in the whole text goes to a logistic unit. As every filter is linear, its answers are sums of per-word
 products, which are computed once per distinct word; whole texts of any length are scored.
@@ -30,10 +30,10 @@ from webstrata.llm.tokens import per_worker, slices
 #: Labelled rows from which the model learns, at most, half of them of the rarer label if there are so many.
 SAMPLE = 6_000
 BUCKETS, WIDTH, WIDTHS, FILTERS = 1 << 17, 16, (1, 2, 3), 8
-EPOCHS, BATCH, RATE, SEED = 4, 32, 0.02, 7
+EPOCHS, BATCH, RATE, SEED = 4, 32, 0.005, 7
 #: Of the allowed rows, one in this many calibrates.
 HELD = 5
-BEGINNINGS, ENDINGS = (3, 4, 5, 6), (3, 4)
+BEGINNINGS, ENDINGS = (4, 5, 6, 7), (3, 4)
 #: Languages with fewer positives in the calibration rows take the common threshold.
 LEAST_POSITIVES = 10
 #: Bytes of text scored at a time, and words a worker remembers.
