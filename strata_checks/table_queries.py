@@ -84,7 +84,7 @@ def _export_df(data: Data) -> DataFrame:
     return data.spark.read.option("header", True).schema("classification string, kind string, n bigint").csv(path)
 
 
-EXPORTED = ["view_crawl_status", "view_hubs", "view_utm_links", "view_links_network"]
+EXPORTED = sorted(VIEW_SQL)
 
 
 @check("export_all_views", " UNION ALL ".join(

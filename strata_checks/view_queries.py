@@ -266,10 +266,9 @@ def _general_checks(data: Data) -> DataFrame:
     return V.view_crawl_general_checks({"hsts_preload_checks": hsts_table(data), "spa_checks": spa_table(data)})
 
 
-@check("register_views", """SELECT s.status, s."count" AS urls, o.pages FROM (SELECT status, count(*) AS "count" FROM {frontier} GROUP BY status) AS s
-    JOIN (SELECT f.status, count(*) AS pages FROM {urls} u JOIN {frontier} f ON f.url_id = u.url_id
-        WHERE u.classification IN ('internal', 'network') AND u.url NOT LIKE '%#%' GROUP BY f.status) AS o ON o.status = s.status""")
+@check("register_views", " UNION ALL ".join(
+    f"SELECT '{name}' AS view_name, count(*) AS n FROM ({sql}) AS v_{name}" for name, sql in sorted(VIEW_SQL.items())))
 def _register_views(data: Data) -> DataFrame:
-    R.register_views(crawl_tables(data), ["view_crawl_status", "view_crawl_overview"])
-    return data.spark.sql("""SELECT s.status, s.count AS urls, o.pages FROM view_crawl_status s JOIN (
-        SELECT crawl_status, count(*) AS pages FROM view_crawl_overview GROUP BY crawl_status) o ON o.crawl_status = s.status""")
+    names = sorted(VIEW_SQL)
+    R.register_views(crawl_tables(data), names)
+    return data.spark.sql(" UNION ALL ".join(f"SELECT '{name}' AS view_name, count(*) AS n FROM {name}" for name in names))

@@ -23,6 +23,43 @@ def test_clicks_add_one_and_redirects_nothing(spark):
     assert got == {0: (0, None), 1: (1, 0), 2: (1, 0), 5: (1, 2), 3: (2, 1), 6: (2, 5)}
 
 
+def plain_search(seeds, links, hops, max_depth):
+    """Level by level, each with the redirects its URLs lead to; the least discoverer is the parent."""
+    def close(found):
+        todo = list(found)
+        while todo:
+            u = todo.pop()
+            v = hops.get(u)
+            if v is not None and v not in seen:
+                if v not in found:
+                    found[v] = u
+                    todo.append(v)
+                else:
+                    found[v] = None if found[v] is None else min(found[v], u)
+        return found
+
+    seen = {}
+    level = {u: (0, p) for u, p in close(dict.fromkeys(seeds)).items()}
+    seen.update(level)
+    for depth in range(1, max_depth + 1):
+        clicked = {}
+        for a, b in links:
+            if a in level and b not in seen and a != b:
+                clicked[b] = min(clicked.get(b, a), a)
+        level = {u: (depth, p) for u, p in close(clicked).items()}
+        seen.update(level)
+    return seen
+
+
+def test_long_chains_and_cycles_of_redirects(spark):
+    links = [(0, 1000), (0, 2000), (1049, 1), (1, 1010), (2001, 2), (2, 5), (5, 1025)]
+    hops = {1000 + i: 1001 + i for i in range(50)} | {2000: 2001, 2001: 2002, 2002: 2000, 5: 6, 6: 7}
+    got = depths(Dp.crawl_depth(ids(spark, 0, 6), edges(spark, *links), edges(spark, *hops.items()), max_depth=4))
+    assert got == plain_search([0, 6], links, hops, 4) and got[1050] == (1, 1049)
+    short = depths(Dp.crawl_depth(ids(spark, 0), edges(spark, *links), edges(spark, *hops.items()), crawlable=spark.range(1020).withColumnRenamed("id", "url_id")))
+    assert short == plain_search([0], [x for x in links if x[1] < 1020], {a: b for a, b in hops.items() if b < 1020}, 3)
+
+
 def test_only_crawlable_pages_are_entered(spark):
     links = edges(spark, (0, 1), (1, 2), (0, 3))
     got = depths(Dp.crawl_depth(ids(spark, 0), links, crawlable=ids(spark, 0, 2, 3)))

@@ -10,6 +10,7 @@ from strata_checks.derived import Data
 from strata_checks.run import compare
 from strata_checks.view_queries import NAMES, VIEW_SQL
 from webstrata.operators import skew
+from webstrata.operators.tables import indexability
 from webstrata.plans.registry import ALL_VIEWS
 from webstrata.session import cut
 
@@ -17,13 +18,13 @@ VIEWS = ["view_links_internal", "view_links_external", "view_links_network", "vi
          "view_utm_links", "view_links_internal_legacy", "view_links_external_legacy", "view_utm_links_legacy", "view_hubs_legacy",
          "view_hub_children_legacy", "view_schema_analysis", "view_schema_hierarchy", "view_schema_analysis_legacy",
          "view_sitemap_statistics", "view_sitemap_statistics_legacy", "view_exact_duplicates", "view_exact_duplicate_members",
-         "view_near_duplicates", "view_exact_duplicates_legacy"]
+         "view_near_duplicates", "view_exact_duplicates_legacy", "view_crawl_overview", "view_crawl_overview_legacy"]
 
 
 @pytest.fixture(scope="module")
 def hot(spark, sf):
     data = Data(spark, sf)
-    tables = data.tables(*NAMES)
+    tables = data.tables(*NAMES, "indexability_inputs")
     links = tables["internal_links"]
     # Two thirds of all links lead to page 8, a third of the rest stands on page 3, some lead nowhere.
     turn = F.xxhash64("source_url_id", "xpath") % 9
@@ -39,6 +40,11 @@ def hot(spark, sf):
                                                           for c in ("content_hash_sha256", "content_hash_simhash")}))
     tables["url_sitemaps"] = cut(tables["url_sitemaps"].withColumn("sitemap_id", F.when(
         F.col("url_id") % 3 > 0, 1).otherwise(F.col("sitemap_id"))))
+    # Two thirds of all pages name one canonical, one alternate and one place they moved to.
+    often = F.col("url_id") % 3 > 0
+    for name, column in (("canonical_urls", "canonical_url_id"), ("hreflang_sitemap", "href_url_id"), ("page_metadata", "redirect_destination_url_id")):
+        tables[name] = cut(tables[name].withColumn(column, F.when(often, 8).otherwise(F.col(column)).cast("bigint")))
+    tables["indexability"] = cut(indexability(tables["indexability_inputs"], tables["page_metadata"], tables["canonical_urls"]))
     db = duckdb.connect()
     for name, df in tables.items():
         frame = df.toPandas()

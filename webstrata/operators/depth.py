@@ -12,29 +12,41 @@ from webstrata.operators.skew import hot_keys, join_unique, repeated, salted
 from webstrata.session import cut
 
 
-def _redirect_ends(redirects: DataFrame, allowed: DataFrame | None) -> DataFrame:
-    """Per URL that redirects: every URL its chain leads to, each with the URL just before it.
-
-    One round per hop; only URLs of `allowed` are passed through.
-    """
+def _hops(redirects: DataFrame, allowed: DataFrame | None) -> DataFrame:
+    """(at, next): where each URL redirects to; only URLs of `allowed` are passed through."""
     hops = redirects.where("target_url_id is not null and source_url_id <> target_url_id").groupBy(
         F.col("source_url_id").alias("at")).agg(F.min("target_url_id").alias("next"))
     if allowed is not None:
-        hops = hops.join(allowed.select(F.col("url_id").alias("next")), "next", "left_semi")
-    hops = cut(hops)
-    chains = cut(hops.select(F.col("at").alias("url_id"), F.col("next").alias("end"), F.col("at").alias("via")))
-    found, tail = [chains], chains
+        hops = hops.join(allowed.select(F.col("url_id").alias("next")), "next", "left_semi").select("at", "next")
+    return cut(hops)
+
+
+def _doubled(jumps: DataFrame) -> DataFrame:
+    """Pointers of twice the reach."""
+    onward = jumps.select(F.col("at").alias("next"), F.col("next").alias("_far"))
+    return cut(jumps.join(onward, "next").select("at", F.col("_far").alias("next")))
+
+
+def _with_redirects(found: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """`found` (url_id, parent_id) and every URL its redirects lead to, with the URL just before it.
+
+    The set grows by pointers of reach 1, 2, 4 and so on, which are kept in `jumps` for later levels;
+    it is complete once a round adds nothing. Rounds grow with the logarithm of the longest chain, and
+    a cycle ends like any chain.
+    """
+    reached = cut(found.select("url_id").distinct())
+    size, k = reached.count(), 0
     while True:
-        onward = join_unique(tail.select("url_id", F.col("end").alias("at")), hops, "at", "inner").select(
-            "url_id", F.col("next").alias("end"), F.col("at").alias("via")).where("url_id <> end")
-        known = reduce(DataFrame.unionByName, found).select("url_id", "end")
-        tail = cut(onward.join(known, ["url_id", "end"], "left_anti"))
-        if tail.isEmpty():
+        if k == len(jumps):
+            jumps.append(_doubled(jumps[-1]))
+        onward = reached.join(jumps[k].select(F.col("at").alias("url_id"), "next"), "url_id").select(F.col("next").alias("url_id"))
+        more = cut(reached.unionByName(onward).distinct())
+        grown = more.count()
+        if grown == size:
             break
-        found.append(tail)
-    # A chain is bounded by the hops a client follows, and so is this list.
-    return reduce(DataFrame.unionByName, found).groupBy("url_id").agg(
-        F.collect_list(F.struct(F.col("end").alias("target"), F.col("via").alias("parent"))).alias("ends"))
+        reached, size, k = more, grown, k + 1
+    led = reached.join(jumps[0].select(F.col("at").alias("url_id"), "next"), "url_id")
+    return found.unionByName(led.select(F.col("next").alias("url_id"), F.col("url_id").alias("parent_id")))
 
 
 def crawl_depth(seeds: DataFrame, links: DataFrame, redirects: DataFrame | None = None,
@@ -47,8 +59,8 @@ def crawl_depth(seeds: DataFrame, links: DataFrame, redirects: DataFrame | None
     restricts the crawl to its URLs and follows no links; with `list_is_seed` its URLs are further
     seeds. `max_pages` ends the search after the level that reaches it.
 
-    Redirects are resolved into the links once, so the search takes one round per level. Each
-    round is written out, which keeps lineage short.
+    Redirects are followed within a level, by pointers that double their reach. Each round is written
+    out, which keeps lineage short.
     """
     allowed = None if crawlable is None else crawlable.select("url_id").distinct()
 
@@ -65,17 +77,11 @@ def crawl_depth(seeds: DataFrame, links: DataFrame, redirects: DataFrame | None
     start = enter(start.distinct()).select("url_id", F.lit(None).cast("bigint").alias("parent_id"))
     pairs = enter(links.where("target_url_id is not null and source_url_id <> target_url_id").select(
         "source_url_id", F.col("target_url_id").alias("url_id")).distinct())
-    pairs = pairs.withColumn("parent_id", F.col("source_url_id"))
-    if redirects is not None:
-        ends = cut(_redirect_ends(redirects, allowed))
+    jumps = None if redirects is None else [_hops(redirects, allowed)]
 
-        def with_ends(found: DataFrame) -> DataFrame:
-            kept = [c for c in found.columns if c not in ("url_id", "parent_id")]
-            led = join_unique(found, ends, "url_id", "inner", hot_keys(links, "target_url_id")).select(
-                *kept, F.explode("ends").alias("_e")).select(*kept, "_e.target", "_e.parent")
-            return found.unionByName(led.withColumnsRenamed({"target": "url_id", "parent": "parent_id"}))
+    def followed(found: DataFrame) -> DataFrame:
+        return found if jumps is None else _with_redirects(found, jumps)
 
-        start, pairs = with_ends(start), with_ends(pairs)
     busy = cut(hot_keys(links, "source_url_id"))
     # Kept partitioned by source: each level then moves only itself, not the links. A lost copy is
     # rebuilt from the written table.
@@ -87,7 +93,7 @@ def crawl_depth(seeds: DataFrame, links: DataFrame, redirects: DataFrame | None
             "url_id", F.lit(depth).cast("bigint").alias("depth"), "parent_id")
 
     # A seed stays a seed even if another seed redirects to it.
-    first = start.groupBy("url_id").agg(
+    first = followed(start).groupBy("url_id").agg(
         F.max(F.col("parent_id").isNull()).alias("_seed"), F.min("parent_id").alias("parent_id"))
     level = cut(first.select("url_id", F.lit(0).cast("bigint").alias("depth"),
                              F.when(~F.col("_seed"), F.col("parent_id")).alias("parent_id")))
@@ -97,8 +103,10 @@ def crawl_depth(seeds: DataFrame, links: DataFrame, redirects: DataFrame | None
         if max_pages is not None and visited.count() >= max_pages:
             break
         origin = repeated(level.select(F.col("url_id").alias("source_url_id")), "source_url_id", busy)
-        found = edges.join(origin, ["source_url_id", "_salt"])
-        level = cut(settle(found, depth).join(visited, "url_id", "left_anti"))
+        clicked = settle(edges.join(origin, ["source_url_id", "_salt"]).withColumnRenamed("source_url_id", "parent_id"), depth)
+        # What a known URL leads to is known as well.
+        fresh = cut(clicked.join(visited, "url_id", "left_anti").select("url_id", "parent_id"))
+        level = cut(settle(followed(fresh), depth).join(visited, "url_id", "left_anti"))
         if level.isEmpty():
             break
         rounds.append(level)

@@ -24,9 +24,9 @@ OVERVIEW_COLUMNS = [
 def view_crawl_overview_legacy(t: Tables) -> DataFrame:
     """The overview with URLs that carry fragments, every recorded redirect, and the page's own
     language found even if the two URLs differ by a trailing slash."""
-    named = t["hreflang_sitemap"].where("language_code <> 'x-default'").select(
-        "url_id", "href_url_id", "language_code").join(
-        _named(t["urls"], "href_url_id", "_href"), "href_url_id").join(_named(t["urls"], "url_id", "_own"), "url_id")
+    edges = t["hreflang_sitemap"].where("language_code <> 'x-default'").select("url_id", "href_url_id", "language_code")
+    named = join_unique(edges, _named(t["urls"], "href_url_id", "_href"), "href_url_id", "inner").join(
+        _named(t["urls"], "url_id", "_own"), "url_id")
     own = F.regexp_replace("_own", "/$", "") == F.regexp_replace("_href", "/$", "")
     languages = named.where(own).groupBy("url_id").agg(F.min("language_code").alias("self_hreflang_language"))
     none = {"hreflang_count": F.lit(None).cast("bigint"), "x_default_hreflang_url": F.lit(None).cast("string")}

@@ -39,7 +39,8 @@ def _listed(column: Column | str) -> Column:
 def _canonicals(t: Tables) -> DataFrame:
     """Per page: its declared canonicals, which a page head bounds to a handful."""
     edges = t["canonical_urls"].select("url_id", "canonical_url_id", "source")
-    named = edges.join(_named(t["urls"], "canonical_url_id", "canonical"), "canonical_url_id", "left")
+    # Most pages may name one canonical.
+    named = join_unique(edges, _named(t["urls"], "canonical_url_id", "canonical"), "canonical_url_id", "left")
     return named.groupBy("url_id").agg(
         _listed("canonical").alias("canonical_urls"), _listed("source").alias("canonical_sources"),
         F.bool_or(F.col("canonical_url_id") != F.col("url_id")).alias("_foreign_canonical"))
@@ -52,8 +53,9 @@ def _alternates(t: Tables, source: str) -> DataFrame:
         F.count("*").alias("hreflang_count"),
         F.min(F.when((F.col("href_url_id") == F.col("url_id")) & (F.col("language_code") != "x-default"),
                      F.col("language_code"))).alias("self_hreflang_language"))
-    defaults = edges.where("language_code = 'x-default'").select("url_id", "href_url_id").join(
-        _named(t["urls"], "href_url_id", "_default"), "href_url_id").groupBy("url_id").agg(
+    # The default alternate is usually the home page.
+    chosen = edges.where("language_code = 'x-default'").select("url_id", "href_url_id")
+    defaults = join_unique(chosen, _named(t["urls"], "href_url_id", "_default"), "href_url_id", "inner").groupBy("url_id").agg(
         F.min("_default").alias("x_default_hreflang_url"))
     return counts.join(defaults, "url_id", "left")
 
@@ -78,15 +80,17 @@ def overview(t: Tables, alternates: DataFrame, with_fragments: bool = False, any
     redirected = F.lit(True) if any_redirect else F.col("initial_status_code").isin(REDIRECT_STATUSES)
     frontier = t["frontier"].select("url_id", F.col("status").alias("_status"), "enqueued_at", "updated_at")
     metadata = t["page_metadata"].select(
-        "url_id", F.col("initial_status_code").alias("status_code"), "fetched_at",
-        F.when(redirected, F.col("redirect_destination_url_id")).alias("_destination"))
+        "url_id", F.col("initial_status_code").alias("status_code"), "fetched_at")
+    # Few pages redirect, and those mostly to a few others.
+    moved = t["page_metadata"].where(redirected & F.col("redirect_destination_url_id").isNotNull()).select(
+        "url_id", F.col("redirect_destination_url_id").alias("_destination"))
+    destinations = join_unique(moved, _named(t["urls"], "_destination", "redirect_destination_url"), "_destination", "inner").drop("_destination")
     inlinks = inlink_counts(t["internal_links"], "source_url_id", "target_url_id").withColumnRenamed(
         "target_url_id", "url_id")
     joined = urls.select("url_id", "url", "kind", "classification", "first_seen", "last_seen")
     for satellite in (frontier, t["content"].select(*CONTENT), metadata, t["indexability"], _canonicals(t),
-                      alternates, _schema_summary(t), inlinks):
+                      alternates, _schema_summary(t), inlinks, destinations):
         joined = joined.join(satellite, "url_id", "left")
-    joined = joined.join(_named(t["urls"], "_destination", "redirect_destination_url"), "_destination", "left")
 
     def headings(column: str) -> Column:
         return F.filter(F.transform(F.coalesce(column, F.array().cast("array<string>")), strip), lambda h: h != "")
