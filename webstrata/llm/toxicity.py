@@ -37,7 +37,7 @@ BEGINNINGS, ENDINGS = (4, 5, 6, 7), (3, 4)
 #: Languages with fewer positives in the calibration rows take the common threshold.
 LEAST_POSITIVES = 10
 #: Bytes of text scored at a time, and words a worker remembers.
-SLICE, REMEMBERED = 1_000_000, 250_000
+SLICE, REMEMBERED = 1_000_000, 600_000
 _EDGES = ".,;:!?()[]{}\"'*#$%&+-_=/|<>~^`@0123456789\t\r"
 _LEAD = max(WIDTHS) - 1
 
