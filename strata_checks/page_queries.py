@@ -443,12 +443,27 @@ def _schema_stats(data: Data) -> DataFrame:
     return S.schema_stats(S.extract_schema(data.parsed("rich_pages")))
 
 
-@check("schema_instances", """SELECT type, CASE WHEN format IN ('json-ld', 'microdata', 'rdfa') THEN format ELSE 'json-ld' END AS format, count(DISTINCT
-    CASE WHEN type IN ('Product', 'Organization') OR (type = 'Person' AND format = 'rdfa') THEN CAST(page_id AS STRING)
-        WHEN type = 'BrokenCommentSchema' AND position = '0' AND page_id % 6 = 1 THEN 'p' || CAST(page_id AS STRING) ELSE 'shared' END) AS n
-    FROM {schema_expected} GROUP BY 1, 2""")
+BLOCK = """CASE page_id % 6 WHEN 0 THEN '{"@context":"https://schema.org","@type":"Article","headline":"H","author":"A","url":"/a/' || CAST(page_id AS STRING) || '"}'
+    WHEN 1 THEN '{"@type":"http://schema.org/Product","name":"P' || CAST(page_id AS STRING) || '"}'
+    WHEN 2 THEN '[{"@type":"Person","name":"N"},7,{"@type":["Event","Thing"],"pageUrl":"bad"}]'
+    WHEN 3 THEN '{"@graph":[{"@type":"WebPage","name":"W"},{"@type":"VideoObject","name":"V","description":"D","embedUrl":"http://v/?a&amp;b","uploadDate":"2024","image":"i","duration":"PT1M"}]}'
+    WHEN 4 THEN '{"@context":"https://schema.org","@type": oops}' END"""
+
+
+# The first page by URL supplies the text of an instance.
+@check("schema_instances", f"""SELECT type, format, raw_data FROM (SELECT type, format, key, raw_data, row_number() OVER (PARTITION BY type, format, key ORDER BY url) AS rn FROM (
+    SELECT url, type, CASE WHEN format IN ('json-ld', 'microdata', 'rdfa') THEN format ELSE 'json-ld' END AS format,
+        CASE WHEN type IN ('Product', 'Organization') OR (type = 'Person' AND format = 'rdfa') OR (type = 'BrokenCommentSchema' AND position = '0' AND page_id % 6 = 1)
+            THEN CAST(page_id AS STRING) ELSE 'shared' END AS key,
+        CASE type WHEN 'Organization' THEN '<div itemscope itemtype="https://schema.org/Organization"><span itemprop="name"> Org ' || CAST(page_id AS STRING)
+                || ' </span><a itemprop="url" href="/org/' || CAST(page_id AS STRING) || '">x</a></div>'
+            WHEN 'BrokenMicrodata' THEN '<div itemscope>untyped</div>'
+            WHEN 'BrokenCommentSchema' THEN CASE WHEN page_id % 6 = 1 AND position = '0' THEN {BLOCK} ELSE ' see https://schema.org/Thing ' END
+            ELSE CASE WHEN format = 'rdfa' THEN '<div vocab="https://schema.org/" typeof="Person"><b property="name">Pat ' || CAST(page_id AS STRING) || '</b></div>'
+                ELSE {BLOCK} END END AS raw_data
+    FROM {{schema_expected}}) AS e) AS r WHERE rn = 1""")
 def _schema_instances(data: Data) -> DataFrame:
-    return S.schema_instances(S.extract_schema(data.parsed("rich_pages"))).groupBy("type", "format").agg(F.count("*").alias("n"))
+    return S.schema_instances(S.extract_schema(data.parsed("rich_pages"))).select("type", "format", "raw_data")
 
 
 @check("schema_references", f"""SELECT e.url, CAST(split_part(e.position, '-', 1) AS BIGINT) AS position, e.source, m.url IS NOT NULL AS is_main_entity,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webstrata.functions import html as H
-from webstrata.functions.expr import any_of, blank_to_null, record, strip
+from webstrata.functions.expr import any_of, blank_to_null, let, record, strip
 from webstrata.functions.urls import normalize_url_hardened, resolve_url, split_url
 from webstrata.operators.pages import NODES, with_nodes
 
@@ -31,8 +31,13 @@ def _title_case(text: Column) -> Column:
 
 def _anchor_text(link: Column) -> Column:
     """Text of the link, else the first label its image, attributes or target can give."""
-    href = H.attr(link, "href")
     image = F.get(F.filter(H.inside(NODES, link), lambda e: e["tag"] == "img"), F.lit(0))
+    # The own text comes first, so the rest is only looked up where a link has none.
+    return F.coalesce(blank_to_null(H.stripped_text_of(NODES, link)), let(image, lambda i: _fallback_text(link, i)))
+
+
+def _fallback_text(link: Column, image: Column) -> Column:
+    href = H.attr(link, "href")
     file_name = F.substring_index(H.attr(image, "src"), "/", -1)
     classes = F.filter(
         F.split(strip(H.attr(link, "class")), r"\s+"),
@@ -40,7 +45,6 @@ def _anchor_text(link: Column) -> Column:
     last_part = F.substring_index(href, "/", -1)
     readable = _title_case(F.translate(last_part, "-_", "  "))
     return F.coalesce(
-        blank_to_null(H.stripped_text_of(NODES, link)),
         _label("IMG", strip(H.attr(image, "alt"))),
         _label("IMG", file_name),
         _label("TITLE", strip(H.attr(link, "title"))),

@@ -37,8 +37,8 @@ def _first(tag: str, test=None) -> Column:
 
 def _meta(name: str) -> Column:
     """Stripped content of the first <meta name=...>: null without the tag, blank without content."""
-    tag = _first("meta", lambda e: H.attr(e, "name") == name)
-    return F.when(tag.isNotNull(), F.coalesce(strip(H.attr(tag, "content")), F.lit("")))
+    return let(_first("meta", lambda e: H.attr(e, "name") == name), lambda tag: F.when(
+        tag.isNotNull(), F.coalesce(strip(H.attr(tag, "content")), F.lit(""))))
 
 
 def _headings(tag: str) -> Column:
@@ -52,14 +52,16 @@ def _directives(value: Column) -> Column:
 
 
 def _language() -> Column:
-    page, head = _first("html"), _first("head")
-    options = [H.attr(page, "lang"), H.attr(head, "lang"), H.attr(page, "xml:lang")]
-    return F.coalesce(*[blank_to_null(strip(o)) for o in options])
+    def stated(tag: Column, name: str) -> Column:
+        return blank_to_null(strip(H.attr(tag, name)))
+
+    return let(_first("html"), lambda page: F.coalesce(
+        stated(page, "lang"), stated(_first("head"), "lang"), stated(page, "xml:lang")))
 
 
 def _canonical_href() -> Column:
-    tag = _first("link", lambda e: H.has_token(H.attr(e, "rel"), "canonical"))
-    return F.when(tag.isNotNull(), F.coalesce(strip(H.attr(tag, "href")), F.lit("")))
+    return let(_first("link", lambda e: H.has_token(H.attr(e, "rel"), "canonical")), lambda tag: F.when(
+        tag.isNotNull(), F.coalesce(strip(H.attr(tag, "href")), F.lit(""))))
 
 
 def _alternates() -> Column:
@@ -77,16 +79,16 @@ def content_of(parsed: DataFrame, **more: Column) -> DataFrame:
     """Content columns of parsed pages; `more` adds further expressions over the same nodes."""
     headers = F.col("headers") if "headers" in parsed.columns else F.lit(None).cast("map<string,string>")
     carried = [c for c in parsed.columns if c not in (NODES, SOURCE, "headers")]
-    title = _first("title")
+    title = let(_first("title"), lambda tag: F.when(tag.isNotNull(), strip(H.text_of(NODES, tag))))
     fields = parsed.select(
         *carried,
-        F.when(title.isNotNull(), strip(H.text_of(NODES, title))).alias("title"),
+        title.alias("title"),
         _meta("description").alias("meta_description"),
         _headings("h1").alias("h1_tags"),
         _headings("h2").alias("h2_tags"),
         word_count(H.document_text(NODES, [], "")).alias("word_count"),
-        _directives(_meta("robots")).alias("html_meta_directives"),
-        _directives(header(headers, "x-robots-tag")).alias("http_header_directives"),
+        let(_meta("robots"), _directives).alias("html_meta_directives"),
+        let(header(headers, "x-robots-tag"), _directives).alias("http_header_directives"),
         _canonical_href().alias("canonical_url"),
         _language().alias("html_lang"),
         _alternates().alias("hreflang_urls"),
