@@ -56,6 +56,25 @@ def test_circuit_equals_a_sequential_walk(spark, threshold):
     assert states(Ho.host_circuit(frame(spark, rows), threshold)) == walk(rows, threshold)
 
 
+def test_circuit_reads_its_events_twice(spark):
+    """Once for the small rows per chunk, once for the result; what is shuffled in full is one join."""
+    plan = Ho.host_circuit(frame(spark, random_log(50)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") <= 2 and plan.count("Exchange ") + plan.count("BroadcastExchange") <= 4 and "Window" not in plan
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_chunks_of_few_events(spark, seed):
+    """Chunk borders anywhere: inside runs of failures, of successes, of neutral answers."""
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = random_log(220, 50 + seed)
+        assert states(Ho.host_circuit(frame(spark, rows), 3)) == walk(rows, 3)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_circuit_opens_recovers_and_reopens(spark):
     at = [0, 1, 62, 63, 64, 65, 127]
     status = [503, 503, 200, 503, 503, 200, 503]

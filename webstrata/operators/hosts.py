@@ -9,12 +9,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webstrata.functions.expr import instant
-from webstrata.operators.skew import chunked, running, running_count
-from webstrata.session import cut_in_order
+from webstrata.operators.skew import chunked
+from webstrata.session import cut, cut_in_order
 
 ORDER = ["at", "event_id"]
 
@@ -43,37 +43,97 @@ def host_circuit(fetch_log: DataFrame, failures: int = 5, recovery_seconds: floa
 
     The fold has two kinds of event after which the state no longer depends on the past: a success
     more than the recovery time after the last failure closes, and the n-th failure without a
-    success in between opens. So the state follows from whichever came last, which running maxima
-    give.
+    success in between opens. So the state follows from whichever came last. Chunks are scanned in
+    parallel for what they tell alone; one small row per host and chunk is then folded in order, and
+    its state completes the events of the next chunk. The log is read once.
     """
     return _circuit(_timed(fetch_log), failures, recovery_seconds)
 
 
-def _circuit(timed: DataFrame, failures: int, recovery_seconds: float) -> DataFrame:
-    failed, ok = is_failure(F.col("status")), is_success(F.col("status"))
+def _local(timed: DataFrame, failures: int, recovery: int) -> DataFrame:
+    """Every event with what its chunk alone tells.
+
+    `failed` and `failed_at_ok` count the chunk's failures up to here and up to its last success, `last_failure`
+    is the one before. Events that open or close the circuit whatever came before the chunk are marks. The
+    chunk's first run of failures or of successes depends on what came before: those are its leads.
+    """
+    bad, ok = is_failure(F.col("status")), is_success(F.col("status"))
     here = F.struct("at", "event_id")
-    rows = chunked(timed, "host", ORDER)
-    rows = running(rows, "host", ORDER, {"last_failure": F.when(failed, F.col("at"))}, inclusive=False)
-    rows = running_count(rows, "host", ORDER, "_failures", failed)
-    rows = running(rows, "host", ORDER, {"_failures_at_ok": F.when(ok, F.col("_failures"))})
-    rested = F.coalesce(F.col("at") - F.col("last_failure") > int(recovery_seconds * 1_000_000), F.lit(False))
-    in_a_row = F.col("_failures") - F.coalesce("_failures_at_ok", F.lit(0))
-    rows = rows.withColumns({"_rested": rested, "_in_a_row": in_a_row})
-    marks = {"_closed_at": F.when(ok & F.col("_rested"), here),
-             "_opened_at": F.when(failed & (F.col("_in_a_row") >= failures), here)}
-    rows = running(rows, "host", ORDER, {f"{n}_before": e for n, e in marks.items()}, inclusive=False)
-    rows = rows.withColumns({n: F.greatest(e, F.col(f"{n}_before")) for n, e in marks.items()})
-
-    def is_open(closed: str, opened: str) -> Column:
-        return F.col(opened).isNotNull() & (F.col(closed).isNull() | (F.col(opened) > F.col(closed)))
-
-    before, after = is_open("_closed_at_before", "_opened_at_before"), is_open("_closed_at", "_opened_at")
-    neutral = ~failed & ~ok
+    rows = Window.partitionBy("host", "chunk").orderBy(*ORDER)
+    upto, before = rows.rowsBetween(Window.unboundedPreceding, 0), rows.rowsBetween(Window.unboundedPreceding, -1)
+    counted = chunked(timed, "host", ORDER).withColumns({
+        "failed": F.sum(bad.cast("bigint")).over(upto), "last_failure": F.max(F.when(bad, F.col("at"))).over(before)})
+    counted = counted.withColumn("failed_at_ok", F.max(F.when(ok, F.col("failed"))).over(upto))
+    alone = F.col("failed_at_ok").isNotNull()
+    marks = {"opened": F.when(bad & alone & (F.col("failed") - F.col("failed_at_ok") >= failures), here),
+             "closed": F.when(ok & (F.col("at") - F.col("last_failure") > recovery), here),
+             "lead_failed": F.when(bad & ~alone, F.col("failed")),
+             "lead_ok": F.when(ok & F.col("last_failure").isNull(), F.col("at"))}
+    marked = counted.withColumns(marks)
+    return cut(marked.withColumns({f"{m}_before": F.max(m).over(before) for m in marks}))
+
+
+def _later(opened: Column, closed: Column) -> Column:
+    """Whether the last mark opened the circuit."""
+    return opened.isNotNull() & (closed.isNull() | (opened > closed))
+
+
+def _carried(local: DataFrame, failures: int, recovery: int) -> DataFrame:
+    """(host, chunk, carry): the state before each chunk, from one small row per host and chunk."""
+    bad, ok = is_failure(F.col("status")), is_success(F.col("status"))
+    chunks = local.groupBy("host", "chunk").agg(
+        *[F.max(m).alias(m) for m in ("opened", "closed", "lead_failed", "lead_ok")],
+        F.max(F.when(bad, F.col("at"))).alias("last_failure"), F.bool_or(ok).alias("any_ok"),
+        (F.max("failed") - F.coalesce(F.max("failed_at_ok"), F.lit(0))).alias("tail"))
+    listed = chunks.groupBy("host").agg(F.array_sort(F.collect_list(F.struct(
+        "chunk", "opened", "closed", "lead_failed", "lead_ok", "last_failure", "any_ok", "tail"))).alias("chunks"))
+
+    def state(in_a_row: Column, last_failure: Column, is_open: Column) -> Column:
+        return F.struct(in_a_row.cast("bigint").alias("in_a_row"), last_failure.cast("bigint").alias("last_failure"), is_open.alias("open"))
+
+    def after(s: Column, c: Column) -> Column:
+        opens = F.coalesce(s["in_a_row"] + c["lead_failed"] >= failures, F.lit(False))
+        closes = F.coalesce(c["lead_ok"] - s["last_failure"] > recovery, F.lit(False))
+        is_open = (F.when(c["opened"].isNotNull() | c["closed"].isNotNull(), _later(c["opened"], c["closed"]))
+                   .when(opens, True).when(closes, False).otherwise(s["open"]))
+        return state(F.when(c["any_ok"], c["tail"]).otherwise(s["in_a_row"] + c["tail"]),
+                     F.coalesce(c["last_failure"], s["last_failure"]), is_open)
+
+    start = state(F.lit(0), F.lit(None), F.lit(False))
+    none = F.array().cast("array<struct<chunk:int,carry:struct<in_a_row:bigint,last_failure:bigint,open:boolean>>>")
+    states = F.aggregate("chunks", F.struct(start.alias("now"), none.alias("out")), lambda acc, c: F.struct(
+        after(acc["now"], c).alias("now"),
+        F.concat(acc["out"], F.array(F.struct(c["chunk"].alias("chunk"), acc["now"].alias("carry")))).alias("out")))
+    return listed.select("host", F.explode(states["out"]).alias("x")).select("host", "x.chunk", "x.carry")
+
+
+def _circuit(timed: DataFrame, failures: int, recovery_seconds: float) -> DataFrame:
+    recovery = int(recovery_seconds * 1_000_000)
+    local = _local(timed, failures, recovery)
+    rows = local.join(_carried(local, failures, recovery), ["host", "chunk"])
+    bad, ok = is_failure(F.col("status")), is_success(F.col("status"))
+
+    def opens(lead: str) -> Column:
+        return F.coalesce(F.col("carry.in_a_row") + F.col(lead) >= failures, F.lit(False))
+
+    def closes(lead: str) -> Column:
+        return F.coalesce(F.col(lead) - F.col("carry.last_failure") > recovery, F.lit(False))
+
+    marked = F.col("opened_before").isNotNull() | F.col("closed_before").isNotNull()
+    rows = rows.withColumn("_before", F.when(marked, _later(F.col("opened_before"), F.col("closed_before")))
+                           .when(opens("lead_failed_before"), True).when(closes("lead_ok_before"), False).otherwise(F.col("carry.open")))
+    rows = rows.withColumn("_after", F.when(F.col("opened").isNotNull() | opens("lead_failed"), True)
+                           .when(F.col("closed").isNotNull() | closes("lead_ok"), False).otherwise(F.col("_before")))
+    last_failure = F.coalesce("last_failure", "carry.last_failure")
+    rested = F.coalesce(F.col("at") - last_failure > recovery, F.lit(False))
+    in_a_row = F.when(F.col("failed_at_ok").isNull(), F.col("carry.in_a_row") + F.col("failed")).otherwise(
+        F.col("failed") - F.col("failed_at_ok"))
+    before, after, neutral = F.col("_before"), F.col("_after"), ~bad & ~ok
     return rows.select(
-        "event_id", "host", "status", "at", "last_failure",
-        F.when(before & F.col("_rested"), "HALF_OPEN").when(before, "OPEN").otherwise("CLOSED").alias("state_before"),
-        F.when(after & neutral & F.col("_rested"), "HALF_OPEN").when(after, "OPEN").otherwise("CLOSED").alias("state_after"),
-        F.when(~after, F.col("_in_a_row")).alias("failures_in_a_row"))
+        "event_id", "host", "status", "at", last_failure.alias("last_failure"),
+        F.when(before & rested, "HALF_OPEN").when(before, "OPEN").otherwise("CLOSED").alias("state_before"),
+        F.when(after & neutral & rested, "HALF_OPEN").when(after, "OPEN").otherwise("CLOSED").alias("state_after"),
+        F.when(~after, in_a_row).alias("failures_in_a_row"))
 
 
 def host_circuit_latest(circuit: DataFrame) -> DataFrame:

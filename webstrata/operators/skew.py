@@ -73,38 +73,6 @@ def chunked(rows: DataFrame, key: str, order: list[str], partitions: int | None
     return cut(ranged.withColumn("chunk", F.spark_partition_id()))
 
 
-def running(rows: DataFrame, key: str, order: list[str], values: dict[str, Column],
-            inclusive: bool = True) -> DataFrame:
-    """Running maxima per `key` in `order` over a chunked frame.
-
-    `values` maps new columns to expressions; each becomes the maximum over all rows of the key
-    up to this one (before this one if not `inclusive`). Chunks are scanned in parallel; the
-    maxima of earlier chunks come from a table with one row per (key, chunk).
-    """
-    tagged = rows.withColumns({f"_v_{n}": e for n, e in values.items()})
-    end = 0 if inclusive else -1
-    within = Window.partitionBy(key, "chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-    totals = tagged.groupBy(key, "chunk").agg(*[F.max(f"_v_{n}").alias(f"_t_{n}") for n in values])
-    earlier = Window.partitionBy(key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(key, "chunk", *[F.max(f"_t_{n}").over(earlier).alias(f"_b_{n}") for n in values])
-    scanned = tagged.withColumns({f"_w_{n}": F.max(f"_v_{n}").over(within) for n in values})
-    joined = scanned.join(before, [key, "chunk"])
-    return joined.withColumns(
-        {n: F.greatest(f"_w_{n}", f"_b_{n}") for n in values}
-    ).drop(*[f"_{k}_{n}" for n in values for k in "vwb"])
-
-
-def running_count(rows: DataFrame, key: str, order: list[str], name: str, condition: Column) -> DataFrame:
-    """Running number of rows of the key that meet `condition`, this row included."""
-    tagged = rows.withColumn("_one", F.when(condition, 1).otherwise(0).cast("bigint"))
-    within = Window.partitionBy(key, "chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    totals = tagged.groupBy(key, "chunk").agg(F.sum("_one").alias("_t"))
-    earlier = Window.partitionBy(key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(key, "chunk", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_b"))
-    scanned = tagged.withColumn("_w", F.sum("_one").over(within))
-    return scanned.join(before, [key, "chunk"]).withColumn(name, F.col("_w") + F.col("_b")).drop("_one", "_w", "_b")
-
-
 def dense_index(distinct_rows: DataFrame, columns: list[str], name: str) -> DataFrame:
     """Number distinct rows 0, 1, 2, … in the order of `columns` without a global window."""
     ranged = distinct_rows.repartitionByRange(*columns).sortWithinPartitions(*columns)
