@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from webstrata.llm import bloom
 from webstrata.llm.frames import name, text_key
 from webstrata.llm.graph import components
-from webstrata.llm.tokens import per_worker, slices
+from webstrata.llm.tokens import slices
 from webstrata.session import cut
 
 PERCENT, WORDS = 90, 3
@@ -55,17 +55,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 # --- Sets -------------------------------------------------------------------------------------------------------------
 
 def _word_hashes(words: list[str]) -> np.ndarray:
-    """Seeded 64-bit hashes, remembered per worker."""
-    known = per_worker("word hashes", dict)
-    if len(known) > 300_000:
-        known.clear()
-    out = np.empty(len(words), np.uint64)
-    for i, word in enumerate(words):
-        h = known.get(word)
-        if h is None:
-            h = known[word] = xxhash.xxh3_64_intdigest(word)
-        out[i] = h
-    return out
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:

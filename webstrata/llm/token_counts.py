@@ -35,7 +35,7 @@ _CHUNK = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 class SpanTokens:
     """Character spans of all tokens of a text, by a byte-level tokenizer whose words start with at most one blank."""
 
-    def __init__(self, path: str, remembered: int = 600_000) -> None:
+    def __init__(self, path: str, remembered: int = 400_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -15,9 +15,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Characters of text that are worked on at a time, and words that a worker remembers.
+#: Characters of text that are worked on at a time, and words that a worker remembers (about 150 MB).
 SLICE_CHARS = 3_000_000
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 #: Longer words are encoded each time they occur.
 LONG_WORD = 80
 
@@ -31,11 +31,16 @@ _PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
 
 
 def per_worker(key: str, make):
-    """An object that lives as long as the Python worker, so that later tasks find what earlier ones learned."""
+    """An object that stays in the Python worker, so that later tasks find what earlier ones learned.
+
+    Only the object asked for last is kept: a job of several stages holds the memory of one of them.
+    """
     memory = sys.modules.setdefault("_webstrata_memory", types.ModuleType("_webstrata_memory"))
-    if key not in memory.__dict__:
-        setattr(memory, key, make())
-    return memory.__dict__[key]
+    if getattr(memory, "key", None) != key:
+        memory.key, memory.held = None, None
+        pa.default_memory_pool().release_unused()
+        memory.held, memory.key = make(), key
+    return memory.held
 
 
 def slices(texts: pa.Array, chars: int = SLICE_CHARS) -> Iterator[tuple[int, pa.Array]]:

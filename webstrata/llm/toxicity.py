@@ -12,6 +12,7 @@ to turn margins into probabilities and to set a threshold per language; the lang
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -37,7 +38,7 @@ BEGINNINGS, ENDINGS = (4, 5, 6, 7), (3, 4)
 #: Languages with fewer positives in the calibration rows take the common threshold.
 LEAST_POSITIVES = 10
 #: Bytes of text scored at a time, and words a worker remembers.
-SLICE, REMEMBERED = 1_000_000, 600_000
+SLICE, REMEMBERED = 1_000_000, 300_000
 _EDGES = ".,;:!?()[]{}\"'*#$%&+-_=/|<>~^`@0123456789\t\r"
 _LEAD = max(WIDTHS) - 1
 
@@ -82,9 +83,12 @@ def _vectors(embeddings: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> np.
 
 
 def _spell(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    own = [buckets(w) for w in words]
-    sizes = np.array([len(b) for b in own], np.int64)
-    return np.fromiter((x for b in own for x in b), np.int64, int(sizes.sum())), sizes
+    flat, sizes = array("i"), array("i")
+    for word in words:
+        own = buckets(word)
+        flat.extend(own)
+        sizes.append(len(own))
+    return np.array(flat, np.int32), np.array(sizes, np.int64)
 
 
 class _Words:
