@@ -193,7 +193,7 @@ def read_records(files: DataFrame, id_type: T.DataType | str = "bigint", with_id
             index = pq.read_table(files_.open_input_file(filesystem(row["index_path"])[1]))
             keys, kind = index.column("id").combine_chunks(), np.dtype(f"<u{row['width']}")
             start, seen, rest = row["before"], 0, b""
-            with files_.open_input_stream(path) as stream:
+            with files_.open_input_stream(path, compression=None) as stream:
                 while more := stream.read(READ_BYTES):
                     data = rest + more
                     starts, lengths, used = unframe(data)

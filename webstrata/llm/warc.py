@@ -196,7 +196,7 @@ def read_derived(index: DataFrame) -> DataFrame:
     def members(path: str) -> Iterator[bytes]:
         files, place = filesystem(path)
         inflate, out = zlib.decompressobj(31), []
-        with files.open_input_stream(place) as stream:
+        with files.open_input_stream(place, compression=None) as stream:      # the members are told apart here
             while data := stream.read(READ_BYTES):
                 while data:
                     out.append(inflate.decompress(data))
