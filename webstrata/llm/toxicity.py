@@ -276,7 +276,7 @@ def fit(texts: list[str], labels: np.ndarray, languages: list[str | None], epoch
     return model
 
 
-def best_threshold(p: np.ndarray, y: np.ndarray, least: float = 0.2, most: float = 0.8) -> float:
+def best_threshold(p: np.ndarray, y: np.ndarray, least: float = 0.3, most: float = 0.8) -> float:
     """The middle of the widest stretch of thresholds with the best F1, kept within sensible chances."""
     order = np.argsort(-p, kind="stable")
     hits, n = np.cumsum(y[order]), np.arange(1, len(y) + 1)
