@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from webstrata.llm import bloom
 from webstrata.llm.frames import name, text_key
 from webstrata.llm.graph import components
-from webstrata.llm.tokens import slices
+from webstrata.llm.tokens import per_worker, release, slices
 from webstrata.session import cut
 
 PERCENT, WORDS = 90, 3
@@ -173,6 +173,7 @@ def _signatures(docs: DataFrame, percent: int, words: int) -> DataFrame:
                            T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        per_worker("sets", dict)                # drops what an earlier operator remembered
         known = bands(1 << 12, percent)
         highs = np.array([b.high for b in known])
         for batch in batches:
@@ -191,6 +192,7 @@ def _signatures(docs: DataFrame, percent: int, words: int) -> DataFrame:
                     [batch.column(c).slice(first, len(texts)) for c in ("rid", "id", "text_key")]
                     + [pa.array(np.array([len(s) for s in sets], np.int64)), pa.array(high.view(np.int64)), pa.array(low.view(np.int64)),
                        pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).view(np.int64)))], names=schema.names)
+        release()
 
     return docs.mapInArrow(sign, schema)
 
@@ -263,6 +265,8 @@ def _verify(blocks: DataFrame, percent: int) -> DataFrame:
                 held.append(batch.slice(a, b - a))
         if held:
             yield done(pa.Table.from_batches(held))
+        held = []
+        release()
 
     ordered = blocks.repartition("group").sortWithinPartitions("group", "rid")
     return ordered.select("group", "rid", "part", "seeks", "set").mapInArrow(check, "a bigint, b bigint")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webstrata.llm.frames import name
-from webstrata.llm.tokens import public_path, slices, word_tokens
+from webstrata.llm.tokens import public_path, release, slices, word_tokens
 from webstrata.session import cut
 
 CAPACITY = 2048
@@ -58,6 +58,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end: int, id_c
                 table = np.array(out, np.int64).reshape(-1, 6)
                 columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(table[:, 0].astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(table[:, k]) for k in range(1, 6)], names=schema.names)
+        release()
 
     return docs.select(name(id_col).alias("id"), name(text_col).alias("text")).mapInArrow(cut_up, schema)
 

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from webstrata.llm.boosting import calibrate
 from webstrata.llm.frames import name
-from webstrata.llm.tokens import per_worker, slices
+from webstrata.llm.tokens import per_worker, release, slices
 
 #: Labelled rows from which the model learns, at most, half of them of the rarer label if there are so many.
 SAMPLE = 6_000
@@ -311,7 +311,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # Bounded by `sample` rows of two numbers.
     rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min(F.struct("text", "lang")).alias("x")).select(
         "id", "label", "x.text", "x.lang").toArrow().sort_by("id")
-    return fit(rows.column("text").to_pylist(), rows.column("label").to_numpy(), rows.column("lang").to_pylist(), epochs)
+    model = fit(rows.column("text").to_pylist(), rows.column("label").to_numpy(), rows.column("lang").to_pylist(), epochs)
+    del rows
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
@@ -329,6 +332,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
             for first, texts in slices(batch.column(names.index(text_col)), SLICE):
                 values = pa.array(scores(model, texts, memory))
                 yield pa.RecordBatch.from_arrays([c.slice(first, len(texts)) for c in batch.columns] + [values], names=schema.names)
+        release()
 
     return docs.select(*[name(n) for n in names]).mapInArrow(judge, schema)
 
