@@ -31,6 +31,21 @@ def test_spans_are_those_of_the_whole_text(texts):
         assert [tuple(s) for s in spans[ends[i]:ends[i + 1]].tolist()] == SPELLED.encode(text, add_special_tokens=False).offsets
 
 
+LONG = ["x" * 100, "https://example.org/" + "path/" * 30, "QUJD" * 40, "東京" * 60, " " * 90, "\n" * 120]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.lists(st.one_of(st.sampled_from(LONG), TEXT), max_size=5).map(" ".join), min_size=1, max_size=3), min_size=2, max_size=4))
+def test_long_chunks_leave_the_numbers_of_others(calls):
+    """What a call learns stays right in later calls, though chunks above LONG_WORD are not kept."""
+    spans = SpanTokens(public_path(VOCABULARY), remembered=60)
+    for texts in [["antidisestablishmentarianism " + LONG[0] + " zz"], ["bb zz", "antidisestablishmentarianism cc"], *calls]:
+        found, ends = spans.encode(texts)
+        for i, text in enumerate(texts):
+            assert [tuple(s) for s in found[ends[i]:ends[i + 1]].tolist()] == SPELLED.encode(text, add_special_tokens=False).offsets
+        assert not any(len(c) > 80 for c in spans.slot) and sorted(spans.slot.values()) == list(range(len(spans.slot)))
+
+
 def test_rules():
     spans, ends = np.array([(0, 3), (3, 6), (6, 6), (6, 12)]), [4, 7, 12]
     assert attribute(spans, ends, "first")[0].tolist() == [2, 2, 0]

@@ -70,7 +70,8 @@ class SpanTokens:
             if len(self.slot) + len(missing) > self.remembered:
                 self._forget()
                 missing = {c for own in chunks for c in own}
-            self._learn(sorted(missing))
+            # Long chunks get the last numbers, so that they can be given back below.
+            self._learn(sorted(missing, key=lambda c: (len(c) > LONG_WORD, c)))
         slots = np.fromiter((self.slot[c] for own in chunks for c in own), np.int64)
         sizes = np.fromiter((len(c) for own in chunks for c in own), np.int64)
         per_text = np.array([0, *accumulate(map(len, chunks))])
@@ -80,8 +81,9 @@ class SpanTokens:
         count = self.count[slots]
         ends = np.concatenate([[0], np.cumsum(count)])
         spans = self.spans[np.repeat(self.first[slots] - ends[:-1], count) + np.arange(ends[-1])] + np.repeat(starts, count)[:, None]
-        for text in [c for c in missing if len(c) > LONG_WORD]:
-            self.slot.pop(text, None)
+        long = [c for c in missing if len(c) > LONG_WORD]
+        if long:
+            self.used = int(self.first[min(self.slot.pop(c) for c in long)])
         return spans, ends[per_text]
 
 
