@@ -73,3 +73,27 @@ def test_texts_do_not_touch():
     alone = np.concatenate([toxicity.scores(model, pa.array([t], pa.string())) for t in texts])
     assert np.allclose(together, alone, atol=1e-6)
     assert toxicity.best_threshold(np.array([0.9, 0.8, 0.1]), np.array([1, 1, 0])) == 0.45
+
+
+def test_all_labelled_rows_calibrate(spark):
+    """Scores follow the label share of the table, not of the sample, and a rare language gets a threshold of its own."""
+    def row(i):
+        toxic = i % 20 == 0
+        word = "clown" if i % 40 == 0 or i % 7 == 0 else "idiot" if toxic else "river"
+        return i, f"the {word} by the house n{i}", "xx" if i % 100 in (0, 3) else "en", int(toxic)
+
+    rows = [row(i) for i in range(6000)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, sample=200)
+    scored = toxicity.score(docs, model).where(toxicity.fold(F.col("doc_id")) == 2).select("score").toPandas()
+    assert abs(scored.score.mean() - 0.05) < 0.03
+    assert set(model.thresholds) == {"en", "xx"}
+
+
+def test_counts_stand_for_rows():
+    margin, y, n = np.array([-2.0, -1.0, 0.5, 2.0]), np.array([0.0, 1.0, 0.0, 1.0]), np.array([40, 5, 10, 20])
+    one_by_one = toxicity.calibrate(np.repeat(margin, n), np.repeat(y, n))
+    assert np.allclose(toxicity.calibrate(margin, y, counts=n), one_by_one)
+    p = np.array([0.7, 0.5, 0.2])
+    assert toxicity.best_threshold(p, np.array([5, 5, 0]), n=np.array([5, 6, 90])) == 0.35

@@ -69,16 +69,20 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: flo
     return Trees(base, *(np.array(f) for f in found), depth)
 
 
-def calibrate(margin: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """(slope, offset) that turn margins into probabilities, fitted with smoothed labels by Newton steps."""
+def calibrate(margin: np.ndarray, y: np.ndarray, rounds: int = 50, counts: np.ndarray | None = None) -> tuple[float, float]:
+    """(slope, offset) that turn margins into probabilities, fitted with smoothed labels by Newton steps.
+
+    With `counts`, an entry stands for so many rows.
+    """
+    counts = np.ones(len(y)) if counts is None else counts
     if not len(y) or y.min() == y.max():
         return 1.0, 0.0
-    high, low = (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2)
+    high, low = ((counts * y).sum() + 1) / ((counts * y).sum() + 2), 1 / ((counts * (1 - y)).sum() + 2)
     target, weights = np.where(y > 0, high, low), np.array([1.0, 0.0])
     design = np.stack([margin, np.ones_like(margin)], 1)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-design @ weights))
-        step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + 1e-6 * np.eye(2), design.T @ (target - p))
+        step = np.linalg.solve((design * (counts * p * (1 - p))[:, None]).T @ design + 1e-6 * np.eye(2), design.T @ (counts * (target - p)))
         weights = weights + step
         if np.abs(step).max() < 1e-8:
             break

@@ -6,8 +6,9 @@ each filter in the whole text goes to a logistic unit. As every filter is linear
 products, which are computed once per distinct word; whole texts of any length are scored.
 
 Embeddings start from the label odds of their bucket in one direction and from small noise in the others; then all
-parts are trained together. Labels teach the model only where their fold allows. Part of the allowed rows is held back
-to turn margins into probabilities and to set a threshold per language; the language is no input of the score.
+parts are trained together on a bounded sample. Labels teach the model only where their fold allows. All other allowed
+rows turn margins into probabilities and set a threshold per language, from counts of their margins at the table's own
+label shares; the language is no input of the score.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ from webstrata.llm.tokens import per_worker, release, slices
 SAMPLE = 6_000
 BUCKETS, WIDTH, WIDTHS, FILTERS = 1 << 17, 16, (1, 2, 3), 8
 EPOCHS, BATCH, RATE, SEED = 4, 32, 0.005, 7
-#: Of the allowed rows, one in this many calibrates.
+#: Of the allowed rows, one in this many is never taught, so that both labels are left to calibrate with.
 HELD = 5
+#: Margins are counted in steps of one in this many.
+STEPS = 50
 BEGINNINGS, ENDINGS = (4, 5, 6, 7), (3, 4)
 #: Languages with fewer positives in the calibration rows take the common threshold.
 LEAST_POSITIVES = 10
@@ -239,13 +242,10 @@ def _step(model: Model, memory: dict[str, np.ndarray], corpus: _Corpus, batch: n
         model.embeddings[places] -= rate * value / np.sqrt(memory["embeddings"][places])
 
 
-def fit(texts: list[str], labels: np.ndarray, languages: list[str | None], epochs: int = EPOCHS, seed: int = SEED) -> Model:
-    """A calibrated model from labelled texts; without both labels, one that always gives the label's share."""
+def teach(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Model:
+    """A model from labelled texts, not calibrated; without both labels, one that always gives the label's share."""
     labels = np.asarray(labels, float)
-    held = np.array([xxhash.xxh32_intdigest(t) % HELD == 0 for t in texts], bool)
-    if not len(labels) or any((labels[part] == k).sum() < 1 for part in (held, ~held) for k in (0, 1)):
-        held[:] = False
-    taught = np.flatnonzero(~held)
+    taught = np.arange(len(labels))
     corpus = _corpus(texts)
     model = _start(corpus, labels, taught, seed)
     if not len(labels) or labels.min() == labels.max():
@@ -262,24 +262,57 @@ def fit(texts: list[str], labels: np.ndarray, languages: list[str | None], epoch
         for batch in np.array_split(rng.permutation(taught), max(1, len(taught) // BATCH)):
             _step(model, memory, corpus, batch, labels[batch], importance[batch], RATE / (1 + epoch))
     model.key = xxhash.xxh64_hexdigest(model.embeddings.tobytes() + model.weights.tobytes())
-    judged = np.flatnonzero(held) if held.any() else taught
-    margin = np.concatenate([margins(model, pa.array([texts[i] for i in part], pa.string()))
-                             for part in np.array_split(judged, max(1, len(judged) // 64))])
-    model.scale = calibrate(margin, labels[judged])
-    p = 1 / (1 + np.exp(-(model.scale[0] * margin + model.scale[1])))
-    model.threshold = best_threshold(p, labels[judged])
-    spoken = np.array([languages[i] or "" for i in judged])
-    for language in sorted(set(spoken.tolist()) - {""}):
-        own = spoken == language
-        if labels[judged][own].sum() >= LEAST_POSITIVES:
-            model.thresholds[language] = best_threshold(p[own], labels[judged][own])
     return model
 
 
-def best_threshold(p: np.ndarray, y: np.ndarray, least: float = 0.3, most: float = 0.8) -> float:
-    """The middle of the widest stretch of thresholds with the best F1, kept within sensible chances."""
+def settle(model: Model, margin: np.ndarray, labels: np.ndarray, counts: np.ndarray, languages: np.ndarray, taught: np.ndarray) -> None:
+    """Set scale and thresholds from counts of rows by margin, label, language and whether the model was taught them.
+
+    Taught rows only tell how frequent a label is, unless the others lack one.
+    """
+    judged = ~taught
+    if any(not counts[judged & (labels == k)].sum() for k in (0, 1)):
+        judged = np.ones(len(labels), bool)
+    if len(np.unique(labels)) < 2:
+        return
+    rows = counts.astype(float)
+    for k in (0, 1):
+        rows[labels == k] *= counts[labels == k].sum() / counts[judged & (labels == k)].sum()
+    margin, labels, counts, rows, languages = (x[judged] for x in (margin, labels, counts, rows, languages))
+    model.scale = calibrate(margin, labels, counts=rows)
+
+    def threshold(own: np.ndarray) -> float:
+        places, where = np.unique(margin[own], return_inverse=True)
+        p = 1 / (1 + np.exp(-(model.scale[0] * places + model.scale[1])))
+        return best_threshold(p, np.bincount(where, (rows * labels)[own]), n=np.bincount(where, rows[own]))
+
+    model.threshold = threshold(np.ones(len(labels), bool))
+    for language in sorted(set(languages.tolist()) - {""}):
+        own = languages == language
+        if counts[own & (labels > 0)].sum() >= LEAST_POSITIVES:
+            model.thresholds[language] = threshold(own)
+
+
+def fit(texts: list[str], labels: np.ndarray, languages: list[str | None], epochs: int = EPOCHS, seed: int = SEED) -> Model:
+    """A calibrated model from labelled texts in memory."""
+    labels = np.asarray(labels, float)
+    taught = np.array([xxhash.xxh32_intdigest(t) % HELD != 0 for t in texts], bool)
+    if len(np.unique(labels[taught])) < 2:
+        taught[:] = True
+    model = teach([t for t, own in zip(texts, taught) if own], labels[taught], epochs, seed)
+    if model.key:
+        margin = np.concatenate([margins(model, pa.array(texts[i:i + 64], pa.string())) for i in range(0, len(texts), 64)])
+        settle(model, margin, labels, np.ones(len(labels)), np.array([x or "" for x in languages]), taught)
+    return model
+
+
+def best_threshold(p: np.ndarray, y: np.ndarray, least: float = 0.3, most: float = 0.8, n: np.ndarray | None = None) -> float:
+    """The middle of the widest stretch of thresholds with the best F1, kept within sensible chances.
+
+    `y` holds the positives at each chance and `n` the rows there, one each if not given.
+    """
     order = np.argsort(-p, kind="stable")
-    hits, n = np.cumsum(y[order]), np.arange(1, len(y) + 1)
+    hits, n = np.cumsum(y[order]), np.cumsum(np.ones(len(y)) if n is None else n[order])
     f1 = 2 * hits / (n + max(y.sum(), 1))
     at = np.flatnonzero(f1 >= f1.max() - 1e-9)
     gaps = p[order[at]] - np.append(p[order], 0.0)[at + 1]
@@ -294,26 +327,44 @@ def fold(id_: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
           lang_col: str | None = "lang", held_out: int = 2, sample: int = SAMPLE, epochs: int = EPOCHS) -> Model:
-    """A model from at most `sample` labelled rows outside the fold `held_out`.
+    """A model from labelled rows outside the fold `held_out`.
 
-    Each label gets half of the places; rows are taken by the hash of their id. Rows without text or label teach nothing.
-    Only the sample reaches the driver, where the small model is fitted.
+    The network learns from at most `sample` of them, half of each label if there are so many, taken by the hash of their
+    id; only these reach the driver. All the others that do not repeat a taught text are scored, and their counts by
+    language, label and margin calibrate. Rows without text or label teach nothing.
     """
     known = (labels.select(name(id_col).alias("id"), name(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
              .where(fold(F.col("id")) != held_out).groupBy("id").agg(F.max("label").alias("label")))
-    half = sample // 2
-    chosen = None
-    for label in (0, 1):
-        own = known.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(half)
-        chosen = own if chosen is None else chosen.unionByName(own)
     language = F.lit(None).cast("string") if lang_col is None or lang_col not in docs.columns else name(lang_col).cast("string")
     texts = docs.select(name(id_col).alias("id"), name(text_col).alias("text"), language.alias("lang")).where("text is not null")
-    # Bounded by `sample` rows of two numbers.
-    rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min(F.struct("text", "lang")).alias("x")).select(
-        "id", "label", "x.text", "x.lang").toArrow().sort_by("id")
-    model = fit(rows.column("text").to_pylist(), rows.column("label").to_numpy(), rows.column("lang").to_pylist(), epochs)
+    half = sample // 2
+    # Left back by a hash that has nothing to do with the order of the others; if a label is lost by that, nothing is.
+    for pool in (known.where(F.pmod(F.xxhash64(F.lit("held"), F.col("id")), F.lit(HELD)) != 0), known):
+        chosen = None
+        for label in (0, 1):
+            own = pool.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(half)
+            chosen = own if chosen is None else chosen.unionByName(own)
+        # Bounded by `sample` rows of two numbers.
+        rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text")).withColumn(
+            "mark", F.xxhash64("text")).toArrow().sort_by("id")
+        if len(rows.column("label").unique()) == 2:
+            break
+    model = teach(rows.column("text").to_pylist(), rows.column("label").to_numpy(), epochs)
+    marks = sorted(set(rows.column("mark").to_pylist()))
     del rows
     release()
+    if not model.key:
+        return model
+    spark = docs.sparkSession
+    taught = spark.createDataFrame([(m,) for m in marks], "mark long").withColumn("taught", F.lit(True))
+    judged = score(texts.where(fold(F.col("id")) != held_out).select("id", "lang", F.xxhash64("text").alias("mark"), "text"), model)
+    chance = F.least(F.greatest("score", F.lit(1e-12)), F.lit(1 - 1e-12))
+    place = F.floor(F.log(chance / (1 - chance)) * STEPS).cast("int")
+    found = (judged.select("id", F.coalesce("lang", F.lit("")).alias("lang"), "mark", place.alias("place"))
+             .join(F.broadcast(taught), "mark", "left").join(known, "id")
+             .groupBy("lang", "label", "place", F.col("taught").isNotNull().alias("taught")).agg(F.count("*").alias("n")).toArrow())
+    columns = {c: np.array(found.column(c).to_pylist()) for c in found.column_names}
+    settle(model, (columns["place"] + 0.5) / STEPS, columns["label"].astype(float), columns["n"], columns["lang"], columns["taught"].astype(bool))
     return model
 
 
