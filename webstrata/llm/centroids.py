@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from webstrata.llm.frames import name
 from webstrata.session import cut
@@ -93,11 +94,12 @@ def _blocks(batch: pa.RecordBatch, dim: int) -> Iterator[tuple[int, pa.Array, np
         yield first, column, held.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(held), dim)
 
 
-def start(vectors: DataFrame, k: int, seed: int) -> np.ndarray:
-    """The k vectors whose ids have the smallest SHA-256 of `seed:id`, in that order; null ids come last."""
+def start(vectors: DataFrame, k: int, seed: int, dim: int) -> np.ndarray:
+    """The k vectors whose ids have the smallest SHA-256 of `seed:id`, in that order; null ids come last. Without any
+    vector, a centroid at the origin that nothing will move."""
     rows = (vectors.where("v is not null").select(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")), 256).alias("h"), "v")
             .orderBy(F.col("h").asc_nulls_last(), "v").limit(k).collect())
-    return np.array([r.v for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([r.v for r in rows] or [[0] * dim], np.int64)
 
 
 def moved(vectors: DataFrame, centroids: np.ndarray) -> np.ndarray:
@@ -127,7 +129,7 @@ def moved(vectors: DataFrame, centroids: np.ndarray) -> np.ndarray:
 def assigned(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
     """(id, cluster, distance) of every vector."""
     k, dim = centroids.shape
-    schema = vectors.select("id", F.lit(0).alias("cluster"), F.lit(0).cast("bigint").alias("distance")).schema
+    schema = T.StructType([vectors.schema["id"], T.StructField("cluster", T.IntegerType()), T.StructField("distance", T.LongType())])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,9 +154,7 @@ def cluster(vectors: DataFrame, k: int = 16, rounds: int = 3, seed: int = 1, dim
     bits are null. `watch` sees the centroids before every round and at the end.
     """
     whole = cut(integer_vectors(vectors, dim, scale, id_col, vector_col))
-    centroids = start(whole, k, seed)
-    if not len(centroids):
-        centroids = np.zeros((1, dim), np.int64)
+    centroids = start(whole, k, seed, dim)
     for number in range(rounds):
         if watch:
             watch(number, centroids)
