@@ -17,7 +17,8 @@ def odd_texts():
     long = prose(1, 30_000)
     base = prose(2, 300)
     return [None, "", " \n\t ", "Word", "two words", base, base, base.upper(), base + " end", long, long + "!", "x" * 50_000,
-            "Ünïcode ñandú — 東京 😀 é ﬁ", "a b c\x1cd", "tab\tline\r\nbreak\n\n\nend ", "<|endoftext|> <|startoftext|>it's we'RE", None, ""]
+            "Ünïcode ñandú — 東京 😀 é ﬁ", "a b c\x1cd", "tab\tline\r\nbreak\n\n\nend ", "<|endoftext|> <|startoftext|>it's we'RE", None, "",
+            "BU KARAR İPTAL EDİLDİ. TÜRKİYE'Yİ, GEZDİ!"]
 
 
 @pytest.fixture(scope="session")

@@ -23,6 +23,39 @@ def test_ids_are_those_of_the_whole_text(texts):
         assert ids[ends[i]:ends[i + 1]].tolist() == PLAIN.encode(text, add_special_tokens=False).ids
 
 
+def test_every_letter_before_every_mark():
+    """All letters up to U+024F, of which some change in lower case, before the marks that end words and others."""
+    letters = [chr(c) for c in range(0x41, 0x250) if chr(c).isalpha()]
+    texts = [f"{before}{letter}{mark}{after}" for letter in letters for mark in ",.;:!?'-" for before, after in (("", ""), ("x", "y"), ("x ", " y"))]
+    texts += ["BU KARAR İPTAL EDİLDİ.", "TÜRKİYE'Yİ, GEZDİ!", "İ.x", "DİYARBAKIR; İZMİR: EVİ?"]
+    ids, ends = WORDS.encode(pa.array(texts))
+    for text, a, b in zip(texts, ends, ends[1:]):
+        assert ids[a:b].tolist() == PLAIN.encode(text, add_special_tokens=False).ids, text
+
+
+WORDS_ABOVE = ["x" * 100, "https://example.org/" + "path/" * 30, "東京" * 60, "É" * 81, "İ" * 90 + "."]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.lists(st.one_of(st.sampled_from(WORDS_ABOVE), TEXT), max_size=5).map(" ".join), min_size=1, max_size=3), min_size=2, max_size=4))
+def test_long_words_are_not_remembered(calls):
+    """What a call learns stays right in later calls, and memory is bounded by words and by characters."""
+    words = WordTokens(WORD_FILE, remembered=60, chars=500)
+    for texts in [["aa " + WORDS_ABOVE[0] + " zz"], ["bb zz", "aa cc"], *calls]:
+        ids, ends = words.encode(pa.array(texts, pa.string()))
+        for i, text in enumerate(texts):
+            assert ids[ends[i]:ends[i + 1]].tolist() == PLAIN.encode(text, add_special_tokens=False).ids
+        assert not any(len(w) > 80 for w in words.slot) and sorted(words.slot.values()) == list(range(len(words.slot)))
+        assert words.held == sum(map(len, words.slot))
+
+
+def test_unspaced_paragraphs_take_no_memory():
+    words = WordTokens(WORD_FILE)
+    for n in range(20):
+        words.encode(pa.array([("abcdefghij" * 50) + str(n * 100 + k) for k in range(100)]))
+    assert words.held < 1000 and len(words.ids) < 1 << 20
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.lists(TEXT, min_size=1, max_size=4))
 def test_spans_are_those_of_the_whole_text(texts):

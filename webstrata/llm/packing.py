@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webstrata.llm.frames import name
-from webstrata.llm.tokens import public_path, release, slices, word_tokens
+from webstrata.llm.tokens import public_path, release, slices, small_batches, word_tokens
 from webstrata.session import cut
 
 CAPACITY = 2048
@@ -144,7 +144,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
     histogram of lengths, at most `capacity` rows, reaches the driver, and only the rules go back to the tasks: a few
     per length and gap.
     """
-    pieces = cut(token_pieces(docs, vocabulary or public_path(VOCABULARY), capacity, end, id_col, text_col))
+    with small_batches(docs.sparkSession):
+        pieces = cut(token_pieces(docs, vocabulary or public_path(VOCABULARY), capacity, end, id_col, text_col))
     counts = cut(pieces.groupBy("length", "part").agg(F.count("*").alias("n")))
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}
     rules = plan(histogram, capacity)

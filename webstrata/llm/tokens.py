@@ -18,17 +18,22 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Characters of text that are worked on at a time, and words that a worker remembers (about 100 MB).
-SLICE_CHARS = 3_000_000
+#: Bytes of text that are worked on at a time; words that a worker remembers, and their characters at most: with ids
+#: and tables about 100 MB.
+SLICE_CHARS = 1_000_000
 REMEMBERED = 400_000
+REMEMBERED_CHARS = 8_000_000
 #: Longer words are encoded each time they occur.
 LONG_WORD = 80
+#: Rows that cross to Python at a time while whole texts are encoded.
+BATCH_ROWS = 1000
 
 #: The one normalisation and word pattern for which white space and the splits below are known to be safe (fixed values).
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _NORMALIZERS = ["NFC", "Replace", "Lowercase"]
-# A letter followed by punctuation always ends a word of that pattern.
-_WORD_END = "([A-Za-zÀ-ÖØ-öø-ɏ])([,.;:!?])"
+# A letter followed by punctuation always ends a word of that pattern. İ is no such letter: in lower case it ends in a
+# mark, which the pattern joins with punctuation.
+_WORD_END = "([A-Za-zÀ-ÖØ-öø-įı-ɏ])([,.;:!?])"
 # One word of the pattern that normalisation leaves as it is.
 _PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
 
@@ -72,7 +77,7 @@ class WordTokens:
     are told apart by Arrow; only those a worker has not met are given to the tokenizer.
     """
 
-    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
+    def __init__(self, path: str, remembered: int = REMEMBERED, chars: int = REMEMBERED_CHARS) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -82,14 +87,14 @@ class WordTokens:
                 or splits[0].get("pattern") != {"Regex": _PATTERN} or splits[0].get("behavior") != "Removed":
             raise ValueError(f"{path}: words of this tokenizer cannot be encoded one by one")
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.remembered = remembered
+        self.remembered, self.chars = remembered, chars
         self._bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self._forget()
 
     def _forget(self) -> None:
         self.slot: dict[str, int] = {}
         self.first, self.count = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.ids, self.used = np.zeros(1 << 14, np.uint32), 0
+        self.ids, self.used, self.held = np.zeros(1 << 14, np.uint32), 0, 0
 
     def _encode_word(self, word: str) -> list[int]:
         if word.isascii() and word.isalpha():
@@ -99,25 +104,36 @@ class WordTokens:
             return [token.id for token in self.tokenizer.model.tokenize(spelled)]
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
+    def _store(self, at: int, ids: list[int]) -> None:
+        """Keep the ids of the word with number `at`."""
+        if at >= len(self.first):
+            self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.first[at], self.count[at] = self.used, len(ids)
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.used += len(ids)
+
     def _slots(self, words: list[str]) -> np.ndarray:
-        slot = self.slot
-        if len(slot) + len(words) > self.remembered:
+        """The numbers of different words. Long ones get numbers behind all others, good until the next call."""
+        if len(self.slot) + len(words) > self.remembered or self.held > self.chars:
             self._forget()
-            slot = self.slot
-        out = np.empty(len(words), np.int64)
+        slot, out, long = self.slot, np.empty(len(words), np.int64), []
         for i, word in enumerate(words):
             at = slot.get(word)
             if at is None:
-                ids = self._encode_word(word)
+                if len(word) > LONG_WORD:
+                    long.append(i)
+                    continue
                 at = slot[word] = len(slot)
-                if at >= len(self.first):
-                    self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
-                while self.used + len(ids) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                self.first[at], self.count[at] = self.used, len(ids)
-                self.ids[self.used:self.used + len(ids)] = ids
-                self.used += len(ids)
+                self._store(at, self._encode_word(word))
+                self.held += len(word)
+            out[i] = at
+        kept = self.used
+        for at, i in enumerate(long, len(slot)):
+            self._store(at, self._encode_word(words[i]))
             out[i] = at
+        self.used = kept        # the next call writes over the ids of long words
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -136,6 +152,18 @@ def word_tokens(path: str) -> WordTokens:
     return per_worker(f"words {path}", lambda: WordTokens(path))
 
 
+@contextlib.contextmanager
+def small_batches(spark, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """While whole texts are encoded, fewer of them cross to Python at a time, which keeps tasks small on both sides."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
+
+
 def public_path(file: str) -> str:
     """The place of a public vocabulary file."""
     import public_tokenizers
