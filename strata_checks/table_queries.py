@@ -18,6 +18,7 @@ from webstrata.operators import duplicates as D
 from webstrata.operators import frontier as Fr
 from webstrata.operators import hosts as Ho
 from webstrata.operators import links as Li
+from webstrata.operators import near_duplicates as Nd
 from webstrata.operators import pages as P
 from webstrata.operators import quality as Q
 from webstrata.operators import retries as Rt
@@ -132,12 +133,12 @@ def _simhash_round_trip(data: Data) -> DataFrame:
 EMBEDDED_BITS = """SELECT vec_id, CAST(label AS BIGINT) * 7919 + vec_id AS a, CAST(label AS BIGINT) * 7919 AS b FROM {embeddings}"""
 
 
-@check("simhash_similarity", f"""SELECT vec_id, 1 - bit_count(xor(a, b)) / 64.0 AS similarity, 1 - bit_count(xor(a, b)) / 64.0 >= 0.95 AS near FROM ({EMBEDDED_BITS}) AS x""")
+@check("simhash_similarity", f"""SELECT vec_id, 1 - bit_count(xor(a, b)) / 64.0 AS similarity, 1 - bit_count(xor(a, b)) / 64.0 >= 0.8 AS near FROM ({EMBEDDED_BITS}) AS x""")
 def _simhash_similarity(data: Data) -> DataFrame:
     base = F.col("label").cast("bigint") * 7919
     pairs = data.embeddings.select("vec_id", (base + F.col("vec_id")).alias("a"), base.alias("b"))
     return pairs.select("vec_id", Hs.simhash_similarity("a", "b").alias("similarity"),
-                        Hs.is_near_duplicate("a", "b", 0.95).alias("near"))
+                        Hs.is_near_duplicate("a", "b").alias("near"))
 
 
 @check("is_exact_duplicate", """SELECT url_id, content_hash_sha256 = md5(CAST(url_id % 20 AS STRING)) AS same FROM {content}""")
@@ -146,15 +147,30 @@ def _is_exact_duplicate(data: Data) -> DataFrame:
     return data.content.select("url_id", Hs.is_exact_duplicate("content_hash_sha256", other).alias("same"))
 
 
-@check("near_duplicate_pairs", f"""WITH s AS ({SIMHASH.replace("{L}", "<L>").replace("{N}", "<N>")}),
-    g AS (SELECT simhash AS h, count(*) AS copies, min(doc_id) AS id FROM s GROUP BY 1)
-    SELECT a.id AS id1, b.id AS id2, a.copies AS copies1, b.copies AS copies2, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance
-    FROM g a JOIN g b ON a.h < b.h AND bit_count(xor(a.h, b.h)) <= 3""")
+NEAR = f"""WITH RECURSIVE s AS ({SIMHASH.replace("{L}", "<L>").replace("{N}", "<N>")}),
+    g AS (SELECT simhash AS h, count(*) AS copies, min(doc_id) AS id FROM s GROUP BY 1),
+    n AS (SELECT a.h AS h1, b.h AS h2, a.id AS id1, b.id AS id2, a.copies AS copies1, b.copies AS copies2,
+                 CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance
+          FROM g a JOIN g b ON a.h <> b.h AND bit_count(xor(a.h, b.h)) <= 12)"""
+
+
+@check("near_duplicate_pairs", NEAR + " SELECT id1, id2, copies1, copies2, distance FROM n WHERE h1 < h2")
 def _near_duplicate_pairs(data: Data) -> DataFrame:
-    pairs = D.near_duplicate_pairs(_document_hashes(data), 0.95, id_column="doc_id")
+    pairs = Nd.near_duplicate_pairs(_document_hashes(data), id_column="doc_id")
     return pairs.select("id1", "id2", "copies1", "copies2", "distance")
 
 
+@check("near_duplicate_classes", NEAR + """,
+    c(h, class_id) USING KEY (h) AS (SELECT h, id FROM g UNION (
+        SELECT n.h2, min(c.class_id) FROM c JOIN n ON n.h1 = c.h JOIN recurring.c AS known ON known.h = n.h2
+        WHERE c.class_id < known.class_id GROUP BY n.h2)),
+    l AS (SELECT h1 AS h, count(*) AS links FROM n GROUP BY h1)
+    SELECT doc_id, class_id, coalesce(links, 0) AS links, copies FROM s JOIN g ON h = simhash JOIN c USING (h) LEFT JOIN l USING (h)""")
+def _near_duplicate_classes(data: Data) -> DataFrame:
+    """One row per document, however many pairs its class holds."""
+    return Nd.near_duplicate_classes(_document_hashes(data), id_column="doc_id").drop("simhash")
+
+
 # ---- upserts and derived tables -----------------------------------------------------------
 
 @check("upsert_urls", """SELECT url, CASE WHEN seen THEN 'html' ELSE 'other' END AS kind, CASE WHEN seen THEN 'internal' ELSE 'external' END AS classification,

@@ -1,12 +1,14 @@
 from collections import Counter
 from hashlib import md5
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from webstrata.functions import hashing as H
 from webstrata.operators import duplicates as D
+from webstrata.operators import near_duplicates as N
 
 
 def plain_simhash(text):
@@ -52,28 +54,78 @@ def clustered_hashes():
     return sorted(out)
 
 
-@pytest.mark.parametrize("threshold, distance, bucket", [(0.95, 3, 32), (0.95, 3, 512), (0.9, 6, 64), (0.8, 12, 512)])
-def test_near_duplicate_pairs_are_exact(spark, threshold, distance, bucket):
-    hashes = clustered_hashes()
-    want = {(a, b) for i, a in enumerate(hashes) for b in hashes[i + 1:]
-            if ((a ^ b) & (2**64 - 1)).bit_count() <= distance}
-    copied = min(want)[0]
-    rows = spark.createDataFrame([(i, h) for i, h in enumerate(hashes)] + [(1000, copied)], "id long, simhash long")
-    got = {(r.simhash1, r.simhash2) for r in D.near_duplicate_pairs(rows, threshold, bucket).collect()}
-    assert got == want
-    first = D.near_duplicate_pairs(rows, threshold, bucket).where(F.col("simhash1") == copied).first()
-    assert first.copies1 == 2 and first.id1 == hashes.index(copied)
-
-
-def test_large_collections_start_at_finer_bands(spark, monkeypatch):
-    assert [len(m) for m, _ in (D._first_masks(10**3, 3, 512), D._first_masks(10**9, 3, 512))] == [4, 16]
-    assert D._first_masks(10**10, 3, 512)[1] == 2
-    hashes = clustered_hashes()
-    rows = spark.createDataFrame(list(enumerate(hashes)), "id long, simhash long")
-    finer = D._first_masks(10**9, 3, 512)
-    monkeypatch.setattr(D, "_first_masks", lambda *_: finer)
-    want = sum(((a ^ b) & (2**64 - 1)).bit_count() <= 3 for i, a in enumerate(hashes) for b in hashes[i + 1:])
-    assert D.near_duplicate_pairs(rows, 0.95, 32).count() == want
+def random_hashes(n):
+    rng = np.random.default_rng(n)
+    return sorted({int(h) for h in rng.integers(-2**63, 2**63 - 1, n)})
+
+
+def near(a, b, distance):
+    return ((a ^ b) & (2**64 - 1)).bit_count() <= distance
+
+
+def near_pairs(hashes, distance):
+    return {(a, b) for i, a in enumerate(hashes) for b in hashes[i + 1:] if near(a, b, distance)}
+
+
+@pytest.mark.parametrize("threshold, distance, block", [
+    (0.95, 3, 32), (0.95, 3, 4096), (0.9, 6, 64), (0.8, 12, 16), (0.8, 12, 100), (0.8, 12, 4096), (0.7, 19, 50), (1.0, 0, 8)])
+def test_near_duplicate_pairs_are_exact(spark, threshold, distance, block):
+    """Small blocks make every bucket split as often as it can and be cut into blocks after that."""
+    hashes = sorted({*clustered_hashes(), *random_hashes(300), 0, -1, 1, -2**63, 2**63 - 1})
+    want = near_pairs(hashes, distance)
+    copied = min(want)[0] if want else hashes[0]
+    rows = spark.createDataFrame([(i, h) for i, h in enumerate(hashes)] + [(1000, copied), (1001, None)], "id long, simhash long")
+    got = [(r.simhash1, r.simhash2) for r in N.near_duplicate_pairs(rows, threshold, block).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    if want:
+        first = N.near_duplicate_pairs(rows, threshold, block).where(F.col("simhash1") == copied).first()
+        assert first.copies1 == 2 and first.id1 == hashes.index(copied)
+
+
+@pytest.mark.parametrize("threshold, distance, block", [(0.8, 12, 4096), (0.8, 12, 20), (0.95, 3, 50)])
+def test_near_duplicate_classes_are_exact(spark, threshold, distance, block):
+    hashes = sorted({*clustered_hashes(), *random_hashes(100)})
+    pairs = near_pairs(hashes, distance)
+    least, links = {h: i for i, h in enumerate(hashes)}, Counter(h for p in pairs for h in p)
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            low = min(least[a], least[b])
+            changed |= least[a] != low or least[b] != low
+            least[a] = least[b] = low
+    rows = list(enumerate(hashes)) + [(2000, hashes[5]), (2001, hashes[5]), (2002, None)]
+    got = {r.id: (r.class_id, r.links, r.copies) for r in N.near_duplicate_classes(
+        spark.createDataFrame(rows, "id long, simhash long"), threshold, block).collect()}
+    assert got == {i: (least[h], links[h], 3 if h == hashes[5] else 1) if h is not None else (i, 0, 1) for i, h in rows}
+
+
+@pytest.mark.parametrize("distance, width", [(12, 4), (6, 4), (3, 8), (0, 8)])
+def test_every_near_pair_has_one_bucket_per_level(distance, width):
+    """Whatever bands a pair differs on, exactly one set of bands of each level is the one it meets on."""
+    bands = 64 // width
+    rng = np.random.default_rng(distance)
+    for _ in range(200):
+        differs = set(rng.choice(bands, rng.integers(0, min(distance, bands) + 1), replace=False).tolist())
+        for depth in range(N._deepest(distance, width) + 1):
+            met = [s for s in N.band_sets(depth, distance, width)
+                   if not differs & set(s) and all(b in differs for b in range(s[-1] if s else 0) if b not in s)]
+            assert len(met) == 1
+    finer = {f for s in N.band_sets(2, distance, width) for f in N.next_bands(s, distance, width)}
+    assert finer == set(N.band_sets(3, distance, width))
+
+
+def test_a_dense_part_is_many_rows_of_bounded_size(spark):
+    hashes = [(i << 1) | 0x55AA << 40 for i in range(3000)]
+    members = N.buckets(spark.createDataFrame([(h,) for h in hashes], "h long"), 12, 256)
+    rows = N.block_pairs(members, 256)
+    largest = rows.selectExpr("max(size(blocks)) as n", "max(size(blocks[0].hs)) as m").first()
+    assert largest.n == 2 and largest.m < 2 * 256 and rows.count() > 60
+
+
+def test_no_rows(spark):
+    rows = spark.createDataFrame([], "id long, simhash long")
+    assert N.near_duplicate_pairs(rows).collect() == [] and N.near_duplicate_classes(rows).collect() == []
 
 
 def test_copies_are_listed_once_per_member(spark):

@@ -1,23 +1,15 @@
-"""Exact and near duplicates.
+"""Exact duplicates and equal SimHashes.
 
 Copies are reported as groups and their members, never as all pairs of a group: a group of
-n copies is n rows. Pairs are only formed between *different* SimHash values.
+n copies is n rows. Hashes that are only near each other: `near_duplicates`.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webstrata.functions.hashing import BITS, hamming, simhash_similarity
 from webstrata.operators.skew import hottest, join_unique
-from webstrata.session import cut
-
-
-LEVELS = 3            # how often a large bucket is split by bands
-MIDDLE_DISTANCE = 6   # most differing bits for which all changes are listed
 
 
 def _present(column: str) -> Column:
@@ -95,102 +87,3 @@ def content_hash_stats(content: DataFrame, measure: str = "word_count") -> DataF
         F.min(measure).alias(f"min_{measure}"),
         F.max(measure).alias(f"max_{measure}"),
     )
-
-
-def _signed(mask: int) -> int:
-    return mask - (1 << BITS) if mask >> (BITS - 1) else mask
-
-
-def _free_bits(mask: int) -> list[int]:
-    return [b for b in range(BITS) if not mask >> b & 1]
-
-
-def _finer(mask: int, bands: int) -> list[int]:
-    """`mask` extended by each of `bands` nearly equal groups of its free bits."""
-    free = _free_bits(mask)
-    edges = [len(free) * i // bands for i in range(bands + 1)]
-    return [mask | sum(1 << b for b in free[a:z]) for a, z in zip(edges, edges[1:])]
-
-
-def _first_masks(hashes: int, distance: int, bucket: int) -> tuple[list[int], int]:
-    """Masks to start from and their level. Levels whose buckets would be too large even if the
-    hashes were spread evenly are skipped."""
-    masks, level = _finer(0, distance + 1), 1
-    while level < LEVELS and hashes >> (BITS - len(_free_bits(masks[0]))) > bucket:
-        masks, level = [f for m in masks for f in _finer(m, distance + 1)], level + 1
-    return masks, level
-
-
-def _flipped(members: DataFrame, flips: int) -> DataFrame:
-    """Every member with every value (column `at`) that differs from it in at most `flips` free bits."""
-    bits = F.array(*[F.lit(_signed(1 << b)) for b in range(BITS)])
-    free = F.filter(bits, lambda bit: bit.bitwiseAND(F.col("mask")) == 0)
-    step = members.select("h", "mask", F.col("h").alias("at"), F.lit(-1).alias("last"))
-    out = step
-    for _ in range(flips):
-        step = step.select("h", "mask", "at", "last", F.posexplode(free).alias("place", "bit")).where(
-            "place > last").select("h", "mask", F.col("at").bitwiseXOR(F.col("bit")).alias("at"), F.col("place").alias("last"))
-        out = out.unionByName(step)
-    return out.select("h", "mask", "at")
-
-
-def _meet(left: DataFrame, right: DataFrame, on: list[str], distance: int) -> DataFrame:
-    """Pairs of hashes that meet on `on` and are near enough."""
-    joined = left.withColumnRenamed("h", "h1").join(right.withColumnRenamed("h", "h2"), on)
-    return joined.where((F.col("h1") < F.col("h2")) & (hamming("h1", "h2") <= distance)).select("h1", "h2")
-
-
-def near_duplicate_pairs(rows: DataFrame, threshold: float = 0.95, bucket: int = 512,
-                         id_column: str = "id", hash_column: str = "simhash") -> DataFrame:
-    """Pairs of different SimHash values at least `threshold` similar, exactly.
-
-    Rows with equal hashes collapse first: a hash stands for its `copies` and its smallest id.
-    Two hashes at most d bits apart agree on at least one of d + 1 bands of bits, so hashes meet
-    in one bucket per band. A bucket with more than `bucket` hashes is not compared as it is: its
-    hashes still differ in at most d of the remaining bits, so bands of those bits split it again.
-
-    What is still large after LEVELS splits is dense. There two hashes meet in the middle: each
-    is written with every change of d // 2 and of d - d // 2 free bits, and near hashes share such
-    a value. Its cost is linear in the hashes and its groups are bounded by the number of changes.
-    Beyond MIDDLE_DISTANCE bits that list gets too long and such a bucket is compared directly;
-    at so low a threshold nearly all its pairs are results.
-    """
-    distance = int((1.0 - threshold) * BITS + 1e-9)
-    if bucket < 8 * (distance + 1):
-        raise ValueError(f"bucket must be at least {8 * (distance + 1)}: splitting would cost more than comparing")
-    hashes = cut(rows.where(F.col(hash_column).isNotNull()).groupBy(F.col(hash_column).alias("h")).agg(
-        F.count("*").alias("copies"), F.min(id_column).alias("first_id")))
-
-    compared: list[DataFrame] = []
-    masks, first_level = _first_masks(hashes.count(), distance, bucket)
-    members = hashes.select("h", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"))
-    for level in range(first_level, LEVELS + 1):
-        if level > first_level:
-            choices = F.create_map(*[x for m in masks for x in (
-                F.lit(_signed(m)), F.array(*[F.lit(_signed(c)) for c in _finer(m, distance + 1)]))])
-            members = members.select("h", F.explode(F.element_at(choices, F.col("mask"))).alias("mask"))
-        keyed = members.select(
-            "h", F.struct("mask", F.col("h").bitwiseAND(F.col("mask")).alias("value")).alias("key"))
-        sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-        sized = cut(join_unique(keyed, sizes, "key", "inner", hottest(sizes, "key", "size")))
-        direct = F.lit(level == LEVELS and distance > MIDDLE_DISTANCE)
-        # With no more free bits than the distance allows, all members of a bucket are near.
-        decided = (F.col("size") <= bucket) | (BITS - F.bit_count("key.mask") <= distance) | direct
-        small = sized.where(decided).select("key", "h")
-        compared.append(_meet(small, small, ["key"], distance))
-        members = sized.where(~decided).select("h", F.col("key.mask").alias("mask"))
-        # Distinct masks only: at most (d + 1) per mask of the level before, whatever the data.
-        masks = [m % (1 << BITS) for (m,) in members.select("mask").distinct().collect()]
-        if not masks:
-            break
-    else:
-        near, far = _flipped(members, distance // 2), _flipped(members, distance - distance // 2)
-        compared.append(_meet(near, far, ["mask", "at"], distance))
-        compared.append(_meet(far, near, ["mask", "at"], distance))
-
-    pairs = reduce(DataFrame.unionByName, compared).distinct()
-    first, second = (hashes.select(F.col("h").alias(f"h{n}"), F.col("first_id").alias(f"id{n}"),
-                                   F.col("copies").alias(f"copies{n}")) for n in (1, 2))
-    return pairs.join(first, "h1").join(second, "h2").select(
-        "id1", "id2", F.col("h1").alias("simhash1"), F.col("h2").alias("simhash2"), "copies1", "copies2",
-        hamming("h1", "h2").alias("distance"), simhash_similarity("h1", "h2").alias("similarity"))
