@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata_checks.derived import Data
-from strata_checks.page_queries import PATHS, SPACED
+from strata_checks.page_queries import PATHS, SPACED, decoded
 from strata_checks.registry import check
 from strata_checks.view_queries import INDEXABILITY, VIEW_SQL, crawl_tables, indexability_table
 from webstrata.functions import hashing as Hs
@@ -615,10 +617,13 @@ def _host_response_counts(data: Data) -> DataFrame:
     return Ho.host_response_counts(data.fetch_log)
 
 
-@check("crawl_rate", """WITH log AS (SELECT url, status, CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS t FROM {fetch_log}),
+RATE = """WITH log AS (SELECT url, status, CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS t FROM {fetch_log}),
     pages AS (SELECT t, count(*) FILTER (status = 200) AS n FROM log GROUP BY t), firsts AS (SELECT url, min(t) AS seen, min(t) FILTER (status = 200) AS done FROM log GROUP BY url)
     SELECT t AS interval_start, n AS pages, n / 3600.0 AS pages_per_sec, (SELECT count(*) FROM firsts WHERE seen <= t) AS urls_found, (SELECT count(*) FROM firsts WHERE done <= t) AS urls_done,
-    100.0 * (SELECT count(*) FROM firsts WHERE done <= t) / (SELECT count(*) FROM firsts WHERE seen <= t) AS done_pct FROM pages""")
+    100.0 * (SELECT count(*) FROM firsts WHERE done <= t) / (SELECT count(*) FROM firsts WHERE seen <= t) AS done_pct FROM pages"""
+
+
+@check("crawl_rate", RATE)
 def _crawl_rate(data: Data) -> DataFrame:
     return St.crawl_rate(data.fetch_log, 3600)
 
@@ -822,19 +827,76 @@ def _stream(data: Data, table: str) -> DataFrame:
     return data.spark.readStream.schema(frame.schema).option("pathGlobFilter", f"{table}.parquet").parquet(data.sf_dir)
 
 
-@check("stream_ingest", f"""SELECT 'content' AS table_name, count(*) AS n FROM {{pages}} WHERE page_id % 5 <> 0
-    UNION ALL SELECT 'internal_links', CAST(sum(len(regexp_extract_all(html, '<a href='))) AS BIGINT) FROM {{pages}} WHERE page_id % 5 <> 0
-    UNION ALL SELECT 'page_metadata', count(*) FROM {{pages}} WHERE page_id % 5 <> 0
-    UNION ALL SELECT 'redirects', count(*) FROM {{pages}} WHERE page_id % 3 = 0 AND page_id % 5 <> 0""")
+# A crawl in three rounds: everything; then a third of the pages empty of links and data and a third unchanged; then some
+# of the emptied pages full again, and others found to have moved.
+FULL, EMPTIED, MOVED = "page_id % 3 <> 1 OR page_id % 9 = 4", "page_id % 3 = 1 AND page_id % 9 <> 4", "page_id % 9 = 0"
+ROUNDS = {
+    "full": lambda ids: ids >= 0, "emptied": lambda ids: ids % 3 == 1, "unchanged": lambda ids: ids % 3 == 2,
+    "refilled": lambda ids: ids % 9 == 4, "moved": lambda ids: ids % 9 == 0}
+AT_MOVED = "'https://moved.example.org/' || CAST(page_id AS STRING)"
+STREAMED = f"""SELECT 'urls' AS table_name, url AS key, 'html' AS value, 100 + page_id AS n1,
+        CASE WHEN page_id % 9 = 0 OR page_id % 9 = 4 THEN 3100 WHEN page_id % 3 = 0 THEN 100 ELSE 2100 END + page_id AS n2 FROM {{pages}}
+    UNION ALL SELECT 'page_metadata', url, CASE WHEN {MOVED} THEN {AT_MOVED} ELSE url END, CASE WHEN {MOVED} THEN 301 ELSE 200 END,
+        CASE WHEN page_id % 9 = 0 OR page_id % 9 = 4 THEN 3100 WHEN page_id % 3 = 1 THEN 2100 ELSE 100 END + page_id FROM {{pages}}
+    UNION ALL SELECT 'content', url, CASE WHEN {EMPTIED} THEN 'Page ' || CAST(page_id AS STRING) ELSE trim(regexp_extract(html, '<title>(.*?)</title>', 1)) END,
+        CASE WHEN {EMPTIED} THEN 0 ELSE 1 END, 0 FROM {{pages}}
+    UNION ALL SELECT 'content', {AT_MOVED}, 'Page ' || CAST(page_id AS STRING), 0, 0 FROM {{pages}} WHERE {MOVED}
+    UNION ALL SELECT 'redirects', url, {AT_MOVED}, 1, 200 FROM {{pages}} WHERE {MOVED}
+    UNION ALL SELECT 'internal_links', url, {decoded("href")}, i - 1, 0 FROM (SELECT url, unnest(hrefs) AS href, unnest(range(1, len(hrefs) + 1)) AS i
+        FROM (SELECT url, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS hrefs FROM {{rich_pages}} WHERE {FULL}) AS a) AS b
+    UNION ALL SELECT 'schema_items', url, format || ' ' || type || ' ' || position, source, errors FROM {{schema_expected}} WHERE {FULL}
+    UNION ALL SELECT 'canonical_urls', url, canonical_url, 0, 0 FROM ({CANONICAL.replace("{pages}", f"(SELECT * FROM {{pages}} WHERE {FULL}) AS p")}) AS c
+    UNION ALL SELECT 'hreflang_html_head', url, language_code || ' ' || href_url, 0, 0 FROM ({HREFLANG.replace("{pages}", f"(SELECT * FROM {{pages}} WHERE {FULL}) AS p")}) AS h"""
+
+
+def _round(data: Data, name: str, at: int) -> DataFrame:
+    """The fetches of one kind of a round."""
+    page, number = F.col("page_id").cast("string"), {"full": 0, "emptied": 2000, "unchanged": 2000}.get(name, 3000)
+    full, moved = name in ("full", "refilled"), name == "moved"
+    bare = F.concat(F.lit("<html><head><title>Page "), page, F.lit("</title></head><body>none</body></html>"))
+    final = F.concat(F.lit("https://moved.example.org/"), page) if moved else F.col("url")
+
+    def hop(url, status, headers):
+        return F.struct(url.alias("url"), F.lit(status).alias("status"), headers.alias("headers"))
+    none = F.create_map().cast("map<string,string>")
+    chain = F.array(hop(F.col("url"), 301, F.create_map(F.lit("Location"), final)), hop(final, 200, none)) if moved else F.array(hop(final, 200, none))
+    return data.rich_pages.where(ROUNDS[name](F.col("page_id"))).select(
+        "url", final.alias("final_url"), F.lit(304 if name == "unchanged" else 200).alias("status"), F.lit("html").alias("kind"),
+        none.alias("headers"), F.lit(None).cast("string").alias("html") if name == "unchanged" else (F.col("html") if full else bare).alias("html"),
+        chain.alias("chain"), (F.col("page_id") + at + number).alias("fetched_at"))
+
+
+def ingested(data: Data, snapshot_every: int) -> str:
+    """The folder of a stream that took the three rounds as one batch each."""
+    source, out = scratch_path(data.spark, "rounds"), scratch_path(data.spark, "ingest")
+    for kinds in (["full"], ["emptied", "unchanged"], ["refilled", "moved"]):
+        frames = [_round(data, name, 100) for name in kinds]
+        reduce(DataFrame.unionByName, frames).write.mode("append").parquet(source)
+        stream = data.spark.readStream.schema(frames[0].schema).parquet(source)
+        In.stream_ingest(stream, out, snapshot_every=snapshot_every).awaitTermination()
+    return out
+
+
+def tables_of_stream(spark, out: str) -> DataFrame:
+    """The rows of all tables in one shape."""
+    def rows(table: str, key: str, value, n1=F.lit(0), n2=F.lit(0)) -> DataFrame:
+        return In.read_table(spark, out, table).select(F.lit(table).alias("table_name"), F.col(key).alias("key"), value.alias("value"),
+                                                       n1.cast("bigint").alias("n1"), n2.cast("bigint").alias("n2"))
+    parts = [rows("urls", "url", F.col("kind"), F.col("first_seen"), F.col("last_seen")),
+             rows("page_metadata", "url", F.col("final_url"), F.col("initial_status_code"), F.col("fetched_at")),
+             rows("content", "url", F.col("title"), (F.size("h1_tags") > 0).cast("int")),
+             rows("redirects", "source_url", F.col("target_url"), F.col("chain_length"), F.col("final_status_code")),
+             rows("internal_links", "source_url", F.col("href"), F.col("position")),
+             rows("schema_items", "url", F.concat_ws(" ", "format", "type", "position"), F.col("ordinal.source"), F.size("validation_errors")),
+             rows("canonical_urls", "url", F.col("canonical_url")),
+             rows("hreflang_html_head", "url", F.concat_ws(" ", "language_code", "href_url"))]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@check("stream_ingest", STREAMED)
 def _stream_ingest(data: Data) -> DataFrame:
-    class Streamed:
-        pages = _stream(data, "pages")
-    out = scratch_path(data.spark, "ingest")
-    In.stream_ingest(_fetches(Streamed), out).awaitTermination()
-    keys = {"content": ["url"], "internal_links": ["source_url", "position"], "page_metadata": ["url"], "redirects": ["source_url"]}
-    frames = [Vs.current(Vs.read_batches(data.spark, out, t), k).agg(F.count("*").alias("n")).select(F.lit(t).alias("table_name"), "n")
-              for t, k in keys.items()]
-    return frames[0].unionByName(frames[1]).unionByName(frames[2]).unionByName(frames[3])
+    """All rows of the eight tables after three batches, the first two of them in a snapshot."""
+    return tables_of_stream(data.spark, ingested(data, 2))
 
 
 def _log_stream(data: Data) -> DataFrame:
@@ -857,8 +919,7 @@ def _stream_host_circuit(data: Data) -> DataFrame:
 def _stream_host_delay(data: Data) -> DataFrame:
     out = scratch_path(data.spark, "hosts")
     Sh.stream_hosts(_log_stream(data), out).awaitTermination()
-    state = Vs.of_latest_batch(Vs.read_batches(data.spark, out, "delay_state"), "host")
-    return state.select("host", F.round("adaptive_delay", 6).alias("adaptive_delay"), "last_request")
+    return Sh.host_states(data.spark, out, "delay_state").select("host", F.round("adaptive_delay", 6).alias("adaptive_delay"), "last_request")
 
 
 @check("stream_crawl_rate", """SELECT CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS interval_start, count(*) FILTER (status = 200) AS pages,
@@ -870,3 +931,11 @@ def _stream_crawl_rate(data: Data) -> DataFrame:
     rates.writeStream.outputMode("complete").option("checkpointLocation", f"{out}/_checkpoint").foreachBatch(
         lambda batch, _: batch.write.mode("overwrite").parquet(f"{out}/rates")).trigger(availableNow=True).start().awaitTermination()
     return data.spark.read.parquet(f"{out}/rates")
+
+
+@check("stream_crawl_progress", RATE)
+def _stream_crawl_progress(data: Data) -> DataFrame:
+    """The batch form's columns, from a stream."""
+    out = scratch_path(data.spark, "progress")
+    Sr.stream_crawl_progress(_log_stream(data), out, 3600).awaitTermination()
+    return Sr.crawl_progress(data.spark, out, 3600)

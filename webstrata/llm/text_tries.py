@@ -21,7 +21,7 @@ from webstrata.session import cut
 REMEMBERED_BYTES = 32 << 20
 LONG_TEXT = 1 << 20
 #: Bytes of texts in one trie. Beyond 2^18 tries they grow with the input, which bounds the crowded prefixes.
-TRIE_BYTES = 16 << 20
+TRIE_BYTES = 1 << 20
 MOST_TRIES = 18
 #: Bytes of the shortest prefix, and what crowded ones are lengthened by.
 FIRST_PREFIX, LONGER = 8, 4

@@ -6,17 +6,15 @@ cut into ordered chunks, chunks are folded in parallel, and the chunk results ar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webstrata.functions.expr import instant
 from webstrata.operators.skew import chunked
-from webstrata.session import cut, cut_in_order
+from webstrata.session import cut
 
 ORDER = ["at", "event_id"]
+BLOCK_BITS = 10     # events composed as one list: 2^10
 
 # How an answer changes the delay of its host.
 SLOW_DOWN_HARD = [429, 502, 503, 504]
@@ -156,33 +154,37 @@ def circuit_as_events(state: DataFrame, failures: int = 5) -> DataFrame:
         F.col("last_failure").alias("at"))
 
 
-def _delay_steps(base: float, increase: float, decrease: float, cap: float):
-    """Each answer maps a delay d to min(max(factor * d, low), high)."""
-    unbounded = float("inf")
-    steps = {s: (increase * 2, 0.0, cap) for s in SLOW_DOWN_HARD}
-    steps.update({s: (increase, 0.0, cap) for s in SLOW_DOWN})
-    steps.update({s: (decrease, base, unbounded) for s in SPEED_UP})
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """One (factor, low, high) per host and chunk: the steps of a sorted partition composed."""
-        current, chunk, factor, low, high = None, 0, 1.0, 0.0, unbounded
-        for frame in batches:
-            done = []
-            for host, status, part in zip(frame["host"], frame["status"], frame["chunk"]):
-                if host != current:
-                    if current is not None:
-                        done.append((current, chunk, factor, low, high))
-                    current, chunk, factor, low, high = host, part, 1.0, 0.0, unbounded
-                step = steps.get(status)
-                if step:
-                    f, a, b = step
-                    factor, low, high = factor * f, min(max(low * f, a), b), min(max(high * f, a), b)
-            yield pd.DataFrame(done, columns=["host", "chunk", "factor", "low", "high"])
-        if current is not None:
-            yield pd.DataFrame([(current, chunk, factor, low, high)],
-                               columns=["host", "chunk", "factor", "low", "high"])
-
-    return fold
+def _composed(steps: Column) -> Column:
+    """Scalings (factor, low, high) applied one after the other, as one: d becomes min(max(factor * d, low), high)."""
+    def scaling(factor: Column, low: Column, high: Column) -> Column:
+        return F.struct(factor.alias("factor"), low.alias("low"), high.alias("high"))
+
+    none = scaling(F.lit(1.0), F.lit(0.0), F.lit(float("inf")))
+    return F.aggregate(steps, none, lambda a, b: scaling(
+        a["factor"] * b["factor"], *[F.least(F.greatest(a[c] * b["factor"], b["low"]), b["high"]) for c in ("low", "high")]))
+
+
+def _delay_scalings(timed: DataFrame, base: float, increase: float, decrease: float, cap: float) -> DataFrame:
+    """(host, factor, low, high, last_request): all answers of a host composed in order of time.
+
+    Composition is associative, so events are composed in blocks, blocks within their range of the sorted log, and ranges
+    within their host. Only the last step lists what depends on the size of the log: one scaling per range.
+    """
+    hard, soft, good = (F.col("status").isin(x) for x in (SLOW_DOWN_HARD, SLOW_DOWN, SPEED_UP))
+    step = F.struct("at", "event_id", F.when(hard, increase * 2).when(soft, increase).when(good, decrease).alias("factor"),
+                    F.when(good, base).otherwise(0.0).alias("low"), F.when(good, float("inf")).otherwise(cap).alias("high"))
+    ranged = timed.repartitionByRange("host", *ORDER).sortWithinPartitions("host", *ORDER)
+    # The place in the sorted log: its upper bits are the range, so blocks of a range follow each other.
+    placed = cut(ranged.withColumn("place", F.monotonically_increasing_id()))
+    block = F.shiftright("place", BLOCK_BITS)
+    blocks = placed.groupBy("host", block.alias("block")).agg(
+        F.array_sort(F.collect_list(F.when(hard | soft | good, step))).alias("steps"), F.max("at").alias("last_request"))
+    ranges = blocks.select("host", "block", _composed(F.col("steps")).alias("s"), "last_request").groupBy(
+        "host", F.shiftright("block", 33 - BLOCK_BITS).alias("range")).agg(
+        F.array_sort(F.collect_list(F.struct("block", "s.*"))).alias("steps"), F.max("last_request").alias("last_request"))
+    hosts = ranges.select("host", "range", _composed(F.col("steps")).alias("s"), "last_request").groupBy("host").agg(
+        F.array_sort(F.collect_list(F.struct("range", "s.*"))).alias("steps"), F.max("last_request").alias("last_request"))
+    return hosts.select("host", _composed(F.col("steps")).alias("s"), "last_request").select("host", "s.*", "last_request")
 
 
 def host_delay(fetch_log: DataFrame, robots_delays: DataFrame | None = None, initial: DataFrame | None = None,
@@ -190,24 +192,15 @@ def host_delay(fetch_log: DataFrame, robots_delays: DataFrame | None = None, ini
     """Delay before the next request to each host: grows with overload answers, shrinks back with
     good ones, and is never below the host's robots delay (host, crawl_delay).
 
-    Steps compose to one bounded scaling per (host, chunk); a host has at most one chunk per
-    partition, and these few are applied in order to the host's starting delay.
+    Every answer is a bounded scaling of the delay; those of a host compose to one, which is applied to
+    its starting delay (`initial`, else `base`).
     """
-    timed = _timed(fetch_log)
-    ranged = timed.repartitionByRange("host", *ORDER).sortWithinPartitions("host", *ORDER)
-    ordered = cut_in_order(ranged.select("host", "status", "at", F.spark_partition_id().alias("chunk")))
-    folded = ordered.select("host", "status", "chunk").mapInPandas(
-        _delay_steps(base, increase, decrease, cap), "host string, chunk int, factor double, low double, high double")
-    chunks = folded.groupBy("host").agg(F.array_sort(F.collect_list(
-        F.struct("chunk", "factor", "low", "high"))).alias("_steps"))
-    last = ordered.groupBy("host").agg(F.max("at").alias("last_request"))
-    known = chunks.join(last, "host")
+    known = _delay_scalings(_timed(fetch_log), base, increase, decrease, cap)
     if initial is not None:
         known = known.join(initial.select("host", F.col("adaptive_delay").alias("_start")), "host", "left")
     else:
         known = known.withColumn("_start", F.lit(None).cast("double"))
-    adaptive = F.aggregate("_steps", F.coalesce("_start", F.lit(base)), lambda d, s: F.least(
-        F.greatest(d * s["factor"], s["low"]), s["high"]))
+    adaptive = F.least(F.greatest(F.coalesce("_start", F.lit(base)) * F.col("factor"), F.col("low")), F.col("high"))
     out = known.select("host", adaptive.alias("adaptive_delay"), "last_request")
     if robots_delays is None:
         return out.withColumn("current_delay", F.col("adaptive_delay"))

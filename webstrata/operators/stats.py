@@ -69,14 +69,17 @@ def _interval(at: Column, seconds: int) -> Column:
     return (F.floor(at / F.lit(seconds)) * F.lit(seconds)).cast("bigint")
 
 
-def crawl_rate(fetch_log: DataFrame, seconds: int = 60) -> DataFrame:
-    """Per interval: new pages, pages per second, and how many of the URLs seen so far are done."""
+def rate_counts(fetch_log: DataFrame, seconds: int) -> tuple[DataFrame, DataFrame]:
+    """(interval_start, pages) and (url, seen, done): the first intervals in which a URL was fetched, and with success."""
     at = F.unix_seconds(instant(fetch_log, "ts"))
     log = fetch_log.select("url", "status", _interval(at, seconds).alias("interval_start"))
     good = F.col("status") == 200
-    pages = log.groupBy("interval_start").agg(F.count_if(good).alias("pages"))
-    firsts = log.groupBy("url").agg(F.min("interval_start").alias("seen"),
-                                    F.min(F.when(good, F.col("interval_start"))).alias("done"))
+    return (log.groupBy("interval_start").agg(F.count_if(good).alias("pages")),
+            log.groupBy("url").agg(F.min("interval_start").alias("seen"), F.min(F.when(good, F.col("interval_start"))).alias("done")))
+
+
+def rates_of(pages: DataFrame, firsts: DataFrame, seconds: int) -> DataFrame:
+    """Rates from both counts of `rate_counts`."""
     seen = firsts.groupBy(F.col("seen").alias("interval_start")).agg(F.count("*").alias("_seen"))
     done = firsts.where("done is not null").groupBy(F.col("done").alias("interval_start")).agg(F.count("*").alias("_done"))
     per_interval = pages.join(seen, "interval_start", "left").join(done, "interval_start", "left")
@@ -87,3 +90,8 @@ def crawl_rate(fetch_log: DataFrame, seconds: int = 60) -> DataFrame:
         F.coalesce(F.sum("_seen").over(so_far), F.lit(0)).alias("urls_found"),
         F.coalesce(F.sum("_done").over(so_far), F.lit(0)).alias("urls_done"))
     return totals.withColumn("done_pct", F.col("urls_done") * 100.0 / F.nullif(F.col("urls_found"), F.lit(0)))
+
+
+def crawl_rate(fetch_log: DataFrame, seconds: int = 60) -> DataFrame:
+    """Per interval: new pages, pages per second, and how many of the URLs seen so far are done."""
+    return rates_of(*rate_counts(fetch_log, seconds), seconds)
