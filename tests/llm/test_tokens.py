@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from webstrata.llm.token_counts import SpanTokens, VOCABULARY, attribute, lines, token_counts
+from webstrata.llm.token_counts import RULES, SpanTokens, VOCABULARY, attribute, lines, token_counts
 from webstrata.llm.tokens import WordTokens, public_path
 
 WORD_FILE = public_path("word_bpe_49k.json")
@@ -88,6 +88,47 @@ def test_rules():
     assert attribute(spans, ends, "most")[1].tolist() == [1, 2, 1]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 40), min_size=1, max_size=8), st.lists(st.tuples(st.integers(0, 40), st.integers(0, 12)), max_size=12))
+def test_attribution_equals_the_plain_form(ends, spans):
+    """Every rule on random sections and spans, character by character."""
+    ends = sorted(ends)
+    n, total = len(ends), ends[-1]
+    spans = sorted((min(a, total), min(a + size, total)) for a, size in spans)
+    begins = [0, *ends[:-1]]
+
+    def section(char):
+        return next((s for s in range(n) if begins[s] <= char < ends[s]), n - 1)
+    for rule in RULES:
+        tokens, crossing = [0.0] * n, [0] * n
+        for a, b in spans:
+            held = {}
+            for char in range(a, b):
+                held[section(char)] = held.get(section(char), 0) + 1
+            own = sorted(held) or [section(a)]
+            if len(own) == 1:
+                tokens[own[0]] += 1
+                continue
+            for s in range(own[0], own[-1] + 1):
+                crossing[s] += 1
+            if rule == "share":
+                for s in own:
+                    tokens[s] += held[s] / (b - a)
+            else:
+                tokens[{"first": own[0], "last": own[-1], "most": max(own, key=lambda s: (held[s], -s))}[rule]] += 1
+        found = attribute(np.array(spans, np.int64).reshape(-1, 2), ends, rule)
+        assert np.allclose(found[0], tokens) and found[1].tolist() == crossing
+
+
+def test_words_of_one_script_are_those_of_the_whole_text():
+    letters = [chr(c) for c in range(0x41, 0x250) if chr(c).isalpha()]
+    texts = [f"{before}{letter}{mark}{after}" for letter in letters for mark in (*",.;:!?)'-(1_", "\u0301") for before, after in (("", ""), (" x", "y"), ("é", " é"))]
+    texts += [letter * 3 + " " + letter + "e" for letter in letters]
+    spans, ends = SPANS.encode(texts)
+    for text, a, b in zip(texts, ends, ends[1:]):
+        assert [tuple(s) for s in spans[a:b].tolist()] == SPELLED.encode(text, add_special_tokens=False).offsets, text
+
+
 def test_lines():
     assert lines("") == [0] and lines("a") == [1] and lines("a\n") == [2] and lines("a\nbc") == [2, 4] and lines("\n\n") == [1, 2]
 
@@ -111,4 +152,5 @@ def test_sections_add_up(spark, sf, odd, odd_texts, nothing):
                     assert r.n_tokens == sum(r.start <= a and (a < r.end or last) for a, _ in offsets)
     rows = token_counts(odd).collect()
     assert len(rows) == sum(len(lines(t or "")) for t in odd_texts)
+    assert len({r.row for r in rows}) == len(odd_texts) and len({(r.row, r.section) for r in rows}) == len(rows)
     assert token_counts(nothing).collect() == []
