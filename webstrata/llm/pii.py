@@ -6,21 +6,27 @@ it. Generators of high recall therefore propose overlapping candidates of every
 spelled-out addresses, numbers inside longer runs. Boosted trees judge each by its format and context, and those above
 the calibrated threshold of their kind are added where they overlap nothing already found.
 
-The trees learn from the table itself: candidates that equal an accepted match are positives, candidates that touch a
-dropped match are left out, all others are negatives. Forms that no pattern can equal are labelled by a signal of their
-own, a format check or words of the context, and left out where it does not tell. One pass trains on a bounded sample, one pass finds.
+The trees learn from values planted into the table's own texts (`planted`): personal data in every form the generators
+propose, and look-alikes such as versions, order numbers, mutated card numbers or identifiers of hardware, with and
+without words that hint at them. A planted value is a positive whatever its features say, candidates that cut it
+differently are negatives, so labels come from how an example was made and not from a rule that is also a feature. A
+bounded sample of different texts trains the trees; all texts of the held-out fold, their own candidates included,
+calibrate them and set the threshold of each kind from counts by kind, label and score.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,10 +35,12 @@ from webstrata.llm.frames import name
 from webstrata.llm.tokens import slices
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents and candidates from which the trees learn, at most.
-SAMPLE_DOCS, SAMPLE_CANDIDATES = 20_000, 40_000
-#: Precision that a kind's threshold must reach on the held-out part of the sample.
+#: Different texts from which the trees learn, about, and candidates of one text among them, at most.
+SAMPLE_DOCS, SAMPLE_PER_TEXT = 10_000, 16
+#: Precision that a kind's threshold must reach on the held-out fold.
 PRECISION = 0.98
+#: Margins are counted in bins of this width, up to this number on either side of zero.
+BIN, BINS = 0.05, 200
 Span = tuple[str, int, int]
 
 _LOCAL = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -122,36 +130,13 @@ _CUES = {"email": re.compile(r"mail|contact|write|reach|@", re.I), "ip": re.comp
          "card": re.compile(r"card|visa|master|amex|pay|credit", re.I), "phone": re.compile(r"phone|tel|call|mobile|fax|\+", re.I)}
 _CONTRARY = re.compile(r"version|v\.|release|order|invoice|isbn|token|hash|key|section|[=#\"]", re.I)
 CONTEXT = 30
-_ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_AT, _DOT = re.compile(r"[(\[]at[)\]]|\sat\s"), re.compile(r"[(\[]dot[)\]]|\sdot\s")
+_AT, _DOT = re.compile(r"[(\[]at[)\]]|\sat\s|@"), re.compile(r"[(\[]dot[)\]]|\sdot\s|\.")
 _ENDING = re.compile(r"[^A-Za-z0-9-]([A-Za-z]{2,24})$")
-_TOLD = {"email": re.compile(r"mail|contact|write|reach", re.I), "phone": re.compile(r"phone|\btel|\bcall|mobile|\bfax", re.I)}
 
 
-def beyond_base(text: str, span: Span) -> bool:
-    """Whether the span has a form that no pattern can equal."""
-    kind, start, end = span
-    own = text[start:end]
-    return {"email": not _ADDRESS.fullmatch(own), "ip": ":" in own, "card": "." in own, "phone": not own.startswith("+")}[kind]
-
-
-def signal(text: str, span: Span) -> bool | None:
-    """Whether a span of such a form is personal data by its format or context; None where neither tells."""
-    kind, start, end = span
-    own, before = text[start:end], text[max(0, start - CONTEXT):start]
-    if kind == "ip":        # groups of two may be an identifier of hardware
-        return True if any(len(g) > 2 for g in own.split(":")) else None
-    if kind == "card":
-        return luhn(_NOT_DIGIT.sub("", own))
-    told = bool(_TOLD[kind].search(before))
-    if kind == "phone":
-        return True if told else False if _CONTRARY.search(before) else None
-    if not _ENDING.search(own):
-        return False
-    at, dot = _AT.search(own), _DOT.search(own)
-    if told or at and (dot or not at.group()[0].isspace()):
-        return True
-    return False if at else None
+def _spelling(m: re.Match | None) -> float:
+    """0 without the sign, 1 spelled as a word, 2 in brackets, 3 as the sign itself."""
+    return 0.0 if m is None else 1.0 if m.group()[0].isspace() else 2.0 if m.group()[0] in "([" else 3.0
 
 
 def features(text: str, span: Span) -> list[float]:
@@ -161,7 +146,7 @@ def features(text: str, span: Span) -> list[float]:
     digits = _NOT_DIGIT.sub("", own)
     groups = [g for g in _NOT_DIGIT.split(own) if g]
     left, right = before[-1:], after[:1]
-    told = signal(text, span) if beyond_base(text, span) else None
+    ending = _ENDING.search(own)
     return [
         *(float(kind == k) for k in KINDS), len(own), len(digits), len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0),
         max((int(g) for g in groups if len(g) < 6), default=0), float(luhn(digits)) if digits else 0.0, len(set(digits)),
@@ -169,10 +154,118 @@ def features(text: str, span: Span) -> list[float]:
         float(left.isalpha()), float(left.isdigit()), float(left.isspace() or not left), float(right.isalpha()), float(right.isdigit()),
         float(right.isspace() or not right), float(left in "\"'=_#/"), sum(c.isdigit() for c in before[-8:]), sum(c.isdigit() for c in after[:8]),
         float(bool(_CUES[kind].search(before))), float(bool(_CONTRARY.search(before))), own.rfind(".") - own.find("@") if "@" in own else 0,
-        len(own) - own.rfind(".") if "." in own else 0, own.count(":"), 0.0 if told is None else 1.0 if told else -1.0,
+        len(own) - own.rfind(".") if "." in own else 0, own.count(":"), max(map(len, own.split(":"))) if ":" in own else 0,
+        _spelling(_AT.search(own)) if kind == "email" else 0.0, _spelling(_DOT.search(own)) if kind == "email" else 0.0,
+        len(ending.group(1)) if ending else 0,
     ]
 
 
+# --- Examples ---------------------------------------------------------------------------------------------------------
+
+# Words before personal data, words before look-alikes, endings of domains.
+_HINTS = {"email": ("email", "mail", "contact", "write to", "reach me:"), "ip": ("ip", "host", "server", "address", "from"),
+          "card": ("card", "visa", "paid with", "credit card"), "phone": ("phone", "tel.", "call", "mobile", "fax")}
+_AGAINST = {"email": ("look", "meet", "arrived", "priced"), "ip": ("version", "release", "v.", "section"),
+            "card": ("order", "invoice", "isbn", "token"), "phone": ("order", "invoice", "isbn", "key")}
+_ENDINGS = ("com", "org", "net", "de", "fr", "info")
+_FILLER = "lorem amount about under site page house street market noon".split()
+
+
+def _number(rng: random.Random, n: int) -> str:
+    return str(rng.randint(1, 9)) + "".join(str(rng.randint(0, 9)) for _ in range(n - 1))
+
+
+def _grouped(digits: str, sizes: tuple[int, ...], sep: str) -> str:
+    ends = list(accumulate(sizes))
+    return sep.join(digits[a:b] for a, b in zip([0, *ends], ends))
+
+
+def _true_value(kind: str, rng: random.Random) -> str:
+    """Personal data in one of the forms the generators propose."""
+    if kind == "email":
+        user, site, end = rng.choice(_FILLER) + _number(rng, rng.randint(1, 3)), rng.choice(_FILLER) + str(rng.randint(0, 99)), rng.choice(_ENDINGS)
+        at, dot = rng.choice(((" at ", " dot "), ("(at)", "(dot)"), (" [at] ", " [dot] "), ("@", "."), (" at ", "."), ("(at)", "."), (" @ ", " . ")))
+        return user + at + site + dot + end
+    if kind == "ip":
+        if rng.random() < 0.5:
+            return ":".join(f"{rng.randrange(1 << 16):0{rng.choice((1, 4))}x}" for _ in range(8))
+        return ".".join(str(rng.randint(0, 255)) for _ in range(4))
+    if kind == "card":
+        n = rng.choice((15, 16, 16, 16))
+        body = rng.choice("3456") + _number(rng, n - 2)
+        digits = body + next(d for d in "0123456789" if luhn(body + d))
+        sep = rng.choice(("", " ", "-", "."))
+        return _grouped(digits, (4, 6, 5) if n == 15 else (4, 4, 4, 4), sep)
+    form = rng.randrange(4)
+    if form == 0:
+        return f"+{rng.randint(1, 99)} {_number(rng, 3)} {_number(rng, 3)} {_number(rng, 4)}"
+    if form == 1:
+        return f"+{rng.randint(1, 99)} ({_number(rng, 3)}) {_number(rng, 3)}-{_number(rng, 4)}"
+    return f"({_number(rng, 3)}) {_number(rng, 3)}-{_number(rng, 4)}" if form == 2 else f"0{_number(rng, 3)}{rng.choice(' -')}{_number(rng, 3)}{rng.choice(' -')}{_number(rng, 4)}"
+
+
+def _look_alike(kind: str, rng: random.Random) -> str:
+    """What the generators of a kind propose as well, and is not personal data."""
+    if kind == "email":
+        word, place = rng.choice(_FILLER), rng.choice(_FILLER)
+        return rng.choice((f"{word} at {place}{rng.randint(0, 99)}.{rng.choice((*_ENDINGS, 'The', 'and'))}", f"{word} at {rng.randint(1, 12)}.{rng.randint(10, 59)}",
+                           f"{word} at {place}.{rng.randint(1, 9)}", f"{word} at {place} . {rng.choice(_FILLER).title()}"))
+    if kind == "ip":
+        return rng.choice((".".join(str(rng.randint(0, 12)) for _ in range(4)), ":".join(f"{rng.randrange(256):02x}" for _ in range(8)),
+                           ".".join(str(rng.randint(0, 999)) for _ in range(3)) + f".{rng.randint(256, 9999)}",
+                           f"{rng.randint(1, 31)}.{rng.randint(1, 12)}.{rng.randint(1990, 2030)}.{rng.randint(0, 9)}"))
+    if kind == "card":
+        n = rng.choice((12, 13, 16, 16, 16, 19))
+        digits = _number(rng, n)
+        if luhn(digits):
+            digits = digits[:-1] + str((int(digits[-1]) + rng.randint(1, 9)) % 10)
+        return rng.choice((digits, _grouped(digits, (4,) * (n // 4), rng.choice(" -.")) if n % 4 == 0 else digits, " ".join(str(rng.randint(1950, 2030)) for _ in range(4))))
+    return rng.choice((f"{_number(rng, 3)}-{_number(rng, 3)}-{_number(rng, 4)}", f"({_number(rng, 3)}) {_number(rng, 3)}-{_number(rng, 4)}",
+                       f"0{_number(rng, 3)} {_number(rng, 3)} {_number(rng, 4)}", f"{_number(rng, 4)} {_number(rng, 3)} {_number(rng, 4)}"))
+
+
+def _surroundings(text: str, rng: random.Random) -> tuple[str, str]:
+    """What stands before and behind a place between two words, away from the text's own candidates; nothing if no such
+    place is found."""
+    for _ in range(4):
+        place = text.find(" ", rng.randrange(len(text) + 1))
+        place = len(text) if place < 0 else place
+        before, after = text[max(0, place - CONTEXT):place], text[place:place + CONTEXT]
+        if not candidates(before + after):
+            return before, after
+    return "", ""
+
+
+def planted(text: str, rng: random.Random, kind: str, true: bool) -> list[tuple[str, Span, int]]:
+    """(window, candidate, label) of a value put into a text, between two of its words.
+
+    Two of three positives have a hint before them and two of three look-alikes the contrary; a few have the other's, so
+    no word decides alone.
+    """
+    value = _true_value(kind, rng) if true else _look_alike(kind, rng)
+    before, after = _surroundings(text, rng)
+    says, chance = (_HINTS if true else _AGAINST), rng.random()
+    word = f" {rng.choice(says[kind])}" if chance < 0.65 else f" {rng.choice((_AGAINST if true else _HINTS)[kind])}" if chance > 0.98 else ""
+    left = before + word + " "
+    window, own = left + value + after, (kind, len(left), len(left) + len(value))
+    return [(window, span, int(true and span == own)) for span in candidates(window)
+            if span[0] == kind and span[1] < own[2] and own[1] < span[2]]
+
+
+def examples(text: str, rng: random.Random, most: int | None = None) -> list[tuple[str, Span, int]]:
+    """Labelled candidates of a text: its own, as far as the base patterns tell, and a planted value and look-alike.
+
+    A candidate that equals an accepted match is a positive, one that cuts an accepted match differently a negative.
+    `most` limits the text's own, chosen by chance.
+    """
+    accepted = [(k, a, b) for k, a, b, ok in base_matches(text) if ok]
+    taken, known = Taken(accepted), set(accepted)
+    own = [(text, span, int(span in known)) for span in candidates(text) if span in known or taken.touches(span)]
+    if most is not None and len(own) > most:
+        own = rng.sample(own, most)
+    return own + planted(text, rng, rng.choice(KINDS), True) + planted(text, rng, rng.choice(KINDS), False)
+
+
 # --- Model ------------------------------------------------------------------------------------------------------------
 
 @dataclass(frozen=True)
@@ -182,89 +275,130 @@ class Model:
     thresholds: dict[str, float]
 
     def chances(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.scale[0] * self.trees.margin(x) + self.scale[1])))
+        return 1 / (1 + np.exp(-np.clip(self.scale[0] * self.trees.margin(x) + self.scale[1], -500, 500)))
+
 
+class Taken:
+    """Stretches of a text, merged where they overlap, that tell in logarithmic time whether a span touches one."""
 
-def _threshold(p: np.ndarray, y: np.ndarray, precision: float) -> float:
-    """The least chance from which on the precision is reached; above 1, so that nothing passes, if there is none."""
-    order = np.argsort(-p, kind="stable")
-    right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
-    good = np.flatnonzero(right >= precision)
-    if not y.sum() or not len(good):
-        return 2.0
-    last = good[-1]
-    below = p[order[last + 1]] if last + 1 < len(p) else 0.0
-    return max(0.5, float(p[order[last]] + below) / 2)
+    def __init__(self, spans: list[Span]) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for _, a, b in sorted(spans, key=lambda s: s[1:]):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
 
+    def touches(self, span: Span) -> bool:
+        at = bisect_left(self.starts, span[2])       # the first that starts at the span's end or later
+        return at > 0 and self.ends[at - 1] > span[1]
 
-def learn(x: np.ndarray, y: np.ndarray, fold: np.ndarray, precision: float = PRECISION) -> Model:
-    """Trees from the rows of folds 0 to 2, calibration and thresholds per kind from fold 3."""
-    held = fold == 3
-    trees = boosting.fit(x[~held], y[~held])
-    model = Model(trees, boosting.calibrate(trees.margin(x[held]), y[held]), {})
-    p = model.chances(x[held])
-    return Model(trees, model.scale, {k: _threshold(p[x[held, i] > 0], y[held][x[held, i] > 0], precision) for i, k in enumerate(KINDS)})
+    def add(self, span: Span) -> None:
+        """Take a span that touches none."""
+        at = bisect_left(self.starts, span[1])
+        self.starts.insert(at, span[1])
+        self.ends.insert(at, span[2])
 
 
-def _sample(docs: DataFrame, sample_docs: int, sample_candidates: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Labelled candidates of about `sample_docs` documents, taken by the hash of the text."""
+def _threshold(chances: np.ndarray, right: np.ndarray, wrong: np.ndarray, precision: float) -> float:
+    """The least chance from which on the precision is reached, from counts by ascending chance; above 1, so that nothing
+    passes, if there is none."""
+    above = np.cumsum(right[::-1])[::-1], np.cumsum(wrong[::-1])[::-1]
+    good = np.flatnonzero((above[0] > 0) & (above[0] >= precision * (above[0] + above[1])))
+    return max(0.5, float(chances[good[0]])) if len(good) else 2.0
+
+
+def _key(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
+def _fold(key: Column) -> Column:
+    """Texts of fold 3 are held out."""
+    return F.pmod(F.shiftright(key, 40), F.lit(4))
+
+
+def _sample(texts: DataFrame, sample_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Labelled examples of about `sample_docs` different texts, chosen by their hash."""
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text in batch.column(0).to_pylist():
-                proposed = candidates(text)
-                if not proposed:
-                    continue
-                matches = list(base_matches(text))
-                accepted = {(k, a, b) for k, a, b, ok in matches if ok}
-                dropped = [(a, b) for _, a, b, ok in matches if not ok]
-                fold = int(hashlib.md5(text.encode()).hexdigest()[:4], 16) % 4
-                for span in proposed:
-                    known = span in accepted
-                    if not known and beyond_base(text, span):
-                        # Beside an accepted match such a span is never added.
-                        if any(a < span[2] and span[1] < b for _, a, b in accepted) or (told := signal(text, span)) is None:
-                            continue
-                        known = told
-                    swallowed = any(a <= span[1] and span[2] <= b and (a, b) != span[1:] for a, b in dropped)
-                    if span in accepted or not swallowed:
-                        out.append({"x": features(text, span), "y": int(known), "fold": fold})
-            yield pa.RecordBatch.from_pylist(out, schema=made)
-
-    made = pa.schema([("x", pa.list_(pa.float64())), ("y", pa.int32()), ("fold", pa.int32())])
-    part = min(1.0, sample_docs / max(1, docs.count()))
-    texts = docs.select("text").where("text is not null").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(int(part * (1 << 20))))
-    rows = texts.mapInArrow(label, "x array<double>, y int, fold int").limit(sample_candidates).toPandas()
-    x = np.array(rows["x"].tolist(), float).reshape(len(rows), len(rows["x"].iloc[0]) if len(rows) else 1)
-    return x, rows["y"].to_numpy(float), rows["fold"].to_numpy()
-
-
-def train(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample_candidates: int = SAMPLE_CANDIDATES,
-          precision: float = PRECISION) -> Model:
-    """A model from at most `sample_candidates` candidates of about `sample_docs` documents of the table."""
-    x, y, fold = _sample(docs.select(name(text_col).alias("text")), sample_docs, sample_candidates)
+            found = [e for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                     for e in examples(text, random.Random(key), SAMPLE_PER_TEXT)]
+            yield pa.RecordBatch.from_arrays([pa.array([features(t, span) for t, span, _ in found], pa.list_(pa.float64())),
+                                              pa.array([y for _, _, y in found], pa.int32())], names=["x", "y"])
+
+    known = texts.where(_fold(F.col("key")) < 3)
+    part = sample_docs / max(1, known.agg(F.approx_count_distinct("key")).first()[0])
+    # Whole texts of the sample only, each once.
+    if part < 1:
+        known = known.where(F.pmod("key", F.lit(1 << 20)) < F.lit(max(1, int(part * (1 << 20)))))
+    once = known.groupBy("key").agg(F.min("text").alias("text"))
+    rows = once.mapInArrow(label, "x array<double>, y int").toPandas()
+    return np.array(rows["x"].tolist(), float).reshape(len(rows), len(rows["x"].iloc[0]) if len(rows) else 1), rows["y"].to_numpy(float)
+
+
+def _counted(texts: DataFrame, trees: boosting.Trees) -> DataFrame:
+    """(kind, y, bin, n): the examples of all held-out texts by margin."""
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for n, batch in enumerate(batches):
+            # The place in the task takes part, so that copies of a text do not repeat one example.
+            found = [e for i, (key, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+                     for e in examples(text, random.Random(key ^ (n << 20) ^ i))]
+            if found:
+                margin = trees.margin(np.array([features(t, span) for t, span, _ in found]))
+                bins = np.clip(np.floor(margin / BIN), -BINS, BINS - 1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([span[0] for _, span, _ in found]), pa.array([y for _, _, y in found], pa.int32()),
+                                                  pa.array(bins)], names=["kind", "y", "bin"])
+
+    held = texts.where(_fold(F.col("key")) == 3)
+    return held.mapInArrow(score, "kind string, y int, bin int").groupBy("kind", "y", "bin").agg(F.count("*").alias("n"))
+
+
+def train(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS, precision: float = PRECISION) -> Model:
+    """Trees from about `sample_docs` different texts, calibration and thresholds from all texts of the held-out fold.
+
+    A table without texts gives a model that adds nothing.
+    """
+    texts = docs.select(name(text_col).alias("text")).where("text <> ''").select(_key(F.col("text")).alias("key"), "text")
+    x, y = _sample(texts, sample_docs)
+    trees = boosting.fit(x, y)
+    none = Model(trees, (1.0, 0.0), dict.fromkeys(KINDS, 2.0))
     if not len(y):
-        return Model(boosting.fit(np.zeros((0, 1)), np.zeros(0)), (1.0, 0.0), dict.fromkeys(KINDS, 2.0))
-    return learn(x, y, fold, precision)
+        return none
+    counts = _counted(texts, trees).collect()
+    if not counts:
+        return none
+    tally = np.zeros((len(KINDS), 2, 2 * BINS))
+    for r in counts:
+        tally[KINDS.index(r.kind), r.y, r.bin + BINS] += r.n
+    middle = (np.arange(-BINS, BINS) + 0.5) * BIN
+    wrong, right = tally.sum(axis=0)
+    scale = boosting.calibrate(np.concatenate([middle, middle]), np.repeat([0.0, 1.0], 2 * BINS), counts=np.concatenate([wrong, right]))
+    model = Model(trees, scale, {})
+    edges = 1 / (1 + np.exp(-np.clip(scale[0] * np.arange(-BINS, BINS) * BIN + scale[1], -500, 500)))
+    return Model(trees, model.scale, {k: _threshold(edges, tally[i, 1], tally[i, 0], precision) for i, k in enumerate(KINDS)})
 
 
 def find(texts: list[str], model: Model) -> list[tuple[list[Span], list[Span]]]:
     """(base spans, added spans) of each text."""
-    found, owner, proposed, rows = [], [], [], []
+    found, owner, proposed, rows, taken = [], [], [], [], []
     for i, text in enumerate(texts):
         base = [(k, a, b) for k, a, b, ok in base_matches(text) if ok]
         found.append((base, []))
+        taken.append(Taken(base))
         for span in candidates(text):
-            if not any(a < span[2] and span[1] < b for _, a, b in base):
+            if not taken[i].touches(span):
                 owner.append(i)
                 proposed.append(span)
                 rows.append(features(text, span))
     if rows:
         chances = model.chances(np.array(rows))
         for at in np.argsort(-chances, kind="stable").tolist():
-            span, own = proposed[at], found[owner[at]][1]
-            if chances[at] >= model.thresholds[span[0]] and not any(a < span[2] and span[1] < b for _, a, b in own):
-                own.append(span)
+            span, i = proposed[at], owner[at]
+            if chances[at] >= model.thresholds[span[0]] and not taken[i].touches(span):
+                found[i][1].append(span)
+                taken[i].add(span)
     return found
 
 
