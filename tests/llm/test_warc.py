@@ -1,7 +1,11 @@
+import base64
 import gzip
 import hashlib
+from email import message_from_bytes
+from html.parser import HTMLParser
 
 import pytest
+from pyspark.sql import functions as F
 
 from webstrata.llm import warc
 from webstrata.llm.shared_files import filesystem
@@ -16,7 +20,7 @@ def test_records_lead_back_to_their_source():
     (k1, metadata, m), (k2, conversion, c) = warc.derive(SOURCE)
     (mh, mb), (ch, cb) = warc.parse(m), warc.parse(c)
     assert (k1, k2) == (mh["WARC-Type"], ch["WARC-Type"]) == ("metadata", "conversion")
-    assert mh["WARC-Refers-To"] == ch["WARC-Refers-To"] == "<urn:uuid:1>" and ch["WARC-Concurrent-To"] == metadata == mh["WARC-Record-ID"]
+    assert mh["WARC-Refers-To"] == ch["WARC-Refers-To"] == "<urn:uuid:1>" and metadata == mh["WARC-Record-ID"] and "WARC-Concurrent-To" not in ch
     assert mh["WARC-Target-URI"] == "http://a.b/c" and ch["WARC-Date"] == "2024-01-02T03:04:05Z" and ch["WARC-Record-ID"] == conversion
     about = dict(line.split(": ", 1) for line in mb.decode().split("\r\n") if line)
     assert about["conversion"] == conversion and about["source-payload-digest"] == warc.digest(SOURCE["body"].encode())
@@ -63,6 +67,71 @@ def test_round_trip(spark, sf):
     assert gzip.decompress(whole).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
 
 
+class PlainText(HTMLParser):
+    """Words by another route: everything outside of silent elements, blocks apart."""
+
+    def __init__(self):
+        super().__init__()
+        self.out, self.silent = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.silent += tag in ("script", "style", "head")
+        self.out.append("\n" if tag not in ("a", "b", "i", "span") else "")
+
+    def handle_endtag(self, tag):
+        self.silent -= tag in ("script", "style", "head")
+        self.out.append("\n" if tag not in ("a", "b", "i", "span") else "")
+
+    def handle_data(self, data):
+        self.out.append("" if self.silent else data)
+
+
+def archive(data):
+    """The records of a file by an independent reading: gzip, header lines, length, line ends."""
+    data, at = gzip.decompress(data), 0
+    while at < len(data):
+        head, end = data[at:], data.index(b"\r\n\r\n", at)
+        assert head.startswith(b"WARC/1.1\r\n")
+        headers = message_from_bytes(data[at + 10:end + 4])
+        size = int(headers["Content-Length"])
+        yield headers, data[end + 4:end + 4 + size]
+        at = end + 4 + size + 4
+        assert data[at - 4:at] == b"\r\n\r\n"
+
+
+def test_files_keep_the_standard(spark, sf):
+    """Read by an independent reader: mandatory fields, unique ids, digests, links, and text by another route."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    sources = warc.responses(pages).withColumn("headers", F.array(F.struct(F.lit("X-Page").alias("name"), F.col("target_uri").alias("value")))).withColumn(
+        "status_line", F.lit("HTTP/1.1 203 Other")).withColumn("date", F.when(F.length("target_uri") % 2 == 0, "2024-05-06T07:08:09Z"))
+    names, records = [], []
+    for _ in range(2):
+        index = warc.write_derived(sources, scratch_path(spark, "warc"), "2024-01-01T00:00:00Z")
+        for path in sorted(r.path for r in index.select("path").distinct().collect()):
+            files, place = filesystem(path)
+            own = list(archive(files.open_input_file(place).read()))
+            assert own[0][0]["WARC-Type"] == "warcinfo" and own[0][0]["WARC-Date"] == "2024-01-01T00:00:00Z"
+            names.append(own[0][0]["WARC-Record-ID"])
+            records += own[1:]
+    assert len(set(names)) == len(names)
+    html = {p.url: p.html for p in pages.collect()}
+    ids = {h["WARC-Record-ID"] for h, _ in records}
+    for headers, block in records:
+        kind, url = headers["WARC-Type"], headers["WARC-Target-URI"]
+        assert kind in ("metadata", "conversion") and headers["WARC-Concurrent-To"] is None and headers["WARC-Record-ID"] != headers["WARC-Refers-To"]
+        assert headers["WARC-Date"] == ("2024-05-06T07:08:09Z" if len(url) % 2 == 0 else warc.NO_DATE)
+        assert headers["WARC-Block-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
+        if kind == "metadata":
+            about = message_from_bytes(block)
+            assert about["conversion"] in ids and about["source-status"] == "HTTP/1.1 203 Other" and about["source-header-x-page"] == url
+            assert about["source-payload-digest"] == "sha1:" + base64.b32encode(hashlib.sha1(html[url].encode()).digest()).decode()
+        else:
+            parser = PlainText()
+            parser.feed(html[url])
+            parser.close()
+            assert block.decode().split() == "".join(parser.out).split()
+
+
 def test_odd_pages(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (None, None, "<p>a", "y"), (2, "", "", "z"), (2, "", "", "z"), (3, "é\nInjected: x", "\x00", "w"),
                                    (4, "v", "<p>long " * 40_000, "q")], "page_id long, url string, html string, record_id string")

@@ -30,6 +30,8 @@ from webstrata.llm.shared_files import filesystem, written
 from webstrata.session import cut, scratch_path
 
 VERSION = "WARC/1.1"
+#: The date of records whose response has none, and of the records that describe files.
+NO_DATE = "1970-01-01T00:00:00Z"
 READ_BYTES = 1 << 20
 # Elements whose content is no text, and elements that end a line.
 _SILENT = ("script", "style", "noscript", "template", "svg", "head")
@@ -101,14 +103,16 @@ def record(kind: str, id_: str, headers: list[tuple[str, str]], content_type: st
 def derive(source: dict) -> list[tuple[str, str, bytes]]:
     """(type, id, record) of the metadata and the conversion of one response.
 
-    `source`: record_id, target_uri, date, status_line, headers (pairs) and body. A null body is empty.
+    `source`: record_id, target_uri, date, status_line, headers (pairs) and body. A null body is empty, and a response
+    without a date is dated NO_DATE, since every record must have one. The metadata name the conversion, and both refer
+    to the response.
     """
     body, headers = source["body"] or "", source["headers"] or []
     payload = body.encode("utf-8", "surrogatepass")
     http = ((source["status_line"] or "") + "\r\n").encode() + fields(headers) + b"\r\n"
     refers, text = source["record_id"], plain_text(body).encode("utf-8", "surrogatepass")
     conversion, metadata = record_id(refers, "conversion"), record_id(refers, "metadata")
-    shared = [("WARC-Target-URI", source["target_uri"] or ""), ("WARC-Date", source["date"] or ""), ("WARC-Refers-To", refers)]
+    shared = [("WARC-Target-URI", source["target_uri"] or ""), ("WARC-Date", source["date"] or NO_DATE), ("WARC-Refers-To", refers)]
     title = _TITLE.search(body)
     about = fields([("conversion", conversion), ("source-status", source["status_line"] or ""),
                     *((f"source-header-{k.lower()}", v) for k, v in headers),
@@ -116,7 +120,7 @@ def derive(source: dict) -> list[tuple[str, str, bytes]]:
                     ("source-length", str(len(payload))), ("title", " ".join(html.unescape(title[1]).split()) if title else ""),
                     ("text-digest", digest(text))])
     return [("metadata", metadata, record("metadata", metadata, shared, "application/warc-fields", about)),
-            ("conversion", conversion, record("conversion", conversion, [*shared, ("WARC-Concurrent-To", metadata)], "text/plain; charset=utf-8", text))]
+            ("conversion", conversion, record("conversion", conversion, shared, "text/plain; charset=utf-8", text))]
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
@@ -132,8 +136,14 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return headers, block
 
 
+def _named(metadata: bytes) -> str | None:
+    """The conversion that a block of metadata names."""
+    first = metadata.partition(b"\r\n")[0].decode("utf-8", "surrogatepass")
+    return first.removeprefix("conversion: ") if first.startswith("conversion: ") else None
+
+
 def responses(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-              date: str = "1970-01-01T00:00:00Z") -> DataFrame:
+              date: str = NO_DATE) -> DataFrame:
     """Pages without headers as responses: (record_id, target_uri, date, status_line, headers, body).
 
     A page's id and URL name its record, so rows that repeat both get one id. Null URLs and bodies are kept as empty.
@@ -149,9 +159,10 @@ def responses(pages: DataFrame, key_col: str = "page_id", url_col: str = "url",
                         F.lit(date).alias("date"), F.lit("HTTP/1.1 200 OK").alias("status_line"), headers.alias("headers"), body.alias("body"))
 
 
-def write_derived(sources: DataFrame, folder: str) -> DataFrame:
+def write_derived(sources: DataFrame, folder: str, date: str = NO_DATE) -> DataFrame:
     """Write both records of every response; one row per record: (path, offset, length, type, record_id, refers_to).
 
+    Each file begins with a record that describes it, dated `date` and named by the file's whole path.
     A task's file takes its name only when it is complete; a repeated task replaces it. An empty table gives no files.
     """
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +175,7 @@ def write_derived(sources: DataFrame, folder: str) -> DataFrame:
         if batch is None:
             return
         with written(path, task.taskAttemptId()) as stream:
-            about = record("warcinfo", record_id(path.rsplit("/", 1)[-1], "warcinfo"), [("WARC-Filename", path.rsplit("/", 1)[-1])],
+            about = record("warcinfo", record_id(path, "warcinfo"), [("WARC-Date", date), ("WARC-Filename", path.rsplit("/", 1)[-1])],
                            "application/warc-fields", fields([("format", "derived records of responses")]))
             data = gzip.compress(about, mtime=0)
             stream.write(data)
@@ -187,11 +198,13 @@ def write_derived(sources: DataFrame, folder: str) -> DataFrame:
 
 
 def read_derived(index: DataFrame) -> DataFrame:
-    """Read the files named in the index from front to back: (type, record_id, refers_to, target_uri, date, concurrent_to, block).
+    """Read the files named in the index from front to back: (type, record_id, refers_to, target_uri, date, conversion, block).
+
+    `conversion` is the id of the conversion that metadata name.
 
     Every gzip member, header and block digest is checked. Files are streamed, so one of any size fits.
     """
-    made = pa.schema([(c, pa.string()) for c in ("type", "record_id", "refers_to", "target_uri", "date", "concurrent_to")] + [("block", pa.binary())])
+    made = pa.schema([(c, pa.string()) for c in ("type", "record_id", "refers_to", "target_uri", "date", "conversion")] + [("block", pa.binary())])
 
     def members(path: str) -> Iterator[bytes]:
         files, place = filesystem(path)
@@ -215,7 +228,7 @@ def read_derived(index: DataFrame) -> DataFrame:
                 if headers["WARC-Type"] == "warcinfo":
                     continue
                 rows.append((headers["WARC-Type"], headers["WARC-Record-ID"], headers["WARC-Refers-To"], headers["WARC-Target-URI"],
-                             headers["WARC-Date"], headers.get("WARC-Concurrent-To"), block))
+                             headers["WARC-Date"], _named(block) if headers["WARC-Type"] == "metadata" else None, block))
                 size += len(block)
                 if size > READ_BYTES * 4:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), made)], schema=made)
@@ -225,15 +238,15 @@ def read_derived(index: DataFrame) -> DataFrame:
 
     paths = index.select("path").distinct()
     return paths.repartition(max(1, paths.count()), "path").mapInArrow(read, "type string, record_id string, refers_to string, target_uri string, "
-                                                                       "date string, concurrent_to string, block binary")
+                                                                       "date string, conversion string, block binary")
 
 
 def derivatives(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", html_col: str = "html", folder: str | None = None) -> DataFrame:
     """Write the derived records of all pages and read them back: one row per record with lengths and digests.
 
-    (type, record_id, refers_to, target_uri, date, concurrent_to, n_bytes, block_sha256). Two rows per page; repeated
+    (type, record_id, refers_to, target_uri, date, conversion, n_bytes, block_sha256). Two rows per page; repeated
     pages give repeated rows, an empty table none.
     """
     index = write_derived(responses(pages, key_col, url_col, html_col), folder or scratch_path(pages.sparkSession, "warc"))
-    return read_derived(index).select("type", "record_id", "refers_to", "target_uri", "date", "concurrent_to",
+    return read_derived(index).select("type", "record_id", "refers_to", "target_uri", "date", "conversion",
                                       F.octet_length("block").cast("bigint").alias("n_bytes"), F.sha2("block", 256).alias("block_sha256"))
