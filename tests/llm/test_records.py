@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import pytest
 
+from webstrata.llm import records
 from webstrata.llm.records import crc32c, encode_to_records, frame, masked, read_records, read_shuffled, unframe, write_records
 from webstrata.session import scratch_path
 from .test_packing import crc, ids_of
@@ -67,6 +68,14 @@ def test_odd_rows(spark, odd, odd_texts, nothing):
     assert encode_to_records(nothing).collect() == []
 
 
+def test_long_records_are_joined_once(spark, monkeypatch):
+    """A record far longer than a read is fetched by one more read, not by one read after the other."""
+    monkeypatch.setattr(records, "READ_BYTES", 1000)
+    docs = spark.createDataFrame([(1, "a b"), (2, "c " * 40_000), (3, "d"), (4, "")], "doc_id long, text string")
+    files = write_records(docs, scratch_path(spark, "records"))
+    assert sorted(r.n_tokens for r in read_records(files).collect()) == [1, 2, 3, 40_001]
+
+
 def test_one_id_for_all_rows(spark):
     docs = spark.range(300).selectExpr("7L AS doc_id", "concat('w', id) AS text")
     rows = encode_to_records(docs).collect()

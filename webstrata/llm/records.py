@@ -192,12 +192,15 @@ def read_records(files: DataFrame, id_type: T.DataType | str = "bigint", with_id
             files_, path = filesystem(row["path"])
             index = pq.read_table(files_.open_input_file(filesystem(row["index_path"])[1]))
             keys, kind = index.column("id").combine_chunks(), np.dtype(f"<u{row['width']}")
-            start, seen, rest = row["before"], 0, b""
+            start, seen, rest, want = row["before"], 0, b"", READ_BYTES
             with files_.open_input_stream(path, compression=None) as stream:
-                while more := stream.read(READ_BYTES):
+                while more := stream.read(want):
                     data = rest + more
                     starts, lengths, used = unframe(data)
                     rest = data[used:]
+                    # A long record is read to its end at once, and so joined once.
+                    whole = HEADER + int.from_bytes(rest[:8], "little") + FOOTER if len(rest) >= 8 else 0
+                    want = max(READ_BYTES, whole - len(rest))
                     if not len(starts):
                         continue
                     ids = [np.frombuffer(data, kind, n // kind.itemsize, at) for at, n in zip(starts.tolist(), lengths.tolist())]
