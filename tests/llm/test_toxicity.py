@@ -31,6 +31,42 @@ def test_held_out_labels(spark):
     assert set(model.thresholds) <= {"en", "de", "fr", "es"} and 0.3 <= model.threshold <= 0.8
 
 
+def test_the_forward_pass_equals_a_plain_loop():
+    """Window by window and filter by filter, on a model of noise and texts of every length."""
+    rng = np.random.default_rng(3)
+    weights = rng.normal(size=toxicity.FILTERS * len(toxicity.WIDTHS)).astype(np.float32)
+    model = toxicity.Model(rng.normal(size=(toxicity.BUCKETS, toxicity.WIDTH)).astype(np.float32),
+                           [rng.normal(size=(w, toxicity.WIDTH, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS],
+                           rng.normal(size=len(weights)).astype(np.float32), weights, 0.5)
+    words = ["idiot", "House", "a", "the", "straße", "wretched", "é", "river,", "\"clown!\""]
+    texts = [None, "", " \n ", "...", *(" ".join(rng.choice(words, n)) for n in (1, 2, 3, 4, 5, 7, 30, 200)), "a\nthe  House"]
+
+    def plain(text):
+        own = [w for w in (w.strip(toxicity._EDGES).lower() for w in (text or "").replace("\n", " ").split(" ")) if w]
+        vectors = [np.mean([model.embeddings[b].astype(float) for b in toxicity.buckets(w)], axis=0) for w in own]
+        pooled = []
+        for width, kernel in zip(toxicity.WIDTHS, model.filters):
+            for lane in range(toxicity.FILTERS):
+                answers = [sum(vectors[at + k] @ kernel[k, :, lane] for k in range(width) if 0 <= at + k < len(own))
+                           for at in range(1 - width, len(own))] if own else [0.0]
+                pooled.append(max(answers))
+        return float(np.maximum(np.array(pooled) + model.bias, 0) @ model.weights + model.offset)
+
+    memory = toxicity._Words()
+    for part in (texts, texts[::-1], texts[3:6]):
+        assert np.allclose(toxicity.margins(model, pa.array(part, pa.string()), memory), [plain(t) for t in part], rtol=1e-4, atol=1e-3)
+
+
+def test_words_of_any_length_take_bounded_memory(monkeypatch):
+    monkeypatch.setattr(toxicity, "REMEMBERED_CHARS", 5000)
+    memory, kernels = toxicity._Words(), [np.zeros((w, toxicity.WIDTH, toxicity.FILTERS), np.float32) for w in toxicity.WIDTHS]
+    n = toxicity.FILTERS * len(toxicity.WIDTHS)
+    model = toxicity.Model(np.zeros((toxicity.BUCKETS, toxicity.WIDTH), np.float32), kernels, np.zeros(n, np.float32), np.zeros(n, np.float32), 0.0)
+    for i in range(30):
+        toxicity.margins(model, pa.array([f"{i}" + "x" * 3000]), memory)
+        assert sum(map(len, memory.slot)) <= 9010
+
+
 def test_only_text_decides(spark, odd, odd_texts, nothing):
     texts = ["you idiot and clown"] * 60 + ["a house by the river"] * 60
     ids = list(range(120))

@@ -41,7 +41,7 @@ BEGINNINGS, ENDINGS = (4, 5, 6, 7), (3, 4)
 #: Languages with fewer positives in the calibration rows take the common threshold.
 LEAST_POSITIVES = 10
 #: Bytes of text scored at a time, and words a worker remembers.
-SLICE, REMEMBERED = 1_000_000, 300_000
+SLICE, REMEMBERED, REMEMBERED_CHARS = 1_000_000, 300_000, 8_000_000
 _EDGES = ".,;:!?()[]{}\"'*#$%&+-_=/|<>~^`@0123456789\t\r"
 _LEAD = max(WIDTHS) - 1
 
@@ -99,13 +99,15 @@ class _Words:
 
     def __init__(self) -> None:
         self.slot: dict[str, int] = {}
-        self.vectors = np.zeros((1 << 12, WIDTH), np.float32)
+        self.vectors, self.held = np.zeros((1 << 12, WIDTH), np.float32), 0
 
     def of(self, model: Model, words: list[str]) -> np.ndarray:
-        if len(self.slot) + len(words) > REMEMBERED:
+        if len(self.slot) + len(words) > REMEMBERED or self.held > REMEMBERED_CHARS:
             self.slot.clear()
+            self.held = 0
         new = [w for w in words if w not in self.slot]
         if new:
+            self.held += sum(map(len, new))
             first = len(self.slot)
             self.slot.update((w, first + i) for i, w in enumerate(new))
             while len(self.slot) > len(self.vectors):
