@@ -9,6 +9,7 @@ whose edges hold runs of bytes and whose terminals hold the least id; walking it
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -150,17 +151,18 @@ def with_prefix(entries: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
     size = F.length("text") + ENTRY_BYTES
     total = entries.agg(F.sum(size.cast("bigint"))).first()[0] or 0
     limit = max(trie_bytes, total >> MOST_TRIES)
-    out, open_, length = entries.withColumn("_length", F.lit(FIRST_PREFIX)), entries, FIRST_PREFIX
+    placed, open_, length = [], entries, FIRST_PREFIX
     while True:
-        crowded = cut(open_.groupBy(F.xxhash64(_head(F.lit(length))).alias("_head")).agg(
+        head = _head(F.lit(length))
+        crowded = cut(open_.groupBy(F.xxhash64(head).alias("_head")).agg(
             F.sum(size.cast("bigint")).alias("bytes"), F.max(F.length("text")).alias("longest"))
             .where((F.col("bytes") > limit) & (F.col("longest") > length)).select("_head"))
         if crowded.isEmpty():
-            return out.withColumn("prefix", _head(F.col("_length"))).drop("_length")
-        crowded = F.broadcast(crowded)
-        open_ = open_.join(crowded, F.xxhash64(_head(F.lit(length))) == F.col("_head"), "left_semi")
-        out = out.join(crowded, (F.col("_length") == length) & (F.xxhash64(_head(F.lit(length))) == F.col("_head")), "left").withColumn(
-            "_length", F.when(F.col("_head").isNotNull(), length * LONGER).otherwise(F.col("_length"))).drop("_head")
+            return reduce(DataFrame.unionByName, [*placed, open_.withColumn("prefix", head)])
+        meets = F.xxhash64(head) == F.col("_head")
+        placed.append(open_.join(F.broadcast(crowded), meets, "left_anti").withColumn("prefix", head))
+        # Only entries behind crowded prefixes are written again.
+        open_ = cut(open_.join(F.broadcast(crowded), meets, "left_semi"))
         length *= LONGER
 
 
