@@ -308,8 +308,10 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = keyed.groupBy("key").agg(F.min("rid").alias("first"), F.max("rid").alias("last")).where("first < last")
     ties = cut(keyed.join(shared.select("key", "first"), "key").where("rid <> first")
                .select(F.col("rid").alias("a"), F.col("first").alias("b")).distinct())
-    groups = components(ties)                                            # node, component
-    sized = cut(groups.join(groups.groupBy("component").agg(F.count("*").alias("members")), "component"))
+    # Both sides of a join on a component are written, so that a large component's rows can be split.
+    groups = cut(components(ties))                                       # node, component
+    members = cut(groups.groupBy("component").agg(F.count("*").alias("members")))
+    sized = cut(groups.join(members, "component"))
     wanted = sized.join(signed.select("rid", "text_key"), sized["node"] == F.col("rid")).select("rid", "text_key", "component", "members")
     wanted = cut(wanted)
     held = cut(_sets_of(plain.select("text", "text_key"), wanted.select("rid", "text_key"), words)
@@ -323,8 +325,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = links.unionByName(_large_links(large, percent, block, pivots))
     joined = components(links).select(F.col("node").alias("rid"), F.col("component").alias("joined"))
 
-    part = classes.join(joined, "rid", "left").withColumn("joined", F.coalesce("joined", "rid"))
-    least = part.groupBy("joined").agg(F.min("least_id").alias("component_id"))
+    part = cut(classes.join(joined, "rid", "left").withColumn("joined", F.coalesce("joined", "rid")))
+    least = cut(part.groupBy("joined").agg(F.min("least_id").alias("component_id")))
     named = part.join(least, "joined").select(*told, "component_id")
     return signed.select("id", "text_key", *told).join(named, told, "left").select(
         F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"), "text_key")
@@ -346,10 +348,10 @@ def _large_links(large: DataFrame, percent: int, block: int, pivots: int) -> Dat
     parts = components(first).select(F.col("node").alias("rid"), F.col("component").alias("part"))
     state = cut(large.select("rid", "component", "members").join(parts, "rid", "left").withColumn("part", F.coalesce("part", "rid")))
     sizes = state.groupBy("component", "part").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("component").agg(F.max(F.struct("n", "part")).alias("main"))
+    main = cut(sizes.groupBy("component").agg(F.max(F.struct("n", "part")).alias("main")))
     apart = cut(state.join(main, "component").withColumn("apart", F.col("part") != F.col("main.part"))
                 .select("rid", "component", "part", "members", "apart"))
-    seekers = apart.where("apart").groupBy("component").agg(F.count("*").alias("seekers"))
+    seekers = cut(apart.where("apart").groupBy("component").agg(F.count("*").alias("seekers")))
     marked = large.select("rid", "set").join(apart, "rid").join(seekers, "component")
     # Every block of seekers meets every block of the component.
     seeker_blocks, all_blocks = F.ceil(F.col("seekers") / block), F.ceil(F.col("members") / block)
