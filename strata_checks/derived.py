@@ -65,6 +65,8 @@ DERIVED = {
         split(CASE WHEN page_id % 17 = 0 THEN 'noindex' ELSE 'all' END, ',') AS http_header_directives FROM {pages}""",
     "redirects": """SELECT url_id AS source_url_id, final_url_id AS target_url_id, 1 + url_id % 3 AS chain_length, final_status_code
         FROM {page_metadata} WHERE final_url_id IS NOT NULL""",
+    "chained_redirects": """SELECT page_id AS source_url_id, CASE WHEN page_id % 100 = 99 THEN page_id - 9 ELSE (page_id + 1) % n END AS target_url_id
+        FROM {counted} WHERE page_id % 100 < 50 OR page_id % 100 >= 90""",
     "sitemaps": f"""SELECT DISTINCT page_id % 4 AS sitemap_id,
         'https://example.com/sitemap-' || CAST(page_id % 4 AS STRING) || '.xml' AS sitemap_url,
         100 + page_id % 4 AS total_urls_found, page_id % 4 = 3 AS is_sitemap_index, {EPOCH} AS discovered_at FROM {{pages}}""",

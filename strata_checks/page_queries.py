@@ -164,6 +164,32 @@ def _parse_sitemaps(data: Data) -> DataFrame:
     return _plain(M.parse_sitemaps(data.sitemap_files))
 
 
+# Files cut off within their second entry, within the first, or within an index's second child.
+CUT = """SELECT page_id, CAST(page_id AS STRING) AS name, CASE page_id % 3 WHEN 0 THEN '<?xml version="1.0"?><urlset><url><loc>' || replace(url, '&', '&amp;') || '</loc><priority>0.3</priority></url><url><loc>http://cut.example.org/' || CAST(page_id AS STRING)
+    WHEN 1 THEN '<urlset><url><loc>' || replace(url, '&', '&amp;') WHEN 2 THEN '<sitemapindex><sitemap><loc>http://cut.example.org/child/' || CAST(page_id AS STRING) || '</loc></sitemap><sitemap><lo' END AS xml, url FROM {pages}"""
+
+
+def _cut_files(data: Data) -> DataFrame:
+    page, url = F.col("page_id").cast("string"), F.replace(F.col("url"), F.lit("&"), F.lit("&amp;"))
+    kind = F.col("page_id") % 3
+    xml = F.when(kind == 0, F.concat(F.lit('<?xml version="1.0"?><urlset><url><loc>'), url, F.lit("</loc><priority>0.3</priority></url><url><loc>http://cut.example.org/"), page)).when(
+        kind == 1, F.concat(F.lit("<urlset><url><loc>"), url)).otherwise(
+        F.concat(F.lit("<sitemapindex><sitemap><loc>http://cut.example.org/child/"), page, F.lit("</loc></sitemap><sitemap><lo")))
+    return data.pages.select(page.alias("sitemap_url"), xml.alias("xml"))
+
+
+@check("sitemaps_cut_off", f"""SELECT name AS sitemap_url, 'entry' AS part, url AS found, CAST(0 AS BIGINT) AS position FROM ({CUT}) AS c WHERE page_id % 3 = 0
+    UNION ALL SELECT name, 'child', 'http://cut.example.org/child/' || name, 0 FROM ({CUT}) AS c WHERE page_id % 3 = 2
+    UNION ALL SELECT name, 'broken', '', CASE WHEN page_id % 3 = 1 THEN 0 ELSE 1 END FROM ({CUT}) AS c""")
+def _sitemaps_cut_off(data: Data) -> DataFrame:
+    """What stands before the break of a file is kept, and the file is reported."""
+    files = cut(M.read_sitemaps(_cut_files(data)))
+    return M.parse_sitemaps(files).select("sitemap_url", F.lit("entry").alias("part"), F.col("url").alias("found"), "position").unionByName(
+        M.sitemap_children(files).select("sitemap_url", F.lit("child").alias("part"), F.col("child_url").alias("found"), "position")).unionByName(
+        M.sitemap_errors(files).select("sitemap_url", F.lit("broken").alias("part"), F.lit("").alias("found"),
+                                       (F.col("entries_read") + F.col("children_read")).alias("position")))
+
+
 @check("sitemap_kind", """SELECT sitemap_url, kind FROM (
     SELECT DISTINCT 'https://' || host || '/map-' || CAST(shard AS STRING) || '.xml' AS sitemap_url, 'sitemap' AS kind FROM {entries}
     UNION ALL SELECT 'https://' || host || '/map.xml', 'sitemap_index' FROM {hosts}

@@ -104,11 +104,6 @@ def _export_all_views(data: Data) -> DataFrame:
 
 # ---- hashes and duplicates ----------------------------------------------------------------
 
-@check("content_hashes", f"SELECT page_id, sha256({SPACED}) AS content_hash_sha256, length({SPACED}) AS content_length FROM {{pages}}")
-def _content_hashes(data: Data) -> DataFrame:
-    return P.content_hash_table(data.parsed("pages")).select("page_id", "content_hash_sha256", "content_length")
-
-
 # SimHash spelled out: shingle counts, one 0/1 sum per bit, more than half of the weight.
 SIMHASH = """SELECT doc_id, sum(CASE WHEN 2 * ones > total THEN CASE WHEN b = 63 THEN CAST(-9223372036854775808 AS BIGINT) ELSE CAST(1 AS BIGINT) << b END ELSE 0 END)::BIGINT AS simhash FROM (
     SELECT doc_id, b, sum(w * ((h >> b) & 1)) AS ones, sum(w) AS total FROM (
@@ -124,6 +119,15 @@ def _document_hashes(data: Data) -> DataFrame:
 
 check("simhash", SIMHASH.replace("{L}", "<L>").replace("{N}", "<N>"))(_document_hashes)
 
+PAGE_HASHES = SIMHASH.replace("{L}", "<L>").replace("{N}", "<N>").replace("FROM documents", f"FROM (SELECT page_id AS doc_id, {SPACED} AS text FROM {{pages}}) AS p")
+
+
+@check("content_hashes", f"""SELECT page_id, sha256(text) AS content_hash_sha256, length(text) AS content_length,
+    CAST(CAST(simhash AS HUGEINT) + CASE WHEN simhash < 0 THEN 18446744073709551616 ELSE 0 END AS VARCHAR) AS content_hash_simhash
+    FROM (SELECT page_id, {SPACED} AS text FROM {{pages}}) AS t JOIN ({PAGE_HASHES}) AS h ON h.doc_id = t.page_id""")
+def _content_hashes(data: Data) -> DataFrame:
+    return P.content_hash_table(data.parsed("pages")).select("page_id", "content_hash_sha256", "content_hash_simhash", "content_length")
+
 
 @check("simhash_round_trip", """SELECT doc_id, true AS same, 64 AS bits FROM {documents}""")
 def _simhash_round_trip(data: Data) -> DataFrame:
@@ -414,12 +418,12 @@ def _frontier_enqueue(data: Data) -> DataFrame:
     return Fr.frontier_enqueue(data.frontier, children, NOW)
 
 
-@check("frontier_new_children", f"SELECT count(*) AS added FROM ({CHILDREN}) AS c")
+@check("frontier_new_children", f"SELECT url_id, 1 AS depth, parent_id FROM ({CHILDREN}) AS c")
 def _frontier_new_children(data: Data) -> DataFrame:
     children = data.internal_links.select(
         F.col("target_url_id").alias("url_id"), F.lit(1).alias("depth"), F.col("source_url_id").alias("parent_id"),
         F.col("discovered_at").alias("seq"))
-    return Fr.frontier_new_children(data.frontier, children).agg(F.count("*").alias("added"))
+    return Fr.frontier_new_children(data.frontier, children)
 
 
 @check("frontier_next", """SELECT f.url_id, u.url, f.depth, p.url AS parent_url, f.priority_score, f.enqueued_at FROM {frontier} f JOIN {urls} u ON u.url_id = f.url_id
@@ -513,28 +517,42 @@ def _frontier_from_hreflang(data: Data) -> DataFrame:
     return Fr.frontier_from_hreflang(data.frontier, data.hreflang_html_head, data.hreflang_sitemap)
 
 
-SEARCH = """WITH RECURSIVE edges AS (SELECT source_url_id AS s, target_url_id AS t, 1 AS cost FROM {internal_links} UNION SELECT source_url_id, target_url_id, 0 FROM {redirects}),
-    allowed AS (SELECT url_id FROM {urls} WHERE classification IN ('internal', 'network')),
-    search AS (SELECT url_id, 0 AS depth FROM allowed WHERE %s
-        UNION SELECT e.t, search.depth + e.cost FROM search JOIN edges e ON e.s = search.url_id JOIN allowed a ON a.url_id = e.t WHERE search.depth + e.cost <= %d)
-    SELECT url_id, CAST(min(depth) AS BIGINT) AS depth FROM search GROUP BY url_id"""
+def search(seeds: str, depth: int, redirects: str = "{redirects}", allowed: str = "classification IN ('internal', 'network')") -> str:
+    """Expected depths, and as parents the least URLs that lead there in the same step."""
+    return f"""WITH RECURSIVE edges AS (SELECT source_url_id AS s, target_url_id AS t, 1 AS cost FROM {{internal_links}} UNION SELECT source_url_id, target_url_id, 0 FROM {redirects}),
+    allowed AS (SELECT url_id FROM {{urls}} WHERE {allowed}),
+    search AS (SELECT url_id, 0 AS depth FROM allowed WHERE {seeds}
+        UNION SELECT e.t, search.depth + e.cost FROM search JOIN edges e ON e.s = search.url_id JOIN allowed a ON a.url_id = e.t WHERE search.depth + e.cost <= {depth}),
+    found AS (SELECT url_id, min(depth) AS depth FROM search GROUP BY url_id),
+    parents AS (SELECT b.url_id, min(e.s) AS parent_id FROM edges e JOIN found a ON a.url_id = e.s JOIN found b ON b.url_id = e.t
+        WHERE a.depth + e.cost = b.depth AND e.s <> e.t GROUP BY b.url_id)
+    SELECT url_id, CAST(depth AS BIGINT) AS depth, CASE WHEN {seeds} THEN NULL ELSE parent_id END AS parent_id FROM found LEFT JOIN parents USING (url_id)"""
 
 
 def _crawlable(data: Data) -> DataFrame:
     return data.urls.where("classification in ('internal', 'network')")
 
 
-@check("crawl_depth", SEARCH % ("url_id = 0", 6))
+@check("crawl_depth", search("url_id = 0", 6))
 def _crawl_depth(data: Data) -> DataFrame:
     seeds = data.urls.where("url_id = 0")
-    return Dp.crawl_depth(seeds, data.internal_links, data.redirects, _crawlable(data), max_depth=6).select("url_id", "depth")
+    return Dp.crawl_depth(seeds, data.internal_links, data.redirects, _crawlable(data), max_depth=6)
+
+
+@check("crawl_depth_chains", search("url_id % 700 = 0", 3, "{chained_redirects}", "true"))
+def _crawl_depth_chains(data: Data) -> DataFrame:
+    """Redirects in chains of 50 and in cycles."""
+    return Dp.crawl_depth(data.urls.where("url_id % 700 = 0"), data.internal_links, data.chained_redirects, max_depth=3)
+
+
+LISTED = "url_id = 0 OR url_id IN (SELECT url_id FROM {urls} WHERE url LIKE '%?page=2%')"
 
 
-@check("crawl_depth_seed_list", SEARCH % ("url_id = 0 OR url LIKE '%?page=2%'".replace("url LIKE", "url_id IN (SELECT url_id FROM {urls} WHERE url LIKE").replace("%'", "%')"), 2))
+@check("crawl_depth_seed_list", search(LISTED, 2))
 def _crawl_depth_seed_list(data: Data) -> DataFrame:
     listed = data.urls.where(F.col("url").contains("?page=2"))
     return Dp.crawl_depth(data.urls.where("url_id = 0"), data.internal_links, data.redirects, _crawlable(data), max_depth=2,
-                          url_list=listed, list_is_seed=True).select("url_id", "depth")
+                          url_list=listed, list_is_seed=True)
 
 
 @check("crawl_depth_restricted", """SELECT url_id, CAST(0 AS BIGINT) AS depth FROM {urls} WHERE classification IN ('internal', 'network') AND url LIKE '%?page=2%'""")
@@ -559,9 +577,9 @@ FAILED = """SELECT l.url, arg_max(l.status, (l.ts, l.event_id)) AS status_code,
 LATE = 1704067200 + 25 * 86400
 
 
-@check("failed_urls", FAILED)
+@check("failed_urls", f"""SELECT *, CASE status_code WHEN 503 THEN 'Server error 503' WHEN 429 THEN 'Rate limited' END AS failure_reason FROM ({FAILED}) AS f""")
 def _failed_urls(data: Data) -> DataFrame:
-    return Rt.failed_urls(data.fetch_log, 3.0).drop("failure_reason")
+    return Rt.failed_urls(data.fetch_log, 3.0)
 
 
 @check("retry_ready", f"SELECT url, retry_count, next_retry_at FROM ({FAILED}) AS f WHERE next_retry_at <= {LATE} AND retry_count < 3")

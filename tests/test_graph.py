@@ -60,6 +60,24 @@ def test_long_chains_and_cycles_of_redirects(spark):
     assert short == plain_search([0], [x for x in links if x[1] < 1020], {a: b for a, b in hops.items() if b < 1020}, 3)
 
 
+def test_chains_beyond_the_reach_of_what_is_solved_before(spark):
+    links = [(0, 1000), (0, 3000), (1150, 1), (1, 1070), (3005, 2)]
+    hops = {1000 + i: 1001 + i for i in range(300)} | {3000 + i: 3000 + (i + 1) % 150 for i in range(150)} | {5000 + i: 5001 + i for i in range(100)}
+    got = depths(Dp.crawl_depth(ids(spark, 0, 5000), edges(spark, *links), edges(spark, *hops.items()), max_depth=3))
+    assert got == plain_search([0, 5000], links, hops, 3)
+
+
+def test_a_level_is_one_join(spark, monkeypatch):
+    """However long the redirects, a level is written once."""
+    written = []
+    monkeypatch.setattr(Dp, "cut", lambda df, real=Dp.cut: written.append(1) or real(df))
+    links, none = edges(spark, *[(i, i + 1) for i in range(6)]), edges(spark, (90, 91))
+    Dp.crawl_depth(ids(spark, 0), links, none, max_depth=2).count()
+    few = len(written)
+    Dp.crawl_depth(ids(spark, 0), links, none, max_depth=5).count()
+    assert len(written) - 2 * few == 3
+
+
 def test_only_crawlable_pages_are_entered(spark):
     links = edges(spark, (0, 1), (1, 2), (0, 3))
     got = depths(Dp.crawl_depth(ids(spark, 0), links, crawlable=ids(spark, 0, 2, 3)))

@@ -1,6 +1,10 @@
+import random
+import time
+
 from pyspark.sql import functions as F
 
 from webstrata.functions import headers as Hd
+from webstrata.functions.sitemap_files import read_file
 from webstrata.operators import robots as R
 from webstrata.operators import sitemaps as M
 
@@ -39,6 +43,38 @@ def test_allow_all_disallow_all_and_no_file(spark):
     assert verdicts(spark, robots(spark, ""), "x", url) == {url[0]: True}
 
 
+def plain_matches(rules, path):
+    """Places of all rules that match, rule by rule."""
+    return [i for i, (_, p) in enumerate(rules) if p == "/" or path.startswith(p.removesuffix("*"))]
+
+
+def test_rules_are_found_as_by_trying_every_rule(spark):
+    rng = random.Random(2)
+    parts = ["a", "ab", "b", "é", ""]
+    rules = [(rng.choice(["allow", "disallow"]), rng.choice(["/", ""]) * (rng.random() < .9) + "/".join(rng.choice(parts) for _ in range(rng.randint(0, 4))) + rng.choice(["", "", "*"]))
+             for _ in range(120)]
+    for own in (rules, rules[:7], [r for r in rules if len(r[1]) > 3], rules[:1], []):
+        body = "User-agent: *\n" + "".join(f"{kind}: {path}\n" for kind, path in own)
+        paths = ["/" + "/".join(rng.choice(parts + ["c"]) for _ in range(rng.randint(0, 5))) for _ in range(200)]
+        urls = sorted({f"https://e.com{p}" for p in paths} | {"https://e.com"})
+        want = {u: plain_matches(own, u.removeprefix("https://e.com")) for u in urls}
+        told = {u: [(len(own[i][1]), own[i][0] == "allow") for i in m if own[i][1]] for u, m in want.items()}
+        files = robots(spark, body)
+        assert verdicts(spark, files, "bot", urls) == {u: not m or own[m[0]][0] == "allow" for u, m in want.items()}
+        assert verdicts(spark, files, "bot", urls, rfc9309=True) == {u: max(t, default=(0, True))[1] for u, t in told.items()}
+        found = R.robots_matches(spark.createDataFrame([(u,) for u in urls], "url string"), R.parse_robots(files), "bot").collect()
+        assert sorted(map(tuple, found)) == sorted((u, *own[i]) for u, m in want.items() for i in m)
+
+
+def test_many_rules_on_one_domain_cost_no_scan(spark):
+    body = "User-agent: *\n" + "".join(f"Disallow: /dir{i}/\n" for i in range(20_000))
+    urls = spark.range(20_000).select(F.concat(F.lit("https://e.com/dir"), F.col("id") * 2, F.lit("/x")).alias("url"))
+    rules = R.parse_robots(robots(spark, body))
+    began = time.time()
+    assert R.robots_verdict(urls, rules, "bot").where("not robots_allows").count() == 10_000
+    assert time.time() - began < 60
+
+
 def test_delay_falls_through_zero(spark):
     hosts = spark.createDataFrame([("e.com",), ("f.com",)], "host string")
     rows = R.crawl_delay(hosts, R.robots_delays(robots(spark)), "bot").collect()
@@ -76,6 +112,39 @@ def test_sitemaps_expand_once_in_queue_order_and_the_last_entry_counts(spark):
     assert kinds["i.xml"] == "sitemap_index" and kinds["a.xml"] == "sitemap"
 
 
+def test_files_are_read_up_to_their_break():
+    read = read_file("<urlset><url><loc>a</loc><image:image><image:loc>i</image:loc></image:image></url><url><loc>b &amp; c</loc></url><url><loc>d&nbsp;</loc></url><url>")
+    assert [e["loc"] for e in read["entries"]] == ["a", "b & c"] and "undefined entity" in read["error"]
+    assert read_file("\ufeff \n<?xml version='1.0' encoding='utf-16'?><urlset/>") == {"children": [], "entries": [], "error": None}
+    assert read_file("")["error"] and read_file("not xml")["error"] and read_file("<urlset><url></urlset>")["error"]
+    links = "<urlset><url><xhtml:link hreflang='de' href='x'/><xhtml:link hreflang='' href='y'/><loc>a</loc></url><url><loc>b</loc></url></urlset>"
+    assert [(e["hreflangs"], e["hrefs"]) for e in read_file(links)["entries"]] == [(["de"], ["x", "y"]), (None, None)]
+    assert read_file("<s:sitemapindex><s:sitemap><loc>c</loc></s:sitemap></s:sitemapindex>")["children"] == ["c"]
+    bomb = "<!DOCTYPE x [<!ENTITY a 'aaaaaaaaaa'>" + "".join(f"<!ENTITY {chr(98 + i)} '{f'&{chr(97 + i)};' * 10}'>" for i in range(9)) + "]><urlset><url><loc>&j;</loc></url></urlset>"
+    assert read_file(bomb)["entries"] == [] and read_file(bomb)["error"]
+
+
+def test_large_files_take_linear_time():
+    began = time.process_time()
+    read = read_file("<urlset>" + "".join(f"<url><loc>https://e.com/{i}</loc><priority>0.5</priority></url>\n" for i in range(50_000)) + "</urlset>")
+    assert len(read["entries"]) == 50_000 and read["error"] is None and time.process_time() - began < 5
+
+
+def test_sitemap_urls_read_every_file_once(spark):
+    files = spark.createDataFrame(FILES, "sitemap_url string, xml string")
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(xml):
+        read.add(1)
+        return xml
+    seeds = spark.createDataFrame([("https://e.com/i.xml", 0)], "sitemap_url string, position int")
+    M.sitemap_urls(seeds, files.withColumn("xml", counted.asNondeterministic()("xml"))).collect()
+    assert read.value == len(FILES)
+    errors = {r.sitemap_url: (r.entries_read, r.children_read) for r in M.sitemap_errors(files).collect()}
+    assert errors == {"https://e.com/x.xml": (0, 0)}
+
+
 def test_cache_lifetime(spark):
     cases = [({"cache-control": "max-age=3600"}, 3600), ({"Cache-Control": "max-age=60"}, 60), ({"cache-control": "no-cache"}, 0),
              ({}, 3600), ({"Expires": "Thu, 01 Jan 1970 00:20:00 GMT"}, 200), ({"Expires": "Thu, 01 Jan 1970 00:00:10 GMT"}, 0),

@@ -8,17 +8,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webstrata.functions.expr import blank_to_null, strip
+from webstrata.functions.sitemap_files import sitemap_file
 from webstrata.functions.urls import normalize_url_for_storage
 from webstrata.session import cut
 
-_FILE = ("sitemap array<struct<loc:string>>, "
-         "url array<struct<loc:string,priority:string,lastmod:string,"
-         "`xhtml:link`:array<struct<_hreflang:string,_href:string>>>>")
+def read_sitemaps(files: DataFrame) -> DataFrame:
+    """(sitemap_url, children, entries, error): sitemap files (sitemap_url, xml), each read once.
+
+    A file is one row of at most 50 MB and 50 000 entries by the sitemap protocol. Write the result where children and
+    entries are both wanted: every function below takes files as well as what was read from them.
+    """
+    if "entries" in files.columns:
+        return files
+    return files.select("sitemap_url", sitemap_file(F.col("xml")).alias("_x")).select("sitemap_url", "_x.*")
 
 
-def _parsed(files: DataFrame) -> DataFrame:
-    """A file is one row of at most 50 MB and 50 000 entries by the sitemap protocol."""
-    return files.select("sitemap_url", "xml", F.from_xml("xml", _FILE, {"mode": "PERMISSIVE"}).alias("_x"))
+def sitemap_errors(files: DataFrame) -> DataFrame:
+    """(sitemap_url, error, entries_read, children_read) of files that break off; what stands before the break is kept."""
+    broken = read_sitemaps(files).where("error is not null")
+    return broken.select("sitemap_url", "error", F.size("entries").cast("bigint").alias("entries_read"),
+                         F.size("children").cast("bigint").alias("children_read"))
 
 
 def sitemap_kind(xml: Column) -> Column:
@@ -29,8 +38,8 @@ def sitemap_kind(xml: Column) -> Column:
 
 def sitemap_children(files: DataFrame) -> DataFrame:
     """Child sitemaps named by index files, in file order."""
-    rows = _parsed(files).select("sitemap_url", F.posexplode("_x.sitemap").alias("position", "_s"))
-    child = blank_to_null(strip("_s.loc"))
+    rows = read_sitemaps(files).select("sitemap_url", F.posexplode("children").alias("position", "_s"))
+    child = blank_to_null(strip("_s"))
     return rows.select("sitemap_url", F.col("position").cast("bigint").alias("position"),
                        child.alias("child_url")).where("child_url is not null")
 
@@ -41,15 +50,11 @@ def parse_sitemaps(files: DataFrame) -> DataFrame:
     A file that lists child sitemaps contributes none. Of a URL listed twice in a file the last
     entry counts, at the place of the first.
     """
-    parsed = _parsed(files).where(F.coalesce(F.size("_x.sitemap"), F.lit(0)) <= 0)
-    rows = parsed.select("sitemap_url", F.posexplode("_x.url").alias("position", "_u"))
-    links = F.col("_u.xhtml:link")
+    rows = read_sitemaps(files).where(F.size("children") <= 0).select("sitemap_url", F.posexplode("entries").alias("position", "_u"))
     entries = rows.select(
         "sitemap_url", blank_to_null(strip("_u.loc")).alias("url"), F.col("position").cast("bigint").alias("position"),
         strip("_u.priority").try_cast("double").alias("priority"),
-        blank_to_null(strip("_u.lastmod")).alias("lastmod"),
-        F.filter(F.transform(links, lambda x: x["_hreflang"]), lambda v: v != "").alias("hreflangs"),
-        F.filter(F.transform(links, lambda x: x["_href"]), lambda v: v != "").alias("hrefs"),
+        blank_to_null(strip("_u.lastmod")).alias("lastmod"), "_u.hreflangs", "_u.hrefs",
     ).where("url is not null")
     last = F.max(F.struct("position", "priority", "lastmod", "hreflangs", "hrefs"))
     return entries.groupBy("sitemap_url", "url").agg(F.min("position").alias("first"), last.alias("_l")).select(
@@ -85,7 +90,8 @@ def expand_sitemaps(seeds: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def sitemap_urls(seeds: DataFrame, files: DataFrame) -> DataFrame:
-    """URL entries of all reached files; of a URL in several files the one visited last counts."""
+    """URL entries of all reached files; of a URL in several files the one visited last counts. Every file is read once."""
+    files = cut(read_sitemaps(files))
     reached = cut(expand_sitemaps(seeds, files))
     entries = parse_sitemaps(files.join(reached.select("sitemap_url"), "sitemap_url", "left_semi"))
     ordered = entries.join(reached.select("sitemap_url", "depth", "visit"), "sitemap_url")
