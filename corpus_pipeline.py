@@ -40,13 +40,20 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of documents linked by three-word shingles, the one with the least id.
 
-    Rows that share id and text count as one document.
+    Rows that share id and text count as one document. Where several texts of a class share the least id, or no document
+    of a class has an id, the one whose text has the least digest stays.
     """
     def key(id_: Column, text: Column) -> Column:
         return F.concat_ws(":", F.coalesce(id_.cast("string"), F.lit("null")), text)
 
-    classes = jaccard_classes(docs)
-    gone = classes.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(key(F.col("doc_id"), F.col("text_key")).alias("gone"))
+    classes = cut(jaccard_classes(docs))
+    least = F.col("component_id").eqNullSafe(F.col("doc_id"))
+    told = key(F.col("doc_id"), F.col("text_key")).alias("gone")
+    # Documents with the least id of their class: one per class, unless ids repeat.
+    first = classes.where(least & F.col("class_number").isNotNull())
+    kept = cut(first.groupBy("class_number").agg(F.min("text_key").alias("kept")))
+    rest = first.join(kept, "class_number").where(F.col("text_key") != F.col("kept")).select(told)
+    gone = classes.where(~least).select(told).unionByName(rest)
     return split_off(docs, key(name("doc_id"), text_key(name("text"))), cut(gone), "gone")
 
 

@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from webstrata.llm.graph import components
 from webstrata.llm.jaccard import allocate, band_keys, bands, jaccard_classes, set_keys, shingle_sets
@@ -93,6 +94,22 @@ def test_large_components(spark):
         rows.append((i, " ".join(chain)))
     assert classes(spark, rows, block=8, pivots=2) == plain(rows)
     assert classes(spark, rows, block=500) == plain(rows)
+    assert classes(spark, rows, block=500, shingles=1000, pivots=3) == plain(rows)
+
+
+def test_blocks_are_bounded_by_the_size_of_their_sets(spark, monkeypatch):
+    """Long texts are compared few at a time."""
+    from webstrata.llm import jaccard
+
+    seen = []
+    monkeypatch.setattr(jaccard, "_verify", lambda blocks, percent, real=jaccard._verify: seen.append(
+        blocks.groupBy("group").agg(F.sum(F.length("set") / 8).alias("n"), F.count("*").alias("k"), F.sum(F.col("seeks").cast("int")).alias("s")).collect()) or real(blocks, percent))
+    base = prose(6, 400)
+    rows = [(i, edited(base, i, 1 + i % 5)) for i in range(40)]
+    assert classes(spark, rows, shingles=1200, pivots=1) == plain(rows)
+    groups = [g for part in seen for g in part]
+    # Blocks are dealt by hash: some hold a few more than their share, beside the pivot.
+    assert len(groups) > 10 and max(g.n for g in groups) < 12 * 400
 
 
 def test_odd_rows(spark, odd, odd_texts, nothing):

@@ -47,3 +47,16 @@ def test_near_stage_keeps_one_of_each_class(spark, sf):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     kept = sorted(r.doc_id for r in corpus_pipeline.near(spark, df, sf).collect())
     assert kept == sorted({c for _, _, c in near.plain(rows)})
+
+
+def test_near_stage_keeps_one_of_a_class_whose_ids_repeat(spark, sf):
+    base = near.prose(40, 300)
+    texts = [base, base + " end", "other " + base, near.prose(41, 50)]
+    rows = [(5, texts[0]), (5, texts[1]), (7, texts[2]), (5, texts[3]), (None, near.prose(42, 80)), (None, near.prose(42, 80) + " x"), (5, ""), (6, None), (5, texts[0])]
+    out = corpus_pipeline.near(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()
+    left = [(r.doc_id, r.text) for r in out]
+    kept = {t for _, t in left}
+    assert len(kept & set(texts[:3])) == 1 and (7, texts[2]) not in left and (5, texts[3]) in left
+    assert len([t for i, t in left if i is None]) == 1 and (5, "") in left and (6, None) in left
+    # Rows that share id and text are one document, and stay or go together.
+    assert left.count((5, texts[0])) in (0, 2)

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +41,8 @@ from webstrata.session import cut
 PERCENT, WORDS = 90, 3
 #: Classes compared in one block, and pivots of a larger component.
 BLOCK, PIVOTS = 256, 8
+#: N-grams of a block's sets: 32 MB of them, whatever the number of classes.
+BLOCK_SHINGLES = 4 << 20
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _SPACES = "[\x09-\x0D]"
 
@@ -291,13 +293,14 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT,
-                    words: int = WORDS, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
-    """(id, n_shingles, component_id, text_key) for every row of `docs`.
+                    words: int = WORDS, block: int = BLOCK, pivots: int = PIVOTS, shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """(id, n_shingles, component_id, text_key, class_number) for every row of `docs`.
 
     Two rows link when 100 * intersection >= percent * union of their sets of word n-grams; component_id is the least id
     reachable by links, the row's own included. Rows without words, null texts among them, have an empty set and link
     with nothing; a null id counts as the largest. Rows with equal sets are one class whatever their number, so repeated
-    rows and repeated ids need no care. An empty table gives no rows.
+    rows and repeated ids need no care. `class_number` tells classes apart where ids repeat; it is null for empty sets. An
+    empty table gives no rows. At most about `block` classes and `shingles` n-grams are compared in one place, or two classes.
     """
     plain = docs.select(F.monotonically_increasing_id().alias("rid"), name(id_col).alias("id"), name(text_col).alias("text"),
                         text_key(name(text_col)).alias("text_key"))
@@ -309,52 +312,56 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ties = cut(keyed.join(shared.select("key", "first"), "key").where("rid <> first")
                .select(F.col("rid").alias("a"), F.col("first").alias("b")).distinct())
     # Both sides of a join on a component are written, so that a large component's rows can be split.
-    groups = cut(components(ties))                                       # node, component
-    members = cut(groups.groupBy("component").agg(F.count("*").alias("members")))
-    sized = cut(groups.join(members, "component"))
-    wanted = sized.join(signed.select("rid", "text_key"), sized["node"] == F.col("rid")).select("rid", "text_key", "component", "members")
-    wanted = cut(wanted)
+    groups = components(ties).withColumnRenamed("node", "rid")           # rid, component
+    sized = cut(groups.join(signed.select("rid", "text_key", "n_shingles"), "rid"))
+    blocks = cut(sized.groupBy("component").agg(_blocks(block, shingles).alias("blocks")))
+    wanted = cut(sized.join(blocks, "component"))
     held = cut(_sets_of(plain.select("text", "text_key"), wanted.select("rid", "text_key"), words)
-               .join(wanted.select("rid", "component", "members"), "rid"))
+               .join(wanted.select("rid", "component", "blocks", "n_shingles"), "rid"))
 
-    small = held.where(F.col("members") <= block).select(
+    small = held.where("blocks = 1").select(
         F.col("component").cast("string").alias("group"), "rid", F.col("rid").alias("part"), F.lit(True).alias("seeks"), "set")
     links = cut(_verify(small, percent))
-    large = held.where(F.col("members") > block)
+    large = held.where("blocks > 1")
     if large.select("rid").limit(1).count():
-        links = links.unionByName(_large_links(large, percent, block, pivots))
+        links = links.unionByName(_large_links(large, percent, block, pivots, shingles))
     joined = components(links).select(F.col("node").alias("rid"), F.col("component").alias("joined"))
 
     part = cut(classes.join(joined, "rid", "left").withColumn("joined", F.coalesce("joined", "rid")))
     least = cut(part.groupBy("joined").agg(F.min("least_id").alias("component_id")))
-    named = part.join(least, "joined").select(*told, "component_id")
+    named = part.join(least, "joined").select(*told, "component_id", F.col("joined").alias("class_number"))
     return signed.select("id", "text_key", *told).join(named, told, "left").select(
-        F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"), "text_key")
+        F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"), "text_key", "class_number")
 
 
-def _large_links(large: DataFrame, percent: int, block: int, pivots: int) -> DataFrame:
-    """Links within components above `block` classes: pivots first, then what they left apart, block by block."""
-    spread = large.withColumn("salt", F.pmod(F.xxhash64("rid"), F.ceil(F.col("members") / block)))
+def _blocks(block: int, shingles: int) -> Column:
+    """Blocks that a group's classes are compared in, by their number and by the size of their sets."""
+    return F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum("n_shingles") / F.lit(shingles))).cast("bigint")
+
+
+def _large_links(large: DataFrame, percent: int, block: int, pivots: int, shingles: int) -> DataFrame:
+    """Links within components of several blocks: pivots first, then what they left apart, block by block."""
+    spread = large.withColumn("salt", F.pmod(F.xxhash64("rid"), F.col("blocks")))
     # The pivots: in each of so many parts, dealt by hash, the class whose hash is least.
     chosen = cut(large.select("component", F.xxhash64("rid").alias("h"), "rid").groupBy("component", F.pmod("h", F.lit(pivots)))
                  .agg(F.min(F.struct("h", "rid"))["rid"].alias("rid")).select("rid"))
     pivot = large.join(chosen, "rid").select(
-        "component", "rid", "set", F.explode(F.sequence(F.lit(0), F.ceil(F.col("members") / block) - 1)).alias("salt"))
+        "component", "rid", "set", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"))
     own = spread.join(chosen, "rid", "left_anti")
     met = own.select("component", "salt", "rid", "set").withColumn("seeks", F.lit(False)).unionByName(
         pivot.withColumn("seeks", F.lit(True)))
     first = cut(_verify(met.select(F.concat_ws(":", "component", "salt").alias("group"), "rid", F.col("rid").alias("part"), "seeks", "set"), percent))
 
     parts = components(first).select(F.col("node").alias("rid"), F.col("component").alias("part"))
-    state = cut(large.select("rid", "component", "members").join(parts, "rid", "left").withColumn("part", F.coalesce("part", "rid")))
+    state = cut(large.select("rid", "component", "blocks", "n_shingles").join(parts, "rid", "left").withColumn("part", F.coalesce("part", "rid")))
     sizes = state.groupBy("component", "part").agg(F.count("*").alias("n"))
     main = cut(sizes.groupBy("component").agg(F.max(F.struct("n", "part")).alias("main")))
     apart = cut(state.join(main, "component").withColumn("apart", F.col("part") != F.col("main.part"))
-                .select("rid", "component", "part", "members", "apart"))
-    seekers = cut(apart.where("apart").groupBy("component").agg(F.count("*").alias("seekers")))
-    marked = large.select("rid", "set").join(apart, "rid").join(seekers, "component")
+                .select("rid", "component", "part", "blocks", "n_shingles", "apart"))
+    seekers = cut(apart.where("apart").groupBy("component").agg(_blocks(block, shingles).alias("seekers")))
+    marked = large.select("rid", "set").join(apart.drop("n_shingles"), "rid").join(seekers, "component")
     # Every block of seekers meets every block of the component.
-    seeker_blocks, all_blocks = F.ceil(F.col("seekers") / block), F.ceil(F.col("members") / block)
+    seeker_blocks, all_blocks = F.col("seekers"), F.col("blocks")
     everyone = marked.select("component", "rid", "part", "set", F.lit(False).alias("seeks"),
                              F.pmod(F.xxhash64("rid"), all_blocks).alias("j"),
                              F.explode(F.sequence(F.lit(0), seeker_blocks - 1)).alias("i"))

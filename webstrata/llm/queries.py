@@ -100,7 +100,7 @@ def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_ngram_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from webstrata.llm.jaccard import jaccard_classes
 
-    return jaccard_classes(_table(spark, sf_dir, "documents")).drop("text_key")
+    return jaccard_classes(_table(spark, sf_dir, "documents")).drop("text_key", "class_number")
 
 
 @query()
