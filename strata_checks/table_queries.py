@@ -856,7 +856,7 @@ STREAMED = f"""SELECT 'urls' AS table_name, url AS key, 'html' AS value, 100 + p
         CASE WHEN page_id % 9 = 0 OR page_id % 9 = 4 THEN 3100 WHEN page_id % 3 = 0 THEN 100 ELSE 2100 END + page_id AS n2 FROM {{pages}}
     UNION ALL SELECT 'page_metadata', url, CASE WHEN {MOVED} THEN {AT_MOVED} ELSE url END, CASE WHEN {MOVED} THEN 301 ELSE 200 END,
         CASE WHEN page_id % 9 = 0 OR page_id % 9 = 4 THEN 3100 WHEN page_id % 3 = 1 THEN 2100 ELSE 100 END + page_id FROM {{pages}}
-    UNION ALL SELECT 'content', url, CASE WHEN {EMPTIED} THEN 'Page ' || CAST(page_id AS STRING) ELSE trim(regexp_extract(html, '<title>(.*?)</title>', 1)) END,
+    UNION ALL SELECT 'content', url, CASE WHEN {EMPTIED} THEN 'Page ' || CAST(page_id AS STRING) ELSE trim({decoded("regexp_extract(html, '<title>(.*?)</title>', 1)")}) END,
         CASE WHEN {EMPTIED} THEN 0 ELSE 1 END, 0 FROM {{pages}}
     UNION ALL SELECT 'content', {AT_MOVED}, 'Page ' || CAST(page_id AS STRING), 0, 0 FROM {{pages}} WHERE {MOVED}
     UNION ALL SELECT 'redirects', url, {AT_MOVED}, 1, 200 FROM {{pages}} WHERE {MOVED}
