@@ -14,7 +14,6 @@ from pyspark.sql import types as T
 from webstrata.functions.expr import blank_to_null, strip
 from webstrata.functions.urls import path
 from webstrata.operators.skew import join_unique
-from webstrata.session import cut
 
 _LINE_BREAK = r"\R|[\x1c-\x1e]"
 
@@ -121,8 +120,7 @@ def _rule_lists(rules: DataFrame, agent: str) -> DataFrame:
         "domain", F.struct((F.col("user_agent") != agent).alias("general"), "seq", "rule_type", "rule_path").alias("r"))
     listed = ranked.groupBy("domain").agg(F.array_sort(F.collect_list("r")).alias("rules")).select(
         "domain", F.transform("rules", lambda r: F.struct(r["rule_type"].alias("rule_type"), r["rule_path"].alias("rule_path"))).alias("rules"))
-    # Written, so that the index is made once per domain and not wherever the join below reads it.
-    return cut(listed.withColumn("index", _indexed("rules")))
+    return listed.withColumn("index", _indexed("rules"))
 
 
 def _deepest(path_: Column, index: Column) -> Column:
