@@ -52,7 +52,7 @@ def cases():
     return docs, items
 
 
-@pytest.mark.parametrize("more", [{}, {"block": 7}, {"window": 4}, {"window": 13}])
+@pytest.mark.parametrize("more", [{}, {"filter_words": 1}, {"window": 4}, {"window": 13}])
 def test_against_all_windows(spark, more):
     docs, items = cases()
     assert result(spark, docs, items, **more) == list(plain(docs, items, more.get("window", 10)))

@@ -2,11 +2,12 @@
 
 A window of L words has L - k + 1 hashes of k words; its fingerprint is the least of them. A window that occurs in both
 texts has the same fingerprint in both, which guarantees that every shared span of L words or more is found. The
-fingerprints of a document's sliding windows meet those of the benchmark in a broadcast join of bounded size, in the
-stage that computes them; hits are then extended: the windows behind a shared fingerprint are compared word by word.
+fingerprints of a document's sliding windows meet those of the benchmark in a Bloom filter of bounded size, in the stage
+that computes them, and only windows that it lets through are shuffled; hits are then extended: the windows behind a
+shared fingerprint are compared word by word.
 
-Native DataFrame functions throughout, one pass over the texts per length of window (one, unless the benchmark has items
-shorter than a window) and block of the benchmark.
+Native DataFrame functions throughout, and one pass over the texts, whatever the size of the benchmark: windows of all
+lengths (one, unless the benchmark has items shorter than a window) are looked up together.
 """
 
 from __future__ import annotations
@@ -16,13 +17,12 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from webstrata.llm import bloom
 from webstrata.llm.frames import name
 from webstrata.session import cut
 
 #: Words of a window.
 WINDOW = 10
-#: Fingerprints broadcast at a time: one million of 8 bytes, so well below 100 MB.
-BLOCK = 1_000_000
 #: Everything in ASCII that is neither a letter nor a digit parts words.
 SEPARATORS = "".join(chr(c) for c in range(128) if chr(c) not in string.ascii_letters + string.digits)
 
@@ -68,7 +68,7 @@ def benchmark_windows(benchmark: DataFrame, id_col: str, text_col: str, window:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block: int = BLOCK,
+                  item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, filter_words: int = bloom.WORDS,
                   key: Column | None = None) -> DataFrame:
     """(id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of `docs`.
 
@@ -76,7 +76,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     `items_sha256` is the digest of their ids, sorted as strings and joined by commas. Null and wordless texts have no
     words and no hits, as has every text against an empty benchmark; items without words match nothing, and items
     without an id are hits that are not listed. Rows that share an id are reported row by row. `key` adds a column
-    `key` to carry along.
+    `key` to carry along. `filter_words` bounds the broadcast filter; a full one only lets more windows through.
     """
     texts = docs.select(F.monotonically_increasing_id().alias("rid"), name(id_col).alias("id"),
                         (F.lit(None).cast("string") if key is None else key).alias("key"), words(name(text_col)).alias("w"))
@@ -86,26 +86,33 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         return _report(base.withColumns({"n_hit": F.lit(0), "items": F.array().cast("array<string>")}), id_col, key)
     windows = cut(prepared.distinct())
     prints = cut(windows.select("length", "print").distinct())
-    sizes = prints.groupBy("length").count().orderBy("length").collect()         # at most `window` rows
-    passes = [(length, part, -(-n // block)) for length, n in sizes for part in range(-(-n // block))]
-
-    found = None
-    for number, (length, part, parts) in enumerate(passes):
-        mine = (F.col("length") == length) & (F.pmod(F.col("print"), F.lit(parts)) == part)
-        known = prints.where(mine).select(F.col("print").alias("p"))
-        exact = cut(windows.where(mine).select(F.col("window").alias("known")).distinct())
-        # In the first pass every document also sends one row of its own, behind those of its windows. It joins nothing,
-        # and a key of its own, which no window has, keeps such rows from meeting in one task.
-        own_row = F.lit(number == 0) & (F.col("at") == F.col("s"))
-        one = (_fingerprints(texts, length, "f").select("rid", "id", "key", F.size("w").alias("n"), "w", F.size("f").alias("s"),
-                                                        F.posexplode(F.concat("f", F.array(F.lit(0).cast("bigint")))).alias("at", "print"))
-               .join(F.broadcast(known), F.col("print") == F.col("p"), "left").where((F.col("p").isNotNull() & (F.col("at") < F.col("s"))) | own_row)
-               .select("rid", "id", "key", "n", F.lit(length).alias("length"), F.when(F.col("at") < F.col("s"), F.col("at")).otherwise(-1).alias("at"),
-                       F.when(F.col("at") < F.col("s"), F.array_join(F.slice("w", F.col("at") + 1, length), " "))
-                       .otherwise(F.concat(F.lit(" "), F.col("rid").cast("string"))).alias("window"))
-               .join(exact, F.col("window") == F.col("known"), "left").where("known is not null or at < 0").drop("known"))
-        found = one if found is None else found.unionByName(one)
-    found = cut(found)
+    lengths = [r[0] for r in prints.select("length").distinct().orderBy("length").collect()]         # at most `window` numbers
+    known = cut(bloom.build(prints, F.col("print"), filter_words))
+    exact = cut(windows.select(F.col("window").alias("known"), F.col("length").alias("known_length")).distinct())
+
+    hashed = texts
+    for length in lengths:
+        hashed = _fingerprints(hashed, length, f"f{length}")
+    # Fingerprints of all lengths one after the other, then one row of the document's own. It joins nothing, and a key of
+    # its own, which no window has, keeps such rows from meeting in one task.
+    sizes = [F.size(f"f{length}") for length in lengths]
+    ends = [sum(sizes[1:i + 1], sizes[0]) for i in range(len(lengths))]
+    placed = hashed.select(
+        "rid", "id", "key", F.size("w").alias("n"), "w", F.array(*ends).alias("ends"),
+        F.posexplode(F.concat(*[F.col(f"f{length}") for length in lengths], F.array(F.lit(0).cast("bigint")))).alias("place", "print"))
+    own_row = F.col("place") == F.element_at("ends", -1)
+    met = bloom.probe(placed, "print", known, filter_words).where(F.col("maybe") | own_row)
+    length, at = F.lit(None).cast("int"), F.lit(-1)
+    for i, own in reversed(list(enumerate(lengths))):
+        first = F.get("ends", F.lit(i - 1)) if i else F.lit(0)
+        within = F.col("place") < F.get("ends", F.lit(i))
+        length, at = F.when(within, F.lit(own)).otherwise(length), F.when(within, F.col("place") - first).otherwise(at)
+    told = met.select("rid", "id", "key", "n", "w", length.alias("length"), at.alias("at"))
+    found = cut(told.select("rid", "id", "key", "n", F.coalesce("length", F.lit(0)).alias("length"), "at",
+                            F.when(F.col("at") >= 0, F.array_join(F.slice("w", F.col("at") + 1, F.coalesce("length", F.lit(0))), " "))
+                            .otherwise(F.concat(F.lit(" "), F.col("rid").cast("string"))).alias("window"))
+                .join(exact, (F.col("window") == F.col("known")) & (F.col("length") == F.col("known_length")), "left")
+                .where("known is not null or at < 0").drop("known", "known_length"))
 
     order = Window.partitionBy("rid").orderBy("at", "length")
     reach = F.max(F.col("at") + F.col("length")).over(order.rowsBetween(Window.unboundedPreceding, -1))
