@@ -88,7 +88,8 @@ class WordTokens:
             raise ValueError(f"{path}: words of this tokenizer cannot be encoded one by one")
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.remembered, self.chars = remembered, chars
-        self._bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        spelling = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self._spelled = {c: spelling.pre_tokenize_str(chr(c))[0][0] for c in range(0x61, 0x100) if _PLAIN(chr(c))}
         self._forget()
 
     def _forget(self) -> None:
@@ -98,42 +99,44 @@ class WordTokens:
 
     def _encode_word(self, word: str) -> list[int]:
         if word.isascii() and word.isalpha():
-            word = word.lower()
+            return [token.id for token in self.tokenizer.model.tokenize(word.lower())]
         if _PLAIN(word):
-            spelled = word if word.isascii() else self._bytes.pre_tokenize_str(word)[0][0]
-            return [token.id for token in self.tokenizer.model.tokenize(spelled)]
+            return [token.id for token in self.tokenizer.model.tokenize(word.translate(self._spelled))]
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
-    def _store(self, at: int, ids: list[int]) -> None:
-        """Keep the ids of the word with number `at`."""
-        if at >= len(self.first):
+    def _learn(self, words: list[str]) -> None:
+        """Number words and keep their ids."""
+        ids: list[int] = []
+        count: list[int] = []
+        for word in words:
+            own = self._encode_word(word)
+            ids += own
+            count.append(len(own))
+        n, at, used = len(words), len(self.slot), self.used
+        while at + n > len(self.first):
             self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
-        while self.used + len(ids) > len(self.ids):
+        while used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.first[at], self.count[at] = self.used, len(ids)
-        self.ids[self.used:self.used + len(ids)] = ids
-        self.used += len(ids)
+        self.slot.update(zip(words, range(at, at + n)))
+        self.count[at:at + n] = count
+        self.first[at:at + n] = used + np.cumsum(self.count[at:at + n]) - self.count[at:at + n]
+        self.ids[used:used + len(ids)] = ids
+        self.used = used + len(ids)
 
     def _slots(self, words: list[str]) -> np.ndarray:
         """The numbers of different words. Long ones get numbers behind all others, good until the next call."""
         if len(self.slot) + len(words) > self.remembered or self.held > self.chars:
             self._forget()
-        slot, out, long = self.slot, np.empty(len(words), np.int64), []
-        for i, word in enumerate(words):
-            at = slot.get(word)
-            if at is None:
-                if len(word) > LONG_WORD:
-                    long.append(i)
-                    continue
-                at = slot[word] = len(slot)
-                self._store(at, self._encode_word(word))
-                self.held += len(word)
-            out[i] = at
-        kept = self.used
-        for at, i in enumerate(long, len(slot)):
-            self._store(at, self._encode_word(words[i]))
-            out[i] = at
-        self.used = kept        # the next call writes over the ids of long words
+        new = [word for word in words if word not in self.slot]
+        short, long = [w for w in new if len(w) <= LONG_WORD], [w for w in new if len(w) > LONG_WORD]
+        self._learn(short)
+        self.held += sum(map(len, short))
+        used = self.used
+        self._learn(long)
+        out = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
+        for word in long:
+            del self.slot[word]
+        self.used = used        # the next call writes over the ids of long words
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
