@@ -16,7 +16,6 @@ from webstrata.functions import scoring as Sc
 from webstrata.functions.urls import to_staging
 from webstrata.operators import compare as H
 from webstrata.operators import depth as Dp
-from webstrata.operators import duplicates as D
 from webstrata.operators import frontier as Fr
 from webstrata.operators import hosts as Ho
 from webstrata.operators import links as Li

@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webstrata.operators.skew import hot_keys, join_unique, repeated, salted
+from webstrata.operators.skew import hot_keys, repeated, salted
 from webstrata.session import cut
 
 REACH = 64      # redirects in a row that are solved before the search
