@@ -75,11 +75,11 @@ def test_near_duplicate_pairs_are_exact(spark, threshold, distance, block):
     want = near_pairs(hashes, distance)
     copied = min(want)[0] if want else hashes[0]
     rows = spark.createDataFrame([(i, h) for i, h in enumerate(hashes)] + [(1000, copied), (1001, None)], "id long, simhash long")
-    got = [(r.simhash1, r.simhash2) for r in N.near_duplicate_pairs(rows, threshold, block).collect()]
+    found = N.near_duplicate_pairs(rows, threshold, block).collect()
+    got = [(r.simhash1, r.simhash2) for r in found]
     assert len(got) == len(set(got)) and set(got) == want
-    if want:
-        first = N.near_duplicate_pairs(rows, threshold, block).where(F.col("simhash1") == copied).first()
-        assert first.copies1 == 2 and first.id1 == hashes.index(copied)
+    for r in found:
+        assert r.copies1 == 1 + (r.simhash1 == copied) and r.id1 == hashes.index(r.simhash1) and r.distance == ((r.simhash1 ^ r.simhash2) & (2**64 - 1)).bit_count()
 
 
 @pytest.mark.parametrize("threshold, distance, block", [(0.8, 12, 4096), (0.8, 12, 20), (0.95, 3, 50)])
