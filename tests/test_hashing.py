@@ -123,6 +123,24 @@ def test_a_dense_part_is_many_rows_of_bounded_size(spark):
     assert largest.n == 2 and largest.m < 2 * 256 and rows.count() > 60
 
 
+def test_buckets_are_split_only_where_that_pays(spark):
+    """Splitting by bands at 12 bits would write every hash up to 1820 times; comparing a few hundred thousand takes less."""
+    hashes = spark.createDataFrame([(h,) for h in random_hashes(20_000)], "h long")
+    assert N.buckets(hashes, 12, 4096).count() == hashes.distinct().count()
+    assert N.buckets(hashes, 3, 64).count() > 20_000
+
+
+@pytest.mark.parametrize("distance", [3, 6, 12])
+def test_split_buckets_lose_no_pair(spark, distance):
+    hashes = sorted({*clustered_hashes(), *random_hashes(300)})
+    split = N.buckets(spark.createDataFrame([(h,) for h in hashes], "h long"), distance, 1)
+    assert split.where("mask <> 0").count() > 0
+    width = N._width(distance)
+    rows = N.block_pairs(split, 16)
+    links = rows.mapInArrow(N._links(distance, width), "h bigint, links bigint, connected bigint").groupBy("h").sum("links").collect()
+    assert {r[0]: r[1] for r in links} == Counter(h for p in near_pairs(hashes, distance) for h in p)
+
+
 def test_no_rows(spark):
     rows = spark.createDataFrame([], "id long, simhash long")
     assert N.near_duplicate_pairs(rows).collect() == [] and N.near_duplicate_classes(rows).collect() == []
