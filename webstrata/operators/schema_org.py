@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webstrata.functions import html as H
 from webstrata.functions.expr import blank_to_null, let, record
+from webstrata.functions.portions import portions
 from webstrata.operators.pages import NODES, SOURCE, with_nodes
 from webstrata.operators.skew import hottest, join_unique
 
@@ -141,16 +143,23 @@ def _read_found(kind: str, text: str | None, base: str, place: int) -> list[dict
 
 _READ = T.StructType([T.StructField(c, T.StringType()) for c in ("type", "data", "hash", "position", "error")]
                      + [T.StructField(c, T.LongType()) for c in ("j", "k")])
+_FOUND = pa.list_(pa.struct([(f.name, pa.string() if f.dataType == T.StringType() else pa.int64()) for f in _READ]))
 _NOTHING = dict.fromkeys(_READ.names)
+#: Pieces of markup that are Python objects at a time.
+PIECES_AT_ONCE = 1000
 
 
-def _read_batch(kind: pd.Series, text: pd.Series, base: pd.Series, place: pd.Series) -> pd.Series:
-    """What each found piece of markup holds. One reader decides what is JSON, and no text ends the job."""
-    return pd.Series([[{**_NOTHING, "j": 0, "k": 0, **x} for x in _read_found(*row)] for row in zip(kind, text, base, place)])
+def _read_batches(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """What each found piece of markup (kind, text, base, place) holds. One reader decides what is JSON, and no text ends
+    the job; a bounded part of a batch at a time becomes Python objects."""
+    for columns in batches:
+        for at in portions(columns[1], PIECES_AT_ONCE):
+            rows = zip(*(c[at].to_pylist() for c in columns))
+            yield pa.array([[{**_NOTHING, "j": 0, "k": 0, **x} for x in _read_found(*row)] for row in rows], type=_FOUND)
 
 
 # Declared non-deterministic so that the optimizer evaluates it once per row.
-_read = F.pandas_udf(_read_batch, T.ArrayType(_READ)).asNondeterministic()
+_read = F.arrow_udf(_read_batches, T.ArrayType(_READ)).asNondeterministic()
 
 
 # ---- extraction ---------------------------------------------------------------------------
