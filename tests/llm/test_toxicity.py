@@ -133,3 +133,27 @@ def test_counts_stand_for_rows():
     assert np.allclose(toxicity.calibrate(margin, y, counts=n), one_by_one)
     p = np.array([0.7, 0.5, 0.2])
     assert toxicity.best_threshold(p, np.array([5, 5, 0]), n=np.array([5, 6, 90])) == 0.35
+
+
+def test_few_rows_cross_to_python_at_a_time(spark):
+    """Also in a session that sets no bound of its own; a smaller one is kept."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    n = toxicity.FILTERS * len(toxicity.WIDTHS)
+    kernels = [np.zeros((w, toxicity.WIDTH, toxicity.FILTERS), np.float32) for w in toxicity.WIDTHS]
+    model = toxicity.Model(np.zeros((toxicity.BUCKETS, toxicity.WIDTH), np.float32), kernels, np.zeros(n, np.float32), np.zeros(n, np.float32), 0.0)
+    for own, most in (("10000", 1000), ("0", 1000), ("200", 200)):
+        session = spark.newSession()
+        session.conf.set(setting, own)
+        docs = session.range(0, 3500, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.lit("the house n"), "id").alias("text"))
+        sizes = toxicity.score(docs, model).mapInArrow(
+            lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches), "n long").toPandas().n
+        assert sizes.sum() == 3500 and sizes.max() <= most
+
+
+def test_training_hands_its_marks_over_without_python_workers(spark, monkeypatch):
+    made, make = [], type(spark).createDataFrame
+    docs = spark.createDataFrame([(i, f"{'idiot' if i % 2 else 'river'} n{i}", "en") for i in range(200)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, *a, **b: made.append(make(self, *a, **b)) or made[-1])
+    assert toxicity.train(docs, labels).key and made
+    assert not [f for f in made if "ExistingRDD" in f._jdf.queryExecution().toString()]

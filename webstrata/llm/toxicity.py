@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 from webstrata.llm.boosting import calibrate
 from webstrata.llm.frames import name
 from webstrata.llm.tokens import per_worker, release, slices
+from webstrata.session import bound_batches
 
 #: Labelled rows from which the model learns, at most, half of them of the rarer label if there are so many.
 SAMPLE = 6_000
@@ -111,7 +112,9 @@ class _Words:
             first = len(self.slot)
             self.slot.update((w, first + i) for i, w in enumerate(new))
             while len(self.slot) > len(self.vectors):
-                self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
+                grown = np.zeros((2 * len(self.vectors), WIDTH), np.float32)     # what is not used yet takes no memory
+                grown[:first] = self.vectors[:first]
+                self.vectors = grown
             self.vectors[first:first + len(new)] = _vectors(model.embeddings, *_spell(new))
         return self.vectors[np.fromiter((self.slot[w] for w in words), np.int64, len(words))]
 
@@ -358,7 +361,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not model.key:
         return model
     spark = docs.sparkSession
-    taught = spark.createDataFrame([(m,) for m in marks], "mark long").withColumn("taught", F.lit(True))
+    # From Arrow: a list of rows would start further Python workers on the executors, which stay.
+    taught = spark.createDataFrame(pa.table({"mark": pa.array(marks, pa.int64())})).withColumn("taught", F.lit(True))
     judged = score(texts.where(fold(F.col("id")) != held_out).select("id", "lang", F.xxhash64("text").alias("mark"), "text"), model)
     chance = F.least(F.greatest("score", F.lit(1e-12)), F.lit(1 - 1e-12))
     place = F.floor(F.log(chance / (1 - chance)) * STEPS).cast("int")
@@ -373,8 +377,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
     """`docs` with the score of every whole text; null and wordless texts get that of an empty text. No shuffle.
 
-    An input column named like the result is replaced.
+    An input column named like the result is replaced. Whole rows cross to Python, so the session's Arrow batches are bounded.
     """
+    bound_batches(docs.sparkSession)
     kept = [f for f in docs.schema.fields if f.name != out]
     schema = T.StructType([*kept, T.StructField(out, T.DoubleType())])
     names = [f.name for f in kept]
