@@ -26,6 +26,15 @@ def test_batch_simhash_equals_the_plain_form():
     assert [int(v) for v in H._simhash_batch(pd.Series(texts))] == [plain_simhash(t) for t in texts]
 
 
+def test_sums_of_many_hashes_are_exact():
+    """Bits are added up in bytes, 255 at a time, whatever table or sort numbers the shingles."""
+    rng = np.random.default_rng(2)
+    for letters in ("ab", "abcdefghijklmnopqrstuvwxyz_0123456789", "".join(map(chr, range(0x4E00, 0x9000)))):
+        texts = ["".join(rng.choice(list(letters), n)) for n in (4, 257, 258, 259, 513, 514, 3000)] + ["q" * 2000]
+        lengths = np.array([len(t) - 3 for t in texts])
+        assert H._majorities(H._shingle_hashes(texts), lengths).tolist() == [plain_simhash(t) for t in texts]
+
+
 def test_many_different_letters_take_the_counting_path():
     texts = ["".join(map(chr, range(0x10000, 0x10000 + 66000))), "abcdabcd"]
     assert [int(v) for v in H._simhash_batch(pd.Series(texts))][1] == plain_simhash(texts[1])
@@ -141,6 +150,63 @@ def test_split_buckets_lose_no_pair(spark, distance):
     assert {r[0]: r[1] for r in links} == Counter(h for p in near_pairs(hashes, distance) for h in p)
 
 
+@pytest.mark.parametrize("distance, mask, width", [
+    (0, 0, 4), (3, N.band_mask(2, 8), 8), (12, 0, 4), (12, N.band_mask(1, 4) | N.band_mask(4, 4), 4), (15, 0, 4), (16, 0, 4), (40, N.band_mask(2, 4), 4)])
+def test_planes_find_the_same_pairs_as_numbers(monkeypatch, distance, mask, width):
+    """Links and classes of two blocks, and of one with itself, when 64 columns are compared at once."""
+    monkeypatch.setattr(N, "_DIRECT", 0)
+    monkeypatch.setattr(N, "_TILE", (32, 192))
+    hashes = np.random.default_rng(0).permutation(np.array([*clustered_hashes(), *random_hashes(150)])).view(np.uint64)
+    for x, y in ((hashes[:210], hashes[210:]), (hashes[:330], None)):
+        other = x if y is None else y
+        apart = x[:, None] ^ other
+        near_ = np.bitwise_count(apart) <= distance
+        for band in N._skipped(mask, width):
+            near_ &= (apart & band) != 0
+        want = {tuple(sorted((int(x[i]), int(other[j])))) for i, j in zip(*np.nonzero(near_)) if y is not None or i != j}
+        got = [tuple(sorted((int(x[i]), int(other[j])))) for a, b in N.near_in_blocks(mask, x, y, distance, width) for i, j in zip(a, b)]
+        assert len(got) == len(set(got)) and set(got) == want
+        both, count, root = N._linked(mask, x, y, distance, width)
+        links = Counter(h for pair in want for h in pair)
+        assert {int(h): int(n) for h, n in zip(both, count) if n} == links
+        place = {int(h): i for i, h in enumerate(both)}
+        least = np.arange(len(both))
+        for _ in range(len(both)):
+            before = least.copy()
+            for a, b in want:
+                least[place[a]] = least[place[b]] = min(least[place[a]], least[place[b]])
+            if (before == least).all():
+                break
+        assert len(set(zip(least.tolist(), root.tolist()))) == len(set(least.tolist())) == len(set(root.tolist()))
+
+
+def test_hashes_that_mostly_agree_are_not_split(spark):
+    """Bands that most hashes agree on save no comparison: buckets by them would be compared again and again."""
+    rng = np.random.default_rng(4)
+    flips = (rng.random((3000, 64)) < 0.1) @ (1 << np.arange(64, dtype=np.uint64)).astype(object)
+    hashes = spark.createDataFrame([(h,) for h in sorted({int(f) - (1 << 64) if f >> 63 else int(f) for f in map(int, flips)})], "h long")
+    agreeing = N._agreeing(hashes, 4)
+    assert min(agreeing) > 0.2
+    whole = N.buckets(hashes, 12, 16, agreeing)
+    assert whole.count() == hashes.count() and whole.where("mask <> 0").count() == 0
+    assert N.buckets(hashes, 12, 16).where("mask <> 0").count() > 0
+
+
+def test_blocks_far_from_each_other_are_not_compared(spark):
+    """Hashes around far centres come into blocks of their own, and no tile of two such blocks is compared."""
+    hashes = [h for h in clustered_hashes() if near(h, 0x0123456789ABCDEF, 12) or near(h, 0xF0F0F0F0F0F0F0F0 - 2**64, 12)]
+    table = spark.createDataFrame([(h,) for h in hashes], "h long")
+    around = N.centres(table)
+    rows = N.block_pairs(N.buckets(table, 12, 4096), 64, around).collect()
+    blocks = [[np.array([m.h for m in b.hs], np.int64).view(np.uint64) for b in r.blocks] for r in rows]
+    assert sorted(int(h) for b in blocks if len(b) == 1 for h in b[0].view(np.int64)) == hashes
+    # The places of all pairs are there, though not all are compared.
+    n = len([b for b in blocks if len(b) == 1])
+    assert len(blocks) == n * (n + 1) // 2
+    compared = sum((r.stop - r.start) * (c.stop - c.start) for b in blocks if len(b) == 2 for r, c, _ in N._Sides(0, *b, 12, 4).near_bits())
+    assert 0 < compared < 0.8 * sum(len(b[0]) * len(b[1]) for b in blocks if len(b) == 2)
+
+
 def test_no_rows(spark):
     rows = spark.createDataFrame([], "id long, simhash long")
     assert N.near_duplicate_pairs(rows).collect() == [] and N.near_duplicate_classes(rows).collect() == []
