@@ -180,6 +180,17 @@ def test_planes_find_the_same_pairs_as_numbers(monkeypatch, distance, mask, widt
         assert len(set(zip(least.tolist(), root.tolist()))) == len(set(least.tolist())) == len(set(root.tolist()))
 
 
+def test_pairs_are_listed_a_bounded_number_at_a_time(monkeypatch):
+    """Where all hashes are near each other too: no tile is listed whole."""
+    monkeypatch.setattr(N, "_LISTED", 4096)
+    hashes = np.arange(3000, dtype=np.uint64)
+    names = [np.arange(3000, dtype=np.int32) * 2]
+    found = list(N.near_in_blocks(0, hashes, None, 12, 4, names))
+    assert max(len(i) for i, _ in found) < 2 * 4096
+    pairs = np.sort(np.stack([np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])]), axis=0)
+    assert pairs.shape[1] == 3000 * 2999 // 2 == len(np.unique(pairs[0].astype(np.int64) * 6000 + pairs[1])) and not (pairs % 2).any()
+
+
 def test_hashes_that_mostly_agree_are_not_split(spark):
     """Bands that most hashes agree on save no comparison: buckets by them would be compared again and again."""
     rng = np.random.default_rng(4)
